@@ -6,14 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The characters Python's ``str.strip()`` treats as whitespace.
-# (tab, newline, vertical tab, form feed, carriage return, 0x1c-0x1f
-# separators, space, 0x85, no-break space, ogham space, 0x2000-0x200a,
-# line separator, paragraph separator, 0x202f, 0x205f, ideographic space)
-PY_WHITESPACE_CLASS = (
-    "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A"
-    "\\u2028\\u2029\\u202F\\u205F\\u3000]"
-)
+# The code points Python's ``str.strip()`` treats as whitespace
+# (tab .. carriage return, 0x1c .. 0x1f separators, space, 0x85, no-break
+# space, ogham space, 0x2000 .. 0x200a, line / paragraph separators, 0x202f,
+# 0x205f, ideographic space).
+PY_WHITESPACE = [(0x09, 0x0D), (0x1C, 0x1F), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0),
+                 (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F),
+                 (0x205F, 0x205F), (0x3000, 0x3000)]
+# \x{h..h} escapes are read the same way by Java regex and RE2 (DuckDB).
+PY_WHITESPACE_CLASS = "[" + "".join(
+    f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b != a else "") for a, b in PY_WHITESPACE) + "]"
 
 
 def _c(x) -> Column:
