@@ -15,8 +15,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import DEFAULT_PROMPT_TEMPLATE, prompt
+from ..functions.text import DEFAULT_PROMPT_TEMPLATE, prompt, py_strip
 
 Generator = Callable[[pd.Series], pd.Series]
 
@@ -52,7 +53,7 @@ def conformance_flags(labels="labels", not_labels="not_labels", lo: int = 5,
     def ok(a):
         a = _c(a)
         return ((F.size(a) >= lo) & (F.size(a) <= hi)
-                & F.forall(a, lambda x: F.length(F.trim(x)) > 0)
+                & F.forall(a, lambda x: F.length(py_strip(x)) > 0)
                 & (F.size(F.array_distinct(a)) == F.size(a)))
     return F.struct(ok(labels).alias("labels_ok"), ok(not_labels).alias("not_labels_ok"),
                     (ok(labels) & ok(not_labels)).alias("conforms"))
@@ -62,7 +63,7 @@ def generate(df: DataFrame, generator: Generator, prompt_col: str = "prompt",
              out: str = "raw", retries: int = 3) -> DataFrame:
     """L-6: apply the user's generator to Arrow batches of prompts; each row is
     retried up to ``retries`` times when the call raises or returns None."""
-    schema = df.schema.add(out, "string")
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

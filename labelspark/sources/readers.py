@@ -36,7 +36,7 @@ def read_any(spark: SparkSession, path: str, fmt: str = "parquet",
 def load_triplets(spark: SparkSession, path: str, fmt: str = "json", text_column: str | None = None,
                   positive_column: str = "labels", negative_column: str = "not_labels",
                   min_label_length: int = 0, shuffle: bool = False, seed: int = 42,
-                  extra: DataFrame | None = None, schema: T.StructType | None = TRIPLET_SCHEMA,
+                  extra: DataFrame | None = None, schema: T.StructType | None = None,
                   ) -> DataFrame:
     """A-1 / A-2: read a triplet corpus -> canonical samples.  ``extra`` rows
     (e.g. a local corpus appended to the train split) are unioned first;
