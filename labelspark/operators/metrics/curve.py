@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..prefix import running_sums
+from ..prefix import materialize, running_sums
 
 
 def collapse_scores(pred: DataFrame, keys: Sequence[str] = (), score: str = "score",
@@ -30,6 +30,7 @@ def curve_stats(pred: DataFrame, keys: Sequence[str] = (), score: str = "score",
     (0 when there is no positive)."""
     keys = list(keys)
     coll = collapse_scores(pred, keys, score, truth)
+    coll = materialize(coll)
     run = running_sums(coll, keys, [(score, True)],
                        {"pos_below": F.col("pos"), "neg_below": F.col("neg")},
                        inclusive=False, n_buckets=n_buckets)

@@ -57,17 +57,30 @@ def bucket_of(col: str | Column, bounds: Sequence) -> Column:
     return build(0, len(bounds)).cast("int")
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared
+    ``spark.checkpoint.dir`` (never a local checkpoint): the data is computed
+    once and survives executor loss."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]],
                  values: dict[str, Column], inclusive: bool = True,
-                 n_buckets: int | None = None) -> DataFrame:
+                 n_buckets: int | None = None, materialized: bool = False) -> DataFrame:
     """Add running sums of ``values`` along ``order`` within ``keys``.
 
     ``order`` is a list of ``(column, ascending)``; it should be a total order
     inside each key group (ties in the whole ordering make ROWS frames
     arbitrary, exactly like a plain window).  Output columns are named after
     the keys of ``values``; ``inclusive=False`` gives the exclusive sum.
+    ``materialized=True`` checkpoints the input first, for inputs that are
+    expensive to recompute (the quantile sketch and the sums both read it).
     """
     keys = list(keys)
+    if materialized:
+        df = materialize(df)
     first, first_asc = order[0]
     nb = _n_buckets(df, n_buckets)
     bounds = quantile_bounds(df, first, nb)
