@@ -190,3 +190,25 @@ def classify_with_threshold(pred: DataFrame, threshold: float = 0.5,
     matched = F.transform(F.reverse(F.array_sort(F.col("_m"))), lambda x: x["l"])
     return agg.select(sample, matched.alias("matched_labels"), "num_matches", "top_label",
                       "top_score")
+
+
+def score_own_labels(texts: DataFrame, label_vectors: DataFrame, sample: str = "sample_id",
+                     text_vec: str = "text_vec", label_vec: str = "label_vec",
+                     scale: float = 2.0) -> DataFrame:
+    """D-4 / D-2: every label row gathers its own sample's text vector (equi
+    join on the sample id, both sides hash-partitioned on it) and is scored
+    with the scaled cosine head, then a sigmoid."""
+    t = prepare_text_side(texts.select(sample, text_vec), text_vec)
+    lab = prepare_label_side(label_vectors, label_vec)
+    j = lab.join(t, on=sample, how="inner")
+    j = j.withColumn("logit", score_expr(text_vec, label_vec, "cosine", scale, normalized=True))
+    return j.drop(text_vec, label_vec).withColumn("score", sigmoid("logit"))
+
+
+def regroup_scores(pred: DataFrame, sample: str = "sample_id", label_id: str = "label_id",
+                   score: str = "score", out: str = "scores") -> DataFrame:
+    """J-12: flat pair scores back to one array per sample in label-id order
+    (a sample's labels are one bounded group)."""
+    g = pred.groupBy(sample).agg(F.array_sort(F.collect_list(
+        F.struct(F.col(label_id).alias("i"), F.col(score).alias("s")))).alias("_a"))
+    return g.select(sample, F.transform("_a", lambda x: x["s"]).alias(out))

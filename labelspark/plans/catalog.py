@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import scoring  # noqa: F401  (registers)
 from .registry import ORACLE, QUERIES
 
-_MODULES = ["metrics", "normalizers", "shaping", "training", "io_plans"]
+_MODULES = ["metrics", "normalizers", "shaping", "training", "io_plans", "surfaces"]
 for _m in _MODULES:
     try:
         __import__(f"{__package__}.{_m}")
