@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,10 +20,15 @@ def sigmoid(c) -> Column:
 def softmax_over(df: DataFrame, keys: Sequence[str], score: str = "score",
                  out: str = "score") -> DataFrame:
     """F-8: max-shifted softmax of ``score`` across the rows of each key group
-    (a sample's labels).  Partitioned window: one shuffle on the keys."""
-    w = Window.partitionBy(*keys)
-    shifted = F.exp(F.col(score) - F.max(score).over(w))
-    return df.withColumn(out, shifted / F.sum(shifted).over(w))
+    (a sample's labels).  The max and the normaliser are partial aggregates
+    joined back on the keys (AQE splits a skewed key across tasks), not a
+    window that would put a whole group into one task."""
+    keys = list(keys)
+    m = df.groupBy(*keys).agg(F.max(score).alias("_m"))
+    d = df.join(m, on=keys, how="inner").withColumn("_e", F.exp(F.col(score) - F.col("_m")))
+    z = d.groupBy(*keys).agg(F.sum("_e").alias("_z"))
+    return (d.join(z, on=keys, how="inner").withColumn(out, F.col("_e") / F.col("_z"))
+            .drop("_m", "_e", "_z"))
 
 
 def array_softmax(c) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import dot, l2_normalize
@@ -44,9 +44,9 @@ def supcon_loss(pairs: DataFrame, keys: Sequence[str] = (), sample: str = "sampl
     positives of the log-softmax across the sample's labels; mean over such
     samples (0 when there are none)."""
     keys = list(keys)
-    w = Window.partitionBy(*keys, sample)
     x = F.col(logit).cast("double")
-    p = pairs.withColumn("_m", F.max(x).over(w))
+    m = pairs.groupBy(*keys, sample).agg(F.max(x).alias("_m"))
+    p = pairs.join(m, on=keys + [sample], how="inner")
     per = p.groupBy(*keys, sample).agg(
         F.first("_m").alias("_m"),
         F.sum(F.exp(x - F.col("_m"))).alias("_se"),

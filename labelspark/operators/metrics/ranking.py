@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..prefix import top_k_per_group
+from ..prefix import running_sums, top_k_per_group
 from .classification import safe_div
 
 DEFAULT_KS = (1, 3, 5, 10)
@@ -161,17 +161,32 @@ def topk_suite(pred: DataFrame, ks: Sequence[int] = DEFAULT_KS, keys: Sequence[s
     return out.filter((F.col("k") <= F.col("n_first")) & (F.col("n_first") > 1)).drop("n_first")
 
 
+def rank_curve(pred: DataFrame, keys: Sequence[str] = (), sample: str = "sample_id",
+               score: str = "score", truth: str = "truth") -> DataFrame:
+    """Per (sample, distinct score): labels and true labels at this score
+    (``n``, ``pos``) and at or above it (``n_above``, ``p_above``).
+
+    Rows are collapsed per distinct score first (partial aggregation), then a
+    distributed prefix sum runs inside each sample along the score, bucketed
+    by score quantiles: a sample holding a huge candidate list is spread over
+    all buckets instead of one window task."""
+    keys = list(keys)
+    y = (F.col(truth) == 1).cast("long")
+    coll = pred.groupBy(*keys, sample, score).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos"))
+    return running_sums(coll, keys + [sample], [(score, False)],
+                        {"n_above": F.col("n"), "p_above": F.col("pos")},
+                        inclusive=True, materialized=True)
+
+
 def coverage_error(pred: DataFrame, keys: Sequence[str] = (), sample: str = "sample_id",
                    score: str = "score", truth: str = "truth") -> DataFrame:
     """E-11: per sample #{labels with score >= lowest true score}; 0 when the
     sample has no true label; mean over samples."""
     keys = list(keys)
-    w = Window.partitionBy(*keys, sample)
-    lo = F.min(F.when(F.col(truth) == 1, F.col(score))).over(w)
-    per = (pred.withColumn("_lo", lo)
-           .groupBy(*keys, sample)
-           .agg(F.count_if(F.col("_lo").isNotNull() & (F.col(score) >= F.col("_lo")))
-                .alias("_cov")))
+    rc = rank_curve(pred, keys, sample, score, truth)
+    per = rc.groupBy(*keys, sample).agg(
+        F.coalesce(F.max(F.when(F.col("pos") > 0, F.col("n_above"))), F.lit(0)).alias("_cov"))
     return per.groupBy(*keys).agg(F.avg(F.col("_cov").cast("double")).alias("coverage_error"))
 
 
@@ -181,19 +196,13 @@ def label_ranking_ap(pred: DataFrame, keys: Sequence[str] = (), sample: str = "s
     #{l: s_l >= s_j} (ties count as ranked above); mean per sample; samples
     with no or only true labels score 1; mean over samples."""
     keys = list(keys)
-    at_or_above = (Window.partitionBy(*keys, sample).orderBy(F.col(score).desc())
-                   .rangeBetween(Window.unboundedPreceding, 0))
-    y = F.col(truth) == 1
-    r = pred.select(
-        *keys, sample, y.alias("_y"),
-        F.count(F.lit(1)).over(at_or_above).alias("_n_above"),
-        F.sum(y.cast("long")).over(at_or_above).alias("_p_above"))
-    per = r.groupBy(*keys, sample).agg(
-        F.avg(F.when(F.col("_y"), F.col("_p_above") / F.col("_n_above"))).alias("_ap"),
-        F.count_if(F.col("_y")).alias("_np"), F.count(F.lit(1)).alias("_n"))
+    rc = rank_curve(pred, keys, sample, score, truth)
+    per = rc.groupBy(*keys, sample).agg(
+        F.sum(F.col("pos") * F.col("p_above") / F.col("n_above")).alias("_s"),
+        F.sum("pos").alias("_np"), F.sum("n").alias("_n"))
     trivial = (F.col("_np") == 0) | (F.col("_np") == F.col("_n"))
     return per.groupBy(*keys).agg(
-        F.avg(F.when(trivial, F.lit(1.0)).otherwise(F.col("_ap")))
+        F.avg(F.when(trivial, F.lit(1.0)).otherwise(F.col("_s") / F.col("_np")))
         .alias("label_ranking_avg_precision"))
 
 

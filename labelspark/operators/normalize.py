@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rand import hash_int, hash_key, hash_uniform
-from .prefix import global_row_number
+from .prefix import global_row_number, materialize
 from ..functions.text import (camel_to_snake, clean_label_multi, clean_name_and,
                               ensure_string, is_blank, join_fields, letter_index, py_strip)
 
@@ -176,7 +176,7 @@ def checked_vocab(values: DataFrame, col: str, max_size: int = MAX_VOCAB) -> Dat
     The distinct set is computed distributed; its size is checked (a bounded
     count) before it is gathered into one row and broadcast to every sample.
     """
-    d = values.select(F.col(col).alias("v")).filter(F.col("v").isNotNull()).distinct()
+    d = materialize(values.select(F.col(col).alias("v")).filter(F.col("v").isNotNull()).distinct())
     n = d.limit(max_size + 1).count()
     if n > max_size:
         raise ValueError(f"vocabulary has more than {max_size} entries; "
@@ -195,7 +195,7 @@ def sampled_negatives(df: DataFrame, sample_id, text, summary, seed: int = 42,
     may include the summary itself, which then also has truth 1), shuffled."""
     base = df.select(_c(sample_id).cast("long").alias("_id"), ensure_string(text).alias("_t"),
                      ensure_string(summary).alias("_s"))
-    vocab = (base.filter(F.col("_s") != "").select(F.col("_s").alias("_v")).distinct()
+    vocab = materialize(base.filter(F.col("_s") != "").select(F.col("_s").alias("_v")).distinct()
              .withColumn("_vk", F.conv(F.substring(hash_key(F.col("_v"), F.lit(seed)), 1, 15),
                                        16, 10).cast("long")))
     # dense index in hash order, distributed (no single-partition window)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rand import hash_int, hash_key
-from .prefix import global_row_number, running_sums
+from .prefix import global_row_number, materialize, running_sums
 
 
 def contrastive_pairs(df: DataFrame, sample_id: str = "sample_id", text: str = "text",
@@ -58,7 +58,7 @@ def random_other_negatives(pairs: DataFrame, seed: int = 42, sample_id: str = "s
     one when j reaches its own positive's number.  Two equi-joins, no
     pair x vocabulary product.  Pairs are dropped when V < 2.
     """
-    vocab = pairs.select(F.col(positive).alias("_v")).distinct()
+    vocab = materialize(pairs.select(F.col(positive).alias("_v")).distinct())
     h = F.conv(F.substring(hash_key(F.col("_v"), F.lit(seed)), 1, 15), 16, 10).cast("long")
     vocab = global_row_number(vocab.withColumn("_h", h),
                               [("_h", True), ("_v", True)], out="_vi").select(
