@@ -35,7 +35,8 @@ def test_stream_matches_batch(spark, sf001):
         return N.all_positive(d.selectExpr("*", "array(p_brand, p_type) AS labels"),
                               "p_partkey", "p_name", "labels")
 
-    q = run_stateless(spark, file_stream(spark, src, part.schema), transform, sink, "allpos")
+    q = run_stateless(spark, file_stream(spark, src, part.schema), transform, sink,
+                      f"allpos-{uuid.uuid4().hex}")
     q.awaitTermination(120)
     got = sorted(tuple(r) for r in spark.read.parquet(sink).collect())
     want = sorted(tuple(r) for r in transform(part).collect())
