@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.activation import sigmoid, softmax_over
 from ..functions.vector import bilinear, dot, l2_normalize, logit_scale, project, weighted_dot
-from .prefix import top_k_per_group
+from .prefix import materialize, top_k_per_group
 
 MAX_BROADCAST_LABELS = 200_000
 
@@ -32,7 +32,12 @@ def label_side_is_small(labels: DataFrame, limit: int = MAX_BROADCAST_LABELS) ->
 
 def pair_product(texts: DataFrame, labels: DataFrame, blocks: int | None = None,
                  max_broadcast_labels: int = MAX_BROADCAST_LABELS) -> DataFrame:
-    """D-1: every text against every shared candidate label."""
+    """D-1: every text against every shared candidate label.
+
+    The label side is computed once and checkpointed (it is usually an
+    aggregate such as per-class centroids, a full pass over its input); its
+    row count is then checked from the checkpoint before it is broadcast."""
+    labels = materialize(labels)
     if label_side_is_small(labels, max_broadcast_labels):
         return texts.crossJoin(F.broadcast(labels))
     nb = blocks or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.activation import sigmoid
-from .classification import (confusion_counts, diagnostic_stats, metrics_from_counts,
-                             problem_type, sample_argmax, sample_set_metrics, safe_div)
-from .curve import curve_stats, macro_curve
+from .classification import (metrics_from_counts, problem_type, sample_argmax,
+                             sample_set_metrics, safe_div)
+from .curve import collapse_scores, counts_from_collapsed, curve_from_collapsed, macro_curve
 from .ranking import coverage_error, label_ranking_ap
 
 BINARY = ("accuracy", "precision", "recall", "f1", "jaccard", "hamming_loss",
@@ -37,11 +37,14 @@ def metric_bundle(pred: DataFrame, threshold: float = 0.5, keys: Sequence[str] =
     keys = list(keys)
     if not activated:
         pred = pred.withColumn(score, sigmoid(score))
-    counts = confusion_counts(pred, threshold, keys, score, truth)
+    coll = collapse_scores(pred, keys, score, truth)  # the single pass over pred
+    counts = counts_from_collapsed(coll, threshold, keys, score)
     flat = metrics_from_counts(counts, keys, BINARY)
-    out = _join(flat, curve_stats(pred, keys, score, truth), keys)
+    out = _join(flat, curve_from_collapsed(coll, keys, score), keys)
     if activated:
-        out = _join(out, diagnostic_stats(pred, threshold, keys, score, truth), keys)
+        diag = counts.select(*keys, "support", F.lit(float(threshold)).alias("threshold"),
+                             "num_positive", "avg_probability")
+        out = _join(out, diag, keys)
     if mode == "flat":
         return out
     if mode != "auto":

@@ -18,19 +18,21 @@ from ..prefix import materialize, running_sums
 
 
 def collapse_scores(pred: DataFrame, keys: Sequence[str] = (), score: str = "score",
-                    truth: str = "truth") -> DataFrame:
+                    truth: str = "truth", materialized: bool = True) -> DataFrame:
+    """One row per distinct ``(keys, score)`` with the positive / negative
+    counts (partial aggregation).  Everything score-based (confusion counts,
+    diagnostics, curves, threshold search) can be derived from this table, so
+    an evaluation reads ``pred`` once; it is checkpointed so later passes do
+    not recompute ``pred``."""
     y = (F.col(truth) == 1).cast("long")
-    return pred.groupBy(*keys, score).agg(
-        F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"))
+    c = pred.groupBy(*keys, score).agg(F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"))
+    return materialize(c) if materialized else c
 
 
-def curve_stats(pred: DataFrame, keys: Sequence[str] = (), score: str = "score",
-                truth: str = "truth", n_buckets: int | None = None) -> DataFrame:
-    """Per key: roc_auc (NULL when one class is missing) and avg_precision
-    (0 when there is no positive)."""
+def curve_from_collapsed(coll: DataFrame, keys: Sequence[str] = (), score: str = "score",
+                         n_buckets: int | None = None) -> DataFrame:
+    """ROC-AUC and AP from a collapsed score table."""
     keys = list(keys)
-    coll = collapse_scores(pred, keys, score, truth)
-    coll = materialize(coll)
     run = running_sums(coll, keys, [(score, True)],
                        {"pos_below": F.col("pos"), "neg_below": F.col("neg")},
                        inclusive=False, n_buckets=n_buckets)
@@ -59,6 +61,29 @@ def curve_stats(pred: DataFrame, keys: Sequence[str] = (), score: str = "score",
         .otherwise(F.lit(0.0)).alias("avg_precision"))
 
 
+def curve_stats(pred: DataFrame, keys: Sequence[str] = (), score: str = "score",
+                truth: str = "truth", n_buckets: int | None = None) -> DataFrame:
+    """Per key: roc_auc (NULL when one class is missing) and avg_precision
+    (0 when there is no positive)."""
+    return curve_from_collapsed(collapse_scores(pred, keys, score, truth), keys, score,
+                                n_buckets)
+
+
+def counts_from_collapsed(coll: DataFrame, threshold: float = 0.5, keys: Sequence[str] = (),
+                          score: str = "score") -> DataFrame:
+    """E-1 / E-14 from a collapsed table: tp / fp / fn / tn at ``score >
+    threshold`` plus support, positives and the mean score."""
+    p = F.col(score) > F.lit(float(threshold))
+    n = F.col("pos") + F.col("neg")
+    return coll.groupBy(*keys).agg(
+        F.sum(F.when(p, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(p, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(p, 0).otherwise(F.col("pos"))).alias("fn"),
+        F.sum(F.when(p, 0).otherwise(F.col("neg"))).alias("tn"),
+        F.sum(n).alias("support"), F.sum("pos").alias("num_positive"),
+        (F.sum(F.col(score).cast("double") * n) / F.sum(n)).alias("avg_probability"))
+
+
 def roc_auc(pred: DataFrame, keys: Sequence[str] = (), score: str = "score",
             truth: str = "truth") -> DataFrame:
     """E-8: binary ROC-AUC with mid-rank ties."""

@@ -50,29 +50,49 @@ def _discount(pos: Column, k: int) -> Column:
 
 def per_sample_topk(pred: DataFrame, ks: Sequence[int], keys: Sequence[str] = (),
                     sample: str = "sample_id", label: str = "label_id",
-                    score: str = "score", truth: str = "truth") -> DataFrame:
+                    score: str = "score", truth: str = "truth", salts: int = 16) -> DataFrame:
     """Per sample and for every k: hit, best / worst true position within k,
-    hits within k and tie-averaged DCG@k, plus the sample's #positives."""
+    hits within k and tie-averaged DCG@k, plus the sample's #labels and
+    #positives.
+
+    One pass over ``pred``: stage 1 ranks inside ``(sample, hash(label) %
+    salts)`` and keeps every row tied with the k-th; each salt bucket's label
+    and positive counts ride along on its first row.  Stage 2 sums those
+    counts per sample, ranks the survivors and keeps the top k (whole tie
+    groups), so no task holds more than ``k x salts`` rows of a sample."""
     keys = list(keys)
     kmax = max(ks)
-    top = rank_labels(pred, kmax, keys, sample, label, score, with_ties=True)
-    peers = Window.partitionBy(*keys, sample).orderBy(F.col(score).desc()).rangeBetween(0, 0)
+    grp = keys + [sample]
+    y = F.col(truth).cast("long")
+    w1 = Window.partitionBy(*grp, "_salt")
+    s1 = pred.withColumn("_salt", F.pmod(F.xxhash64(F.col(label)), F.lit(salts)))
+    s1 = s1.select(
+        *grp, label, score, truth,
+        F.rank().over(w1.orderBy(F.col(score).desc())).alias("_r1"),
+        (F.row_number().over(w1.orderBy(*rank_order(score, label))) == 1).alias("_first"),
+        F.count(F.lit(1)).over(w1).alias("_n"), F.sum(y).over(w1).alias("_p"))
+    s1 = s1.filter(F.col("_r1") <= kmax)
+    w2 = Window.partitionBy(*grp)
+    s2 = s1.select(
+        *grp, label, score, truth,
+        F.sum(F.when(F.col("_first"), F.col("_n")).otherwise(0)).over(w2).alias("n_labels"),
+        F.sum(F.when(F.col("_first"), F.col("_p")).otherwise(0)).over(w2).alias("n_pos"),
+        F.rank().over(w2.orderBy(F.col(score).desc())).alias("_r2"))
+    top = s2.filter(F.col("_r2") <= kmax).withColumn(
+        "rank", F.row_number().over(w2.orderBy(*rank_order(score, label))))
+    peers = Window.partitionBy(*grp).orderBy(F.col(score).desc()).rangeBetween(0, 0)
     top = top.withColumn("_gain", F.avg(F.col(truth).cast("double")).over(peers))
-    pos, y = F.col("rank"), F.col(truth) == 1
-    aggs = []
+    pos, yy = F.col("rank"), F.col(truth) == 1
+    aggs = [F.first("n_labels").alias("n_labels"), F.first("n_pos").alias("n_pos")]
     for k in ks:
         inside = pos <= k
         aggs += [
-            F.count_if(inside & y).alias(f"hits_{k}"),
-            F.min(F.when(inside & y, pos)).alias(f"best_{k}"),
-            F.max(F.when(inside & y, pos)).alias(f"worst_{k}"),
+            F.count_if(inside & yy).alias(f"hits_{k}"),
+            F.min(F.when(inside & yy, pos)).alias(f"best_{k}"),
+            F.max(F.when(inside & yy, pos)).alias(f"worst_{k}"),
             F.sum(F.col("_gain") * _discount(pos, k)).alias(f"dcg_{k}"),
         ]
-    per = top.groupBy(*keys, sample).agg(*aggs)
-    counts = pred.groupBy(*keys, sample).agg(
-        F.sum(F.col(truth).cast("long")).alias("n_pos"),
-        F.count(F.lit(1)).alias("n_labels"))
-    return per.join(counts, on=keys + [sample], how="inner")
+    return top.groupBy(*grp).agg(*aggs)
 
 
 def topk_from_samples(per: DataFrame, ks: Sequence[int], keys: Sequence[str] = (),

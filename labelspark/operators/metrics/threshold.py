@@ -1,9 +1,9 @@
 """Threshold search (E-22, E-23, F-18).
 
-Two passes over the data regardless of the grid size: one for the per-key
-score range, one that bins every score by the number of grid thresholds
-strictly below it and counts positives / negatives per bin.  Everything
-after that works on at most ``n + 1`` bins per key.
+One pass over ``pred`` regardless of the grid size: it is collapsed to one
+row per distinct score (checkpointed); the score range and a histogram of
+bins (#grid thresholds strictly below each score) come from that table, and
+everything after works on at most ``n + 1`` bins per key.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .classification import metrics_from_counts, safe_div
+from .classification import metrics_from_counts
+from .curve import collapse_scores, counts_from_collapsed
 
 METRICS = ("f1", "accuracy", "precision", "recall")
 
@@ -50,18 +51,19 @@ def _bin(score: Column, lo: Column, hi: Column, n: int) -> Column:
 
 
 def threshold_table(pred: DataFrame, n: int = 100, keys: Sequence[str] = (),
-                    score: str = "score", truth: str = "truth") -> DataFrame:
+                    score: str = "score", truth: str = "truth",
+                    collapsed: DataFrame | None = None) -> DataFrame:
     """For each key and grid index i: threshold t_i and the confusion counts
-    of ``score > t_i``."""
+    of ``score > t_i``.  Works on the collapsed score table (one pass over
+    ``pred``), then on at most ``n + 1`` bins per key."""
     keys = list(keys)
-    rng = pred.groupBy(*keys).agg(F.min(score).cast("double").alias("lo"),
+    coll = collapsed if collapsed is not None else collapse_scores(pred, keys, score, truth)
+    rng = coll.groupBy(*keys).agg(F.min(score).cast("double").alias("lo"),
                                   F.max(score).cast("double").alias("hi"))
-    j = (pred.join(rng, on=keys, how="inner") if keys
-         else pred.crossJoin(F.broadcast(rng)))
+    j = (coll.join(rng, on=keys, how="inner") if keys
+         else coll.crossJoin(F.broadcast(rng)))
     b = _bin(F.col(score).cast("double"), F.col("lo"), F.col("hi"), n)
-    y = (F.col(truth) == 1).cast("long")
-    hist = j.groupBy(*keys, b.alias("bin")).agg(
-        F.sum(y).alias("p"), F.sum(F.lit(1) - y).alias("q"))
+    hist = j.groupBy(*keys, b.alias("bin")).agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     grid = (rng.select(*keys, "lo", "hi",
                        F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")))
     # predicted positives at t_i are the rows whose bin exceeds i
@@ -70,8 +72,8 @@ def threshold_table(pred: DataFrame, n: int = 100, keys: Sequence[str] = (),
     suffix = hist.select(*keys, (F.col("bin") - 1).alias("i"),
                          F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"))
     tot = hist.groupBy(*keys).agg(F.sum("p").alias("tot_p"), F.sum("q").alias("tot_q"))
-    # largest suffix bin index per threshold: bins are sparse, so take the
-    # nearest populated bin above i via a running max over the grid
+    # bins are sparse: take the nearest populated bin above i (suffix sums
+    # only shrink with i, so a running max over larger i finds it)
     g = grid.join(suffix, on=keys + ["i"], how="left")
     w_fill = Window.partitionBy(*keys).orderBy(F.col("i").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -86,6 +88,14 @@ def threshold_table(pred: DataFrame, n: int = 100, keys: Sequence[str] = (),
         (F.col("tot_q") - F.col("fp")).cast("long").alias("tn"))
 
 
+def _best(t: DataFrame, metric: str, keys: list) -> DataFrame:
+    m = metrics_from_counts(t, keys + ["i", "threshold", "tp", "fp", "fn", "tn"], (metric,))
+    return m.groupBy(*keys).agg(
+        F.max_by(F.struct("i", "threshold", "tp", "fp", "fn", "tn"),
+                 F.struct(F.col(metric), -F.col("i"))).alias("w"),
+        F.max(metric).alias("best_score"))
+
+
 def best_threshold(pred: DataFrame, metric: str = "f1", n: int = 100,
                    keys: Sequence[str] = (), score: str = "score",
                    truth: str = "truth") -> DataFrame:
@@ -94,32 +104,29 @@ def best_threshold(pred: DataFrame, metric: str = "f1", n: int = 100,
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     keys = list(keys)
-    t = threshold_table(pred, n, keys, score, truth)
-    m = metrics_from_counts(t.withColumnRenamed("threshold", "_t"), keys + ["i", "_t"],
-                            (metric,))
-    best = m.groupBy(*keys).agg(
-        F.max_by(F.struct("i", "_t"), F.struct(F.col(metric), -F.col("i"))).alias("w"),
-        F.max(metric).alias("best_score"))
+    best = _best(threshold_table(pred, n, keys, score, truth), metric, keys)
     found = F.col("best_score") > 0
     return best.select(
         *keys,
-        F.when(found, F.col("w._t")).otherwise(F.lit(0.5)).alias("best_threshold"),
+        F.when(found, F.col("w.threshold")).otherwise(F.lit(0.5)).alias("best_threshold"),
         F.when(found, F.col("best_score")).otherwise(F.lit(0.0)).alias("best_score"))
 
 
 def best_metrics(pred: DataFrame, n: int = 100, keys: Sequence[str] = (),
                  score: str = "score", truth: str = "truth") -> DataFrame:
-    """E-23: accuracy / precision / recall / F1 at the F1-best threshold."""
+    """E-23: accuracy / precision / recall / F1 at the F1-best threshold.  The
+    winning grid row already carries its counts; only the fallback threshold
+    0.5 (no threshold scored above zero) needs counts of its own, taken from
+    the collapsed table."""
     keys = list(keys)
-    bt = best_threshold(pred, "f1", n, keys, score, truth)
-    j = pred.join(bt, on=keys, how="inner") if keys else pred.crossJoin(F.broadcast(bt))
-    p = F.col(score) > F.col("best_threshold")
-    y = F.col(truth) == 1
-    c = j.groupBy(*keys, "best_threshold").agg(
-        F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"),
-        F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn"))
-    out = metrics_from_counts(c, keys + ["best_threshold"])
-    return out.withColumnRenamed("best_threshold", "threshold")
-
-
-_ = safe_div  # shared helper lives in classification
+    coll = collapse_scores(pred, keys, score, truth)
+    best = _best(threshold_table(pred, n, keys, score, truth, collapsed=coll), "f1", keys)
+    at_half = counts_from_collapsed(coll, 0.5, keys, score).select(
+        *keys, *[F.col(c).alias(f"h_{c}") for c in ("tp", "fp", "fn", "tn")])
+    j = best.join(at_half, on=keys, how="inner") if keys else best.crossJoin(at_half)
+    found = F.col("best_score") > 0
+    pick = [F.when(found, F.col(f"w.{c}")).otherwise(F.col(f"h_{c}")).alias(c)
+            for c in ("tp", "fp", "fn", "tn")]
+    c = j.select(*keys, F.when(found, F.col("w.threshold")).otherwise(F.lit(0.5))
+                 .alias("threshold"), *pick)
+    return metrics_from_counts(c, keys + ["threshold"])
