@@ -41,19 +41,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this is set by the operator to a shared filesystem and is
     used as is.  Only when it is unset (local tests) a scratch folder is
-    created and registered.
+    created and registered.  Works without a SparkContext (Spark Connect),
+    where the server-side setting is used.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: no driver-side context)
+        sc = None
     if current:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(current)
+        if sc is not None and sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(current)
         return current
-    sc_dir = spark.sparkContext.getCheckpointDir()
-    if sc_dir:
-        return sc_dir
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     path = tempfile.mkdtemp(prefix="labelspark-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
     return path
 
 

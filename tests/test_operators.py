@@ -153,3 +153,47 @@ def test_parse_generated_strict(spark, raw, ok):
     r = spark.createDataFrame([(raw,)], "raw string").select(
         AN.parse_generated("raw").alias("g")).collect()[0]
     assert (r.g is not None) == ok
+
+
+def test_write_batches_sizes(spark):
+    import uuid
+
+    from labelspark.session import scratch_path
+    from labelspark.sources.sinks import write_batches
+    d = spark.range(0, 230).withColumnRenamed("id", "doc_id")
+    path = scratch_path(spark, f"batches-{uuid.uuid4().hex}")
+    write_batches(d, path, "doc_id", batch_size=50, start_index=100)
+    back = spark.read.json(path)
+    sizes = {r.batch: r["count"] for r in back.groupBy("batch").count().collect()}
+    # start index 100 with 50 per file -> first batch number 3
+    assert sizes == {3: 50, 4: 50, 5: 50, 6: 50, 7: 30}
+
+
+def test_checked_vocab_rejects_large(spark):
+    d = spark.range(0, 50).withColumnRenamed("id", "v")
+    with pytest.raises(ValueError):
+        N.checked_vocab(d, "v", max_size=10)
+    assert N.checked_vocab(d, "v", max_size=100).collect()[0].vocab == list(range(50))
+
+
+def test_pair_product_block_fallback_equals_broadcast(spark):
+    from labelspark.operators.classify import pair_product
+    texts = spark.range(0, 40).withColumnRenamed("id", "t")
+    labels = spark.range(0, 25).withColumnRenamed("id", "l")
+    a = sorted(tuple(r) for r in pair_product(texts, labels).collect())
+    b = sorted(tuple(r) for r in pair_product(texts, labels, blocks=4,
+                                              max_broadcast_labels=10).collect())
+    assert a == b and len(a) == 1000
+
+
+def test_sample_exact_small_input_returns_all(spark):
+    d = spark.range(0, 20).withColumnRenamed("id", "doc_id")
+    assert SM.sample_exact(d, 50, "doc_id").count() == 20
+
+
+def test_softmax_over_sums_to_one(spark):
+    from labelspark.functions.activation import softmax_over
+    d = spark.createDataFrame([(1, 0.5), (1, 2.0), (1, -1.0), (2, 3.0)], "s long, x double")
+    got = {r.s: r.t for r in softmax_over(d, ["s"], "x", "p").groupBy("s").agg(
+        F.sum("p").alias("t")).collect()}
+    assert got[1] == pytest.approx(1.0) and got[2] == pytest.approx(1.0)
