@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.activation import sigmoid, softmax_over
 from ..functions.vector import bilinear, dot, l2_normalize, logit_scale, project, weighted_dot
-from .prefix import materialize, top_k_per_group
+from .prefix import global_row_number, materialize, top_k_per_group
 
 MAX_BROADCAST_LABELS = 200_000
 
@@ -155,9 +155,8 @@ def top_predictions(pred: DataFrame, k: int | None = None, sample: str = "sample
     order = [F.col(score).desc(), F.col(label_id).asc()]
     if k:
         return top_k_per_group(pred, [sample], order, k, salt=label_id)
-    from pyspark.sql import Window
-    return pred.withColumn("rank", F.row_number().over(
-        Window.partitionBy(sample).orderBy(*order)))
+    # all labels ranked: distributed row number inside each sample
+    return global_row_number(pred, [(score, False), (label_id, True)], keys=[sample], out="rank")
 
 
 def top_label(pred: DataFrame, sample: str = "sample_id", label: str = "label",

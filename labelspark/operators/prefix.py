@@ -66,6 +66,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+CASE_TREE_MAX = 255
+
+
+def with_bucket(df: DataFrame, col: str, bounds: Sequence) -> DataFrame:
+    """Add ``_bkt`` = bucket of ``col`` among sorted ``bounds`` (equal values
+    always share a bucket).  Up to 255 bounds a balanced CASE tree keeps it in
+    whole-stage codegen; beyond that Spark's Bucketizer (a JVM-side binary
+    search) avoids a huge generated expression."""
+    if len(bounds) <= CASE_TREE_MAX:
+        return df.withColumn(BUCKET, bucket_of(col, bounds))
+    from pyspark.ml.feature import Bucketizer
+    splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
+    splits = sorted(set(splits))
+    tmp_in = "_bkt_in"
+    b = Bucketizer(splits=splits, inputCol=tmp_in, outputCol=BUCKET, handleInvalid="keep")
+    out = b.transform(df.withColumn(tmp_in, F.col(col).cast("double")))
+    return out.withColumn(BUCKET, F.col(BUCKET).cast("int")).drop(tmp_in)
+
+
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]],
                  values: dict[str, Column], inclusive: bool = True,
                  n_buckets: int | None = None, materialized: bool = False) -> DataFrame:
@@ -84,11 +103,10 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str,
     first, first_asc = order[0]
     nb = _n_buckets(df, n_buckets)
     bounds = quantile_bounds(df, first, nb)
-    bkt = bucket_of(first, bounds)
+    dfb = with_bucket(df, first, bounds)
     if not first_asc:
-        bkt = F.lit(len(bounds)) - bkt
+        dfb = dfb.withColumn(BUCKET, F.lit(len(bounds)) - F.col(BUCKET))
     tmp = {name: f"_v_{name}" for name in values}
-    dfb = df.withColumn(BUCKET, bkt)
     for name, expr in values.items():
         dfb = dfb.withColumn(tmp[name], expr)
 

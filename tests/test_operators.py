@@ -197,3 +197,18 @@ def test_softmax_over_sums_to_one(spark):
     got = {r.s: r.t for r in softmax_over(d, ["s"], "x", "p").groupBy("s").agg(
         F.sum("p").alias("t")).collect()}
     assert got[1] == pytest.approx(1.0) and got[2] == pytest.approx(1.0)
+
+
+def test_running_sums_many_buckets_uses_bucketizer(spark):
+    d = spark.range(0, 3000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    got = sorted(tuple(r) for r in running_sums(d, [], [("k", True)], {"c": F.col("v")},
+                                                n_buckets=600).select("k", "c").collect())
+    assert got == [(k, k + 1) for k in range(3000)]
+
+
+def test_top_predictions_all_ranked(spark):
+    from labelspark.operators.classify import top_predictions
+    d = spark.createDataFrame([(1, 1, "a", 0.2), (1, 2, "b", 0.9), (1, 3, "c", 0.9), (2, 1, "a", 0.1)],
+                              "sample_id long, label_id int, label string, score double")
+    got = sorted((r.sample_id, r.label, r.rank) for r in top_predictions(d).collect())
+    assert got == [(1, "a", 3), (1, "b", 1), (1, "c", 2), (2, "a", 1)]
