@@ -96,7 +96,7 @@ def mcc(spark, sf):
 
 
 @register("diag_stats", with_ctes(*PRED_CTES, select="""
-SELECT count(*) AS support, 0.5 AS threshold, CAST(sum(truth) AS BIGINT) AS num_positive,
+SELECT count(*) AS support, CAST(0.5 AS DOUBLE) AS threshold, CAST(sum(truth) AS BIGINT) AS num_positive,
        avg(score) AS avg_probability FROM pred"""))
 def diag_stats(spark, sf):
     """E-14: support, threshold, positives, mean probability."""
@@ -371,7 +371,7 @@ def best_metrics(spark, sf):
 @register("metric_bundle", with_ctes(*PRED_CTES, CONF, _C0, select=f"""
 SELECT {ACC} AS accuracy, {PREC} AS precision, {REC} AS recall, {F1} AS f1, {JAC} AS jaccard,
        {HL} AS hamming_loss, {MCC} AS matthews_corrcoef, curve.roc_auc, curve.avg_precision,
-       (SELECT count(*) FROM pred) AS support, 0.5 AS threshold,
+       (SELECT count(*) FROM pred) AS support, CAST(0.5 AS DOUBLE) AS threshold,
        (SELECT CAST(sum(truth) AS BIGINT) FROM pred) AS num_positive,
        (SELECT avg(score) FROM pred) AS avg_probability
 FROM conf, curve"""))

@@ -59,7 +59,7 @@ def zs_top1(spark, sf):
 
 
 @register("zs_topk3", with_ctes(*PRED_CTES, select="""
-SELECT sample_id, label, score, rank FROM (
+SELECT sample_id, label, score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT sample_id, label, score,
          row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, label_id ASC) AS rank
   FROM pred) WHERE rank <= 3"""))
@@ -92,7 +92,7 @@ def zs_softmax(spark, sf):
 
 
 @register("suggest_labels", with_ctes(*PRED_CTES, select="""
-SELECT sample_id, label, score, rank FROM (
+SELECT sample_id, label, score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT sample_id, label, score,
          row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, label_id ASC) AS rank
   FROM pred WHERE score > 0.3) WHERE rank <= 10"""))

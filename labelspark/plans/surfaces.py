@@ -147,7 +147,7 @@ SELECT 'multiclass' AS problem_type,
        {_div('tp', 'tp + fp')} AS precision, {_div('tp', 'tp + fn')} AS recall,
        {_div('2 * tp', '2 * tp + fp + fn')} AS f1,
        (SELECT avg(CASE WHEN tc = pc THEN 1.0 ELSE 0.0 END) FROM ps) AS match_accuracy,
-       (SELECT count(*) FROM pred) AS support, 0.5 AS threshold,
+       (SELECT count(*) FROM pred) AS support, CAST(0.5 AS DOUBLE) AS threshold,
        (SELECT CAST(sum(truth) AS BIGINT) FROM pred) AS num_positive,
        (SELECT avg(score) FROM pred) AS avg_probability
 FROM conf"""))
