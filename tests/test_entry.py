@@ -42,3 +42,17 @@ def test_stream_matches_batch(spark, sf001):
     want = sorted(tuple(r) for r in transform(part).collect())
     assert got == want and len(got) == part.count()
     assert os.path.isdir(src)
+
+
+def test_rounding_table_matches_spark_schemas(spark, sf001):
+    """The oracle rounds exactly the DOUBLE outputs of each Spark query."""
+    from pyspark.sql import types as T
+
+    from __spark_entry__ import queries
+    from labelspark.plans.rounding import ROUND_COLUMNS
+    for name, fn in queries().items():
+        sch = fn(spark, sf001).schema
+        dbl = [f.name for f in sch.fields if isinstance(f.dataType, T.DoubleType)]
+        arr = [f.name for f in sch.fields if isinstance(f.dataType, T.ArrayType)
+               and isinstance(f.dataType.elementType, T.DoubleType)]
+        assert ROUND_COLUMNS.get(name, ([], [])) == (dbl, arr), name
