@@ -195,12 +195,12 @@ def pairs_exploded(spark, sf):
 
 
 @register("argmax_array", """
-SELECT vec_id, CAST(list_position(list_slice(CAST(embedding AS DOUBLE[]), 1, 8),
-       list_max(list_slice(CAST(embedding AS DOUBLE[]), 1, 8))) - 1 AS BIGINT) AS argmax
+SELECT vec_id, CAST(list_position(CAST(embedding AS DOUBLE[]),
+       list_max(CAST(embedding AS DOUBLE[]))) - 1 AS BIGINT) AS argmax
 FROM embeddings""")
 def argmax_array(spark, sf):
-    """F-17: position of the largest of the first 8 embedding values."""
-    e = embedding_vectors(spark, sf).select("vec_id", F.slice("v", 1, 8).alias("a"))
+    """F-17: position of the largest embedding value (first on ties)."""
+    e = embedding_vectors(spark, sf).select("vec_id", F.col("v").alias("a"))
     return e.select("vec_id", (F.array_position("a", F.array_max("a")) - 1).alias("argmax"))
 
 

@@ -383,8 +383,8 @@ def metric_bundle(spark, sf):
 def grid_pred(spark, sf):
     """Three similarity heads as three 'models'; label parity as 'dataset'."""
     cos = flagship_pred(spark, sf).drop("logit").withColumn("model", F.lit("cosine"))
-    dot = scored_pairs(spark, sf, head="dot", dims=8, weights=DOT_WEIGHTS, bias=DOT_BIAS)
-    bil = scored_pairs(spark, sf, head="bilinear", dims=8, matrix=BILINEAR)
+    dot = scored_pairs(spark, sf, head="dot", weights=DOT_WEIGHTS, bias=DOT_BIAS)
+    bil = scored_pairs(spark, sf, head="bilinear", matrix=BILINEAR)
     parts = [cos]
     for name, d in (("dot", dot), ("bilinear", bil)):
         parts.append(d.select("sample_id", "label_id", "label", "truth",

@@ -12,10 +12,11 @@ from ..operators.pooling import pool_tokens, separator_vectors
 from .registry import register, with_ctes
 from .tables import embedding_vectors, flagship_pred, scored_pairs
 
-# Parameters of the test heads (8 dimensions).
-DOT_WEIGHTS = [0.5, 1.0, 1.5, 2.0, -0.5, -1.0, 0.25, 0.75]
+DIM = 64  # width of the embedding vectors in the given tables
+# Test-head parameters built from a rule (all 64 dimensions are used).
+DOT_WEIGHTS = [((i % 8) - 3.5) / 4.0 for i in range(DIM)]
 DOT_BIAS = 0.1
-BILINEAR = [[((i * 8 + j) % 5 - 2) / 10.0 for j in range(8)] for i in range(8)]
+BILINEAR = [[((i * DIM + j) % 5 - 2) / 10.0 for j in range(DIM)] for i in range(DIM)]
 
 # ---------------------------------------------------------------- oracle SQL
 SQL_EMB = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
@@ -31,14 +32,16 @@ SQL_PRED_ROWS = """pred AS (SELECT sample_id, CAST(cand + 1 AS INTEGER) AS label
                      round(1.0 / (1.0 + exp(-logit)), 6) AS score, logit FROM sp)"""
 PRED_CTES = (SQL_EMB, SQL_CENT, SQL_PAIRS, SQL_PRED_ROWS)
 
-_W = "[" + ", ".join(repr(w) for w in DOT_WEIGHTS) + "]"
 SQL_DOT_PAIRS = f"""dp AS (SELECT e.vec_id AS sample_id, e.label AS true_label, cent.cand,
-   list_sum(list_transform(range(1, 9), lambda i: {_W}[i] * e.v[i] * cent.cv[i])) + {DOT_BIAS}
+   list_sum(list_transform(range(1, {DIM + 1}),
+     lambda i: e.v[i] * cent.cv[i] * ((((i - 1) % 8) - 3.5) / 4.0))) + {DOT_BIAS}
      AS logit FROM e CROSS JOIN cent)"""
-SQL_BIL_PAIRS = """bp AS (SELECT e.vec_id AS sample_id, e.label AS true_label, cent.cand,
-   list_sum(list_transform(range(1, 9), lambda i: e.v[i] * list_sum(list_transform(range(1, 9),
-     lambda j: ((((i - 1) * 8 + (j - 1)) % 5) - 2) / 10.0 * cent.cv[j])))) AS logit
-   FROM e CROSS JOIN cent)"""
+SQL_BIL_PAIRS = f"""cproj AS (SELECT cand, list_transform(range(1, {DIM + 1}), lambda i: list_sum(
+     list_transform(range(1, {DIM + 1}),
+       lambda j: ((((i - 1) * {DIM} + (j - 1)) % 5) - 2) / 10.0 * cv[j]))) AS pv FROM cent),
+bp AS (SELECT e.vec_id AS sample_id, e.label AS true_label, cproj.cand,
+   list_sum(list_transform(range(1, {DIM + 1}), lambda i: e.v[i] * cproj.pv[i])) AS logit
+   FROM e CROSS JOIN cproj)"""
 
 
 # ---------------------------------------------------------------- queries
@@ -118,8 +121,8 @@ def classify_with_threshold_q(spark, sf):
 @register("sim_dot", with_ctes(SQL_EMB, SQL_CENT, SQL_DOT_PAIRS, select="""
 SELECT sample_id, CAST(cand + 1 AS INTEGER) AS label_id, logit AS score FROM dp"""))
 def sim_dot(spark, sf):
-    """F-10: weighted dot head on the first 8 dimensions."""
-    s = scored_pairs(spark, sf, head="dot", activation="none", dims=8,
+    """F-10: weighted dot head w . (t * l) + b."""
+    s = scored_pairs(spark, sf, head="dot", activation="none",
                      weights=DOT_WEIGHTS, bias=DOT_BIAS)
     return s.select("sample_id", "label_id", "score")
 
@@ -127,25 +130,24 @@ def sim_dot(spark, sf):
 @register("sim_bilinear", with_ctes(SQL_EMB, SQL_CENT, SQL_BIL_PAIRS, select="""
 SELECT sample_id, CAST(cand + 1 AS INTEGER) AS label_id, logit AS score FROM bp"""))
 def sim_bilinear(spark, sf):
-    """F-11: bilinear head t^T W l on the first 8 dimensions."""
-    s = scored_pairs(spark, sf, head="bilinear", activation="none", dims=8, matrix=BILINEAR)
+    """F-11: bilinear head t^T W l (label side projected by W once)."""
+    s = scored_pairs(spark, sf, head="bilinear", activation="none", matrix=BILINEAR)
     return s.select("sample_id", "label_id", "score")
 
 
 @register("l2_normalize", with_ctes(SQL_EMB, select="""
-SELECT vec_id, d, x / greatest(sqrt(list_sum(list_transform(list_slice(v, 1, 8),
-       lambda y: y * y))), 1e-12) AS x
-FROM (SELECT vec_id, v, unnest(range(1, 9)) AS d, unnest(list_slice(v, 1, 8)) AS x FROM e)"""))
+SELECT vec_id, d, x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12) AS x
+FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS d, unnest(v) AS x FROM e)"""))
 def l2_normalize_q(spark, sf):
-    """F-12: unit vectors (first 8 dimensions), one row per element."""
+    """F-12: unit vectors, one row per element."""
     e = embedding_vectors(spark, sf)
-    u = e.select("vec_id", l2_normalize(F.slice("v", 1, 8)).alias("u"))
+    u = e.select("vec_id", l2_normalize("v").alias("u"))
     return u.select("vec_id", F.posexplode("u").alias("d", "x")).select(
         "vec_id", (F.col("d") + 1).cast("long").alias("d"), "x")
 
 
 SQL_TOKENS = """tok AS (SELECT vec_id // 10 AS sample_id, CAST(vec_id % 10 AS INTEGER) AS pos,
-                CAST((vec_id % 10) % 4 AS INTEGER) AS lmask, list_slice(v, 1, 8) AS vec FROM e)"""
+                CAST((vec_id % 10) % 4 AS INTEGER) AS lmask, v AS vec FROM e)"""
 
 
 def _tokens(spark, sf):
@@ -153,12 +155,13 @@ def _tokens(spark, sf):
     pos = F.pmod(F.col("vec_id"), F.lit(10)).cast("int")
     return e.select((F.col("vec_id") / 10).cast("long").alias("sample_id"), pos.alias("pos"),
                     F.pmod(pos, F.lit(4)).cast("int").alias("lmask"),
-                    F.slice("v", 1, 8).alias("vec"))
+                    F.col("v").alias("vec"))
 
 
 @register("pool_mean", with_ctes(SQL_EMB, SQL_TOKENS, select="""
 SELECT sample_id, lmask AS label_id, d, avg(x) AS x FROM (
-  SELECT sample_id, lmask, unnest(range(1, 9)) AS d, unnest(vec) AS x FROM tok WHERE lmask > 0)
+  SELECT sample_id, lmask, unnest(range(1, len(vec) + 1)) AS d, unnest(vec) AS x FROM tok
+  WHERE lmask > 0)
 GROUP BY sample_id, lmask, d"""))
 def pool_mean(spark, sf):
     """E-25: mean of token vectors per (sample, label id)."""
@@ -168,7 +171,7 @@ def pool_mean(spark, sf):
 
 
 @register("pool_sep_token", with_ctes(SQL_EMB, SQL_TOKENS, select="""
-SELECT sample_id, label_id, unnest(range(1, 9)) AS d, unnest(vec) AS x FROM (
+SELECT sample_id, label_id, unnest(range(1, len(vec) + 1)) AS d, unnest(vec) AS x FROM (
   SELECT sample_id, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY pos) AS INTEGER)
          AS label_id, vec FROM tok WHERE pos % 3 = 2)"""))
 def pool_sep_token(spark, sf):

@@ -115,7 +115,7 @@ _SUPCON = """sup AS (SELECT coalesce(avg(-(sp - np * (m + ln(se))) / np) FILTER
          sum(CASE WHEN truth = 1 THEN logit END) AS sp, count(*) FILTER (WHERE truth = 1) AS np
   FROM (SELECT *, max(logit) OVER (PARTITION BY sample_id) AS m FROM pred) GROUP BY sample_id))"""
 _LV = """lv AS (SELECT vec_id // 10 AS sample_id, CAST(vec_id % 10 + 1 AS INTEGER) AS label_id,
-                list_slice(v, 1, 8) AS vec FROM e),
+                v AS vec FROM e),
 rep AS (SELECT coalesce(avg(greatest(list_cosine_similarity(a.vec, b.vec) - 0.3, 0.0)), 0.0)
                AS repulsion_loss
         FROM lv a JOIN lv b ON a.sample_id = b.sample_id AND a.label_id <> b.label_id)"""
@@ -137,7 +137,7 @@ def _label_vectors(spark, sf):
     e = embedding_vectors(spark, sf)
     return e.select((F.col("vec_id") / 10).cast("long").alias("sample_id"),
                     (F.pmod("vec_id", F.lit(10)) + 1).cast("int").alias("label_id"),
-                    F.slice("v", 1, 8).alias("vec"))
+                    F.col("v").alias("vec"))
 
 
 @register("repulsion_loss", with_ctes(SQL_EMB, _LV, select="SELECT repulsion_loss FROM rep"))
