@@ -173,7 +173,7 @@ def hierarchy_scan(spark, sf):
     as a (group, fine) dimension."""
     nation = read(spark, sf, "nation")
     region = read(spark, sf, "region")
-    h = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
+    h = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         F.lower(F.replace("r_name", F.lit(" "), F.lit("_"))).alias("g"), "n_name")
     obj = h.groupBy("g").agg(F.sort_array(F.collect_list("n_name")).alias("f")).agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct("g", "f")))).alias("value"))

@@ -242,11 +242,11 @@ def norm_hierarchy(spark, sf):
     """C-21: nation -> region roll-up (group + '_intent'), one-hot over regions."""
     nation = read(spark, sf, "nation")
     region = read(spark, sf, "region")
-    hier = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
+    hier = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         F.lower(F.replace("r_name", F.lit(" "), F.lit("_"))).alias("group"),
         F.col("n_name").alias("fine"))
     cust = read(spark, sf, "customer").join(
-        F.broadcast(nation.select("n_nationkey", "n_name")),
+        nation.select("n_nationkey", "n_name"),
         F.col("c_nationkey") == F.col("n_nationkey"))
     return N.hierarchy_rollup(cust, "c_custkey", "c_name", "n_name", hier, grouped=True)
 

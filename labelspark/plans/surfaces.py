@@ -77,10 +77,10 @@ def norm_hierarchy_fine(spark, sf):
     """C-21 with grouped=False: the fine labels of the hierarchy are the classes."""
     nation = read(spark, sf, "nation")
     region = read(spark, sf, "region")
-    hier = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
+    hier = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         F.col("r_name").alias("group"), F.col("n_name").alias("fine"))
     cust = read(spark, sf, "customer").join(
-        F.broadcast(nation.select("n_nationkey", "n_name")),
+        nation.select("n_nationkey", "n_name"),
         F.col("c_nationkey") == F.col("n_nationkey"))
     return N.hierarchy_rollup(cust, "c_custkey", "c_name", "n_name", hier, grouped=False)
 
