@@ -59,13 +59,19 @@ def conformance_flags(labels="labels", not_labels="not_labels", lo: int = 5,
                     (ok(labels) & ok(not_labels)).alias("conforms"))
 
 
-def generate(df: DataFrame, generator: Generator, prompt_col: str = "prompt",
-             out: str = "raw", retries: int = 3) -> DataFrame:
+def generate(df: DataFrame, generator: Generator | None = None, prompt_col: str = "prompt",
+             out: str = "raw", retries: int = 3,
+             factory: Callable[[], Generator] | None = None) -> DataFrame:
     """L-6: apply the user's generator to Arrow batches of prompts; each row is
-    retried up to ``retries`` times when the call raises or returns None."""
+    retried up to ``retries`` times when the call raises or returns None.
+    Pass ``factory`` instead of ``generator`` to build the generator (load a
+    model, open a client) once per task."""
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType())])
+    if (generator is None) == (factory is None):
+        raise ValueError("pass exactly one of generator / factory")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gen = generator if generator is not None else factory()
         for b in batches:
             res = pd.Series([None] * len(b), index=b.index, dtype=object)
             todo = b.index
@@ -73,7 +79,7 @@ def generate(df: DataFrame, generator: Generator, prompt_col: str = "prompt",
                 if len(todo) == 0:
                     break
                 try:
-                    got = generator(b.loc[todo, prompt_col])
+                    got = gen(b.loc[todo, prompt_col])
                     got = pd.Series(got, index=todo)
                 except Exception:  # noqa: BLE001  (user code: retry)
                     got = pd.Series([None] * len(todo), index=todo, dtype=object)

@@ -121,10 +121,6 @@ def attach_scores(truth: DataFrame, scores: DataFrame, keys: Sequence[str] = ("s
             .withColumn(score, F.coalesce(F.col(score).cast("double"), F.lit(0.0))))
 
 
-def _pred_struct(label: str, score: str) -> Column:
-    return F.struct(F.col(label).alias("label"), F.col(score).alias("score"))
-
-
 def predictions(pred: DataFrame, threshold: float | None = None, sample: str = "sample_id",
                 label: str = "label", label_id: str = "label_id",
                 score: str = "score") -> DataFrame:
@@ -216,3 +212,24 @@ def regroup_scores(pred: DataFrame, sample: str = "sample_id", label_id: str = "
     g = pred.groupBy(sample).agg(F.array_sort(F.collect_list(
         F.struct(F.col(label_id).alias("i"), F.col(score).alias("s")))).alias("_a"))
     return g.select(sample, F.transform("_a", lambda x: x["s"]).alias(out))
+
+
+def score_with_model(pairs: DataFrame, model_factory, text: str = "text",
+                     label: str = "label", out: str = "score") -> DataFrame:
+    """L-6: score (text, label) pairs with a user model through Arrow batches.
+
+    ``model_factory()`` is called once per task (load weights there); the
+    returned callable maps two pandas Series (texts, labels) to a Series of
+    floats.  Everything else in ``pairs`` passes through unchanged."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    schema = T.StructType(list(pairs.schema.fields) + [T.StructField(out, T.DoubleType())])
+
+    def run(batches):
+        model = model_factory()
+        for b in batches:
+            got = model(b[text], b[label])
+            yield b.assign(**{out: pd.Series(got, index=b.index, dtype="float64")})
+
+    return pairs.mapInPandas(run, schema)

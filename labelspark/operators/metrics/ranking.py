@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..prefix import running_sums, top_k_per_group
-from .classification import safe_div
 
 DEFAULT_KS = (1, 3, 5, 10)
 
@@ -224,7 +223,3 @@ def label_ranking_ap(pred: DataFrame, keys: Sequence[str] = (), sample: str = "s
     return per.groupBy(*keys).agg(
         F.avg(F.when(trivial, F.lit(1.0)).otherwise(F.col("_s") / F.col("_np")))
         .alias("label_ranking_avg_precision"))
-
-
-def safe_ratio(n, d) -> Column:  # re-exported for callers of this module
-    return safe_div(n, d)

@@ -18,6 +18,7 @@ ROUND_COLUMNS: dict[str, tuple[list[str], list[str]]] = {
     'diag_stats': (['threshold', 'avg_probability'], []),
     'eval_grid': (['avg_probability', 'accuracy', 'precision', 'recall', 'f1'], []),
     'evaluate_dataset': (['accuracy', 'precision', 'recall', 'f1', 'roc_auc', 'avg_precision', 'hr_at_1', 'hr_at_3', 'mrr_at_3', 'ndcg_at_3'], []),
+    'external_scorer': (['score'], []),
     'hamming_loss': (['hamming_loss'], []),
     'hamming_score': (['hamming_score', 'subset_accuracy'], []),
     'hr_at_k': (['hr_at_3'], []),

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.activation import softmax_over
 from ..functions.vector import l2_normalize
 from ..operators import classify
 from ..operators.pooling import pool_tokens, separator_vectors
@@ -180,6 +179,3 @@ def pool_sep_token(spark, sf):
     s = separator_vectors(t)
     return s.select("sample_id", "label_id", F.posexplode("vec").alias("d", "x")).select(
         "sample_id", "label_id", (F.col("d") + 1).cast("long").alias("d"), "x")
-
-
-_ = softmax_over

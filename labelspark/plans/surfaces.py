@@ -13,7 +13,7 @@ from ..operators import normalize as N
 from ..operators.classify import regroup_scores, score_own_labels
 from ..operators.metrics.threshold import threshold_grid
 from ..sources.readers import Registry, load_validated
-from .normalizers import _part, _val_src, norm_mcq_index
+from .normalizers import _val_src, norm_mcq_index
 from .registry import register, with_ctes
 from .scoring import PRED_CTES, SQL_EMB
 from .tables import embedding_vectors, flagship_pred, read
@@ -159,4 +159,26 @@ def metric_bundle_auto(spark, sf):
                     "support", "threshold", "num_positive", "avg_probability")
 
 
-_ = (_part,)
+def _length_ratio_model():
+    """Stand-in for a user model (e.g. a cross-encoder): score =
+    len(label) / (len(label) + len(text)).  Built once per task."""
+    def model(texts, labels):
+        lt, ll = texts.str.len(), labels.str.len()
+        return ll / (ll + lt)
+    return model
+
+
+@register("external_scorer", """
+SELECT p_partkey AS sample_id, CAST(unnest(range(1, 3)) AS INTEGER) AS label_id,
+       unnest([length(p_brand) / (length(p_brand) + length(p_name)),
+               length(p_type) / (length(p_type) + length(p_name))]) AS score
+FROM part""")
+def external_scorer(spark, sf):
+    """L-6: pair scores from a user model through Arrow batches (mapInPandas)."""
+    from ..operators.classify import own_label_pairs, score_with_model
+    p = read(spark, sf, "part").select(
+        F.col("p_partkey").alias("sample_id"), F.col("p_name").alias("text"),
+        F.array("p_brand", "p_type").alias("ltext"),
+        F.array(F.lit(1), F.lit(0)).alias("lint"))
+    pairs = own_label_pairs(p).join(p.select("sample_id", "text"), on="sample_id")
+    return score_with_model(pairs, _length_ratio_model).select("sample_id", "label_id", "score")

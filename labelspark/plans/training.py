@@ -9,7 +9,6 @@ from ..functions.activation import nli_pair_score, softmax_over
 from ..functions.text import PY_WHITESPACE_CLASS
 from ..operators import losses as L
 from ..operators import pack as PK
-from ..operators.classify import own_label_pairs
 from . import sqlfn as S
 from .registry import register, with_ctes
 from .scoring import PRED_CTES, SQL_EMB
@@ -186,6 +185,3 @@ def nli_sigmoid(spark, sf):
     """F-20 sigmoid mode: per-pair softmax across classes at the entailment column."""
     p = _nli_pairs(spark, sf)
     return p.select("sample_id", "label_id", nli_pair_score("logits", "sigmoid", ENTAIL).alias("score"))
-
-
-_ = own_label_pairs

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.normalize import build_labels, choose_text_column, drop_empty, shuffle_labels
-from ..operators.sampling import KEY, hash_order_key
 
 SAMPLE_SCHEMA = T.StructType([
     T.StructField("sample_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -119,6 +118,3 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return ex.filter(F.col("_z.t").isNotNull()).select(
         "sample_id", (F.col("_p") + 1).cast("int").alias("label_id"),
         F.col("_z.t").alias("truth"), F.coalesce(F.col("_z.s"), F.lit(0.0)).alias("score"))
-
-
-_ = (KEY, hash_order_key)

@@ -56,3 +56,28 @@ def test_rounding_table_matches_spark_schemas(spark, sf001):
         arr = [f.name for f in sch.fields if isinstance(f.dataType, T.ArrayType)
                and isinstance(f.dataType.elementType, T.DoubleType)]
         assert ROUND_COLUMNS.get(name, ([], [])) == (dbl, arr), name
+
+
+def test_stream_scoring_against_static_labels(spark, sf001):
+    """J-1 with a static label table runs unchanged on a stream."""
+    from pyspark.sql import functions as F
+
+    from labelspark.operators.classify import score_pairs
+    from labelspark.plans.tables import label_centroids
+    emb = spark.read.parquet(f"{sf001}/embeddings.parquet")
+    src = scratch_path(spark, f"stream-emb-{uuid.uuid4().hex}")
+    sink = scratch_path(spark, f"stream-pred-{uuid.uuid4().hex}")
+    emb.write.parquet(src)
+    labels = label_centroids(spark, sf001)
+
+    def transform(df):
+        t = df.select(F.col("vec_id").alias("sample_id"),
+                      F.col("embedding").cast("array<double>").alias("text_vec"))
+        return score_pairs(t, labels).select("sample_id", "cand", "score")
+
+    q = run_stateless(spark, file_stream(spark, src, emb.schema), transform, sink,
+                      f"score-{uuid.uuid4().hex}")
+    q.awaitTermination(180)
+    got = sorted((r.sample_id, r.cand, round(r.score, 9)) for r in spark.read.parquet(sink).collect())
+    want = sorted((r.sample_id, r.cand, round(r.score, 9)) for r in transform(emb).collect())
+    assert got == want and len(got) == emb.count() * labels.count()
