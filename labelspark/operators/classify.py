@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.activation import sigmoid, softmax_over
-from ..functions.vector import bilinear, dot, l2_normalize, logit_scale, project, weighted_dot
+from ..functions.vector import dot, l2_normalize, logit_scale
 from .prefix import global_row_number, materialize, top_k_per_group
 
 MAX_BROADCAST_LABELS = 200_000
@@ -50,27 +50,48 @@ def score_expr(text_vec: str, label_vec: str, head: str = "cosine", scale: float
                weights: Sequence[float] | None = None,
                matrix: Sequence[Sequence[float]] | None = None, bias: float = 0.0,
                normalized: bool = True) -> Column:
-    """Similarity head: 'cosine' (F-9, vectors pre-normalised), 'dot' (F-10,
-    weighted) or 'bilinear' (F-11, label side pre-projected by W)."""
+    """Similarity head on prepared sides (see :func:`prepare_label_side`):
+    'cosine' (F-9, both sides unit vectors), 'dot' (F-10, label side already
+    multiplied by w) or 'bilinear' (F-11, label side already projected by W).
+    Every head is one dot product per pair."""
     if head == "cosine":
         a = F.col(text_vec) if normalized else l2_normalize(text_vec)
         b = F.col(label_vec) if normalized else l2_normalize(label_vec)
         return dot(a, b) * F.lit(logit_scale(scale))
-    if head == "dot":
-        return weighted_dot(text_vec, label_vec, weights, bias)
-    if head == "bilinear":
-        return bilinear(text_vec, label_vec, matrix, bias, b_projected=True)
+    if head in ("dot", "bilinear"):
+        return dot(text_vec, label_vec) + F.lit(float(bias))
     raise ValueError(f"unknown head {head!r}")
 
 
+def _params(spark, **arrays) -> DataFrame:
+    """Head parameters as a one-row DataFrame (bounded: one row), so large
+    weight vectors / matrices never become giant literal expressions."""
+    from pyspark.sql import types as T
+    fields, row = [], []
+    for name, val in arrays.items():
+        depth = 2 if val and isinstance(val[0], (list, tuple)) else 1
+        dt = T.ArrayType(T.ArrayType(T.DoubleType())) if depth == 2 else T.ArrayType(T.DoubleType())
+        fields.append(T.StructField(name, dt))
+        row.append([[float(x) for x in r] for r in val] if depth == 2 else [float(x) for x in val])
+    return spark.createDataFrame([tuple(row)], T.StructType(fields))
+
+
 def prepare_label_side(labels: DataFrame, vec: str, head: str = "cosine",
-                       matrix: Sequence[Sequence[float]] | None = None) -> DataFrame:
-    """Per-label work done once: normalise (cosine) or project by W (bilinear)."""
+                       matrix: Sequence[Sequence[float]] | None = None,
+                       weights: Sequence[float] | None = None) -> DataFrame:
+    """Per-label work done once: normalise (cosine), multiply by the weights
+    (dot: w . (t * l) = t . (w * l)) or project by W (bilinear: W l)."""
     v = F.col(vec).cast("array<double>")
     if head == "cosine":
         return labels.withColumn(vec, l2_normalize(v))
+    if head == "dot":
+        p = _params(labels.sparkSession, _w=weights)
+        j = labels.crossJoin(F.broadcast(p))
+        return j.withColumn(vec, F.zip_with(v, F.col("_w"), lambda a, b: a * b)).drop("_w")
     if head == "bilinear":
-        return labels.withColumn(vec, project(v, matrix))
+        p = _params(labels.sparkSession, _W=matrix)
+        j = labels.crossJoin(F.broadcast(p))
+        return j.withColumn(vec, F.transform(F.col("_W"), lambda row: dot(row, v))).drop("_W")
     return labels.withColumn(vec, v)
 
 
@@ -89,7 +110,7 @@ def score_pairs(texts: DataFrame, labels: DataFrame, text_vec: str = "text_vec",
     'softmax' normalises across each sample's labels, 'sigmoid' is per pair,
     'none' keeps the logit."""
     t = prepare_text_side(texts, text_vec, head)
-    lab = prepare_label_side(labels, label_vec, head, matrix)
+    lab = prepare_label_side(labels, label_vec, head, matrix, weights)
     pairs = pair_product(t, lab, max_broadcast_labels=max_broadcast_labels)
     pairs = pairs.withColumn("logit", score_expr(text_vec, label_vec, head, scale, weights,
                                                  matrix, bias, normalized=True))
