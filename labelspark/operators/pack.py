@@ -92,6 +92,22 @@ def pad(df: DataFrame, length: int, tokens: str = "input_tokens", mask: str = "l
               .withColumn(attention, padded(attention, F.lit(0))))
 
 
+def pad_to_max(df: DataFrame, cap: int, tokens: str = "input_tokens", mask: str = "lmask",
+               attention: str = "attention_mask") -> DataFrame:
+    """J-9 dynamic padding: pad every row to the longest packed row of the
+    data set, capped at ``cap``.  The longest length is a one-row aggregate
+    (partial max per task) joined back, never a driver round trip."""
+    m = df.agg(F.least(F.max(F.size(tokens)), F.lit(cap)).alias("_len"))
+    j = df.crossJoin(F.broadcast(m))
+
+    def padded(c, value):
+        n = F.greatest(F.col("_len") - F.size(c), F.lit(0))
+        return F.slice(F.concat(F.col(c), F.array_repeat(value, n)), 1, F.col("_len"))
+    return (j.withColumn(tokens, padded(tokens, F.lit(PAD)))
+             .withColumn(mask, padded(mask, F.lit(0)))
+             .withColumn(attention, padded(attention, F.lit(0))).drop("_len"))
+
+
 def pack_training(samples: DataFrame, max_length: int, max_labels: int,
                   shuffle: bool = False, remove_underscores: float = 0.9,
                   seed: int = 42) -> DataFrame:

@@ -81,6 +81,23 @@ def pack_padded(spark, sf):
     return p.select("sample_id", "input_tokens", "lmask", "attention_mask")
 
 
+@register("pack_padded_max", with_ctes(_pack_sql(_SRC1, 64)[0], """ml AS (
+  SELECT least(max(len(input_tokens)), 48) AS m FROM pk)""", select="""
+SELECT sample_id,
+       list_slice(list_concat(input_tokens, list_transform(range(greatest(m - len(input_tokens), 0)),
+                  lambda i: '[PAD]')), 1, m) AS input_tokens,
+       list_slice(list_concat(lmask, list_transform(range(greatest(m - len(lmask), 0)), lambda i: 0)),
+                  1, m) AS lmask,
+       list_slice(list_concat(list_transform(input_tokens, lambda t: 1),
+                  list_transform(range(greatest(m - len(input_tokens), 0)), lambda i: 0)), 1, m)
+         AS attention_mask
+FROM pk, ml"""))
+def pack_padded_max(spark, sf):
+    """J-9: pad to the longest packed row of the corpus, capped at 48."""
+    p = PK.pad_to_max(PK.pack(_pack_src(spark, sf, LONG_LABEL, [1, 0, 0]), 64), 48)
+    return p.select("sample_id", "input_tokens", "lmask", "attention_mask")
+
+
 _SRC2 = f"""src0 AS (SELECT doc_id AS sample_id, text, [lang, source, '{UNDERSCORE_LABEL}'] AS l,
                  [1, 0, 1] AS t FROM documents),
 ex0 AS (SELECT sample_id, text, unnest(l) AS l, unnest(t) AS t, unnest(range(0, 3)) AS i FROM src0),

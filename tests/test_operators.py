@@ -212,3 +212,27 @@ def test_top_predictions_all_ranked(spark):
                               "sample_id long, label_id int, label string, score double")
     got = sorted((r.sample_id, r.label, r.rank) for r in top_predictions(d).collect())
     assert got == [(1, "a", 3), (1, "b", 1), (1, "c", 2), (2, "a", 1)]
+
+
+def test_write_results_roundtrip(spark):
+    import uuid
+
+    from labelspark.session import scratch_path
+    from labelspark.sources.readers import read_results
+    from labelspark.sources.sinks import write_detail_json, write_results
+    from helpers import pred_df
+    p = pred_df(spark, [[1, 0, 0], [0, 1, 0]], [[.9, .2, .1], [.3, .6, .4]])
+    path = scratch_path(spark, f"results-{uuid.uuid4().hex}")
+    from labelspark.operators import metrics as M
+    write_results(M.basic_metrics(p), p, path)
+    write_detail_json(p, f"{path}/nested")
+    assert spark.read.json(f"{path}/metrics").count() == 1
+    assert spark.read.parquet(f"{path}/detail").count() == 6
+    back = sorted(tuple(r) for r in read_results(spark, f"{path}/nested").collect())
+    assert back == sorted(tuple(r) for r in p.select("sample_id", "label_id", "truth", "score").collect())
+
+
+def test_pad_to_max(spark):
+    r = {x.sample_id: x for x in PK.pad_to_max(PK.pack(tiny(spark), 32), 32).collect()}
+    assert len(r[0].input_tokens) == len(r[1].input_tokens) == 7
+    assert r[0].attention_mask == [1, 1, 1, 1, 1, 0, 0]
