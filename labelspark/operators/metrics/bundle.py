@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.activation import sigmoid
-from .classification import (metrics_from_counts, problem_type, sample_argmax,
-                             sample_set_metrics, safe_div)
+from .classification import metrics_from_counts, safe_div, sample_summary
 from .curve import collapse_scores, counts_from_collapsed, curve_from_collapsed, macro_curve
-from .ranking import coverage_error, label_ranking_ap
+from .ranking import ranking_summary
 
 BINARY = ("accuracy", "precision", "recall", "f1", "jaccard", "hamming_loss",
           "matthews_corrcoef")
@@ -49,15 +48,10 @@ def metric_bundle(pred: DataFrame, threshold: float = 0.5, keys: Sequence[str] =
         return out
     if mode != "auto":
         raise ValueError(f"unknown mode {mode!r}")
-    kind = problem_type(pred, keys, sample, truth).select(*keys, "problem_type")
-    sets = sample_set_metrics(pred, threshold, keys, sample, score, truth)
-    am = sample_argmax(pred, keys, sample, label, score, truth).groupBy(*keys).agg(
-        F.avg((F.col("true_class") == F.col("pred_class")).cast("double"))
-        .alias("match_accuracy"))
-    ml = _join(_join(_join(coverage_error(pred, keys, sample, score, truth),
-                           label_ranking_ap(pred, keys, sample, score, truth), keys),
-                     macro_curve(pred, keys, label, score, truth), keys), sets, keys)
-    out = _join(_join(_join(out, kind, keys), am, keys), ml, keys)
+    summ = sample_summary(pred, threshold, keys, sample, label, score, truth)
+    ranks = ranking_summary(pred, keys, sample, score, truth)
+    out = _join(_join(_join(out, summ, keys), ranks, keys),
+                macro_curve(pred, keys, label, score, truth), keys)
     multi = F.col("problem_type") == "multilabel"
     onehot = F.col("problem_type") == "multiclass"
     binary = F.col("problem_type") == "binary"

@@ -213,3 +213,29 @@ def problem_type(pred: DataFrame, keys: Sequence[str] = (), sample: str = "sampl
         onehot.alias("is_onehot"),
         F.when(onehot, F.lit("multiclass")).when(multi, F.lit("multilabel"))
         .otherwise(F.lit("binary")).alias("problem_type"))
+
+
+def sample_summary(pred: DataFrame, threshold: float = 0.5, keys: Sequence[str] = (),
+                   sample: str = "sample_id", label: str = "label_id", score: str = "score",
+                   truth: str = "truth") -> DataFrame:
+    """E-4 (samples), E-7, E-13 and E-15 from ONE per-sample aggregation:
+    problem type, hamming score, samples Jaccard, subset accuracy and match
+    accuracy per key."""
+    p = _is_pos(score, threshold)
+    y = F.col(truth) == 1
+    per = pred.groupBy(*keys, sample).agg(
+        F.count(F.lit(1)).alias("n_labels"), F.sum(F.col(truth).cast("long")).alias("row_truth"),
+        F.count_if(p & y).alias("inter"), F.count_if(p | y).alias("uni"),
+        F.count_if(p != y).alias("wrong"),
+        argmax_label(label, truth).alias("true_class"), argmax_label(label, score).alias("pred_class"))
+    ratio = safe_div("inter", "uni")
+    agg = per.groupBy(*keys).agg(
+        F.max("n_labels").alias("max_labels"), F.max("row_truth").alias("max_row_truth"),
+        F.avg(F.when(F.col("uni") == 0, F.lit(1.0)).otherwise(ratio)).alias("hamming_score"),
+        F.avg(ratio).alias("jaccard_samples"),
+        F.avg((F.col("wrong") == 0).cast("double")).alias("subset_accuracy"),
+        F.avg((F.col("true_class") == F.col("pred_class")).cast("double")).alias("match_accuracy"))
+    multi = F.col("max_labels") > 1
+    onehot = multi & (F.col("max_row_truth") == 1)
+    return agg.withColumn("problem_type", F.when(onehot, F.lit("multiclass"))
+                          .when(multi, F.lit("multilabel")).otherwise(F.lit("binary")))

@@ -198,6 +198,22 @@ def rank_curve(pred: DataFrame, keys: Sequence[str] = (), sample: str = "sample_
                         inclusive=True, materialized=True)
 
 
+def ranking_summary(pred: DataFrame, keys: Sequence[str] = (), sample: str = "sample_id",
+                    score: str = "score", truth: str = "truth") -> DataFrame:
+    """E-11 and E-12 from one rank curve: coverage error and LRAP per key."""
+    keys = list(keys)
+    rc = rank_curve(pred, keys, sample, score, truth)
+    per = rc.groupBy(*keys, sample).agg(
+        F.coalesce(F.max(F.when(F.col("pos") > 0, F.col("n_above"))), F.lit(0)).alias("_cov"),
+        F.sum(F.col("pos") * F.col("p_above") / F.col("n_above")).alias("_s"),
+        F.sum("pos").alias("_np"), F.sum("n").alias("_n"))
+    trivial = (F.col("_np") == 0) | (F.col("_np") == F.col("_n"))
+    return per.groupBy(*keys).agg(
+        F.avg(F.col("_cov").cast("double")).alias("coverage_error"),
+        F.avg(F.when(trivial, F.lit(1.0)).otherwise(F.col("_s") / F.col("_np")))
+        .alias("label_ranking_avg_precision"))
+
+
 def coverage_error(pred: DataFrame, keys: Sequence[str] = (), sample: str = "sample_id",
                    score: str = "score", truth: str = "truth") -> DataFrame:
     """E-11: per sample #{labels with score >= lowest true score}; 0 when the
