@@ -34,9 +34,9 @@ def pair_product(texts: DataFrame, labels: DataFrame, blocks: int | None = None,
                  max_broadcast_labels: int = MAX_BROADCAST_LABELS) -> DataFrame:
     """D-1: every text against every shared candidate label.
 
-    The label side is computed once and checkpointed (it is usually an
+    The label side is computed once and written to the shared folder (it is usually an
     aggregate such as per-class centroids, a full pass over its input); its
-    row count is then checked from the checkpoint before it is broadcast."""
+    row count is then checked from that table before it is broadcast."""
     labels = materialize(labels)
     if label_side_is_small(labels, max_broadcast_labels):
         return texts.crossJoin(F.broadcast(labels))

@@ -22,7 +22,7 @@ def collapse_scores(pred: DataFrame, keys: Sequence[str] = (), score: str = "sco
     """One row per distinct ``(keys, score)`` with the positive / negative
     counts (partial aggregation).  Everything score-based (confusion counts,
     diagnostics, curves, threshold search) can be derived from this table, so
-    an evaluation reads ``pred`` once; it is checkpointed so later passes do
+    an evaluation reads ``pred`` once; it is written to the shared folder so later passes do
     not recompute ``pred``."""
     y = (F.col(truth) == 1).cast("long")
     c = pred.groupBy(*keys, score).agg(F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"))

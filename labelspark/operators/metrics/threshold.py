@@ -1,7 +1,7 @@
 """Threshold search (E-22, E-23, F-18).
 
 One pass over ``pred`` regardless of the grid size: it is collapsed to one
-row per distinct score (checkpointed); the score range and a histogram of
+row per distinct score (written once to the shared folder); the score range and a histogram of
 bins (#grid thresholds strictly below each score) come from that table, and
 everything after works on at most ``n + 1`` bins per key.
 """

@@ -58,12 +58,17 @@ def bucket_of(col: str | Column, bounds: Sequence) -> Column:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared
-    ``spark.checkpoint.dir`` (never a local checkpoint): the data is computed
-    once and survives executor loss."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing a parquet table into the shared
+    ``spark.checkpoint.dir`` folder and reading it back (never a local
+    checkpoint).  The data is computed once and survives executor loss, and
+    unlike an RDD checkpoint the re-read keeps file statistics (AQE can size
+    joins) and column pruning."""
+    import uuid
+
+    from ..session import scratch_path
+    path = scratch_path(df.sparkSession, f"tables/{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 CASE_TREE_MAX = 255
@@ -94,7 +99,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str,
     inside each key group (ties in the whole ordering make ROWS frames
     arbitrary, exactly like a plain window).  Output columns are named after
     the keys of ``values``; ``inclusive=False`` gives the exclusive sum.
-    ``materialized=True`` checkpoints the input first, for inputs that are
+    ``materialized=True`` writes the input to the shared folder first, for inputs that are
     expensive to recompute (the quantile sketch and the sums both read it).
     """
     keys = list(keys)
