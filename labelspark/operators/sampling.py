@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rand import hash_key, hash_uniform
-from .prefix import global_row_number
+from .prefix import global_row_number, materialize
 
 KEY = "_hk"
 
@@ -38,16 +38,18 @@ def sample_exact(df: DataFrame, n: int, id_col: str, seed: int = 42,
     """H-5 / H-6: all rows if there are at most ``n``, else exactly the ``n``
     rows first in the seeded hash order.
 
-    A cheap hash pre-filter keeps ~``oversample * n`` candidates (checked by a
-    count; the full table is used when the filter fell short), then only the
-    candidates are ranked.
+    A cheap hash pre-filter keeps ~``oversample * n`` candidates, written once
+    to the shared folder and counted (the full table is used when the filter
+    fell short); only the candidates are ranked.
     """
     total = df.count()
     if total <= n:
         return df
     frac = min(1.0, oversample * n / total + 64.0 / total)
     k = df.withColumn(KEY, hash_order_key(id_col, seed))
-    cand = k.filter(F.col(KEY) < F.lit(int(frac * (1 << 60))))
+    # the candidates (~oversample * n rows) are written once: counting,
+    # quantiles and ranking then read the small table, not the input again
+    cand = materialize(k.filter(F.col(KEY) < F.lit(int(frac * (1 << 60)))))
     if cand.count() < n:
         cand = k
     ranked = global_row_number(cand, [(KEY, True), (id_col, True)], out="_rn")
