@@ -81,3 +81,20 @@ def test_stream_scoring_against_static_labels(spark, sf001):
     got = sorted((r.sample_id, r.cand, round(r.score, 9)) for r in spark.read.parquet(sink).collect())
     want = sorted((r.sample_id, r.cand, round(r.score, 9)) for r in transform(emb).collect())
     assert got == want and len(got) == emb.count() * labels.count()
+
+
+def test_results_independent_of_shuffle_partitions(spark, sf001):
+    """Ordered / random operators give identical rows with 8 and 300 shuffle
+    partitions (300 also switches the prefix-sum bucketing to Bucketizer)."""
+    from __spark_entry__ import queries
+    q = queries()
+    names = ["roc_auc", "lrap", "contrastive_pairs", "sample_exact", "row_slice"]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        out = {}
+        for parts in ("8", "300"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            out[parts] = {n: sorted(map(repr, q[n](spark, sf001).collect())) for n in names}
+        assert out["8"] == out["300"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
