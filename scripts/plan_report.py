@@ -38,7 +38,7 @@ def main() -> None:
         n_py = sum(1 for ln in lines if re.search(r"MapInPandas|ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas", ln))
         single = []
         for i, ln in enumerate(lines):
-            if "Exchange SinglePartition" in ln:
+            if "Exchange SinglePartition" in ln and "ReusedExchange" not in ln:
                 child = lines[i + 1].strip() if i + 1 < len(lines) else ""
                 single.append(re.sub(r"#\d+L?", "", child)[:110])
         print(f"{name}: exchanges={n_ex} broadcasts={n_bc} windows={n_win} python={n_py} "
