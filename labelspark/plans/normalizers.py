@@ -14,7 +14,6 @@ from . import sqlfn as S
 from .registry import register, with_ctes
 from .tables import read
 
-NL = "chr(10)"
 SEED = 42
 
 
