@@ -182,3 +182,50 @@ def external_scorer(spark, sf):
         F.array(F.lit(1), F.lit(0)).alias("lint"))
     pairs = own_label_pairs(p).join(p.select("sample_id", "text"), on="sample_id")
     return score_with_model(pairs, _length_ratio_model).select("sample_id", "label_id", "score")
+
+
+def _ml_bundle_sql() -> str:
+    from .metrics import CONF, F1, HL, JAC, ML_PRED, PREC, REC, _curve_sql
+    curve, _ = _curve_sql("label_id")
+    return with_ctes(ML_PRED, "pred AS (SELECT * FROM mlpred)", CONF, curve, """ps AS (
+  SELECT sample_id, count(*) FILTER (WHERE score > 0.5 AND truth = 1) AS inter,
+         count(*) FILTER (WHERE score > 0.5 OR truth = 1) AS uni,
+         count(*) FILTER (WHERE (score > 0.5) <> (truth = 1)) AS wrong FROM pred GROUP BY sample_id),
+cov AS (SELECT sample_id, count(*) FILTER (WHERE lo IS NOT NULL AND score >= lo) AS c FROM (
+  SELECT sample_id, score, min(CASE WHEN truth = 1 THEN score END) OVER (PARTITION BY sample_id) AS lo
+  FROM pred) GROUP BY sample_id),
+lr AS (SELECT sample_id, CASE WHEN np = 0 OR np = n THEN 1.0 ELSE ap END AS v FROM (
+  SELECT sample_id, avg(CASE WHEN truth = 1 THEN p_above / CAST(n_above AS DOUBLE) END) AS ap,
+         count(*) FILTER (WHERE truth = 1) AS np, count(*) AS n FROM (
+    SELECT sample_id, truth,
+      count(*) OVER (PARTITION BY sample_id ORDER BY score DESC
+                     RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_above,
+      sum(truth) OVER (PARTITION BY sample_id ORDER BY score DESC
+                       RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p_above FROM pred)
+  GROUP BY sample_id))""", select=f"""
+SELECT 'multilabel' AS problem_type,
+       (SELECT avg(CASE WHEN wrong = 0 THEN 1.0 ELSE 0.0 END) FROM ps) AS accuracy,
+       {PREC} AS precision, {REC} AS recall, {F1} AS f1,
+       CAST(NULL AS DOUBLE) AS jaccard, CAST(NULL AS DOUBLE) AS hamming_loss,
+       CAST(NULL AS DOUBLE) AS matthews_corrcoef, CAST(NULL AS DOUBLE) AS roc_auc,
+       CAST(NULL AS DOUBLE) AS avg_precision, CAST(NULL AS DOUBLE) AS match_accuracy,
+       (SELECT avg(CASE WHEN uni = 0 THEN 1.0 ELSE inter / CAST(uni AS DOUBLE) END) FROM ps)
+         AS hamming_score,
+       (SELECT avg(CASE WHEN uni = 0 THEN 0.0 ELSE inter / CAST(uni AS DOUBLE) END) FROM ps)
+         AS jaccard_samples,
+       (SELECT avg(c) FROM cov) AS coverage_error,
+       (SELECT avg(v) FROM lr) AS label_ranking_avg_precision,
+       (SELECT avg(roc_auc) FROM curve) AS roc_auc_macro,
+       (SELECT avg(avg_precision) FROM curve) AS avg_precision_macro,
+       {JAC} AS jaccard_micro, {HL} AS hamming_loss_multilabel,
+       tp + fp + fn + tn AS support, CAST(0.5 AS DOUBLE) AS threshold,
+       tp + fn AS num_positive, (SELECT avg(score) FROM pred) AS avg_probability
+FROM conf""")
+
+
+@register("metric_bundle_multilabel", _ml_bundle_sql())
+def metric_bundle_multilabel(spark, sf):
+    """E-16 mode='auto' on the multi-hot quality / toxic fixture: the
+    multilabel branch (samples metrics, ranking metrics, macro curves)."""
+    from .tables import multilabel_pred
+    return M.metric_bundle(multilabel_pred(spark, sf), 0.5, mode="auto")
