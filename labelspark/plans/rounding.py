@@ -30,6 +30,7 @@ ROUND_COLUMNS: dict[str, tuple[list[str], list[str]]] = {
     'mcc': (['matthews_corrcoef'], []),
     'metric_bundle': (['accuracy', 'precision', 'recall', 'f1', 'jaccard', 'hamming_loss', 'matthews_corrcoef', 'roc_auc', 'avg_precision', 'threshold', 'avg_probability'], []),
     'metric_bundle_auto': (['accuracy', 'precision', 'recall', 'f1', 'match_accuracy', 'threshold', 'avg_probability'], []),
+    'metric_bundle_binary': (['accuracy', 'precision', 'recall', 'f1', 'jaccard', 'hamming_loss', 'matthews_corrcoef', 'roc_auc', 'avg_precision', 'match_accuracy', 'hamming_score', 'jaccard_samples', 'coverage_error', 'label_ranking_avg_precision', 'roc_auc_macro', 'avg_precision_macro', 'jaccard_micro', 'hamming_loss_multilabel', 'threshold', 'avg_probability'], []),
     'metric_bundle_multilabel': (['accuracy', 'precision', 'recall', 'f1', 'jaccard', 'hamming_loss', 'matthews_corrcoef', 'roc_auc', 'avg_precision', 'match_accuracy', 'hamming_score', 'jaccard_samples', 'coverage_error', 'label_ranking_avg_precision', 'roc_auc_macro', 'avg_precision_macro', 'jaccard_micro', 'hamming_loss_multilabel', 'threshold', 'avg_probability'], []),
     'mrr_at_k': (['mrr_at_3'], []),
     'mrr_at_k_reference': (['mrr_at_3'], []),

@@ -229,3 +229,29 @@ def metric_bundle_multilabel(spark, sf):
     multilabel branch (samples metrics, ranking metrics, macro curves)."""
     from .tables import multilabel_pred
     return M.metric_bundle(multilabel_pred(spark, sf), 0.5, mode="auto")
+
+
+def _bin_bundle_sql() -> str:
+    from .metrics import ACC, CONF, F1, HL, JAC, MCC, PREC, REC, _C0
+    return with_ctes("""pred AS (SELECT l.doc_id AS sample_id, 1 AS label_id, l.quality AS truth,
+                    round(d.n_chars / (d.n_chars + 2000.0), 6) AS score
+             FROM labels l JOIN documents d ON l.doc_id = d.doc_id)""", CONF, _C0, select=f"""
+SELECT 'binary' AS problem_type, {ACC} AS accuracy, {PREC} AS precision, {REC} AS recall,
+       {F1} AS f1, {JAC} AS jaccard, {HL} AS hamming_loss, {MCC} AS matthews_corrcoef,
+       curve.roc_auc, curve.avg_precision, CAST(NULL AS DOUBLE) AS match_accuracy,
+       CAST(NULL AS DOUBLE) AS hamming_score, CAST(NULL AS DOUBLE) AS jaccard_samples,
+       CAST(NULL AS DOUBLE) AS coverage_error, CAST(NULL AS DOUBLE) AS label_ranking_avg_precision,
+       CAST(NULL AS DOUBLE) AS roc_auc_macro, CAST(NULL AS DOUBLE) AS avg_precision_macro,
+       CAST(NULL AS DOUBLE) AS jaccard_micro, CAST(NULL AS DOUBLE) AS hamming_loss_multilabel,
+       tp + fp + fn + tn AS support, CAST(0.5 AS DOUBLE) AS threshold, tp + fn AS num_positive,
+       (SELECT avg(score) FROM pred) AS avg_probability
+FROM conf, curve""")
+
+
+@register("metric_bundle_binary", _bin_bundle_sql())
+def metric_bundle_binary(spark, sf):
+    """E-16 mode='auto' on a binary task (document quality vs a length score):
+    one label per sample, so the binary columns are filled."""
+    from .tables import multilabel_pred
+    p = multilabel_pred(spark, sf).filter(F.col("label_id") == 1)
+    return M.metric_bundle(p, 0.5, mode="auto")
