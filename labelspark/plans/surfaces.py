@@ -160,7 +160,7 @@ def metric_bundle_auto(spark, sf):
 
 
 def _length_ratio_model():
-    """Stand-in for a user model (e.g. a cross-encoder): score =
+    """Stand-in for a user model (e.g. a pair classifier): score =
     len(label) / (len(label) + len(text)).  Built once per task."""
     def model(texts, labels):
         lt, ll = texts.str.len(), labels.str.len()
