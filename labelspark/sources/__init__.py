@@ -1 +1,2 @@
-"""labelspark package."""
+"""Readers (triplet corpora, validated loads, corpus registry, hierarchy
+dimension, results files) and sinks (numbered batches, results)."""

@@ -1 +1 @@
-"""labelspark package."""
+"""Structured Streaming runner for the stateless, row-local operators."""
