@@ -187,7 +187,7 @@ def top_label(pred: DataFrame, sample: str = "sample_id", label: str = "label",
 
 def suggest_labels(pred: DataFrame, k: int = 10, threshold: float = 0.3,
                    sample: str = "sample_id", label_id: str = "label_id",
-                   score: str = "score", salts: int = 16) -> DataFrame:
+                   score: str = "score", salts: int | None = None) -> DataFrame:
     """H-4: vocabulary labels with score > threshold, best ``k`` per text.
     The per-text ranking is salted by label so a large vocabulary is cut
     to k per block before the final rank."""

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..prefix import running_sums, top_k_per_group
+from ..prefix import default_salts, running_sums, top_k_per_group
 
 DEFAULT_KS = (1, 3, 5, 10)
 
@@ -27,7 +27,7 @@ def rank_order(score: str = "score", label: str = "label_id") -> list[Column]:
 def rank_labels(pred: DataFrame, k: int, keys: Sequence[str] = (),
                 sample: str = "sample_id", label: str = "label_id",
                 score: str = "score", with_ties: bool = False,
-                salts: int = 16) -> DataFrame:
+                salts: int | None = None) -> DataFrame:
     """G-1: the top-k labels of each sample with ``rank`` 1..k."""
     return top_k_per_group(
         pred, list(keys) + [sample], rank_order(score, label), k, salt=label,
@@ -49,7 +49,8 @@ def _discount(pos: Column, k: int) -> Column:
 
 def per_sample_topk(pred: DataFrame, ks: Sequence[int], keys: Sequence[str] = (),
                     sample: str = "sample_id", label: str = "label_id",
-                    score: str = "score", truth: str = "truth", salts: int = 16) -> DataFrame:
+                    score: str = "score", truth: str = "truth",
+                    salts: int | None = None) -> DataFrame:
     """Per sample and for every k: hit, best / worst true position within k,
     hits within k and tie-averaged DCG@k, plus the sample's #labels and
     #positives.
@@ -62,6 +63,7 @@ def per_sample_topk(pred: DataFrame, ks: Sequence[int], keys: Sequence[str] = ()
     keys = list(keys)
     kmax = max(ks)
     grp = keys + [sample]
+    salts = salts if salts is not None else default_salts(pred)
     y = F.col(truth).cast("long")
     w1 = Window.partitionBy(*grp, "_salt")
     s1 = pred.withColumn("_salt", F.pmod(F.xxhash64(F.col(label)), F.lit(salts)))

@@ -11,8 +11,9 @@ Never an un-partitioned ``Window.orderBy`` over raw rows: that plans an
   key is spread over all buckets, so no task sees more than its share.
 * :func:`top_k_per_group` ranks in two stages: first inside
   ``(keys, salt)`` partitions, keeping at most ``k`` rows each, then inside
-  ``keys`` over the at most ``k x salts`` survivors.  A group with a third of
-  all rows is therefore ranked by ``salts`` tasks in parallel.
+  ``keys`` over the at most ``k x salts`` survivors.  ``salts`` defaults to the
+  shuffle-partition count, so a group with a third of all rows is ranked by
+  the whole cluster in parallel.
 """
 
 from __future__ import annotations
@@ -146,8 +147,17 @@ def global_row_number(df: DataFrame, order: Sequence[tuple[str, bool]],
     return running_sums(df, keys, order, {out: F.lit(1)}, True, n_buckets)
 
 
+def default_salts(df: DataFrame, minimum: int = 16) -> int:
+    """Salt buckets for per-group ranking: one per shuffle partition (at least
+    ``minimum``), so a group holding a large share of all rows is spread over
+    the whole cluster.  Ordinary groups pay nothing extra: a group only has as
+    many salt buckets as it has rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(minimum, parts)
+
+
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                    k: int, salt: str | Column | None = None, salts: int = 16,
+                    k: int, salt: str | Column | None = None, salts: int | None = None,
                     tie_order: Sequence[Column] | None = None,
                     rank_col: str = "rank") -> DataFrame:
     """Keep the top ``k`` rows of each key group by ``order`` and number them.
@@ -158,6 +168,7 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     ``order`` inside the group in both cases.
     """
     keys = list(keys)
+    salts = salts if salts is not None else default_salts(df)
 
     def keep(frame: DataFrame, part: list, col: str) -> DataFrame:
         if tie_order is not None:
