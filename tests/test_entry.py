@@ -98,3 +98,27 @@ def test_results_independent_of_shuffle_partitions(spark, sf001):
         assert out["8"] == out["300"]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_no_single_partition_step_over_raw_rows(spark, sf001):
+    """Every `Exchange SinglePartition` in the ordered / ranked queries must be
+    fed by a bounded input: a keyless final aggregate, per-bucket totals, the
+    threshold histogram / grid, or the first-sample rule (PLANS.md)."""
+    import re
+
+    from __spark_entry__ import queries
+    allowed = re.compile(r"HashAggregate\(keys=\[\]|HashAggregate\(keys=\[_bkt|"
+                         r"_groupingexpression|Project \[i#\d+, lo#|partial_min_by")
+    q = queries()
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ["roc_auc", "lrap", "coverage_error", "contrastive_pairs", "sample_exact",
+                     "row_slice", "batch_numbers", "topk_suite", "best_threshold_f1",
+                     "global_shuffle_head", "eval_triplets_random"]:
+            lines = q[name](spark, sf001)._jdf.queryExecution().executedPlan().toString().splitlines()
+            for i, ln in enumerate(lines):
+                if "Exchange SinglePartition" in ln and "ReusedExchange" not in ln:
+                    assert allowed.search(lines[i + 1]), (name, lines[i + 1])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
