@@ -34,3 +34,23 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from labelspark.llm import sharding
 
     return sharding.sharded(table(spark, sf_dir, "documents"), [1.0] * 40)
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by 400-byte strings that start elsewhere too."""
+    from pyspark.sql import functions as F
+
+    from labelspark.llm import suffixes
+
+    return suffixes.repeats(table(spark, sf_dir, "documents"), 400).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents, learned from nine tenths of them."""
+    from labelspark.llm import lm
+
+    return lm.score(table(spark, sf_dir, "documents"), order=2)
