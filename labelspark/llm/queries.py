@@ -54,3 +54,11 @@ def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from labelspark.llm import lm
 
     return lm.score(table(spark, sf_dir, "documents"), order=2)
+
+
+@query
+def op2_superminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents on word pairs."""
+    from labelspark.llm import neardup
+
+    return neardup.groups(table(spark, sf_dir, "documents"), shingle=2, percent=80)
