@@ -62,3 +62,22 @@ def op2_superminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from labelspark.llm import neardup
 
     return neardup.groups(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file of the queries; it is installed with its package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op5_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents and what they decode to, as digests."""
+    from pyspark.sql import functions as F
+
+    from labelspark.llm import bpe
+
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
