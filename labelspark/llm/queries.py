@@ -81,3 +81,20 @@ def op5_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op6_boosted_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document statistics, the fixed rules and the trees' verdict."""
+    from labelspark.llm import rules
+
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@query
+def op3_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores by votes of labelled neighbours."""
+    from labelspark.llm import neighbours
+
+    return neighbours.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
