@@ -17,21 +17,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelspark.llm.shared import partitions
-
 SENT = "cell int, batch int, keys binary, extra binary"
 ANSWER = "batch int, phase int, cell int, data binary"
 _U = np.uint64
 
 
-def batched(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
+#: Bytes of text in a batch.  A task needs some thirty times as much memory.
+BATCH_BYTES = 8 << 20
+
+
+def batched(docs: DataFrame, doc_id: str, text: str, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
     """(``batch``, ``id``, ``text``) rows and the number of cells.  Rows spread
-    over batches by a hash of id and text; a batch is about half a shuffle
-    partition, which the cluster's ``spark.sql.shuffle.partitions`` sizes."""
-    n = partitions(docs.sparkSession)
+    over batches of about ``batch_bytes`` by a hash of id and text; a cell gets
+    the keys of about two batches' worth of text.  Both numbers follow the
+    bytes of text (counted here), not the number of partitions: each batch
+    sends each cell a row."""
     body = F.coalesce(F.col(text), F.lit(""))
-    batch = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), body), F.lit(2 * n)).cast("int")
-    return docs.select(batch.alias("batch"), F.col(doc_id).alias("id"), body.alias("text")), n
+    total = docs.agg(F.sum(F.octet_length(body)).alias("b")).first()["b"] or 0
+    n = max(1, -(-total // batch_bytes))
+    batch = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), body), F.lit(n)).cast("int")
+    return docs.select(batch.alias("batch"), F.col(doc_id).alias("id"), body.alias("text")), max(1, n // 2)
 
 
 def encode(keys: np.ndarray) -> bytes:

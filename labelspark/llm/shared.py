@@ -53,6 +53,3 @@ def keep(df: DataFrame) -> DataFrame:
     ensure_shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
