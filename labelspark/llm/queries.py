@@ -98,3 +98,11 @@ def op3_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from labelspark.llm import neighbours
 
     return neighbours.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents after noisy-channel restoration."""
+    from labelspark.llm import toxicity
+
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
