@@ -106,3 +106,14 @@ def op8_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from labelspark.llm import toxicity
 
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, as files of a tree source/lang/doc_id."""
+    from pyspark.sql import functions as F
+
+    from labelspark.llm import licences
+
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licences.scan(table(spark, sf_dir, "documents"), "doc_id", path)
