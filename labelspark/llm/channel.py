@@ -34,9 +34,8 @@ for _c, _i in _CLASS.items():
         _LUT[ord(_c.upper())] = _i
 _LUT[list(b" \t\n\x0b\x0c\r")] = 0
 
-#: Single characters set apart by single gaps, three or more of them, and a gap.
-GAP = re.compile(r"[ .\-_*]")
-APART = re.compile(r"(?<![^\s])[^\W_](?:[ .\-_*][^\W_]){2,}(?![^\s.,;:!?])")
+#: Single characters set apart by one kind of gap, three or more of them.
+APART = re.compile(r"(?<![^\s])[^\W_]([ .\-_*])[^\W_](?:\1[^\W_])+(?![^\s.,;:!?])")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _MIXED = re.compile(r"[^\W_].*[^\w\s'’\-.,;:]|[^\w\s'’\-.,;:].*[^\W_]|\d.*[^\W\d_]|[^\W\d_].*\d")
 
@@ -47,6 +46,13 @@ def codes(text: str) -> np.ndarray:
     return np.concatenate(([0], _LUT[np.minimum(raw, len(_LUT) - 1)], [0]))
 
 
+def together(run: str) -> list[str]:
+    """What a match of APART may spell: all its characters, or all but the
+    first or last, which may be a word of one letter beside it."""
+    whole = run[::2]
+    return [whole] + ([whole[1:], whole[:-1]] if len(whole) > 3 else [])
+
+
 def trigram_counts(text: str) -> np.ndarray:
     c = codes(text)
     return c[:-2] * (SIZE * SIZE) + c[1:-1] * SIZE + c[2:] if len(c) > 2 else np.empty(0, np.int64)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SENT = "cell int, batch int, keys binary, extra binary"
@@ -26,8 +26,8 @@ _U = np.uint64
 BATCH_BYTES = 8 << 20
 
 
-def batched(docs: DataFrame, doc_id: str, text: str, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
-    """(``batch``, ``id``, ``text``) rows and the number of cells.  Rows spread
+def batched(docs: DataFrame, doc_id: str, text: str, batch_bytes: int = BATCH_BYTES, rest: Column | None = None) -> tuple[DataFrame, int]:
+    """(``batch``, ``id``, ``text``) rows, with ``rest`` if given, and the number of cells.  Rows spread
     over batches of about ``batch_bytes`` by a hash of id and text; a cell gets
     the keys of about two batches' worth of text.  Both numbers follow the
     bytes of text (counted here), not the number of partitions: each batch
@@ -36,7 +36,8 @@ def batched(docs: DataFrame, doc_id: str, text: str, batch_bytes: int = BATCH_BY
     total = docs.agg(F.sum(F.octet_length(body)).alias("b")).first()["b"] or 0
     n = max(1, -(-total // batch_bytes))
     batch = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), body), F.lit(n)).cast("int")
-    return docs.select(batch.alias("batch"), F.col(doc_id).alias("id"), body.alias("text")), max(1, n // 2)
+    more = [] if rest is None else [rest.alias("rest")]
+    return docs.select(batch.alias("batch"), F.col(doc_id).alias("id"), body.alias("text"), *more), max(1, n // 2)
 
 
 def encode(keys: np.ndarray) -> bytes:

@@ -28,7 +28,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelspark.llm import exchange
 from labelspark.llm.superminhash import mix
@@ -291,35 +293,54 @@ def _report(left: pa.Table, bodies, runs) -> pa.Table:
         spans.append([{"start": lo, "end": hi} for lo, hi in r.tolist()])
         removed.append(int((r[:, 1] - r[:, 0]).sum()))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    more = {}
+    if "rest" in left.column_names:
+        more = {"rest": left["rest"], "left": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())}
     return pa.table({
         "id": left["id"], "n_bytes": pa.array([len(b) for b in bodies], pa.int64()),
         "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, span),
-        "kept": pa.array(kept, pa.binary())})
+        "kept": pa.array(kept, pa.binary()), **more})
 
 
-def repeats(docs: DataFrame, min_bytes: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Remove every byte covered by a ``min_bytes``-byte string that also
-    starts elsewhere, in the same or another row.
-
-    One row per row of ``docs``: the id, ``n_bytes``, ``n_removed``, ``spans``
-    (maximal removed runs as byte offsets) and ``kept`` (the remaining bytes;
-    a run may cut a character).  Null texts are empty; repeated rows are copies
-    of each other, so both lose their text if it is long enough; null ids are
-    ids like any other; other columns are not read; an empty table gives none.
-    """
-    rows, cells = exchange.batched(docs, doc_id, text)
-    id_type = dict(rows.dtypes)["id"]
+def _repeats(docs: DataFrame, min_bytes: int, doc_id: str, text: str, rest: Column | None = None) -> DataFrame:
+    rows, cells = exchange.batched(docs, doc_id, text, rest=rest)
 
     def sort(sent: DataFrame, phase: int) -> DataFrame:
         return sent.groupBy("cell").applyInArrow(_sort_cell(phase), exchange.ANSWER)
 
-    def with_answers(got: DataFrame, phase: int, schema: str) -> DataFrame:
+    def with_answers(got: DataFrame, phase: int, schema) -> DataFrame:
         return (rows.groupBy("batch").cogroup(got.groupBy("batch"))
                 .applyInArrow(_phase(phase, min_bytes, cells), schema))
 
     got = sort(rows.groupBy("batch").applyInArrow(_phase(0, min_bytes, cells), exchange.SENT), 0)
     for phase in (1, 2):
         got = got.unionAll(sort(with_answers(got, phase, exchange.SENT), phase))
-    schema = (f"id {id_type}, n_bytes bigint, n_removed bigint,"
-              " spans array<struct<start: bigint, end: bigint>>, kept binary")
-    return with_answers(got, 3, schema).withColumnRenamed("id", doc_id)
+    schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL(
+        "n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")])
+    if rest is not None:
+        schema = schema.add(rows.schema["rest"]).add("left", "string")
+    return with_answers(got, 3, schema)
+
+
+def repeats(docs: DataFrame, min_bytes: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Remove every byte covered by a ``min_bytes``-byte string that also
+    starts elsewhere, in the same or another row.
+
+    One row per row of ``docs``: the id, ``n_bytes``, ``n_removed``, ``spans``
+    (maximal removed runs as byte offsets) and ``kept`` (the remaining bytes;
+    a run may cut a character).  Null texts are empty; repeated rows are copies
+    of each other, so both lose their text if it is long enough; null ids are
+    ids like any other; other columns are not read; an empty table gives none.
+    """
+    return _repeats(docs, min_bytes, doc_id, text).withColumnRenamed("id", doc_id)
+
+
+def deduplicate(docs: DataFrame, min_bytes: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs``, columns as they are, with the texts that remain: a text that
+    loses nothing stays as it is, a character that a removed run cuts goes as a
+    whole, and a text that loses everything is empty."""
+    other = {c: f"c{k}" for k, c in enumerate(docs.columns) if c != text}
+    rest = F.struct(F.col(text).isNull().alias("none"), *[F.col(c).alias(x) for c, x in other.items()])
+    out = _repeats(docs, min_bytes, doc_id, text, rest)
+    left = F.when(~F.col("rest.none"), F.col("left"))
+    return out.select(*[left.alias(c) if c == text else F.col(f"rest.{other[c]}").alias(c) for c in docs.columns])

@@ -28,6 +28,8 @@ MAX_LABELLED = 16_384
 MAX_TERMS = 100_000
 SHORTEST, LONGEST_START = 3, 8
 CHANCE = 0.05
+#: Score from which a row is predicted toxic.
+TOXIC = 0.7
 _CACHE_WORDS = 300_000
 _PIECE = 64
 _OUTER = " .,;:!?()[]{}<>\"'`*_#%&|/\\+=~^-–—‘’“”…«»"
@@ -59,12 +61,12 @@ class Restorer:
             cache[w] = self.word(w)
         out = [cache[w] for w in raw]
         for m in channel.APART.finditer(low):
-            out.append(self.word(channel.GAP.sub("", m[0])))
+            out += [self.word(w) for w in channel.together(m[0])]
         return out
 
     def text(self, text: str | None) -> str:
         """The restored text, words parted by single spaces."""
-        return " ".join(w[-1] if len(w) == 1 else " ".join(w[1:]) for w in self.words(text) if w)
+        return " ".join(" ".join(w[1:] or w) for w in self.words(text) if w)
 
 
 def terms(word: str) -> list[str]:
@@ -227,28 +229,50 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     counts as the empty text for the fold and has no label; without labels no
     term is believed; other columns are not read; an empty table gives none.
     """
-    sc = docs.sparkSession.sparkContext
-    model = sc.broadcast(char_model(docs, text))
-    lexicon = sc.broadcast(learn(docs, labels, model, label, doc_id, text, max_labelled))
+    model, lexicon = _trained(docs, labels, label, doc_id, text, max_labelled)
 
     def run(batches):
-        restorer = Restorer(model.value)
-        (believed, chance), known = lexicon.value, {}
+        judge = _judge(model, lexicon)
         for batch in batches:
-            found = [evidence(restorer, t, believed, known) for t in batch.column("text").to_pylist()]
+            found = [judge(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([chance(x) for _, x in found], pa.float64()),
+                [batch.column("id"), pa.array([p for _, p in found], pa.float64()),
                  pa.array([h for h, _ in found], pa.list_(pa.string()))], names=["id", "score", "found"])
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     out = rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, score double, found array<string>")
     return out.select(F.col("id").alias(doc_id), (fold(F.col("id"), 3) == 1).alias("held_out"), "score",
-                      (F.col("score") >= 0.7).cast("int").alias("predicted"), "found")
+                      (F.col("score") >= TOXIC).cast("int").alias("predicted"), "found")
+
+
+def _trained(docs, labels, label, doc_id, text, max_labelled):
+    """The character model and the terms, broadcast (both of bounded size)."""
+    sc = docs.sparkSession.sparkContext
+    model = sc.broadcast(char_model(docs, text))
+    return model, sc.broadcast(learn(docs, labels, model, label, doc_id, text, max_labelled))
+
 
+def _judge(model, lexicon):
+    """Function from a text to its telling words and its score, in a task."""
+    restorer, (believed, chance), known = Restorer(model.value), lexicon.value, {}
+
+    def judge(text):
+        hits, total = evidence(restorer, text, believed, known)
+        return hits, chance(total)
+
+    return judge
+
+
+def filtered(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text",
+             max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """``docs``, columns as they are, without the rows whose score is 0.7 and
+    more (see ``score``).  Every row is judged where it is: nothing is shuffled."""
+    model, lexicon = _trained(docs, labels, label, doc_id, text, max_labelled)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        judge = _judge(model, lexicon)
+        for batch in batches:
+            yield batch.filter(pa.array([judge(t)[1] < TOXIC for t in batch.column(at).to_pylist()], pa.bool_()))
 
-def filtered(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
-    """``docs`` without the documents that are predicted toxic.  A null id
-    can't be named, so such rows stay."""
-    doc_id = kw.get("doc_id", "doc_id")
-    bad = score(docs, labels, **kw).where("predicted = 1").select(doc_id).distinct()
-    return docs.join(bad, doc_id, "left_anti").select(*docs.columns)
+    return docs.mapInArrow(run, docs.schema)

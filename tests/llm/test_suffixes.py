@@ -77,3 +77,10 @@ def test_window_hashes_across_blocks(monkeypatch):
     monkeypatch.setattr(suffixes, "BLOCK", 16)
     parts = np.concatenate([h for _, h in suffixes.window_hashes(body, 10)])
     assert (whole == parts).all() and len(set(whole.tolist())) == 32
+
+
+def test_deduplicate_keeps_columns_and_nulls(spark):
+    rows = [(1, "é" * 30 + "abcdefghij" * 3, "x", 5), (2, "ü" + "abcdefghij" * 3, "y", None), (3, None, None, 7), (4, "tiny", "z", 8)]
+    df = spark.createDataFrame(rows, "id long, text string, rest string, batch int")
+    got = {r["id"]: tuple(r) for r in suffixes.deduplicate(df, 20, doc_id="id").collect()}
+    assert got == {1: (1, "", "x", 5), 2: (2, "ü", "y", None), 3: (3, None, None, 7), 4: (4, "tiny", "z", 8)}
