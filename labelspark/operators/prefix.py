@@ -3,12 +3,12 @@
 Never an un-partitioned ``Window.orderBy`` over raw rows: that plans an
 ``Exchange SinglePartition`` and sends the whole table through one task.
 
-* :func:`running_sums` is a two-level prefix sum.  Rows are cut into
-  quantile buckets of the first ordering column (bounds from one bounded
-  ``percentile_approx`` sketch), summed locally inside each
-  ``(keys, bucket)`` window partition, and shifted by the exclusive running
-  total of the bucket totals (a table of ``#keys x #buckets`` rows).  A hot
-  key is spread over all buckets, so no task sees more than its share.
+* :func:`running_sums` is a two-level prefix sum.  Rows are cut into ranges of
+  the whole ordering (bounds from one bounded random sample), summed locally
+  inside each ``(keys, range)`` window partition, and shifted by the exclusive
+  running total of the range totals (a table of ``#keys x #ranges`` rows).  A
+  hot key is spread over all ranges, and so is an ordering whose first column
+  has few values; ordering columns of any type may be NULL.
 * :func:`top_k_per_group` ranks in two stages: first inside
   ``(keys, salt)`` partitions, keeping at most ``k`` rows each, then inside
   ``keys`` over the at most ``k x salts`` survivors.  ``salts`` defaults to the
@@ -33,29 +33,44 @@ def _n_buckets(df: DataFrame, n: int | None) -> int:
     return max(2, parts)
 
 
-def quantile_bounds(df: DataFrame, col: str, n_buckets: int,
-                    accuracy: int = 10000) -> list:
-    """Approximate quantile cut points of ``col`` (a bounded, one-row result)."""
-    if n_buckets <= 1:
-        return []
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.select(F.percentile_approx(F.col(col), qs, accuracy).alias("b")).first()
-    bounds = row["b"] if row is not None and row["b"] is not None else []
-    return sorted(set(x for x in bounds if x is not None))
+def _before(a: Sequence[Column], b: Sequence[Column], ascending: Sequence[bool]) -> Column:
+    """Does tuple ``a`` sort before tuple ``b``?  NULL sorts first in an
+    ascending column and last in a descending one, like Spark's own sorts."""
+    out, same = F.lit(False), F.lit(True)
+    for x, y, up in zip(a, b, ascending):
+        lo, hi = (x, y) if up else (y, x)
+        out = out | (same & ((lo.isNull() & hi.isNotNull()) | F.coalesce(lo < hi, F.lit(False))))
+        same = same & x.eqNullSafe(y)
+    return out
 
 
-def bucket_of(col: str | Column, bounds: Sequence) -> Column:
-    """Number of bounds strictly below the value, as a balanced CASE tree
-    (log2(#bounds) comparisons per row, whole-stage codegen friendly)."""
-    c = F.col(col) if isinstance(col, str) else col
+def order_bounds(df: DataFrame, order: Sequence[tuple[str, bool]], n_buckets: int) -> DataFrame:
+    """One row with the array of up to ``n_buckets - 1`` cut points (structs of
+    the ordering columns) of a uniform sample of 16 rows per bucket.  Whatever
+    the sample, the result of a prefix sum is the same."""
+    cols = [F.col(c).alias(f"o{i}") for i, (c, _) in enumerate(order)]
+    schema = df.select(F.array(F.struct(*cols)).alias("_bounds")).schema
+    sorting = [F.col(f"o{i}").asc() if up else F.col(f"o{i}").desc() for i, (_, up) in enumerate(order)]
+    sample = df.select(*cols).orderBy(F.rand(17)).limit(16 * n_buckets).orderBy(*sorting).collect()
+    cuts = sorted({i * len(sample) // n_buckets for i in range(1, n_buckets)}) if sample else []
+    return df.sparkSession.createDataFrame([([tuple(sample[i]) for i in cuts],)], schema)
 
-    def build(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c > F.lit(bounds[mid]), build(mid + 1, hi)).otherwise(build(lo, mid))
 
-    return build(0, len(bounds)).cast("int")
+def with_range(df: DataFrame, order: Sequence[tuple[str, bool]], n_buckets: int) -> DataFrame:
+    """Add ``_bkt``: the number of cut points before the row, found by binary
+    search in a broadcast one-row table; equal rows always share a range."""
+    up = [a for _, a in order]
+    row = [F.col(c) for c, _ in order]
+    steps = [1 << k for k in range(max(1, n_buckets).bit_length(), -1, -1)]
+
+    def step(at: Column, width: Column) -> Column:
+        b = F.get("_bounds", at + width - 1)
+        far = (at + width <= F.size("_bounds")) & _before([b[f"o{i}"] for i in range(len(order))], row, up)
+        return F.when(far, at + width).otherwise(at)
+
+    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+    return (df.crossJoin(F.broadcast(order_bounds(df, order, n_buckets)))
+            .withColumn(BUCKET, found).drop("_bounds"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -72,25 +87,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-CASE_TREE_MAX = 255
-
-
-def with_bucket(df: DataFrame, col: str, bounds: Sequence) -> DataFrame:
-    """Add ``_bkt`` = bucket of ``col`` among sorted ``bounds`` (equal values
-    always share a bucket).  Up to 255 bounds a balanced CASE tree keeps it in
-    whole-stage codegen; beyond that Spark's Bucketizer (a JVM-side binary
-    search) avoids a huge generated expression."""
-    if len(bounds) <= CASE_TREE_MAX:
-        return df.withColumn(BUCKET, bucket_of(col, bounds))
-    from pyspark.ml.feature import Bucketizer
-    splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
-    splits = sorted(set(splits))
-    tmp_in = "_bkt_in"
-    b = Bucketizer(splits=splits, inputCol=tmp_in, outputCol=BUCKET, handleInvalid="keep")
-    out = b.transform(df.withColumn(tmp_in, F.col(col).cast("double")))
-    return out.withColumn(BUCKET, F.col(BUCKET).cast("int")).drop(tmp_in)
-
-
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]],
                  values: dict[str, Column], inclusive: bool = True,
                  n_buckets: int | None = None, materialized: bool = False) -> DataFrame:
@@ -101,17 +97,12 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str,
     arbitrary, exactly like a plain window).  Output columns are named after
     the keys of ``values``; ``inclusive=False`` gives the exclusive sum.
     ``materialized=True`` writes the input to the shared folder first, for inputs that are
-    expensive to recompute (the quantile sketch and the sums both read it).
+    expensive to recompute (the sample and the sums both read it).
     """
     keys = list(keys)
     if materialized:
         df = materialize(df)
-    first, first_asc = order[0]
-    nb = _n_buckets(df, n_buckets)
-    bounds = quantile_bounds(df, first, nb)
-    dfb = with_bucket(df, first, bounds)
-    if not first_asc:
-        dfb = dfb.withColumn(BUCKET, F.lit(len(bounds)) - F.col(BUCKET))
+    dfb = with_range(df, order, _n_buckets(df, n_buckets))
     tmp = {name: f"_v_{name}" for name in values}
     for name, expr in values.items():
         dfb = dfb.withColumn(tmp[name], expr)
@@ -130,13 +121,16 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str,
     w_off = (Window.partitionBy(*keys).orderBy(BUCKET)
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(
-        *keys, BUCKET,
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(BUCKET).alias("_k_bkt"),
         *[F.coalesce(F.sum(f"_t_{name}").over(w_off), F.lit(0)).alias(f"_o_{name}")
           for name in values])
-    out = local.join(offsets, on=keys + [BUCKET], how="inner")
+    same = F.col(BUCKET) == F.col("_k_bkt")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = local.join(offsets, same)
     for name in values:
         out = out.withColumn(name, F.col(f"_l_{name}") + F.col(f"_o_{name}"))
-    drop = [BUCKET] + [c for n in values for c in (tmp[n], f"_l_{n}", f"_o_{n}")]
+    drop = [BUCKET, "_k_bkt", *[f"_k_{k}" for k in keys]] + [c for n in values for c in (tmp[n], f"_l_{n}", f"_o_{n}")]
     return out.drop(*drop)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import pairs as P
 from ..operators import sampling as SM
 from ..operators.normalize import checked_vocab
+from ..operators.prefix import global_row_number, running_sums
 from . import sqlfn as S
 from .registry import register, with_ctes
 from .tables import read
@@ -62,7 +63,8 @@ def split_90_10(spark, sf):
 @register("union_capped", f"""
 SELECT doc_id AS id, 'documents' AS source FROM documents
 UNION ALL
-SELECT item_id, 'benchmark' FROM benchmark
+SELECT id, 'benchmark' FROM (SELECT item_id AS id FROM benchmark
+                             ORDER BY {S.num_key('item_id', str(SEED))}, item_id LIMIT 100)
 UNION ALL
 SELECT id, 'pages' FROM (SELECT page_id AS id FROM pages
                          ORDER BY {S.num_key('page_id', str(SEED))}, page_id LIMIT 100)""")
@@ -210,3 +212,31 @@ def dataset_info(spark, sf):
         F.array().cast("array<string>").alias("not_labels"))
     st = P.dataset_statistics(a.unionByName(c))
     return st.withColumnRenamed("split", "source")
+
+
+# --------------------------------------------- prefix sums over awkward orders
+@register("row_slice_null_order", """
+SELECT doc_id, rn FROM (SELECT d.doc_id, row_number() OVER (ORDER BY quality ASC NULLS FIRST, d.doc_id) AS rn
+                        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""")
+def row_slice_null_order(spark, sf):
+    """G-3 with an order of two values and NULLs: every document's position."""
+    d = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left")
+    return global_row_number(d.select("doc_id", "quality"), [("quality", True), ("doc_id", True)]).select("doc_id", "rn")
+
+
+@register("row_number_string_order", """
+SELECT text_key, rn FROM (SELECT o_orderpriority || '-' || o_orderkey AS text_key,
+   row_number() OVER (ORDER BY o_orderpriority || '-' || o_orderkey DESC) AS rn FROM orders)""")
+def row_number_string_order(spark, sf):
+    """G-3 by a text key, descending."""
+    key = F.concat_ws("-", "o_orderpriority", F.col("o_orderkey").cast("string")).alias("text_key")
+    return global_row_number(read(spark, sf, "orders").select(key), [("text_key", False)])
+
+
+@register("running_sum_null_key", """
+SELECT doc_id, CAST(sum(n_chars) OVER (PARTITION BY quality ORDER BY doc_id) AS BIGINT) AS total
+FROM documents LEFT JOIN labels USING (doc_id)""")
+def running_sum_null_key(spark, sf):
+    """G-3 within keys that may be NULL."""
+    d = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left").select("doc_id", "n_chars", "quality")
+    return running_sums(d, ["quality"], [("doc_id", True)], {"total": F.col("n_chars")}).select("doc_id", "total")

@@ -199,7 +199,7 @@ def test_softmax_over_sums_to_one(spark):
     assert got[1] == pytest.approx(1.0) and got[2] == pytest.approx(1.0)
 
 
-def test_running_sums_many_buckets_uses_bucketizer(spark):
+def test_running_sums_many_buckets(spark):
     d = spark.range(0, 3000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
     got = sorted(tuple(r) for r in running_sums(d, [], [("k", True)], {"c": F.col("v")},
                                                 n_buckets=600).select("k", "c").collect())
@@ -236,3 +236,59 @@ def test_pad_to_max(spark):
     r = {x.sample_id: x for x in PK.pad_to_max(PK.pack(tiny(spark), 32), 32).collect()}
     assert len(r[0].input_tokens) == len(r[1].input_tokens) == 7
     assert r[0].attention_mask == [1, 1, 1, 1, 1, 0, 0]
+
+
+def test_running_sums_awkward_orders(spark):
+    """NULL, text and two-valued order keys and NULL group keys, alike for any
+    number of ranges."""
+    rows = [(None if i % 7 == 0 else f"k{i % 2}", None if i % 5 == 0 else i % 2, i, f"id-{i:04d}") for i in range(400)]
+    d = spark.createDataFrame(rows, "g string, two int, i int, name string")
+    want = {}
+    for g in {r[0] for r in rows}:
+        total = 0
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, -r[2])):
+            total += r[2]
+            want[r[3]] = total
+    for n in (1, 8, 300):
+        got = running_sums(d, ["g"], [("two", True), ("name", False)], {"c": F.col("i")}, n_buckets=n)
+        assert {r["name"]: r["c"] for r in got.collect()} == want
+        down = global_row_number(d, [("two", False), ("name", True)], n_buckets=n).collect()
+        order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[3]))
+        assert {r["name"]: r["rn"] for r in down} == {r[3]: k + 1 for k, r in enumerate(order)}
+
+
+def test_batch_folders_past_four_digits(spark, tmp_path):
+    from labelspark.sources.sinks import write_batches
+    d = spark.range(300).withColumnRenamed("id", "k")
+    write_batches(d, str(tmp_path / "b"), "k", 50, start_index=9998 * 50)
+    counts = {r["batch"]: r["count"] for r in spark.read.json(str(tmp_path / "b")).groupBy("batch").count().collect()}
+    assert counts == {n: 50 for n in range(9999, 10005)}
+
+
+def test_dialogue_ids_do_not_collide(spark):
+    from labelspark.operators.normalize import dialogue
+    q = F.expr("transform(sequence(1, n), i -> struct(concat('q', i) AS question, array('a', 'b') AS choice, 'a' AS answer))")
+    d = spark.createDataFrame([(1, 1001), (2, 3), (7, 0), (9, 2)], "id long, n int").withColumn("t", F.array(F.lit("x")))
+    d = d.withColumn("q", F.when(F.col("n") > 0, q))
+    ids = sorted(r["sample_id"] for r in dialogue(d, "id", "t", "q").collect())
+    assert ids == list(range(1006))
+
+
+def test_missing_answers_are_false_and_null_truth_is_rejected(spark):
+    from labelspark.operators.normalize import binary_answer, mcq_value, reject_summary
+    d = spark.createDataFrame([(1, "q", ["a", "b"], None)], "id long, q string, c array<string>, a string")
+    assert mcq_value(d, "id", "q", "c", "a").first()["lint"] == [0, 0]
+    assert binary_answer(d.withColumn("n", F.lit(None).cast("int")), "id", "q", "n").first()["lint"] == [0, 0]
+    bad = spark.createDataFrame([(1, "t", ["a"], [None])], "sample_id long, text string, ltext array<string>, lint array<int>")
+    assert reject_summary(bad).first()["reason"] == "null_truth"
+
+
+def test_unmapped_hierarchy_label_fails_by_default(spark):
+    import pytest
+    from labelspark.operators.normalize import hierarchy_rollup
+    h = spark.createDataFrame([("g", "x")], "group string, fine string")
+    d = spark.createDataFrame([(1, "t", "x"), (2, "t", "y")], "id long, t string, y string")
+    with pytest.raises(Exception, match="not in the hierarchy"):
+        hierarchy_rollup(d, "id", "t", "y", h).collect()
+    kept = {r["sample_id"]: r["lint"] for r in hierarchy_rollup(d, "id", "t", "y", h, on_unmapped="keep").collect()}
+    assert kept == {1: [1], 2: [0]}
