@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rand import hash_int, hash_key, hash_uniform
-from .prefix import global_row_number, materialize
+from .prefix import global_row_number, materialize, running_sums
 from ..functions.text import (camel_to_snake, clean_label_multi, clean_name_and,
                               ensure_string, is_blank, join_fields, letter_index, py_strip)
 
@@ -33,14 +33,20 @@ def canonical(df: DataFrame, sample_id, text, ltext, lint) -> DataFrame:
                      _c(lint).cast("array<int>").alias("lint"))
 
 
+def flag(condition: Column) -> Column:
+    """1 where the condition holds, 0 where it does not or is NULL: a missing
+    answer makes every label false."""
+    return F.coalesce(condition, F.lit(False)).cast("int")
+
+
 def onehot(values: Column, target: Column) -> Column:
     """F-16: 1 where the vocabulary entry equals the target, else 0."""
-    return F.transform(values, lambda v: (v == target).cast("int"))
+    return F.transform(values, lambda v: flag(v == target))
 
 
 def multihot(values: Column, targets: Column) -> Column:
     """F-16 (set form): 1 where the entry is contained in the target array."""
-    return F.transform(values, lambda v: F.array_contains(targets, v).cast("int"))
+    return F.transform(values, lambda v: flag(F.array_contains(targets, v)))
 
 
 def choose_text_column(df: DataFrame, preferred: str | None = None) -> str:
@@ -73,7 +79,8 @@ def reject_reason(text="text", ltext="ltext", lint="lint") -> Column:
     return (F.when(is_blank(ensure_string(_c(text))), F.lit("empty_text"))
             .when(lt.isNull() | (F.size(lt) == 0), F.lit("no_labels"))
             .when(~F.forall(lt, lambda x: ~is_blank(ensure_string(x))), F.lit("blank_label"))
-            .when(li.isNull() | (F.size(li) != F.size(lt)), F.lit("truth_length")))
+            .when(li.isNull() | (F.size(li) != F.size(lt)), F.lit("truth_length"))
+            .when(F.exists(li, lambda x: x.isNull()), F.lit("null_truth")))
 
 
 def validate(samples: DataFrame, text="text", ltext="ltext", lint="lint") -> DataFrame:
@@ -130,7 +137,7 @@ def mcq_index(df: DataFrame, sample_id, question, choices, answer) -> DataFrame:
     """C-3: plain list of choices, the answer is a position."""
     ch = _c(choices)
     return canonical(df, sample_id, ensure_string(question), F.transform(ch, lambda x: ensure_string(x)),
-                     F.transform(ch, lambda c, i: (i == _c(answer)).cast("int")))
+                     F.transform(ch, lambda c, i: flag(i == _c(answer))))
 
 
 def mcq_value(df: DataFrame, sample_id, question, choices, answer) -> DataFrame:
@@ -142,13 +149,16 @@ def mcq_value(df: DataFrame, sample_id, question, choices, answer) -> DataFrame:
 
 def dialogue(df: DataFrame, sample_id, turns, queries) -> DataFrame:
     """C-5: one sample per nested query; text = question + '\\n' + turns
-    joined by newlines; sample ids become ``id * 1000 + query position``."""
-    ex = df.select(_c(sample_id).alias("_id"), _c(turns).alias("_turns"),
-                   F.posexplode(_c(queries)).alias("_qi", "_q"))
+    joined by newlines.  Samples are numbered 0, 1, ... over all queries in the
+    order of (dialogue id, position in the dialogue), so ids never collide."""
+    src = df.select(_c(sample_id).alias("_id"), _c(turns).alias("_turns"), _c(queries).alias("_q"))
+    counted = running_sums(src.withColumn("_k", F.greatest(F.size("_q"), F.lit(0)).cast("long")), [], [("_id", True)],
+                           {"_first": F.col("_k")}, inclusive=False)
+    ex = counted.select("_first", "_turns", F.posexplode("_q").alias("_qi", "_q"))
     text = ensure_string(F.concat(ex["_q.question"], F.lit("\n"),
                                   F.array_join(F.col("_turns"), "\n")))
     choice = F.col("_q.choice")
-    return canonical(ex, F.col("_id") * 1000 + F.col("_qi"), text,
+    return canonical(ex, F.col("_first") + F.col("_qi"), text,
                      F.transform(choice, lambda x: ensure_string(x)), onehot(choice, F.col("_q.answer")))
 
 
@@ -158,7 +168,7 @@ def map_options(df: DataFrame, sample_id, question, story, options, answer) -> D
     text = ensure_string(F.concat(_c(question), F.lit("\n"), _c(story)))
     return canonical(df, sample_id, text,
                      F.transform(ent, lambda e: ensure_string(e["value"].cast("string"))),
-                     F.transform(ent, lambda e: (e["key"] == _c(answer)).cast("int")))
+                     F.transform(ent, lambda e: flag(e["key"] == _c(answer))))
 
 
 def letter_answer(df: DataFrame, sample_id, question, article, options, answer) -> DataFrame:
@@ -166,7 +176,7 @@ def letter_answer(df: DataFrame, sample_id, question, article, options, answer)
     text = ensure_string(F.concat(_c(question), F.lit("\n"), _c(article)))
     idx = letter_index(_c(answer))
     return canonical(df, sample_id, text, F.transform(_c(options), lambda x: ensure_string(x)),
-                     F.transform(_c(options), lambda o, i: (i == idx).cast("int")))
+                     F.transform(_c(options), lambda o, i: flag(i == idx)))
 
 
 # --------------------------------------------------------------- vocabularies
@@ -191,8 +201,12 @@ def attach_vocab(df: DataFrame, vocab: DataFrame) -> DataFrame:
 def sampled_negatives(df: DataFrame, sample_id, text, summary, seed: int = 42,
                       max_negatives: int = 4) -> DataFrame:
     """C-8: label set = the sample's own summary plus 1..4 vocabulary entries
-    drawn without replacement (a hash-chosen run of a hash-ordered vocabulary;
-    may include the summary itself, which then also has truth 1), shuffled."""
+    drawn independently per row and without replacement (may include the
+    summary itself, which then also has truth 1), shuffled.
+
+    Each draw is a hash of the row and the draw's number.  Draw m of k takes a
+    number up to n - k + m; one that is taken already becomes n - k + m itself,
+    which makes every set of k numbers equally likely."""
     base = df.select(_c(sample_id).cast("long").alias("_id"), ensure_string(text).alias("_t"),
                      ensure_string(summary).alias("_s"))
     vocab = materialize(base.filter(F.col("_s") != "").select(F.col("_s").alias("_v")).distinct()
@@ -205,11 +219,15 @@ def sampled_negatives(df: DataFrame, sample_id, text, summary, seed: int = 42,
     b = base.crossJoin(F.broadcast(size))
     n_neg = F.least(F.lit(1) + hash_int(max_negatives, F.col("_id"), F.lit(seed), F.lit("n")),
                     F.col("_n"))
-    start = hash_int(F.col("_n"), F.col("_id"), F.lit(seed), F.lit("s"))
-    picks = b.select("_id", F.explode(F.sequence(F.lit(0), F.greatest(n_neg - 1, F.lit(-1))))
-                     .alias("_m"), start.alias("_st"), "_n")
-    picks = picks.filter(F.col("_n") > 0).select(
-        "_id", "_m", F.pmod(F.col("_st") + F.col("_m"), F.col("_n")).alias("_vi"))
+    b = b.withColumn("_k", n_neg.cast("long"))
+    drawn: list[Column] = []
+    for m in range(max_negatives):
+        top = F.col("_n") - F.col("_k") + m
+        t = hash_int(top + 1, F.col("_id"), F.lit(seed), F.lit(f"s{m}"))
+        taken = F.array_contains(F.array(*drawn), t) if drawn else F.lit(False)
+        b = b.withColumn(f"_d{m}", F.when(F.col("_k") > m, F.when(taken, top).otherwise(t)))
+        drawn.append(F.col(f"_d{m}"))
+    picks = b.select("_id", F.posexplode(F.array(*drawn)).alias("_m", "_vi")).where("_vi is not null")
     negs = picks.join(vix, on="_vi", how="inner").groupBy("_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_m", "_v"))), lambda s: s["_v"])
         .alias("_negs"))
@@ -221,10 +239,10 @@ def sampled_negatives(df: DataFrame, sample_id, text, summary, seed: int = 42,
 
 
 def binary_answer(df: DataFrame, sample_id, question, answer) -> DataFrame:
-    """C-9: labels ['false', 'true'], truth [1 - a, a]."""
+    """C-9: labels ['false', 'true'], truth [1 - a, a]; [0, 0] without an answer."""
     a = _c(answer).cast("int")
     return canonical(df, sample_id, ensure_string(question),
-                     F.array(F.lit("false"), F.lit("true")), F.array(F.lit(1) - a, a))
+                     F.array(F.lit("false"), F.lit("true")), F.array(flag(a == 0), flag(a == 1)))
 
 
 def vocab_onehot(df: DataFrame, sample_id, text, target, clean: bool = True,
@@ -249,7 +267,7 @@ def multi_answer_map(df: DataFrame, sample_id, question, explanation, choices,
     text = ensure_string(F.concat(_c(question), F.lit("\n"), _c(explanation)))
     return canonical(df, sample_id, text,
                      F.transform(ent, lambda e: ensure_string(e["value"])),
-                     F.transform(ent, lambda e: F.array_contains(_c(correct), e["key"]).cast("int")))
+                     F.transform(ent, lambda e: flag(F.array_contains(_c(correct), e["key"]))))
 
 
 def all_positive(df: DataFrame, sample_id, text, labels) -> DataFrame:
@@ -262,49 +280,56 @@ def binary_names(df: DataFrame, sample_id, text, label, names: Sequence[str]) ->
     """C-13: a 0/1 label with a fixed name pair."""
     y = _c(label).cast("int")
     return canonical(df, sample_id, text, F.array(*[F.lit(n) for n in names]),
-                     F.array(F.lit(1) - y, y))
+                     F.array(flag(y == 0), flag(y == 1)))
 
 
 def class_index(df: DataFrame, sample_id, text, label, names: Sequence[str]) -> DataFrame:
     """C-14: class index into a fixed class-name list, one-hot."""
     idx = F.sequence(F.lit(0), F.lit(len(names) - 1))
     return canonical(df, sample_id, text, F.array(*[F.lit(n) for n in names]),
-                     F.transform(idx, lambda i: (i == _c(label)).cast("int")))
+                     F.transform(idx, lambda i: flag(i == _c(label))))
 
 
 def wide_indicators(df: DataFrame, sample_id, text, columns: Sequence[str]) -> DataFrame:
     """C-16: indicator columns -> multi-hot over their names."""
     return canonical(df, sample_id, text, F.array(*[F.lit(c) for c in columns]),
-                     F.array(*[(F.col(c) == 1).cast("int") for c in columns]))
+                     F.array(*[flag(F.col(c) == 1) for c in columns]))
 
 
 def clean_class_names(df: DataFrame, sample_id, title, content, label,
-                      max_size: int = MAX_VOCAB) -> DataFrame:
+                      names: Sequence[str] | None = None, max_size: int = MAX_VOCAB) -> DataFrame:
     """C-17: class names '&' -> 'and', ' ' -> '_', lower; text title\\ncontent."""
     base = df.select(_c(sample_id).alias("_id"), join_fields(title, content).alias("_t"),
                      clean_name_and(_c(label)).alias("_y"))
+    if names is not None:  # the given classes, seen or not, in the given order
+        given = F.transform(F.array(*[F.lit(n) for n in names]), clean_name_and)
+        return canonical(base.withColumn("vocab", given), "_id", "_t", F.col("vocab"), onehot(F.col("vocab"), F.col("_y")))
     vocab = checked_vocab(base, "_y", max_size)
     j = attach_vocab(base, vocab)
     return canonical(j, "_id", "_t", F.col("vocab"), onehot(F.col("vocab"), F.col("_y")))
 
 
 def camel_class_names(df: DataFrame, sample_id, title, content, label,
-                      max_size: int = MAX_VOCAB) -> DataFrame:
+                      names: Sequence[str] | None = None, max_size: int = MAX_VOCAB) -> DataFrame:
     """C-18: CamelCase class names -> lower snake case; text title\\ncontent."""
     base = df.select(_c(sample_id).alias("_id"), join_fields(title, content).alias("_t"),
                      camel_to_snake(_c(label)).alias("_y"))
+    if names is not None:  # the given classes, seen or not, in the given order
+        given = F.transform(F.array(*[F.lit(n) for n in names]), camel_to_snake)
+        return canonical(base.withColumn("vocab", given), "_id", "_t", F.col("vocab"), onehot(F.col("vocab"), F.col("_y")))
     vocab = checked_vocab(base, "_y", max_size)
     j = attach_vocab(base, vocab)
     return canonical(j, "_id", "_t", F.col("vocab"), onehot(F.col("vocab"), F.col("_y")))
 
 
-def multilabel_vocab(df: DataFrame, sample_id, title, content, organism, all_labels,
-                     max_size: int = MAX_VOCAB) -> DataFrame:
+def multilabel_vocab(df: DataFrame, sample_id, title, content, third, all_labels,
+                     third_name: str = "", max_size: int = MAX_VOCAB) -> DataFrame:
     """C-19: vocabulary = union of every row's label array (sorted by raw
-    label); shown cleaned; truth = raw label in the row's set."""
+    label); shown cleaned; truth = raw label in the row's set.  ``third_name``
+    introduces the third field of the text."""
     base = df.select(_c(sample_id).alias("_id"),
-                     F.concat(join_fields(title, content), F.lit("\nTarget Organism: "),
-                              F.coalesce(_c(organism).cast("string"), F.lit(""))).alias("_t"),
+                     F.concat(join_fields(title, content), F.lit(f"\n{third_name}"),
+                              F.coalesce(_c(third).cast("string"), F.lit(""))).alias("_t"),
                      _c(all_labels).alias("_ls"))
     vocab = checked_vocab(base.select(F.explode("_ls").alias("_v")), "_v", max_size)
     j = attach_vocab(base, vocab)
@@ -318,22 +343,47 @@ def dict_suffix(df: DataFrame, sample_id, text, label, mapping: Mapping, suffix:
     names = [str(mapping[k]).lower() + suffix for k in keys]
     kl = F.array(*[F.lit(k) for k in keys])
     return canonical(df, sample_id, text, F.array(*[F.lit(n) for n in names]),
-                     F.transform(kl, lambda k: (k == _c(label)).cast("int")))
+                     F.transform(kl, lambda k: flag(k == _c(label))))
 
 
 def hierarchy_rollup(df: DataFrame, sample_id, text, label, hierarchy: DataFrame,
-                     grouped: bool = True, suffix: str = "_intent",
+                     grouped: bool = True, suffix: str = "_intent", on_unmapped: str = "raise",
                      max_size: int = MAX_VOCAB) -> DataFrame:
     """C-21: fine label -> group label + suffix through a (group, fine)
     dimension table, one-hot over all groups of the hierarchy; with
-    ``grouped=False`` the fine labels of the hierarchy are the classes."""
-    dim = hierarchy.select(F.col("group").alias("_g"), F.col("fine").alias("_f"))
-    if dim.limit(max_size + 1).count() > max_size:
-        raise ValueError("hierarchy too large to broadcast")
-    cls = F.concat(F.col("_g"), F.lit(suffix)) if grouped else F.col("_f")
-    dim = dim.select("_f", cls.alias("_y"))
-    vocab = checked_vocab(dim, "_y", max_size)
+    ``grouped=False`` the labels of the data are the classes.
+
+    A label that the hierarchy lacks fails the job, or with
+    ``on_unmapped='keep'`` gives a sample without a true label; no row is
+    dropped."""
     base = df.select(_c(sample_id).alias("_id"), _c(text).alias("_t"), _c(label).alias("_f"))
-    j = base.join(F.broadcast(dim), on="_f", how="inner")
+    if not grouped:
+        vocab = checked_vocab(base, "_f", max_size)
+        return canonical(attach_vocab(base, vocab), "_id", "_t", F.col("vocab"), onehot(F.col("vocab"), F.col("_f")))
+    dim = hierarchy.select(F.col("fine").alias("_f"), F.concat(F.col("group"), F.lit(suffix)).alias("_y"))
+    vocab = checked_vocab(dim, "_y", max_size)
+    j = base.join(dim, on="_f", how="left")
+    if on_unmapped == "raise":
+        message = F.concat(F.lit("label is not in the hierarchy: "), F.coalesce("_f", F.lit("NULL")))
+        j = j.withColumn("_y", F.when(F.col("_y").isNull(), F.raise_error(message)).otherwise(F.col("_y")))
     j = attach_vocab(j, vocab)
     return canonical(j, "_id", "_t", F.col("vocab"), onehot(F.col("vocab"), F.col("_y")))
+
+
+def vocab_table(values: DataFrame, col: str) -> DataFrame:
+    """(label_id, label): the sorted distinct non-NULL values, numbered from 0.
+    Of any size: nothing is gathered in one place."""
+    d = values.select(F.col(col).alias("label")).where(F.col("label").isNotNull()).distinct()
+    return global_row_number(d, [("label", True)], out="_n").select((F.col("_n") - 1).alias("label_id"), "label")
+
+
+def vocab_long(df: DataFrame, sample_id, target) -> tuple[DataFrame, DataFrame]:
+    """Long form of C-10, C-15 and C-19 for a vocabulary of any size: the true
+    labels as (sample_id, label_id, label), and the vocabulary itself.  Every
+    other (sample, label) pair is false.  ``target`` is a value or an array."""
+    t = _c(target)
+    base = df.select(_c(sample_id).cast("long").alias("sample_id"), t.alias("label"))
+    if dict(base.dtypes)["label"].startswith("array"):
+        base = base.select("sample_id", F.explode("label").alias("label"))
+    vocab = vocab_table(base, "label")
+    return base.join(vocab, "label").select("sample_id", "label_id", "label"), vocab

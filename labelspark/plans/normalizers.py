@@ -113,8 +113,8 @@ def norm_map_multi(spark, sf):
 @register("norm_dialogue", f"""
 WITH conv AS (SELECT conv_id, list(text ORDER BY turn) AS turns FROM conversations GROUP BY conv_id),
 q AS (SELECT conv_id, turn, role,
-             row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS qi FROM conversations)
-SELECT q.conv_id * 1000 + q.qi AS sample_id,
+             row_number() OVER (ORDER BY conv_id, turn, text, role) - 1 AS n FROM conversations)
+SELECT q.n AS sample_id,
        {S.ensure("'turn ' || CAST(q.turn AS VARCHAR) || chr(10) || array_to_string(c.turns, chr(10))")}
          AS text,
        ['user', 'assistant', 'system'] AS ltext,
@@ -157,14 +157,7 @@ _NEG = f"""base AS (SELECT p_partkey AS id, {S.ensure('p_name')} AS t, {S.ensure
 voc AS (SELECT v, row_number() OVER (ORDER BY {S.num_key('v', str(SEED))}, v) - 1 AS vi
         FROM (SELECT DISTINCT s AS v FROM base WHERE s <> '')),
 vn AS (SELECT count(*) AS n FROM voc),
-picks AS (SELECT b.id, r.m, ({S.hash_int('vn.n', 'b.id', str(SEED), "'s'")} + r.m) % vn.n AS vi
-          FROM base b, vn, range(0, 4) r(m)
-          WHERE r.m < least(1 + {S.hash_int('4', 'b.id', str(SEED), "'n'")}, vn.n)),
-negs AS (SELECT p.id, list(voc.v ORDER BY p.m) AS negs FROM picks p JOIN voc ON p.vi = voc.vi
-         GROUP BY p.id),
-lab AS (SELECT b.id, b.t, b.s, list_concat([b.s], coalesce(n.negs, CAST([] AS VARCHAR[]))) AS labels
-        FROM base b LEFT JOIN negs n ON b.id = n.id),
-ex AS (SELECT id, t, s, unnest(labels) AS l, unnest(range(0, len(labels))) AS i FROM lab)"""
+{S.sampled_negatives(str(SEED))}"""
 
 
 @register("norm_sampled_neg", with_ctes(_NEG, select=f"""
@@ -305,7 +298,7 @@ _FLAG_SQL = ("CASE l_returnflag WHEN 'A' THEN 'Accepted & Billed' WHEN 'N' THEN
 WITH fl AS (SELECT l_orderkey, list(DISTINCT {_FLAG_SQL}) AS ls FROM lineitem GROUP BY l_orderkey),
 voc AS (SELECT list(DISTINCT v ORDER BY v) AS vocab FROM (SELECT unnest(ls) AS v FROM fl))
 SELECT o.o_orderkey AS sample_id,
-       o.o_orderpriority || chr(10) || o.o_orderstatus || chr(10) || 'Target Organism: '
+       o.o_orderpriority || chr(10) || o.o_orderstatus || chr(10) || 'Customer: '
          || CAST(o.o_custkey AS VARCHAR) AS text,
        list_transform(vocab, lambda v: replace(replace(replace(lower(v), ' ', '_'), '-', 'and'), '&', 'and'))
          AS ltext,
@@ -321,7 +314,8 @@ def norm_multilabel_vocab(spark, sf):
     o = read(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus",
                                          "o_custkey")
     j = o.join(fl, o.o_orderkey == fl.l_orderkey)
-    return N.multilabel_vocab(j, "o_orderkey", "o_orderpriority", "o_orderstatus", "o_custkey", "ls")
+    return N.multilabel_vocab(j, "o_orderkey", "o_orderpriority", "o_orderstatus", "o_custkey", "ls",
+                              third_name="Customer: ")
 
 
 # ------------------------------------------------------------------ B-*
@@ -414,3 +408,73 @@ def shuffle_labels(spark, sf):
                                 F.array("p_brand", "p_type", "p_name").alias("ltext"),
                                 F.array(F.lit(1), F.lit(0), F.lit(0)).alias("lint"))
     return N.shuffle_labels(p, SEED)
+
+
+# ---------------------------------------------------- long forms, given classes
+@register("norm_attach_vocab_long", f"""
+WITH b AS (SELECT p_partkey, {S.ensure('p_brand')} AS y FROM part WHERE {S.ensure('p_brand')} <> ''),
+voc AS (SELECT y, row_number() OVER (ORDER BY y) - 1 AS label_id FROM (SELECT DISTINCT y FROM b))
+SELECT b.p_partkey AS sample_id, voc.label_id, voc.y AS label FROM b JOIN voc ON b.y = voc.y""")
+def norm_attach_vocab_long(spark, sf):
+    """C-10 in long form: the true label of every row, by number in the vocabulary."""
+    p = read(spark, sf, "part").select("p_partkey", N.ensure_string(F.col("p_brand")).alias("y"))
+    return N.vocab_long(p.where("y != ''"), "p_partkey", "y")[0]
+
+
+@register("norm_onehot_long", """
+WITH voc AS (SELECT y, row_number() OVER (ORDER BY y) - 1 AS label_id FROM (SELECT DISTINCT p_type AS y FROM part))
+SELECT p_partkey AS sample_id, label_id, y AS label FROM part JOIN voc ON p_type = y""")
+def norm_onehot_long(spark, sf):
+    """C-15 in long form."""
+    return N.vocab_long(read(spark, sf, "part"), "p_partkey", "p_type")[0]
+
+
+@register("norm_multilabel_long", """
+WITH b AS (SELECT DISTINCT l_orderkey, l_linestatus AS y FROM lineitem),
+voc AS (SELECT y, row_number() OVER (ORDER BY y) - 1 AS label_id FROM (SELECT DISTINCT y FROM b))
+SELECT l_orderkey AS sample_id, label_id, voc.y AS label FROM b JOIN voc ON b.y = voc.y""")
+def norm_multilabel_long(spark, sf):
+    """C-19 in long form: every order's distinct line states."""
+    o = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linestatus").alias("ls"))
+    return N.vocab_long(o, "l_orderkey", "ls")[0]
+
+
+_SEGMENTS = ["MACHINERY & Co", "NOT SEEN & Co", "BUILDING & Co", "HOUSEHOLD & Co", "AUTOMOBILE & Co", "FURNITURE & Co"]
+
+
+@register("norm_clean_names_given", f"""
+WITH b AS (SELECT c_custkey, c_name || chr(10) || c_mktsegment AS text, {_CLEAN} AS y FROM customer),
+voc AS (SELECT ['machinery_and_co', 'not_seen_and_co', 'building_and_co', 'household_and_co', 'automobile_and_co',
+                'furniture_and_co'] AS vocab)
+SELECT c_custkey AS sample_id, text, vocab AS ltext, {S.onehot('vocab', 'y')} AS lint FROM b, voc""")
+def norm_clean_names_given(spark, sf):
+    """C-17 with a given class list: in its order, with a class no row has."""
+    c = read(spark, sf, "customer").withColumn(
+        "seg", F.concat(F.col("c_mktsegment"), F.lit(" & Co")))
+    return N.clean_class_names(c, "c_custkey", "c_name", "c_mktsegment", "seg", names=_SEGMENTS)
+
+
+@register("norm_null_answer", """
+SELECT p_partkey AS sample_id, p_name AS text, ['A', 'B'] AS ltext,
+       [CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END, CASE WHEN p_size % 3 = 1 THEN 1 ELSE 0 END] AS lint FROM part""")
+def norm_null_answer(spark, sf):
+    """C-4 where a third of the answers are missing: their labels are all false."""
+    p = read(spark, sf, "part")
+    answer = F.when(F.col("p_size") % 3 == 0, "A").when(F.col("p_size") % 3 == 1, "B")
+    return N.mcq_value(p, "p_partkey", "p_name", F.array(F.lit("A"), F.lit("B")), answer)
+
+
+@register("norm_hierarchy_unmapped", """
+WITH h AS (SELECT lower(replace(r.r_name, ' ', '_')) || '_intent' AS y, n.n_nationkey
+           FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE n.n_nationkey % 5 <> 0),
+voc AS (SELECT list(DISTINCT y ORDER BY y) AS vocab FROM h)
+SELECT c.c_custkey AS sample_id, c.c_name AS text, vocab AS ltext,
+       list_transform(vocab, lambda v: CASE WHEN coalesce(h.y, '') = v THEN 1 ELSE 0 END) AS lint
+FROM customer c LEFT JOIN h ON c.c_nationkey = h.n_nationkey, voc""")
+def norm_hierarchy_unmapped(spark, sf):
+    """C-21 with labels that the hierarchy lacks: kept, without a true label."""
+    nation, region = read(spark, sf, "nation"), read(spark, sf, "region")
+    hier = nation.where("n_nationkey % 5 <> 0").join(region, nation.n_regionkey == region.r_regionkey).select(
+        F.lower(F.replace("r_name", F.lit(" "), F.lit("_"))).alias("group"), F.col("n_name").alias("fine"))
+    cust = read(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return N.hierarchy_rollup(cust, "c_custkey", "c_name", "n_name", hier, on_unmapped="keep")

@@ -70,11 +70,11 @@ def registry_union(spark, sf):
 
 @register("norm_hierarchy_fine", """
 WITH voc AS (SELECT list(DISTINCT n_name ORDER BY n_name) AS vocab FROM nation n
-             JOIN region r ON n.n_regionkey = r.r_regionkey)
+             JOIN customer c ON c.c_nationkey = n.n_nationkey)
 SELECT c.c_custkey AS sample_id, c.c_name AS text, vocab AS ltext, """ + S.onehot("vocab", "n.n_name") + """ AS lint
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey, voc""")
 def norm_hierarchy_fine(spark, sf):
-    """C-21 with grouped=False: the fine labels of the hierarchy are the classes."""
+    """C-21 with grouped=False: the labels of the data are the classes."""
     nation = read(spark, sf, "nation")
     region = read(spark, sf, "region")
     hier = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
