@@ -22,12 +22,12 @@ def hash_key(*parts) -> Column:
 
 
 def hash_uniform(*parts) -> Column:
-    """Uniform double in [0, 1) from the first 32 bits of md5(parts)."""
-    h = F.substring(hash_key(*parts), 1, 8)
-    return F.conv(h, 16, 10).cast("double") / F.lit(4294967296.0)
+    """Uniform double in [0, 1) from the first 52 bits of md5(parts)."""
+    h = F.substring(hash_key(*parts), 1, 13)
+    return F.conv(h, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def hash_int(n, *parts) -> Column:
-    """Uniform integer in [0, n) (n may be a column)."""
+    """Uniform long in [0, n) (n may be a column)."""
     n = F.lit(n) if not isinstance(n, Column) else n
-    return F.floor(hash_uniform(*parts) * n).cast("int")
+    return F.floor(hash_uniform(*parts) * n).cast("long")

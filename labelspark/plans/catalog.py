@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-from . import scoring  # noqa: F401  (registers)
+from . import io_plans, metrics, normalizers, scoring, shaping, surfaces, training  # noqa: F401  (register)
 from .registry import ORACLE, QUERIES
 from .rounding import ROUND_COLUMNS
 
-_MODULES = ["metrics", "normalizers", "shaping", "training", "io_plans", "surfaces"]
-for _m in _MODULES:
-    try:
-        __import__(f"{__package__}.{_m}")
-    except ModuleNotFoundError as exc:  # modules still being written
-        if exc.name != f"{__package__}.{_m}":
-            raise
-
 
 def queries():
     return dict(QUERIES)

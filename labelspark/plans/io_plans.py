@@ -240,14 +240,7 @@ _NEG7 = f"""base AS (SELECT p_partkey AS id, {S.ensure('p_name')} AS t, {S.ensur
 voc AS (SELECT v, row_number() OVER (ORDER BY {S.num_key('v', '7')}, v) - 1 AS vi
         FROM (SELECT DISTINCT s AS v FROM base WHERE s <> '')),
 vn AS (SELECT count(*) AS n FROM voc),
-picks AS (SELECT b.id, r.m, ({S.hash_int('vn.n', 'b.id', '7', "'s'")} + r.m) % vn.n AS vi
-          FROM base b, vn, range(0, 4) r(m)
-          WHERE r.m < least(1 + {S.hash_int('4', 'b.id', '7', "'n'")}, vn.n)),
-negs AS (SELECT p.id, list(voc.v ORDER BY p.m) AS negs FROM picks p JOIN voc ON p.vi = voc.vi
-         GROUP BY p.id),
-lab AS (SELECT b.id, b.t, b.s, list_concat([b.s], coalesce(n.negs, CAST([] AS VARCHAR[]))) AS labels
-        FROM base b LEFT JOIN negs n ON b.id = n.id),
-ex AS (SELECT id, t, s, unnest(labels) AS l, unnest(range(0, len(labels))) AS i FROM lab)"""
+{S.sampled_negatives('7')}"""
 
 
 @register("vocab_sampled_negatives", with_ctes(_NEG7, select=f"""
@@ -280,7 +273,8 @@ def evaluate_dataset(spark, sf):
 @register("assemble_training_corpus", f"""
 WITH base AS (SELECT doc_id AS id, CASE WHEN {S.uniform('doc_id', '42', "'split'")} < 0.1
                      THEN 'validation' ELSE 'train' END AS split, 'documents' AS source FROM documents),
-extra AS (SELECT item_id AS id, 'train' AS split, 'benchmark' AS source FROM benchmark
+extra AS (SELECT id, 'train' AS split, 'benchmark' AS source FROM (SELECT item_id AS id FROM benchmark
+               ORDER BY {S.num_key('item_id', '42')}, item_id LIMIT 100)
           UNION ALL
           SELECT id, 'train', 'pages' FROM (SELECT page_id AS id FROM pages
                ORDER BY {S.num_key('page_id', '42')}, page_id LIMIT 100))

@@ -41,26 +41,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the operator to a shared filesystem and is
-    used as is.  Only when it is unset (local tests) a scratch folder is
-    created and registered.  Works without a SparkContext (Spark Connect),
-    where the server-side setting is used.
+    used as is.  Only a local session (tests, the bench) without a folder gets
+    a scratch folder of its own; a cluster session without one is an error.
+    Works without a SparkContext (Spark Connect), where the server-side
+    setting is used.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001  (Spark Connect: no driver-side context)
         sc = None
-    if current:
-        if sc is not None and sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(current)
+    if sc is None:
+        if not current:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return current
-    if sc is not None and sc.getCheckpointDir():
-        return sc.getCheckpointDir()
-    path = tempfile.mkdtemp(prefix="labelspark-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    if sc is not None:
-        sc.setCheckpointDir(path)
-    return path
+    if sc.getCheckpointDir() is None:
+        if current:
+            sc.setCheckpointDir(current)
+        elif sc.master.startswith("local[") or sc.master == "local":
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="labelspark-ckpt-"))
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return current or sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

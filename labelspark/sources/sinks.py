@@ -26,10 +26,10 @@ def batch_numbers(df: DataFrame, order_col: str, batch_size: int = 50, start_ind
 def write_batches(df: DataFrame, path: str, order_col: str, batch_size: int = 50,
                   start_index: int = 0, mode: str = "overwrite") -> None:
     """A-7: JSON lines, one folder per batch number (``batch=0001`` style
-    names come from the zero-padded value); every batch holds at most
+    names: at least four digits, more where the number has more); every batch holds at most
     ``batch_size`` records."""
     b = batch_numbers(df, order_col, batch_size, start_index)
-    b = b.withColumn("batch", F.lpad(F.col("batch").cast("string"), 4, "0"))
+    b = b.withColumn("batch", F.format_string("%04d", "batch"))
     b.repartition("batch").write.mode(mode).partitionBy("batch").json(path)
 
 
