@@ -1,5 +1,4 @@
-"""Hand-computed metric cases (the reference's unit-test values) and
-brute-force cross-checks of the tie-sensitive metrics."""
+"""Hand-computed metric cases and brute-force cross-checks of the tie-sensitive metrics."""
 
 import math
 
@@ -16,51 +15,55 @@ def one(df):
     return rows[0].asDict()
 
 
-def test_hamming_score_partial(spark):
-    p = pred_df(spark, [[1, 0, 1], [0, 1, 0]], [[1, 0, 0], [0, 1, 1]])
-    assert one(M.sample_set_metrics(p, 0.5))["hamming_score"] == pytest.approx(0.5)
+def test_sample_sets(spark):
+    # predicted {0,2}, {1,2}, {} against {0,1}, {1,2,3}, {0}: 1/3, 2/3 and 0
+    p = pred_df(spark, [[1, 1, 0, 0], [0, 1, 1, 1], [1, 0, 0, 0]],
+                [[.9, .2, .6, .1], [.1, .7, .8, .3], [.2, .1, .1, .4]])
+    r = one(M.sample_set_metrics(p, 0.5))
+    assert r["hamming_score"] == pytest.approx(1 / 3)
+    assert r["jaccard_samples"] == pytest.approx(1 / 3)
 
 
-def test_hamming_score_mixed_zero(spark):
-    p = pred_df(spark, [[0, 0, 0], [1, 0, 1]], [[0, 0, 0], [1, 1, 0]])
+def test_sample_sets_both_empty(spark):
+    # the first sample is a match for one score and nothing for the other
+    p = pred_df(spark, [[0, 0], [1, 1], [0, 1]], [[.2, .1], [.9, .4], [.6, .3]])
     r = one(M.sample_set_metrics(p, 0.5))
-    assert r["hamming_score"] == pytest.approx(2 / 3)
-    assert r["jaccard_samples"] == pytest.approx(1 / 6)
+    assert r["hamming_score"] == pytest.approx((1 + 1 / 2 + 0) / 3)
+    assert r["jaccard_samples"] == pytest.approx((0 + 1 / 2 + 0) / 3)
 
 
 def test_hit_rate_top1(spark):
-    hit = pred_df(spark, [[0, 1, 0, 0], [1, 0, 0, 0]], [[.1, .9, .2, .3], [.8, .1, .2, .3]])
-    miss = pred_df(spark, [[0, 1, 0, 0], [1, 0, 0, 0]], [[.9, .1, .2, .3], [.1, .8, .2, .3]])
-    assert one(M.hit_rate_at_k(hit, 1))["hr_at_1"] == 1.0
-    assert one(M.hit_rate_at_k(miss, 1))["hr_at_1"] == 0.0
+    p = pred_df(spark, [[0, 0, 1], [1, 0, 0], [0, 1, 0]], [[.3, .5, .7], [.4, .6, .1], [.2, .9, .8]])
+    assert one(M.hit_rate_at_k(p, 1))["hr_at_1"] == pytest.approx(2 / 3)
 
 
 def test_precision_at_k_no_truth(spark):
-    p = pred_df(spark, [[0, 0, 0, 0]], [[.1, .2, .3, .4]])
+    p = pred_df(spark, [[0, 0, 0], [0, 0, 0]], [[.6, .5, .9], [.3, .2, .7]])
     assert one(M.precision_at_k(p, 2))["precision_at_2"] == 0.0
 
 
 def test_diagnostic_stats(spark):
-    p = pred_df(spark, [[1, 0], [0, 1]], [[.8, .2], [.3, .7]])
-    r = one(M.diagnostic_stats(p, 0.5))
-    assert (r["support"], r["num_positive"], r["threshold"]) == (4, 2, 0.5)
-    assert r["avg_probability"] == pytest.approx(0.5)
+    p = pred_df(spark, [[1, 0, 1], [0, 0, 1]], [[.9, .3, .6], [.2, .4, .5]])
+    r = one(M.diagnostic_stats(p, 0.35))
+    assert (r["support"], r["num_positive"], r["threshold"]) == (6, 3, 0.35)
+    assert r["avg_probability"] == pytest.approx(2.9 / 6)
 
 
 def test_threshold_search_f1(spark):
-    p = pred_df(spark, [[0], [1], [0], [1]], [[.1], [.9], [.3], [.8]])
+    p = pred_df(spark, [[1], [1], [0], [0], [1], [0]], [[.75], [.55], [.45], [.15], [.65], [.35]])
     r = one(M.best_threshold(p, "f1"))
     assert r["best_score"] == pytest.approx(1.0)
-    assert 0.2 <= r["best_threshold"] <= 0.8
+    assert 0.45 <= r["best_threshold"] <= 0.55
 
 
-def test_threshold_search_separable_accuracy(spark):
-    p = pred_df(spark, [[0], [0], [1], [1]], [[.1], [.2], [.8], [.9]])
-    assert one(M.best_threshold(p, "accuracy"))["best_score"] == pytest.approx(1.0)
+def test_threshold_search_one_error(spark):
+    # the 0 at .7 lies above the 1 at .6: one of five is wrong at any threshold
+    p = pred_df(spark, [[1], [0], [1], [0], [0]], [[.9], [.7], [.6], [.4], [.1]])
+    assert one(M.best_threshold(p, "accuracy"))["best_score"] == pytest.approx(0.8)
 
 
 def test_threshold_default_when_nothing_scores(spark):
-    p = pred_df(spark, [[0], [0]], [[.1], [.2]])
+    p = pred_df(spark, [[0], [0], [0]], [[.4], [.3], [.15]])
     r = one(M.best_threshold(p, "f1"))
     assert (r["best_threshold"], r["best_score"]) == (0.5, 0.0)
 
