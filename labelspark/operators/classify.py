@@ -5,10 +5,12 @@ encoder runs upstream, e.g. through :mod:`labelspark.operators.annotate`'s
 Arrow hook).  Scoring is one expression per pair after each vector has been
 normalised once in its own table.
 
-The text x shared-label product (D-1) broadcasts the label side only after
-checking its row count against ``max_broadcast_labels``; above that the
-product is distributed as an equi-join on label blocks, so neither side has
-to fit in one executor.
+The text x shared-label product (D-1) scores whole Arrow batches of texts
+against the label matrix (one matrix product per batch, softmax across a
+text's labels inside it, no shuffle).  The matrix is collected and broadcast
+only if it is small, in rows and in bytes; beyond that the product is tiled
+into (text block, label block) pairs by an equi-join, so neither side has to
+fit in one executor.
 """
 
 from __future__ import annotations
@@ -20,44 +22,105 @@ from pyspark.sql import functions as F
 
 from ..functions.activation import sigmoid, softmax_over
 from ..functions.vector import dot, l2_normalize, logit_scale
-from .prefix import global_row_number, materialize, top_k_per_group
+from .prefix import global_row_number, top_k_per_group
 
-MAX_BROADCAST_LABELS = 200_000
+#: A label side of at most this many rows and bytes is broadcast as a matrix.
+MAX_MATRIX_ROWS = 4096
+MAX_MATRIX_BYTES = 64 << 20
 
 
-def label_side_is_small(labels: DataFrame, limit: int = MAX_BROADCAST_LABELS) -> bool:
-    """Bounded check: counts at most ``limit + 1`` rows of the label side."""
-    return labels.limit(limit + 1).count() <= limit
+def pair_product(texts: DataFrame, labels: DataFrame, text_blocks: int | None = None,
+                 label_blocks: int | None = None) -> DataFrame:
+    """D-1 for a label side of any size: every text against every label, tiled.
+    A task joins one block of texts with one block of labels; texts are copied
+    once per label block and labels once per text block."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    label_blocks = label_blocks or max(1, int(n ** 0.5))
+    text_blocks = text_blocks or max(1, -(-n // label_blocks))
 
+    def block(df: DataFrame, count: int) -> Column:
+        return F.pmod(F.xxhash64(*df.columns), F.lit(count))
 
-def pair_product(texts: DataFrame, labels: DataFrame, blocks: int | None = None,
-                 max_broadcast_labels: int = MAX_BROADCAST_LABELS) -> DataFrame:
-    """D-1: every text against every shared candidate label.
+    def every(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
 
-    The label side is computed once and written to the shared folder (it is usually an
-    aggregate such as per-class centroids, a full pass over its input); its
-    row count is then checked from that table before it is broadcast."""
-    labels = materialize(labels)
-    if label_side_is_small(labels, max_broadcast_labels):
-        return texts.crossJoin(F.broadcast(labels))
-    nb = blocks or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    lb = labels.withColumn("_blk", F.pmod(F.xxhash64(*labels.columns), F.lit(nb)))
-    tb = texts.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    return tb.join(lb, on="_blk", how="inner").drop("_blk")
+    t = texts.withColumn("_tb", block(texts, text_blocks)).withColumn("_lb", every(label_blocks))
+    lab = labels.withColumn("_lb", block(labels, label_blocks)).withColumn("_tb", every(text_blocks))
+    return t.join(lab, on=["_tb", "_lb"], how="inner").drop("_tb", "_lb")
+
+
+def label_matrix(labels: DataFrame, vec: str):
+    """The label side as an Arrow table if it is small enough, else None.  At
+    most one row more than the bound is fetched."""
+    got = labels.limit(MAX_MATRIX_ROWS + 1).toArrow()
+    small = got.num_rows <= MAX_MATRIX_ROWS and got.nbytes <= MAX_MATRIX_BYTES
+    sizes = {len(v) for v in got.column(vec).to_pylist() if v is not None} if small else set()
+    return got if small and len(sizes) <= 1 else None
+
+
+def _score_batches(texts: DataFrame, labels: DataFrame, table, text_vec: str, label_vec: str, head: str,
+                   scale: float, bias: float, activation: str) -> DataFrame:
+    """Rows of ``texts`` times the rows of the label table, with logits."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    t_cols = [c for c in texts.columns if c != text_vec]
+    l_cols = [c for c in labels.columns if c != label_vec]
+    schema = T.StructType([texts.schema[c] for c in t_cols] + [labels.schema[c] for c in l_cols]
+                          + [T.StructField("logit", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    rows = [v for v in table.column(label_vec).to_pylist()]
+    dim = next((len(v) for v in rows if v is not None), 0)
+    matrix = np.array([v if v is not None else [np.nan] * dim for v in rows], float).reshape(len(rows), dim)
+    missing = np.array([v is None for v in rows], bool)
+    n_labels, side = len(rows), table.select(l_cols).combine_chunks()
+
+    def vectors(column) -> tuple[np.ndarray, np.ndarray]:
+        """Text vectors, and which of them are missing or of another length."""
+        size = np.array([-1 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()])
+        bad = size != dim
+        out = np.zeros((len(size), dim))
+        if dim and not bad.all():
+            good = column.filter(pa.array(~bad)) if bad.any() else column
+            out[~bad] = good.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+        return out, bad
+
+    def run(batches):
+        for batch in batches:
+            x, bad = vectors(batch.column(text_vec))
+            if head == "cosine":
+                x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+            logit = x @ matrix.T
+            logit = logit * logit_scale(scale) if head == "cosine" else logit + bias
+            void = bad[:, None] | missing[None, :]
+            if activation == "softmax":
+                z = np.where(void, -np.inf, logit)
+                e = np.exp(z - np.max(z, axis=1, keepdims=True, initial=-1e300))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    score = e / e.sum(axis=1, keepdims=True)
+            elif activation == "sigmoid":
+                score = 1.0 / (1.0 + np.exp(-logit))
+            else:
+                score = logit
+            take = pa.array(np.repeat(np.arange(batch.num_rows), n_labels))
+            again = pa.array(np.tile(np.arange(n_labels), batch.num_rows))
+            mask = void.ravel()
+            columns = [batch.column(c).take(take) for c in t_cols]
+            columns += [side.column(c).combine_chunks().take(again) if n_labels else pa.array([], side.schema.field(c).type) for c in l_cols]
+            columns += [pa.array(a.ravel(), pa.float64(), mask=mask) for a in (logit, score)]
+            yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=schema.names)
+
+    return texts.mapInArrow(run, schema)
 
 
 def score_expr(text_vec: str, label_vec: str, head: str = "cosine", scale: float = 2.0,
-               weights: Sequence[float] | None = None,
-               matrix: Sequence[Sequence[float]] | None = None, bias: float = 0.0,
-               normalized: bool = True) -> Column:
+               bias: float = 0.0) -> Column:
     """Similarity head on prepared sides (see :func:`prepare_label_side`):
     'cosine' (F-9, both sides unit vectors), 'dot' (F-10, label side already
     multiplied by w) or 'bilinear' (F-11, label side already projected by W).
     Every head is one dot product per pair."""
     if head == "cosine":
-        a = F.col(text_vec) if normalized else l2_normalize(text_vec)
-        b = F.col(label_vec) if normalized else l2_normalize(label_vec)
-        return dot(a, b) * F.lit(logit_scale(scale))
+        return dot(F.col(text_vec), F.col(label_vec)) * F.lit(logit_scale(scale))
     if head in ("dot", "bilinear"):
         return dot(text_vec, label_vec) + F.lit(float(bias))
     raise ValueError(f"unknown head {head!r}")
@@ -104,24 +167,26 @@ def score_pairs(texts: DataFrame, labels: DataFrame, text_vec: str = "text_vec",
                 label_vec: str = "label_vec", head: str = "cosine", scale: float = 2.0,
                 weights: Sequence[float] | None = None,
                 matrix: Sequence[Sequence[float]] | None = None, bias: float = 0.0,
-                activation: str = "sigmoid", sample: str = "sample_id",
-                max_broadcast_labels: int = MAX_BROADCAST_LABELS) -> DataFrame:
+                activation: str = "sigmoid", sample: str = "sample_id") -> DataFrame:
     """J-1 core: pairs -> logit -> activation.  Adds ``logit`` and ``score``;
-    'softmax' normalises across each sample's labels, 'sigmoid' is per pair,
-    'none' keeps the logit."""
-    t = prepare_text_side(texts, text_vec, head)
+    'softmax' normalises across a text's labels (one row per ``sample``),
+    'sigmoid' is per pair, 'none' keeps the logit.  A missing vector, or one of
+    another length than the labels', gives NULLs."""
+    if activation not in ("sigmoid", "softmax", "none"):
+        raise ValueError(f"unknown activation {activation!r}")
+    if head not in ("cosine", "dot", "bilinear"):
+        raise ValueError(f"unknown head {head!r}")
     lab = prepare_label_side(labels, label_vec, head, matrix, weights)
-    pairs = pair_product(t, lab, max_broadcast_labels=max_broadcast_labels)
-    pairs = pairs.withColumn("logit", score_expr(text_vec, label_vec, head, scale, weights,
-                                                 matrix, bias, normalized=True))
-    pairs = pairs.drop(text_vec, label_vec)
+    table = label_matrix(lab, label_vec)
+    if table is not None:
+        return _score_batches(texts, lab, table, text_vec, label_vec, head, scale, bias, activation)
+    pairs = pair_product(prepare_text_side(texts, text_vec, head), lab)
+    pairs = pairs.withColumn("logit", score_expr(text_vec, label_vec, head, scale, bias)).drop(text_vec, label_vec)
     if activation == "sigmoid":
         return pairs.withColumn("score", sigmoid("logit"))
     if activation == "softmax":
         return softmax_over(pairs, [sample], "logit", "score")
-    if activation == "none":
-        return pairs.withColumn("score", F.col("logit"))
-    raise ValueError(f"unknown activation {activation!r}")
+    return pairs.withColumn("score", F.col("logit"))
 
 
 def own_label_pairs(samples: DataFrame, sample: str = "sample_id", ltext: str = "ltext",
@@ -171,7 +236,7 @@ def top_predictions(pred: DataFrame, k: int | None = None, sample: str = "sample
     first ``k`` (all when ``k`` is falsy) as rows with ``rank``."""
     order = [F.col(score).desc(), F.col(label_id).asc()]
     if k:
-        return top_k_per_group(pred, [sample], order, k, salt=label_id)
+        return top_k_per_group(pred, [sample], order, k)
     # all labels ranked: distributed row number inside each sample
     return global_row_number(pred, [(score, False), (label_id, True)], keys=[sample], out="rank")
 
@@ -187,13 +252,11 @@ def top_label(pred: DataFrame, sample: str = "sample_id", label: str = "label",
 
 def suggest_labels(pred: DataFrame, k: int = 10, threshold: float = 0.3,
                    sample: str = "sample_id", label_id: str = "label_id",
-                   score: str = "score", salts: int | None = None) -> DataFrame:
-    """H-4: vocabulary labels with score > threshold, best ``k`` per text.
-    The per-text ranking is salted by label so a large vocabulary is cut
-    to k per block before the final rank."""
+                   score: str = "score") -> DataFrame:
+    """H-4: vocabulary labels with score > threshold, best ``k`` per text."""
     cand = pred.filter(F.col(score) > F.lit(float(threshold)))
     order = [F.col(score).desc(), F.col(label_id).asc()]
-    return top_k_per_group(cand, [sample], order, k, salt=label_id, salts=salts)
+    return top_k_per_group(cand, [sample], order, k)
 
 
 def classify_with_threshold(pred: DataFrame, threshold: float = 0.5,
@@ -222,7 +285,7 @@ def score_own_labels(texts: DataFrame, label_vectors: DataFrame, sample: str = "
     t = prepare_text_side(texts.select(sample, text_vec), text_vec)
     lab = prepare_label_side(label_vectors, label_vec)
     j = lab.join(t, on=sample, how="inner")
-    j = j.withColumn("logit", score_expr(text_vec, label_vec, "cosine", scale, normalized=True))
+    j = j.withColumn("logit", score_expr(text_vec, label_vec, "cosine", scale))
     return j.drop(text_vec, label_vec).withColumn("score", sigmoid("logit"))
 
 

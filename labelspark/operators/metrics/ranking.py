@@ -2,9 +2,9 @@
 
 Labels are ranked inside each sample by ``score`` descending, ties broken by
 ``label_id`` descending (what a stable ascending argsort taken from the end
-gives).  Top-k work keeps only the first ``k`` rows of each sample through a
-salted two-stage rank, so the per-sample ranking never needs a whole
-(possibly huge) sample in one task.
+gives).  Top-k work keeps only the first ``k`` rows of each sample, cut inside
+each map task before the shuffle, so the per-sample ranking never needs a
+whole (possibly huge) sample in one task.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..prefix import default_salts, running_sums, top_k_per_group
+from ..prefix import running_sums, top_k_per_group
 
 DEFAULT_KS = (1, 3, 5, 10)
 
@@ -26,12 +26,11 @@ def rank_order(score: str = "score", label: str = "label_id") -> list[Column]:
 
 def rank_labels(pred: DataFrame, k: int, keys: Sequence[str] = (),
                 sample: str = "sample_id", label: str = "label_id",
-                score: str = "score", with_ties: bool = False,
-                salts: int | None = None) -> DataFrame:
+                score: str = "score", with_ties: bool = False) -> DataFrame:
     """G-1: the top-k labels of each sample with ``rank`` 1..k."""
     return top_k_per_group(
-        pred, list(keys) + [sample], rank_order(score, label), k, salt=label,
-        salts=salts, tie_order=[F.col(score).desc()] if with_ties else None)
+        pred, list(keys) + [sample], rank_order(score, label), k,
+        tie_order=[F.col(score).desc()] if with_ties else None)
 
 
 def _idcg_table(k: int) -> Column:
@@ -49,42 +48,24 @@ def _discount(pos: Column, k: int) -> Column:
 
 def per_sample_topk(pred: DataFrame, ks: Sequence[int], keys: Sequence[str] = (),
                     sample: str = "sample_id", label: str = "label_id",
-                    score: str = "score", truth: str = "truth",
-                    salts: int | None = None) -> DataFrame:
+                    score: str = "score", truth: str = "truth") -> DataFrame:
     """Per sample and for every k: hit, best / worst true position within k,
     hits within k and tie-averaged DCG@k, plus the sample's #labels and
     #positives.
 
-    One pass over ``pred``: stage 1 ranks inside ``(sample, hash(label) %
-    salts)`` and keeps every row tied with the k-th; each salt bucket's label
-    and positive counts ride along on its first row.  Stage 2 sums those
-    counts per sample, ranks the survivors and keeps the top k (whole tie
-    groups), so no task holds more than ``k x salts`` rows of a sample."""
+    The counts are a partial aggregate; the ranked rows are those tied with or
+    above the k-th, cut to them in the map tasks.  Both meet on the sample."""
     keys = list(keys)
     kmax = max(ks)
     grp = keys + [sample]
-    salts = salts if salts is not None else default_salts(pred)
-    y = F.col(truth).cast("long")
-    w1 = Window.partitionBy(*grp, "_salt")
-    s1 = pred.withColumn("_salt", F.pmod(F.xxhash64(F.col(label)), F.lit(salts)))
-    s1 = s1.select(
-        *grp, label, score, truth,
-        F.rank().over(w1.orderBy(F.col(score).desc())).alias("_r1"),
-        (F.row_number().over(w1.orderBy(*rank_order(score, label))) == 1).alias("_first"),
-        F.count(F.lit(1)).over(w1).alias("_n"), F.sum(y).over(w1).alias("_p"))
-    s1 = s1.filter(F.col("_r1") <= kmax)
-    w2 = Window.partitionBy(*grp)
-    s2 = s1.select(
-        *grp, label, score, truth,
-        F.sum(F.when(F.col("_first"), F.col("_n")).otherwise(0)).over(w2).alias("n_labels"),
-        F.sum(F.when(F.col("_first"), F.col("_p")).otherwise(0)).over(w2).alias("n_pos"),
-        F.rank().over(w2.orderBy(F.col(score).desc())).alias("_r2"))
-    top = s2.filter(F.col("_r2") <= kmax).withColumn(
-        "rank", F.row_number().over(w2.orderBy(*rank_order(score, label))))
+    counts = pred.groupBy(*grp).agg(F.count(F.lit(1)).alias("n_labels"),
+                                    F.sum(F.col(truth).cast("long")).alias("n_pos"))
+    top = top_k_per_group(pred.select(*grp, label, score, truth), grp, rank_order(score, label), kmax,
+                          tie_order=[F.col(score).desc()])
     peers = Window.partitionBy(*grp).orderBy(F.col(score).desc()).rangeBetween(0, 0)
     top = top.withColumn("_gain", F.avg(F.col(truth).cast("double")).over(peers))
     pos, yy = F.col("rank"), F.col(truth) == 1
-    aggs = [F.first("n_labels").alias("n_labels"), F.first("n_pos").alias("n_pos")]
+    aggs = []
     for k in ks:
         inside = pos <= k
         aggs += [
@@ -93,12 +74,19 @@ def per_sample_topk(pred: DataFrame, ks: Sequence[int], keys: Sequence[str] = ()
             F.max(F.when(inside & yy, pos)).alias(f"worst_{k}"),
             F.sum(F.col("_gain") * _discount(pos, k)).alias(f"dcg_{k}"),
         ]
-    return top.groupBy(*grp).agg(*aggs)
+    best = top.groupBy(*grp).agg(*aggs)
+    if not keys:
+        return best.join(counts, sample)
+    same = F.lit(True)
+    for c in grp:  # a key may be NULL
+        same = same & F.col(f"b.{c}").eqNullSafe(F.col(f"c.{c}"))
+    return best.alias("b").join(counts.alias("c"), same).select("b.*", "c.n_labels", "c.n_pos")
 
 
 def topk_from_samples(per: DataFrame, ks: Sequence[int], keys: Sequence[str] = (),
-                      mrr_mode: str = "standard") -> DataFrame:
-    """Average the per-sample top-k stats into HR / MRR / P / NDCG @k."""
+                      mrr_mode: str = "standard", more: Sequence[Column] = ()) -> DataFrame:
+    """Average the per-sample top-k stats into HR / MRR / P / NDCG @k (and the
+    aggregates ``more``)."""
     idcg = _idcg_table(max(ks))
     has_pos = F.col("n_pos") > 0
     aggs = []
@@ -119,7 +107,7 @@ def topk_from_samples(per: DataFrame, ks: Sequence[int], keys: Sequence[str] = (
             F.avg(F.when(ideal > 0, F.col(f"dcg_{k}") / ideal).otherwise(F.lit(0.0)))
             .alias(f"ndcg_at_{k}"),
         ]
-    return per.groupBy(*keys).agg(*aggs)
+    return per.groupBy(*keys).agg(*aggs, *more)
 
 
 def topk_metrics(pred: DataFrame, ks: Sequence[int] = DEFAULT_KS, keys: Sequence[str] = (),
@@ -165,13 +153,11 @@ def topk_suite(pred: DataFrame, ks: Sequence[int] = DEFAULT_KS, keys: Sequence[s
     """
     keys = list(keys)
     per = per_sample_topk(pred, ks, keys, sample, label, score, truth)
-    first = per.groupBy(*keys).agg(F.min_by("n_labels", F.col(sample)).alias("n_first"))
-    per = (per.join(first, on=keys, how="inner") if keys
-           else per.crossJoin(F.broadcast(first)))
-    per = per.filter(F.col("n_labels") == F.col("n_first"))
-    wide = topk_from_samples(per, ks, keys, mrr_mode).join(
-        first, on=keys, how="inner") if keys else topk_from_samples(
-        per, ks, keys, mrr_mode).crossJoin(F.broadcast(first))
+    # one row per (key, label count), then the one with the first sample
+    wide = topk_from_samples(per, ks, [*keys, "n_labels"], mrr_mode, [F.min(sample).alias("_first")])
+    cols = [F.col(c) for c in wide.columns if c not in keys]
+    wide = wide.groupBy(*keys).agg(F.min_by(F.struct(*cols), "_first").alias("w")).select(*keys, "w.*")
+    wide = wide.withColumnRenamed("n_labels", "n_first").where("n_first is not null")
     rows = F.array(*[
         F.struct(F.lit(k).alias("k"), F.col(f"hr_at_{k}").alias("hr_at_k"),
                  F.col(f"mrr_at_{k}").alias("mrr_at_k"),

@@ -1,10 +1,8 @@
 """Vector pooling (E-25, G-4) and label centroids.
 
-Vectors are exploded to ``(group, dim, value)`` and averaged with a normal
-``groupBy``: the partial aggregation combines map-side, so a hot group (one
-label holding a third of all vectors) costs one row per dimension per task
-before the shuffle.  The result is re-assembled per group in dimension order
-(bounded by the vector width).
+Means are one aggregate with a vector buffer per group (``Summarizer``),
+combined map-side: a hot group (one label holding a third of all vectors)
+sends one vector per task.
 """
 
 from __future__ import annotations
@@ -18,13 +16,14 @@ from pyspark.sql import functions as F
 def mean_pool(vectors: DataFrame, group: Sequence[str], vec: str = "vec",
               out: str = "vec") -> DataFrame:
     """Average the vectors of each group element-wise; empty groups vanish."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     group = list(group)
-    long = vectors.select(*group, F.posexplode(F.col(vec).cast("array<double>"))
-                          .alias("_d", "_x"))
-    per_dim = long.groupBy(*group, "_d").agg(F.avg("_x").alias("_x"))
-    return per_dim.groupBy(*group).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_d", "_x"))),
-                    lambda s: s["_x"]).alias(out))
+    v = array_to_vector(F.col(vec).cast("array<double>"))
+    present = vectors.where(F.col(vec).isNotNull())
+    return (present.groupBy(*group).agg(Summarizer.mean(v).alias("_m"))
+            .select(*group, vector_to_array("_m").alias(out)))
 
 
 def pool_tokens(tokens: DataFrame, sample: str = "sample_id", lmask: str = "lmask",

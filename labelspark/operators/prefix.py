@@ -9,11 +9,9 @@ Never an un-partitioned ``Window.orderBy`` over raw rows: that plans an
   running total of the range totals (a table of ``#keys x #ranges`` rows).  A
   hot key is spread over all ranges, and so is an ordering whose first column
   has few values; ordering columns of any type may be NULL.
-* :func:`top_k_per_group` ranks in two stages: first inside
-  ``(keys, salt)`` partitions, keeping at most ``k`` rows each, then inside
-  ``keys`` over the at most ``k x salts`` survivors.  ``salts`` defaults to the
-  shuffle-partition count, so a group with a third of all rows is ranked by
-  the whole cluster in parallel.
+* :func:`top_k_per_group` is a rank filter: Spark keeps the best ``k`` rows of
+  every group inside each map task (a window group limit) before the shuffle,
+  so a group with a third of all rows sends ``k`` rows per task.
 """
 
 from __future__ import annotations
@@ -141,19 +139,8 @@ def global_row_number(df: DataFrame, order: Sequence[tuple[str, bool]],
     return running_sums(df, keys, order, {out: F.lit(1)}, True, n_buckets)
 
 
-def default_salts(df: DataFrame, minimum: int = 16) -> int:
-    """Salt buckets for per-group ranking: one per shuffle partition (at least
-    ``minimum``), so a group holding a large share of all rows is spread over
-    the whole cluster.  Ordinary groups pay nothing extra: a group only has as
-    many salt buckets as it has rows."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(minimum, parts)
-
-
-def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                    k: int, salt: str | Column | None = None, salts: int | None = None,
-                    tie_order: Sequence[Column] | None = None,
-                    rank_col: str = "rank") -> DataFrame:
+def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
+                    tie_order: Sequence[Column] | None = None, rank_col: str = "rank") -> DataFrame:
     """Keep the top ``k`` rows of each key group by ``order`` and number them.
 
     With ``tie_order`` (e.g. the score alone) every row whose ``rank()`` along
@@ -162,19 +149,8 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     ``order`` inside the group in both cases.
     """
     keys = list(keys)
-    salts = salts if salts is not None else default_salts(df)
-
-    def keep(frame: DataFrame, part: list, col: str) -> DataFrame:
-        if tie_order is not None:
-            r = F.rank().over(Window.partitionBy(*part).orderBy(*tie_order))
-        else:
-            r = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
-        return frame.withColumn(col, r).filter(F.col(col) <= k).drop(col)
-
-    if salt is not None and salts > 1:
-        s = F.col(salt) if isinstance(salt, str) else salt
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(s), F.lit(salts)))
-        df = keep(salted, keys + ["_salt"], "_r1").drop("_salt")
-    out = keep(df, keys, "_r2")
-    return out.withColumn(rank_col, F.row_number().over(
-        Window.partitionBy(*keys).orderBy(*order)))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if tie_order is None:
+        return df.withColumn(rank_col, number).filter(F.col(rank_col) <= k)
+    r = F.rank().over(Window.partitionBy(*keys).orderBy(*tie_order))
+    return df.withColumn("_r", r).filter(F.col("_r") <= k).drop("_r").withColumn(rank_col, number)

@@ -176,14 +176,22 @@ def test_checked_vocab_rejects_large(spark):
     assert N.checked_vocab(d, "v", max_size=100).collect()[0].vocab == list(range(50))
 
 
-def test_pair_product_block_fallback_equals_broadcast(spark):
-    from labelspark.operators.classify import pair_product
-    texts = spark.range(0, 40).withColumnRenamed("id", "t")
-    labels = spark.range(0, 25).withColumnRenamed("id", "l")
-    a = sorted(tuple(r) for r in pair_product(texts, labels).collect())
-    b = sorted(tuple(r) for r in pair_product(texts, labels, blocks=4,
-                                              max_broadcast_labels=10).collect())
-    assert a == b and len(a) == 1000
+def test_tiled_product_equals_matrix_scores(spark, monkeypatch):
+    from labelspark.operators import classify as C
+    vec = "transform(sequence(0, 4), j -> cast(sin({} * 5 + j) AS double))"
+    texts = spark.range(0, 40).selectExpr("id AS sample_id", f"CASE WHEN id = 7 THEN NULL ELSE {vec.format('id')} END AS text_vec")
+    labels = spark.range(0, 25).selectExpr("id AS cand", f"{vec.format('(id + 100)')} AS label_vec")
+    assert C.pair_product(texts, labels, text_blocks=3, label_blocks=4).select("sample_id", "cand").distinct().count() == 1000
+    weights, matrix = [.5, -1., 2., 0., 1.], [[float(i * j % 3) for j in range(5)] for i in range(5)]
+    for head, act in (("cosine", "sigmoid"), ("cosine", "softmax"), ("dot", "none"), ("bilinear", "sigmoid")):
+        got = []
+        for rows in (4096, 10):
+            monkeypatch.setattr(C, "MAX_MATRIX_ROWS", rows)
+            s = C.score_pairs(texts, labels, head=head, activation=act, weights=weights, matrix=matrix, bias=.25)
+            got.append({(r["sample_id"], r["cand"]): (r["logit"], r["score"]) for r in s.collect()})
+        assert got[0].keys() == got[1].keys() and len(got[0]) == 1000
+        for k, (a, b) in got[0].items():
+            assert (a, b) == (None, None) if k[0] == 7 else (a, b) == pytest.approx(got[1][k])
 
 
 def test_sample_exact_small_input_returns_all(spark):
