@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from labelspark.llm.oracles import ORACLE  # noqa: F401  (part of this module's interface)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -50,10 +51,14 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-probabilities of all documents, learned from nine tenths of them."""
+    """Log-probabilities of all documents, learned from nine tenths of them;
+    rounded to six places, as sums of logarithms depend on their order."""
+    from pyspark.sql import functions as F
+
     from labelspark.llm import lm
 
-    return lm.score(table(spark, sf_dir, "documents"), order=2)
+    out = lm.score(table(spark, sf_dir, "documents"), order=2)
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 @query
