@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from labelspark.llm.templates import MIN_SHARE, NAME, NUM, PUNCT, UNIT, UNITS
+
 #: Fixed value: the reflected polynomial of CRC-32.
 CRC = "3988292384"
 
@@ -57,4 +59,36 @@ SELECT doc_id, held AS held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c
        round(sum(log10(p)), 6) AS base_score, round(sum(log10((c2 + 50.0::DOUBLE * p) / (ch + 50.0::DOUBLE))), 6) AS score
 FROM u GROUP BY doc_id, held, n"""
 
-ORACLE = {"op2_superminhash_neardup": NEARDUP, "op4_suffix_dedup": SUFFIX, "op9_backoff_lm": LM}
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_SLOTS = ", ".join(map(_text, (NUM, UNIT, NAME)))
+_LEADS = [f"lead({{0}}, {k}) OVER (PARTITION BY kind, id ORDER BY i)" for k in range(1, 5)]
+_FIVE = {c: ", ".join([c, *(x.format(c) for x in _LEADS)]) for c in ("c", "raw")}
+LEAKS = f"""WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+l AS (SELECT kind, id, list_filter(string_split_regex(replace(coalesce(text, ''), chr(10), ' ' || chr(10)), '[ \t\x0B\f\r]+'),
+                                   lambda w: w <> '' AND w <> chr(10)) AS ws FROM t WHERE id IS NOT NULL),
+w AS (SELECT kind, id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM l),
+e AS (SELECT *, CASE WHEN trim(w, {_text(PUNCT)}) = '' THEN w ELSE trim(w, {_text(PUNCT)}) END AS core,
+             lag(w) OVER (PARTITION BY kind, id ORDER BY i) AS before FROM w),
+c AS (SELECT kind, id, i, lower(core) AS raw,
+             CASE WHEN regexp_full_match(core, '[0-9]+([.,:/-][0-9]+)*') THEN '{NUM}'
+                  WHEN lower(core) IN ({", ".join(map(_text, UNITS))}) THEN '{UNIT}'
+                  WHEN length(core) > 1 AND core[1] <> lower(core[1]) AND core[1] || substr(lower(core), 2) = core
+                       AND i > 1 AND NOT starts_with(w, chr(10)) AND right(before, 1) NOT IN ('.', '!', '?', ':') THEN '{NAME}'
+                  ELSE lower(core) END AS c FROM e),
+v AS (SELECT kind, id, i, concat_ws(chr(31), {_FIVE["c"]}) AS key, [{_FIVE["c"]}] AS cs, [{_FIVE["raw"]}] AS rs,
+             count(*) OVER (PARTITION BY kind, id) AS n FROM c),
+win AS (SELECT * FROM v WHERE i <= greatest(n - 4, 1)),
+met AS (SELECT d.id AS d, b.id AS b, d.i - b.i AS s, d.key, b.cs, b.rs AS x, d.rs AS y
+        FROM win d JOIN win b ON d.key = b.key AND d.kind = 0 AND b.kind = 1),
+pairs AS (SELECT DISTINCT d, b, s, x[k] AS x, y[k] AS y FROM met, range(1, 6) r(k) WHERE cs[k] IN ({_SLOTS})),
+bad AS (SELECT d, b, s FROM pairs GROUP BY d, b, s HAVING count(*) > count(DISTINCT x)),
+good AS (SELECT d, b, count(DISTINCT key) AS m FROM met ANTI JOIN bad USING (d, b, s) GROUP BY d, b),
+tot AS (SELECT id AS b, count(DISTINCT key) AS n FROM win WHERE kind = 1 GROUP BY id)
+SELECT d AS doc_id, b AS item_id, n AS n_windows, m AS n_matched, m / n AS share FROM good JOIN tot USING (b) WHERE m / n >= {MIN_SHARE}::DOUBLE"""
+
+ORACLE = {"op1_template_decontamination": LEAKS, "op2_superminhash_neardup": NEARDUP, "op4_suffix_dedup": SUFFIX, "op9_backoff_lm": LM}
