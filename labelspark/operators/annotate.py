@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import DEFAULT_PROMPT_TEMPLATE, prompt, py_strip
+from .prefix import materialize
+from .sampling import sample_exact
 
 Generator = Callable[[pd.Series], pd.Series]
 
@@ -90,23 +92,35 @@ def generate(df: DataFrame, generator: Generator | None = None, prompt_col: str
     return df.mapInPandas(run, schema)
 
 
-def annotate(df: DataFrame, generator: Generator, text: str = "text", id_col: str = "doc_id",
-             min_length: int = 100, template: str = DEFAULT_PROMPT_TEMPLATE,
-             retries: int = 3) -> DataFrame:
-    """J-13: length filter (B-10) -> prompt (F-15) -> generator with retries ->
-    strict parse (F-13) -> failures skipped."""
-    d = df.filter(F.length(_c(text)) >= min_length).select(
+def annotate(df: DataFrame, generator: Generator | None = None, text: str = "text", id_col: str = "doc_id",
+             min_length: int = 100, template: str = DEFAULT_PROMPT_TEMPLATE, retries: int = 3,
+             factory: Callable[[], Generator] | None = None, sample: int | None = None, seed: int = 42,
+             path: str | None = None, batch_size: int = 50, start_index: int = 0) -> DataFrame:
+    """J-13: sample (H-5, if asked for) -> length filter (B-10) -> prompt (F-15)
+    -> generator with retries -> strict parse (F-13) -> failures skipped.
+
+    With ``path`` the records are also written there in numbered batches (A-7)
+    and the result is read back from them, so the generator runs once."""
+    d = df if sample is None else sample_exact(df, sample, id_col, seed)
+    d = d.filter(F.length(_c(text)) >= min_length).select(
         id_col, text, prompt(_c(text), template).alias("prompt"))
-    g = generate(d, generator, "prompt", "raw", retries)
+    g = generate(d, generator, "prompt", "raw", retries, factory)
     p = g.select(id_col, parse_generated("raw").alias("g")).filter(F.col("g").isNotNull())
-    return p.select(id_col, "g.sentence", "g.labels", "g.not_labels")
+    out = p.select(id_col, "g.sentence", "g.labels", "g.not_labels")
+    if path is None:
+        return out
+    from ..sources.sinks import write_batches
+
+    # the batches are numbered from a sample and two passes: write once first
+    write_batches(materialize(out), path, id_col, batch_size, start_index)
+    return df.sparkSession.read.schema(out.schema).json(path)
 
 
 def stub_generator(prompts: pd.Series) -> pd.Series:
     """Deterministic stand-in for a text generator (tests, smoke runs): the
-    'sentence' is the first 60 characters of the text, labels are its first
-    two words, negatives its last word; every prompt whose text length is a
-    multiple of 7 gets malformed output."""
+    'sentence' is the text, labels are its words of more than twelve letters,
+    negatives those of one; every prompt whose text length is a multiple of 7
+    gets malformed output."""
     import json
 
     def one(p: str) -> str:
@@ -114,6 +128,6 @@ def stub_generator(prompts: pd.Series) -> pd.Series:
         if len(body) % 7 == 0:
             return "{not json"
         words = body.split()
-        return json.dumps({"sentence": body[:60], "labels": words[:2],
-                           "not_labels": words[-1:]})
+        return json.dumps({"sentence": body, "labels": [w for w in words if len(w) > 12],
+                           "not_labels": [w for w in words if len(w) == 1]})
     return prompts.map(one)

@@ -91,3 +91,18 @@ def union_capped(parts: dict[str, DataFrame], id_col: str, cap: int | None = Non
         d = d.withColumn("source", F.lit(name))
         out = d if out is None else out.unionByName(d)
     return out
+
+
+def assemble_corpus(base: DataFrame, extras: dict[str, DataFrame], id_col: str, name: str = "base",
+                    test_size: float = 0.1, cap: int | None = None, seed: int = 42) -> DataFrame:
+    """J-14: the training corpus itself.  ``base`` is split (H-9), the extra
+    corpora, at most ``cap`` rows each, join the training part only, and all
+    rows get a ``sample_id`` in one seeded global order (ids of different
+    corpora may be equal: a row is told by ``source`` and its own id)."""
+    out = split_train_validation(base.withColumn("source", F.lit(name)), id_col, test_size, seed)
+    if extras:
+        more = union_capped(extras, id_col, cap, seed).withColumn("split", F.lit("train"))
+        out = out.unionByName(more, allowMissingColumns=True)
+    key = F.conv(F.substring(hash_key(F.col("source"), F.col(id_col), F.lit(seed)), 1, 15), 16, 10).cast("long")
+    ordered = global_row_number(out.withColumn(KEY, key), [(KEY, True), ("source", True), (id_col, True)], out="_n")
+    return ordered.withColumn("sample_id", F.col("_n") - 1).drop("_n", KEY)

@@ -19,6 +19,7 @@ from ..operators import metrics as M
 from ..operators import normalize as N
 from ..operators import sampling as SM
 from ..operators.classify import own_label_pairs
+from ..operators.evaluate import evaluate
 from ..session import scratch_path
 from ..sources import readers as R
 from ..sources import sinks as K
@@ -89,14 +90,11 @@ def _ok_sql(a: str) -> str:
 @register("label_conformance", f"""
 SELECT doc_id, {_ok_sql('l')} AS labels_ok, {_ok_sql('n')} AS not_labels_ok,
        {_ok_sql('l')} AND {_ok_sql('n')} AS conforms
-FROM (SELECT doc_id, list_slice(w, 1, 3 + doc_id % 14) AS l,
-             list_slice(w, 21, 21 + 5 + doc_id % 12 - 1) AS n
-      FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))""")
+FROM (SELECT doc_id, string_split(text, chr(10)) AS l, string_split(text, '. ') AS n FROM documents)""")
 def label_conformance(spark, sf):
-    """F-14: 5..15 distinct non-blank labels and negatives, as flags."""
-    d = read(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("w"))
-    d = d.select("doc_id", F.slice("w", 1, F.lit(3) + F.pmod("doc_id", F.lit(14))).alias("l"),
-                 F.slice("w", 21, F.lit(5) + F.pmod("doc_id", F.lit(12))).alias("n"))
+    """F-14: 5..15 distinct non-blank labels and negatives, as flags; the lines
+    and the sentences of each whole text stand for them."""
+    d = read(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("l"), F.split("text", "\\. ").alias("n"))
     return d.select("doc_id", AN.conformance_flags("l", "n").alias("f")).select(
         "doc_id", "f.labels_ok", "f.not_labels_ok", "f.conforms")
 
@@ -105,8 +103,8 @@ _WORDS = f"list_filter(regexp_split_to_array(text, '{TX.PY_WHITESPACE_CLASS}+'),
 
 
 @register("annotate_stub", f"""
-SELECT doc_id, left(text, 60) AS sentence, list_slice(w, 1, 2) AS labels,
-       list_slice(w, len(w), len(w)) AS not_labels
+SELECT doc_id, text AS sentence, list_filter(w, lambda x: length(x) > 12) AS labels,
+       list_filter(w, lambda x: length(x) = 1) AS not_labels
 FROM (SELECT doc_id, text, {_WORDS} AS w FROM documents
       WHERE length(text) >= 100 AND length(text) % 7 <> 0)""")
 def annotate_stub(spark, sf):
@@ -261,13 +259,10 @@ SELECT {ACC} AS accuracy, {PREC} AS precision, {REC} AS recall, {F1} AS f1, curv
        (SELECT {_topk_cols(3)['ndcg']} FROM ss) AS ndcg_at_3
 FROM conf, curve"""))
 def evaluate_dataset(spark, sf):
-    """J-11: score -> metrics bundle + top-k in one job (only aggregates leave
-    the cluster)."""
-    p = flagship_pred(spark, sf).drop("logit")
-    b = M.basic_metrics(p, 0.5)
-    c = M.curve_stats(p)
-    t = M.topk_metrics(p, (1, 3)).select("hr_at_1", "hr_at_3", "mrr_at_3", "ndcg_at_3")
-    return b.crossJoin(c).crossJoin(t)
+    """J-11: one scoring pass -> metrics and top-k (only aggregates leave the
+    cluster)."""
+    return evaluate(flagship_pred(spark, sf).drop("logit"), ks=(1, 3)).select(
+        "accuracy", "precision", "recall", "f1", "roc_auc", "avg_precision", "hr_at_1", "hr_at_3", "mrr_at_3", "ndcg_at_3")
 
 
 @register("assemble_training_corpus", f"""
@@ -292,3 +287,19 @@ def assemble_training_corpus(spark, sf):
         "id", cap=100, seed=42).withColumn("split", F.lit("train"))
     allr = docs.unionByName(extras)
     return allr.rollup("split", "source").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("training_corpus", f"""
+WITH allr AS (
+  SELECT doc_id AS id, CASE WHEN {S.uniform('doc_id', '42', "'split'")} < 0.1 THEN 'validation' ELSE 'train' END AS split,
+         'documents' AS source FROM documents
+  UNION ALL
+  SELECT id, 'train', 'benchmark' FROM (SELECT item_id AS id FROM benchmark ORDER BY {S.num_key('item_id', '42')}, item_id LIMIT 100)
+  UNION ALL
+  SELECT id, 'train', 'pages' FROM (SELECT page_id AS id FROM pages ORDER BY {S.num_key('page_id', '42')}, page_id LIMIT 100))
+SELECT row_number() OVER (ORDER BY {S.num_key('source', 'id', '42')}, source, id) - 1 AS sample_id, id, split, source FROM allr""")
+def training_corpus(spark, sf):
+    """J-14 / A-2: the assembled corpus itself, re-keyed in one seeded order."""
+    ids = {t: read(spark, sf, t).select(F.col(c).alias("id"))
+           for t, c in (("documents", "doc_id"), ("benchmark", "item_id"), ("pages", "page_id"))}
+    return SM.assemble_corpus(ids.pop("documents"), ids, "id", "documents", 0.1, 100, 42).select("sample_id", "id", "split", "source")

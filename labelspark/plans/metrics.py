@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators.evaluate import evaluate
 from ..operators.classify import attach_scores
 from .registry import register, with_ctes
 from .scoring import (BILINEAR, DOT_WEIGHTS, DOT_BIAS, PRED_CTES, SQL_BIL_PAIRS, SQL_DOT_PAIRS)
@@ -432,3 +433,36 @@ def score_truth_join(spark, sf):
     truth = p.select("sample_id", "label_id", "truth")
     scores = p.filter(F.col("label_id") != 10).select("sample_id", "label_id", "score")
     return attach_scores(truth, scores)
+
+
+def _by_cell(sql: str) -> str:
+    """Ranking CTEs over ``pred`` as CTEs over every cell of the grid ``gd``."""
+    return (sql.replace("FROM pred", "FROM gd").replace("SELECT sample_id", "SELECT model, dataset, sample_id")
+            .replace("PARTITION BY sample_id", "PARTITION BY model, dataset, sample_id")
+            .replace("GROUP BY sample_id", "GROUP BY model, dataset, sample_id"))
+
+
+GRID_FULL_SQL = GRID_SQL[:GRID_SQL.index("ga AS")] + _by_cell(_rank_ctes([1, 3])) + f""",
+conf AS (SELECT model, dataset, count(DISTINCT sample_id) AS n_samples, count(*) AS n_pairs,
+   count(*) FILTER (WHERE score > 0.5 AND truth = 1) AS tp, count(*) FILTER (WHERE score > 0.5 AND truth <> 1) AS fp,
+   count(*) FILTER (WHERE score <= 0.5 AND truth = 1) AS fn, count(*) FILTER (WHERE score <= 0.5 AND truth <> 1) AS tn
+   FROM gd GROUP BY model, dataset),
+ar AS (SELECT *, rank() OVER (PARTITION BY model, dataset ORDER BY score)
+              + (count(*) OVER (PARTITION BY model, dataset, score) - 1) / 2.0::DOUBLE AS r FROM gd),
+auc AS (SELECT model, dataset, (sum(r) FILTER (WHERE truth = 1) - sum(truth) * (sum(truth) + 1) / 2.0::DOUBLE)
+              / (sum(truth) * (count(*) - sum(truth))) AS roc_auc FROM ar GROUP BY model, dataset),
+st AS (SELECT model, dataset, score, sum(truth) AS p, count(*) AS n FROM gd GROUP BY model, dataset, score),
+cu AS (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn, sum(p) OVER (PARTITION BY model, dataset) AS tp
+       FROM st WINDOW w AS (PARTITION BY model, dataset ORDER BY score DESC)),
+ap AS (SELECT model, dataset, sum(p * (cp / CAST(cn AS DOUBLE))) / max(tp) AS avg_precision FROM cu GROUP BY model, dataset),
+tk AS (SELECT model, dataset, {", ".join(f"{_topk_cols(k)[m]} AS {m}_at_{k}" for k in (1, 3) for m in ("hr", "mrr", "precision", "ndcg"))}
+       FROM ss GROUP BY model, dataset)
+SELECT model, dataset, n_samples, n_pairs, {ACC} AS accuracy, {PREC} AS precision, {REC} AS recall, {F1} AS f1,
+       roc_auc, avg_precision, tk.* EXCLUDE (model, dataset)
+FROM conf JOIN auc USING (model, dataset) JOIN ap USING (model, dataset) JOIN tk USING (model, dataset)"""
+
+
+@register("eval_grid_full", GRID_FULL_SQL)
+def eval_grid_full(spark, sf):
+    """E-24: every metric of every (model, dataset) cell from one scoring pass."""
+    return evaluate(grid_pred(spark, sf), ["model", "dataset"], ks=(1, 3))

@@ -135,12 +135,12 @@ def norm_dialogue(spark, sf):
 
 
 @register("norm_bool", """
-SELECT doc_id AS sample_id, 'doc ' || CAST(doc_id AS VARCHAR) AS text, ['false', 'true'] AS ltext,
-       [1 - quality, quality] AS lint FROM labels""")
+SELECT doc_id AS sample_id, text, ['false', 'true'] AS ltext,
+       [1 - quality, quality] AS lint FROM labels JOIN documents USING (doc_id)""")
 def norm_bool(spark, sf):
     """C-9: boolean answer -> [false, true]."""
-    lab = read(spark, sf, "labels")
-    return N.binary_answer(lab, "doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")),
+    lab = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return N.binary_answer(lab, "doc_id", "text",
                            "quality")
 
 
@@ -190,23 +190,23 @@ def norm_onehot_text(spark, sf):
 
 
 @register("norm_binary", """
-SELECT doc_id AS sample_id, 'doc ' || CAST(doc_id AS VARCHAR) AS text, ['not_toxic', 'toxic'] AS ltext,
-       [1 - toxic, toxic] AS lint FROM labels""")
+SELECT doc_id AS sample_id, text, ['not_toxic', 'toxic'] AS ltext,
+       [1 - toxic, toxic] AS lint FROM labels JOIN documents USING (doc_id)""")
 def norm_binary(spark, sf):
     """C-13: binary label with a fixed name pair."""
-    lab = read(spark, sf, "labels")
-    return N.binary_names(lab, "doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")),
+    lab = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return N.binary_names(lab, "doc_id", "text",
                           "toxic", ("not_toxic", "toxic"))
 
 
 @register("norm_multihot", """
-SELECT doc_id AS sample_id, 'doc ' || CAST(doc_id AS VARCHAR) AS text, ['quality', 'toxic'] AS ltext,
+SELECT doc_id AS sample_id, text, ['quality', 'toxic'] AS ltext,
        [CASE WHEN quality = 1 THEN 1 ELSE 0 END, CASE WHEN toxic = 1 THEN 1 ELSE 0 END] AS lint
-FROM labels""")
+FROM labels JOIN documents USING (doc_id)""")
 def norm_multihot(spark, sf):
     """C-16: wide indicator columns -> multi-hot."""
-    lab = read(spark, sf, "labels")
-    return N.wide_indicators(lab, "doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")),
+    lab = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return N.wide_indicators(lab, "doc_id", "text",
                              ["quality", "toxic"])
 
 
@@ -343,8 +343,8 @@ def build_labels(spark, sf):
 
 
 def _val_src(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", "lang", "source")
-    text = F.when(F.pmod("doc_id", F.lit(7)) == 0, F.lit(" _ ")).otherwise(F.col("lang"))
+    d = read(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    text = F.when(F.pmod("doc_id", F.lit(7)) == 0, F.lit(" _ ")).otherwise(F.col("text"))
     lt = (F.when(F.pmod("doc_id", F.lit(5)) == 0, F.array("source", F.lit("_")))
           .when(F.pmod("doc_id", F.lit(13)) == 0, F.array().cast("array<string>"))
           .otherwise(F.array("source", "lang")))
@@ -355,7 +355,7 @@ def _val_src(spark, sf):
 
 
 _VAL_SRC = """src AS (SELECT doc_id AS sample_id,
-   CASE WHEN doc_id % 7 = 0 THEN ' _ ' ELSE lang END AS text,
+   CASE WHEN doc_id % 7 = 0 THEN ' _ ' ELSE text END AS text,
    CASE WHEN doc_id % 5 = 0 THEN [source, '_'] WHEN doc_id % 13 = 0 THEN CAST([] AS VARCHAR[])
         ELSE [source, lang] END AS ltext,
    CASE WHEN doc_id % 11 = 0 THEN [1] ELSE [1, 0] END AS lint FROM documents)"""

@@ -23,7 +23,7 @@ from . import sqlfn as S
 
 
 @register("load_validated", with_ctes("""src AS (SELECT doc_id AS sample_id,
-   CASE WHEN doc_id % 7 = 0 THEN ' _ ' ELSE lang END AS text,
+   CASE WHEN doc_id % 7 = 0 THEN ' _ ' ELSE text END AS text,
    CASE WHEN doc_id % 5 = 0 THEN [source, '_'] WHEN doc_id % 13 = 0 THEN CAST([] AS VARCHAR[])
         ELSE [source, lang] END AS ltext,
    CASE WHEN doc_id % 11 = 0 THEN [1] ELSE [1, 0] END AS lint FROM documents)""", select=f"""

@@ -173,7 +173,7 @@ def total_loss(spark, sf):
 
 
 _NLI = """nli AS (SELECT vec_id // 10 AS sample_id, CAST(vec_id % 10 + 1 AS INTEGER) AS label_id,
-                 list_slice(v, 1, 3) AS lg FROM e)"""
+                 v AS lg FROM e)"""
 ENTAIL = 2
 
 
@@ -181,7 +181,7 @@ def _nli_pairs(spark, sf):
     e = embedding_vectors(spark, sf)
     return e.select((F.col("vec_id") / 10).cast("long").alias("sample_id"),
                     (F.pmod("vec_id", F.lit(10)) + 1).cast("int").alias("label_id"),
-                    F.slice("v", 1, 3).alias("logits"))
+                    F.col("v").alias("logits"))
 
 
 @register("nli_softmax", with_ctes(SQL_EMB, _NLI, select=f"""

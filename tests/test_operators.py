@@ -139,7 +139,17 @@ def test_generator_retry(spark):
 
     d = spark.createDataFrame([(1, "word " * 30)], "doc_id long, text string").coalesce(1)
     out = AN.annotate(d, flaky, min_length=10).collect()
-    assert len(out) == 1 and out[0].labels == ["word", "word"]
+    assert len(out) == 1 and out[0].sentence == "word " * 30 and out[0].labels == []
+
+
+def test_annotate_samples_and_writes_batches(spark, tmp_path):
+    d = spark.range(300).selectExpr("id AS doc_id", "concat('text of a document that is long enough ', repeat('x', CAST(id % 7 AS INT))) AS text")
+    out = AN.annotate(d, factory=lambda: AN.stub_generator, min_length=10, sample=200, path=str(tmp_path / "a"), batch_size=50)
+    rows = out.collect()
+    whole = {r["doc_id"] for r in AN.annotate(d, AN.stub_generator, min_length=10).collect()}
+    assert {r["doc_id"] for r in rows} <= whole and 150 < len(rows) < 200
+    sizes = [r["n"] for r in spark.read.json(str(tmp_path / "a")).groupBy("batch").agg(F.count("*").alias("n")).orderBy("batch").collect()]
+    assert sizes[:3] == [50, 50, 50] and sum(sizes) == len(rows)
 
 
 @pytest.mark.parametrize("raw,ok", [
