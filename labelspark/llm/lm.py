@@ -52,26 +52,28 @@ class _Stream:
             before = np.concatenate((np.array([START], _U), self.grams[-1][:-1]))
             before[self.first] = START
             self.grams.append(mix(before * _U(0x9E3779B97F4A7C15) + tokens))
+        # per order: distinct n-grams (sorted), place of one of each, and for
+        # every token the number of its n-gram
+        self.distinct = [np.unique(g, return_index=True, return_inverse=True) for g in self.grams]
 
-    def counts(self, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct n-grams of order j + 1 (sorted), place of one of each, and
-        how often each occurs in training rows."""
-        keys, first, index = np.unique(self.grams[j], return_index=True, return_inverse=True)
-        return keys, first, np.bincount(index, self.train, len(keys)).astype(np.uint32)
+    def counts(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams of order j + 1 and how often each occurs in training rows."""
+        keys, _, index = self.distinct[j]
+        return keys, np.bincount(index, self.train, len(keys)).astype(np.uint32)
 
 
 class Automaton:
     """The arcs that a batch can take.
 
-    Per order: sorted n-grams, the weight of the arc each one takes (nan where
-    the n-gram is unseen, so the failure arc is taken), and the weight of the
-    failure arc of the state (history) it starts from.
+    Per order, for each distinct n-gram: the weight of the arc it takes (nan
+    where the n-gram is unseen, so the failure arc is taken), and the weight of
+    the failure arc of the state (history) it starts from.
     """
 
     def __init__(self, stream: _Stream, totals: list[np.ndarray], n: int, v: int, starts: int, mu: float):
         self.orders, lower, history = [], None, None
         for j, counted in enumerate(totals):
-            keys, place, _ = stream.counts(j)
+            keys, place, here = stream.distinct[j]
             if j == 0:
                 p = (counted + ADD) / (n + ADD * (v + 1))
                 arc, fail = np.log10(p), np.zeros(len(keys))
@@ -84,8 +86,7 @@ class Automaton:
                 p = np.where(same, rest, (counted + mu * rest) / (h + mu))
                 arc = np.where(counted > 0, np.log10(p), np.nan)
                 fail = np.where(same, 0.0, np.log10(mu / (h + mu)))
-            self.orders.append((keys, arc, fail))
-            here = np.searchsorted(keys, stream.grams[j])
+            self.orders.append((arc, fail))
             lower = p[here]
             c = counted[here]
             history = np.concatenate(([0], c[:-1])).astype(float)
@@ -95,8 +96,7 @@ class Automaton:
         """log10 probability of every token, carrying the state along: the arc
         of the longest history that has one, after the failure arcs to it."""
         out = np.zeros(len(stream.train))
-        for (keys, arc, fail), grams in zip(self.orders, stream.grams):
-            at = np.searchsorted(keys, grams)
+        for (arc, fail), (_, _, at) in zip(self.orders, stream.distinct):
             out = np.where(np.isnan(arc[at]), out + fail[at], arc[at])
         return out
 
@@ -106,7 +106,7 @@ def _send(order: int, mod: int, cells: int):
         x, batch = _Stream(left["text"].to_pylist(), left["id"].to_pylist(), order, mod), left["batch"][0].as_py()
         out = []
         for j in range(order):
-            keys, _, count = x.counts(j)
+            keys, count = x.counts(j)
             if j == 1:  # the number of training texts travels as an n-gram of its own
                 at = np.searchsorted(keys, START)
                 keys, count = np.insert(keys, at, START), np.insert(count, at, np.uint32((~x.held).sum()))
@@ -143,11 +143,10 @@ def _score(order: int, mod: int, cells: int, mu: float):
         totals = [np.concatenate(t) for t in totals]
         starts = 0
         if order > 1:
-            keys = x.counts(1)[0]
-            at = int(np.searchsorted(keys, START))
+            at = int(np.searchsorted(x.distinct[1][0], START))
             starts, totals[1] = totals[1][at], np.delete(totals[1], at)
         logs = Automaton(x, totals, n, v, starts, mu).traverse(x)
-        c = totals[0][np.searchsorted(x.counts(0)[0], x.grams[0])]
+        c = totals[0][x.distinct[0][2]]
         base = np.log10((c + ADD) / (n + ADD * (v + 1)))
         per_text = [np.add.reduceat(a, x.first) for a in ((c > 0).astype(np.int64), base, logs)]
         return _table(left, x.held, x.lengths, per_text[0], [n] * len(texts), per_text[1], per_text[2])
