@@ -8,7 +8,6 @@ table) and leave only one dot product per scored pair.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,36 +45,3 @@ def l2_normalize(a) -> Column:
 def logit_scale(scale: float = 2.0) -> float:
     """exp(clamp(scale, -10, 10)); the reference initialises scale to 2.0."""
     return math.exp(min(max(scale, -10.0), 10.0))
-
-
-def cosine(a, b, normalized: bool = False) -> Column:
-    """Cosine similarity; pass normalized=True when both sides are unit."""
-    if normalized:
-        return dot(a, b)
-    return dot(l2_normalize(a), l2_normalize(b))
-
-
-def scaled_cosine(a, b, scale: float = 2.0, normalized: bool = False) -> Column:
-    """F-9: cosine * exp(clamp(scale, -10, 10))."""
-    return cosine(a, b, normalized) * F.lit(logit_scale(scale))
-
-
-def weighted_dot(a, b, weights: Sequence[float], bias: float = 0.0) -> Column:
-    """F-10: w . (a * b) + bias."""
-    w = F.array(*[F.lit(float(x)) for x in weights])
-    prod = F.zip_with(_c(a), _c(b), lambda x, y: x * y)
-    return dot(prod, w) + F.lit(float(bias))
-
-
-def project(v, matrix: Sequence[Sequence[float]]) -> Column:
-    """M v for a literal matrix given row by row."""
-    m = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in matrix])
-    return F.transform(m, lambda row: dot(row, _c(v)))
-
-
-def bilinear(a, b, matrix: Sequence[Sequence[float]], bias: float = 0.0,
-             b_projected: bool = False) -> Column:
-    """F-11: a^T W b + bias.  Project the (smaller) label side by W once and
-    pass ``b_projected=True`` so each pair costs one dot product."""
-    wb = _c(b) if b_projected else project(b, matrix)
-    return dot(a, wb) + F.lit(float(bias))

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.activation import sigmoid
-from .classification import metrics_from_counts, safe_div, sample_summary
+from .classification import metrics_from_counts, sample_summary
 from .curve import collapse_scores, counts_from_collapsed, curve_from_collapsed, macro_curve
 from .ranking import ranking_summary
 
+# Public metric names, which are the output columns.
 BINARY = ("accuracy", "precision", "recall", "f1", "jaccard", "hamming_loss",
           "matthews_corrcoef")
 
@@ -65,9 +66,7 @@ def metric_bundle(pred: DataFrame, threshold: float = 0.5, keys: Sequence[str] =
     for c in ("hamming_score", "jaccard_samples", "coverage_error",
               "label_ranking_avg_precision", "roc_auc_macro", "avg_precision_macro"):
         cols.append(F.when(multi, F.col(c)).alias(c))
-    cols.append(F.when(multi, safe_div(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")))
-                .alias("jaccard_micro") if "tp" in out.columns else
-                F.when(multi, F.col("jaccard")).alias("jaccard_micro"))
+    cols.append(F.when(multi, F.col("jaccard")).alias("jaccard_micro"))
     cols.append(F.when(multi, F.col("hamming_loss")).alias("hamming_loss_multilabel"))
     if activated:
         cols += [F.col(c) for c in ("support", "threshold", "num_positive", "avg_probability")]

@@ -7,6 +7,7 @@ reads what the session already has and only fills in what is missing
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -65,7 +66,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current or sc.getCheckpointDir()
 
 
+_scratch: set[tuple[SparkSession, str]] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written tables."""
+    """A sub-folder of the shared checkpoint folder for written tables; it goes
+    with :func:`drop_scratch`, at the latest when this Python process ends."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
+    if not _scratch:
+        atexit.register(drop_scratch)
+    _scratch.add((spark, f"{base}/{name}"))
     return f"{base}/{name}"
+
+
+def drop_scratch() -> None:
+    """Delete the tables written under :func:`scratch_path` so far.  Frames
+    that still read them can't be used any more."""
+    while _scratch:
+        spark, path = _scratch.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  (the session is gone, or has no driver-side context)
+            continue

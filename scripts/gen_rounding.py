@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import types as T  # noqa: E402
 
-from __spark_entry__ import queries  # noqa: E402
+from labelspark.plans.catalog import queries  # noqa: E402
 from labelspark.session import local_session  # noqa: E402
 
 

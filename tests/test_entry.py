@@ -18,8 +18,8 @@ def test_entry_runs(spark):
 
 def test_every_query_builds(spark, sf001):
     """Every registered query plans (and a few run) on the smallest tables."""
-    from __spark_entry__ import queries
-    for name, fn in queries().items():
+    from labelspark.plans import catalog
+    for name, fn in catalog.queries().items():
         df = fn(spark, sf001)
         assert df.columns, name
 
@@ -48,9 +48,9 @@ def test_rounding_table_matches_spark_schemas(spark, sf001):
     """The oracle rounds exactly the DOUBLE outputs of each Spark query."""
     from pyspark.sql import types as T
 
-    from __spark_entry__ import queries
+    from labelspark.plans import catalog
     from labelspark.plans.rounding import ROUND_COLUMNS
-    for name, fn in queries().items():
+    for name, fn in catalog.queries().items():
         sch = fn(spark, sf001).schema
         dbl = [f.name for f in sch.fields if isinstance(f.dataType, T.DoubleType)]
         arr = [f.name for f in sch.fields if isinstance(f.dataType, T.ArrayType)
@@ -84,18 +84,19 @@ def test_stream_scoring_against_static_labels(spark, sf001):
 
 
 def test_results_independent_of_shuffle_partitions(spark, sf001):
-    """Ordered / random operators give identical rows with 8 and 300 shuffle
-    partitions (300 also switches the prefix-sum bucketing to Bucketizer)."""
+    """Ordered / random operators give identical rows with 1, 8 and 300 shuffle
+    partitions, with NULL, text and two-valued order keys too."""
     from __spark_entry__ import queries
     q = queries()
-    names = ["roc_auc", "lrap", "contrastive_pairs", "sample_exact", "row_slice"]
+    names = ["roc_auc", "lrap", "contrastive_pairs", "sample_exact", "row_slice",
+             "row_slice_null_order", "row_number_string_order", "running_sum_null_key"]
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         out = {}
-        for parts in ("8", "300"):
+        for parts in ("1", "8", "300"):
             spark.conf.set("spark.sql.shuffle.partitions", parts)
             out[parts] = {n: sorted(map(repr, q[n](spark, sf001).collect())) for n in names}
-        assert out["8"] == out["300"]
+        assert out["1"] == out["8"] == out["300"]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
