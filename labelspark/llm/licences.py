@@ -61,10 +61,11 @@ def segment_terms(words: list[str]) -> Counter:
     return Counter(words) + Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
 
 
-def segments(text: str | None):
-    """Word lists of the lines; a long line as overlapping windows."""
-    for line in (text or "").split("\n"):
-        words = _TERM.findall(line.lower())
+def segments(low: str):
+    """Word lists of the lines of a lower-cased text; a long line as
+    overlapping windows."""
+    for line in low.split("\n"):
+        words = _TERM.findall(line)
         if len(words) <= LONG_LINE:
             yield words
         else:
@@ -80,15 +81,32 @@ class Matcher:
         self.vocabulary = {t for _, terms in parts for t in terms}
         self.df, self.n, self.names = df or {}, n, [name for name, _ in parts]
         self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        self.vectors: list[dict[str, float]] = []
         for k, (_, terms) in enumerate(parts):
             weights = {t: f * self.idf(t) for t, f in terms.items()}
             norm = math.sqrt(sum(w * w for w in weights.values()))
-            for t, w in weights.items():
-                self.postings[t].append((k, w / norm))
+            self.vectors.append({t: w / norm for t, w in weights.items()})
+            for t, w in self.vectors[-1].items():
+                self.postings[t].append((k, w))
 
     def idf(self, term: str) -> float:
         return math.log((1 + self.n) / (1 + self.df.get(term, 0))) + 1
 
+    def cues(self, min_cosine: float) -> list[str]:
+        """Words of which a segment needs one to reach ``min_cosine``: per
+        template the heaviest words, until the terms without any of them have
+        less than ``min_cosine`` squared of its unit mass (by Cauchy-Schwarz
+        no segment made of those alone comes closer)."""
+        out = set()
+        for v in self.vectors:
+            mine: set[str] = set()
+            for word in sorted((t for t in v if " " not in t), key=lambda t: (-v[t], t)):
+                if sum(w * w for t, w in v.items() if mine.isdisjoint(t.split())) < min_cosine**2:
+                    break
+                mine.add(word)
+            out |= mine
+        return sorted(out)
+
     def best(self, words: list[str]) -> tuple[float, str] | None:
         """Highest cosine of a segment, and the licence; ties by name."""
         if self.vocabulary.isdisjoint(words):
@@ -104,15 +122,16 @@ class Matcher:
 
 
 def _frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
+    """How many texts hold each term, and the number of texts."""
+    pairs = {tuple(t.split()) for t in vocabulary if " " in t}
+
     def run(batches):
         counts: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                found = set()
-                for words in segments(t):
-                    if not vocabulary.isdisjoint(words):
-                        found |= vocabulary & segment_terms(words).keys()
-                counts.update(found)
+                words = _TERM.findall((t or "").lower())
+                counts.update(vocabulary.intersection(words))
+                counts.update(" ".join(p) for p in pairs.intersection(zip(words, words[1:])))
                 counts[""] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
@@ -130,7 +149,7 @@ def scan(files: DataFrame, file_id: str, path: Column, text: str = "text", templ
     """Licence of every row of ``files``.
 
     Columns: the id, ``path``, ``own`` (licence of the closest template, null
-    below ``min_cosine``), ``cosine`` (of the closest segment, 0 without one),
+    below ``min_cosine``), ``cosine`` (of the closest segment, 0 below that),
     ``licence`` (own, or inherited, or null) and ``inherited_from`` (the
     directory; null if the licence is its own or there is none).  A directory
     with several licence files takes that of the least path (then id).  Null
@@ -141,22 +160,24 @@ def scan(files: DataFrame, file_id: str, path: Column, text: str = "text", templ
     rows = files.select(F.col(file_id).alias("id"), F.coalesce(path, F.lit("")).alias("path"), F.col(text).alias("text"))
     matcher = Matcher(templates)
     matcher = Matcher(templates, *_frequencies(rows.select("text"), matcher.vocabulary))
+    cues = matcher.cues(min_cosine)
+
+    def judged(text: str | None) -> tuple[float, str | None, float]:
+        low, top, inside, total = (text or "").lower(), (0.0, None), 0, 0
+        if not any(c in low for c in cues):
+            return 0.0, None, 0.0
+        for words in segments(low):
+            total += len(words)
+            found = matcher.best(words) if any(c in words for c in cues) else None
+            if found and found[0] >= min_cosine:
+                inside += len(words)
+                if found[0] > top[0] or (found[0] == top[0] and found[1] < top[1]):
+                    top = found
+        return *top, inside / total if total else 0.0
 
     def run(batches):
         for batch in batches:
-            own, cosine, share = [], [], []
-            for t in batch.column("text").to_pylist():
-                top, inside, total = (0.0, ""), 0, 0
-                for words in segments(t):
-                    total += len(words)
-                    found = matcher.best(words)
-                    if found and found[0] >= min_cosine:
-                        inside += len(words)
-                    if found and (found[0] > top[0] or (found[0] == top[0] and found[1] < top[1])):
-                        top = found
-                cosine.append(top[0])
-                own.append(top[1] if top[0] >= min_cosine else None)
-                share.append(inside / total if total else 0.0)
+            cosine, own, share = zip(*[judged(t) for t in batch.column("text").to_pylist()]) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("path"), pa.array(own, pa.string()), pa.array(cosine, pa.float64()), pa.array(share, pa.float64())],
                 names=["id", "path", "own", "cosine", "share"])

@@ -44,3 +44,13 @@ def test_documents_with_a_notice_line(spark, sf001):
     for r in docs.collect():
         want = {x for line in r["text"].split("\n") for k, x in notices.items() if line.endswith(k)}
         assert found[r["doc_id"]] in want if want else found[r["doc_id"]] is None
+
+
+def test_cues_lose_nothing():
+    m = licences.Matcher(licences.TEMPLATES, {"the": 90, "license": 5, "this work": 3}, 100)
+    cues = set(m.cues(0.7))
+    for k, v in enumerate(m.vectors):
+        left = {t: w for t, w in v.items() if cues.isdisjoint(t.split())}
+        assert sum(w * w for w in left.values()) < 0.49
+    words = licences._TERM.findall("this work is licensed under the gnu general public license, version 3.")
+    assert m.best(words)[1] == "GPL-3.0" and m.best(words)[0] > 0.99
