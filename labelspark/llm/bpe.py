@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import sys
 import unicodedata
 from collections import Counter
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.llm import lexicon
+from labelspark.llm.shared import keep
 
 #: White space as Unicode defines it (Python's split() would also
 #: cut at the four information separators).
@@ -46,9 +48,11 @@ NEW_CAPITALS = [
     (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27),
 ]
 #: Size of the lexicon and the longest word in it; others are merged.
-FREQUENT_WORDS, LONGEST = 65_536, 64
-_CACHE_WORDS = 200_000
-_COUNTED_WORDS = 300_000
+FREQUENT_WORDS, LONGEST = 131_072, 64
+_CACHE_WORDS, _CACHE_PIECES = 500_000, 250_000
+_COUNTED_WORDS = 100_000
+_SHIFT = 32
+_TOKEN, _NEVER = (1 << _SHIFT) - 1, 1 << 63
 
 
 def byte_letters() -> list[str]:
@@ -87,9 +91,8 @@ class Tokenizer:
         self.suffix = model["end_of_word_suffix"] or ""
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (vocab | added).items()}
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.pairs[vocab[a], vocab[b]] = rank, vocab[a + b]
+        # rank and merged token of a pair in one integer, so the least is the next
+        self.pairs = {(vocab[a], vocab[b]): rank << _SHIFT | vocab[a + b] for rank, (a, b) in enumerate(model["merges"])}
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.final = [vocab[c + self.suffix] for c in letters]
@@ -104,6 +107,7 @@ class Tokenizer:
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
         self.space = re.compile(f"[{SPACE}]+")
         self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, list[int]] = {}
 
     def words(self, text: str) -> list[str]:
         """Words in order, with the added tokens as words of their own."""
@@ -128,23 +132,34 @@ class Tokenizer:
         word = word.replace("Σ", "σ").lower()
         if not word.isascii():
             word = word.translate(self.small)
-        return [i for p in self.piece.findall(word) for i in self.merge(p.encode("utf-8", "surrogatepass"))]
+        out, pieces = [], self.pieces
+        for p in self.piece.findall(word):
+            ids = pieces.get(p)
+            if ids is None:
+                if len(pieces) > _CACHE_PIECES:
+                    pieces.clear()
+                ids = pieces[p] = self.merge(p.encode("utf-8", "surrogatepass"))
+            out += ids
+        return out
 
     def merge(self, piece: bytes) -> list[int]:
         """Always the pair of the lowest rank, the leftmost of equal ones."""
         ids = [self.inner[b] for b in piece[:-1]] + [self.final[piece[-1]]]
         if len(ids) > 48:
             return self._merge_long(ids)
-        pairs = self.pairs
-        while len(ids) > 1:
-            best, at = None, -1
-            for k, pair in enumerate(zip(ids, ids[1:])):
-                found = pairs.get(pair)
-                if found is not None and (best is None or found < best):
-                    best, at = found, k
-            if best is None:
+        get = self.pairs.get
+        next_ = [get(p, _NEVER) for p in zip(ids, ids[1:])]
+        while next_:
+            best = min(next_)
+            if best == _NEVER:
                 break
-            ids[at : at + 2] = [best[1]]
+            k, new = next_.index(best), best & _TOKEN
+            ids[k : k + 2] = [new]
+            del next_[k]
+            if k < len(next_):
+                next_[k] = get((new, ids[k + 1]), _NEVER)
+            if k:
+                next_[k - 1] = get((ids[k - 1], new), _NEVER)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -156,16 +171,16 @@ class Tokenizer:
             if k >= 0 and after[k] < n:
                 found = pairs.get((ids[k], ids[after[k]]))
                 if found is not None:
-                    heapq.heappush(heap, (found[0], k, ids[k], ids[after[k]], found[1]))
+                    heapq.heappush(heap, (found, k, ids[k], ids[after[k]]))
 
         for k in range(n - 1):
             offer(k)
         while heap:
-            _, k, a, b, new = heapq.heappop(heap)
+            found, k, a, b = heapq.heappop(heap)
             if ids[k] != a or after[k] >= n or ids[after[k]] != b:
                 continue
             gone = after[k]
-            ids[k], ids[gone] = new, -1
+            ids[k], ids[gone] = found & _TOKEN, -1
             after[k] = after[gone]
             if after[k] < n:
                 before[after[k]] = k
@@ -180,7 +195,10 @@ class Tokenizer:
             cache.clear()
         for w in set(words).difference(cache):
             ids = known.get(w.encode("utf-8", "surrogatepass")) if known else None
-            cache[w] = np.array(self.encode_word(w), "<u4").tobytes() if ids is None else ids
+            if ids is None:
+                ids = self.encode_word(w)
+                ids = struct.pack(f"<{len(ids)}I", *ids)
+            cache[w] = ids
         return b"".join(map(cache.__getitem__, words))
 
     def decode(self, ids: bytes) -> str:
@@ -209,33 +227,49 @@ def _counter(spec):
             return pa.RecordBatch.from_arrays([words, n], names=["word", "n"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counts.update(_tokenizer(spec.value).words(t or ""))
-                if len(counts) > _COUNTED_WORDS:
-                    yield flush()
+            for lo in range(0, batch.num_rows, _ROWS):
+                for t in batch.column(0).slice(lo, _ROWS).to_pylist():
+                    counts.update(_tokenizer(spec.value).words(t or ""))
+                    if len(counts) > _COUNTED_WORDS:
+                        yield flush()
         yield flush()
 
     return run
 
 
 def frequent_words(docs: DataFrame, spec, size: int = FREQUENT_WORDS, text: str = "text") -> list[bytes]:
-    """The ``size`` most frequent words of the corpus of up to LONGEST bytes
-    (ties by word); counted over all rows, of which only these come back."""
+    """The most frequent words of the corpus of up to LONGEST bytes, counted
+    over all rows: as many whole classes of counts (sixteen to an octave), from
+    the top, as hold at most ``size`` words.  Only these reach the driver."""
     counted = docs.select(text).mapInArrow(_counter(spec), "word binary, n bigint")
     total = counted.where(F.octet_length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in total.orderBy(F.desc("n"), "word").limit(size).collect()]
+    total = keep(total.where("n > 1").withColumn("class", F.floor(F.log2("n") * 16).cast("int")))
+    taken, least = 0, None
+    for r in total.groupBy("class").count().orderBy(F.desc("class")).collect():  # under a thousand rows
+        taken += r["count"]
+        if taken > size:
+            break
+        least = r["class"]
+    return [] if least is None else [bytes(r["word"]) for r in total.where(F.col("class") >= least).select("word").collect()]
 
 
-def _in_parts(batch: pa.RecordBatch, name: str, kind: pa.DataType, function, size: int = 1 << 24):
-    """The batch with a new last column, in parts of about ``size`` bytes."""
+_ROWS, _PART_BYTES = 64, 1 << 22
+
+
+def _in_parts(batch: pa.RecordBatch, fields: list[tuple[str, pa.DataType]], function):
+    """The batch with its last column replaced by what ``function`` makes of
+    it, one value for each of ``fields``.  A few rows are read at a time and
+    parts of a few MB are passed on, so memory does not grow with the batch."""
     at, out, weight = 0, [], 0
-    for k, x in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-        out.append(function(x))
-        weight += len(out[-1])
-        if weight >= size or k + 1 == batch.num_rows:
+    for lo in range(0, batch.num_rows, _ROWS):
+        for x in batch.column(batch.num_columns - 1).slice(lo, _ROWS).to_pylist():
+            out.append(function(x))
+            weight += sum(len(v) for v in out[-1] if isinstance(v, (bytes, str)))
+        if weight >= _PART_BYTES or lo + _ROWS >= batch.num_rows:
             part = batch.slice(at, len(out)).select(range(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, kind)], names=[*part.schema.names, name])
-            at, out, weight = k + 1, [], 0
+            made = [pa.array([v[k] for v in out], kind) for k, (_, kind) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(n for n, _ in fields)])
+            at, out, weight = at + len(out), [], 0
 
 
 def load(docs: DataFrame, path: str):
@@ -245,6 +279,30 @@ def load(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
+def compiled(docs: DataFrame, spec, words: int, text: str):
+    """The lexicon of the corpus's frequent words, broadcast (bounded by
+    ``words`` entries of up to LONGEST bytes)."""
+    tokenizer = Tokenizer(spec.value)
+    entries = {w: tokenizer.encode_word(w.decode("utf-8", "surrogatepass")) for w in frequent_words(docs, spec, words, text)}
+    return docs.sparkSession.sparkContext.broadcast(lexicon.compile_lexicon(entries))
+
+
+def _mapped(rows: DataFrame, source: str, fields: list[tuple[str, pa.DataType, object]], function_of) -> DataFrame:
+    """``rows`` with column ``source`` replaced by ``fields`` (last), whose
+    values ``function_of()`` makes in the tasks; columns named like one of the
+    fields are replaced."""
+    made = [(n, kind) for n, kind, _ in fields]
+    rest = [c for c in rows.columns if c != source and c not in {n for n, _ in made}]
+    rows = rows.select(*rest, source)
+
+    def run(batches):
+        function = function_of()
+        for batch in batches:
+            yield from _in_parts(batch, made, function)
+
+    return rows.mapInArrow(run, rows.select(*rest, *[F.lit(x).alias(n) for n, _, x in fields]).schema)
+
+
 def encode(docs: DataFrame, path: str, words: int = FREQUENT_WORDS, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the text column replaced by its ids (column ``out``, last),
     as little-endian unsigned 32-bit integers.  Special tokens that stand in a
@@ -252,37 +310,40 @@ def encode(docs: DataFrame, path: str, words: int = FREQUENT_WORDS, text: str =
     ids; other columns pass through (one named ``out`` is replaced); an empty
     table stays empty."""
     spec = load(docs, path)
-    tokenizer = Tokenizer(spec.value)
-    entries = {w: tokenizer.encode_word(w.decode("utf-8", "surrogatepass")) for w in frequent_words(docs, spec, words, text)}
-    block = docs.sparkSession.sparkContext.broadcast(lexicon.compile_lexicon(entries))
+    block = compiled(docs, spec, words, text)
 
-    def run(batches):
+    def function_of():
         t, known = _tokenizer(spec.value), lexicon.mapped(block.value)
-        for batch in batches:
-            yield from _in_parts(batch, out, pa.binary(), lambda x: t.encode(x or "", known))
+        return lambda x: (t.encode(x or "", known),)
 
-    rest = [c for c in docs.columns if c not in (text, out)]
-    rows = docs.select(*rest, text)
-    schema = rows.select(*rest, F.lit(b"").alias(out)).schema
-    return rows.mapInArrow(run, schema)
+    return _mapped(docs, text, [(out, pa.binary(), b"")], function_of)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """``rows`` with the ids replaced by the decoded text (column ``out``, last)."""
     spec = load(rows, path)
 
-    def run(batches):
+    def function_of():
         t = _tokenizer(spec.value)
-        for batch in batches:
-            yield from _in_parts(batch, out, pa.string(), lambda x: t.decode(x or b""))
+        return lambda x: (t.decode(x or b""),)
 
-    rest = [c for c in rows.columns if c not in (ids, out)]
-    rows = rows.select(*rest, ids)
-    return rows.mapInArrow(run, rows.select(*rest, F.lit("").alias(out)).schema)
+    return _mapped(rows, ids, [(out, pa.string(), "")], function_of)
 
 
 def round_trip(docs: DataFrame, path: str, words: int = FREQUENT_WORDS, text: str = "text") -> DataFrame:
-    """``docs`` with the text replaced by ``n_tokens``, ``ids`` and ``decoded``."""
-    coded = encode(docs, path, words, text).withColumn("kept_ids", F.col("ids"))
-    return (decode(coded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")), path, "ids", "decoded")
-            .withColumnRenamed("kept_ids", "ids"))
+    """``docs`` with the text replaced by ``n_tokens``, ``ids`` and ``decoded``:
+    encoding and decoding in one pass over the texts."""
+    spec = load(docs, path)
+    block = compiled(docs, spec, words, text)
+
+    def function_of():
+        t, known = _tokenizer(spec.value), lexicon.mapped(block.value)
+
+        def both(x):
+            ids = t.encode(x or "", known)
+            return len(ids) // 4, ids, t.decode(ids)
+
+        return both
+
+    fields = [("n_tokens", pa.int64(), F.lit(0).cast("long")), ("ids", pa.binary(), b""), ("decoded", pa.string(), "")]
+    return _mapped(docs, text, fields, function_of)

@@ -97,17 +97,19 @@ class Lexicon:
     def get(self, word: bytes) -> bytes | None:
         """Ids of a word as little-endian unsigned 32-bit integers."""
         state, rank, find, base = self.start, 0, self.block.find, self.labels_at
+        first, skip, target = self.first, self.skip, self.target
         for c in word:
-            arc = find(c.to_bytes(1, "little"), base + self.first[state], base + self.first[state + 1]) - base
+            arc = find(_BYTES[c], base + first[state], base + first[state + 1]) - base
             if arc < 0:
                 return None
-            rank += self.skip[arc]
-            state = self.target[arc]
+            rank += skip[arc]
+            state = target[arc]
         if not self.final[state]:
             return None
         return self.block[self.ids_at + 4 * self.ends[rank] : self.ids_at + 4 * self.ends[rank + 1]]
 
 
+_BYTES = [bytes([c]) for c in range(256)]
 _open: dict[bytes, Lexicon] = {}
 
 
