@@ -14,7 +14,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from __spark_entry__ import queries  # noqa: E402
+from labelspark.plans.catalog import queries  # noqa: E402
 from labelspark.session import local_session  # noqa: E402
 
 
@@ -35,7 +35,7 @@ def main() -> None:
         n_ex = sum(1 for ln in lines if re.search(r"Exchange (hashpartitioning|rangepartitioning|RoundRobin)", ln))
         n_bc = sum(1 for ln in lines if "BroadcastExchange" in ln)
         n_win = sum(1 for ln in lines if re.search(r"\bWindow\b", ln) and "WindowGroupLimit" not in ln)
-        n_py = sum(1 for ln in lines if re.search(r"MapInPandas|ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas", ln))
+        n_py = sum(1 for ln in lines if re.search(r"MapInPandas|MapInArrow|ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas", ln))
         single = []
         for i, ln in enumerate(lines):
             if "Exchange SinglePartition" in ln and "ReusedExchange" not in ln:
