@@ -32,11 +32,12 @@ def is_blank(c) -> Column:
     return py_strip(F.coalesce(_c(c), F.lit(""))) == ""
 
 
-def ensure_string(c, dtype: T.DataType | None = None) -> Column:
-    """B-5: NULL / non-string -> '', underscores -> spaces, then strip."""
-    if dtype is not None and not isinstance(dtype, T.StringType):
-        return F.lit("")
-    return py_strip(F.replace(F.coalesce(_c(c), F.lit("")), F.lit("_"), F.lit(" ")))
+def ensure_string(c) -> Column:
+    """B-5: NULL / non-string -> '', underscores -> spaces, then strip.  The
+    type is known when the query is analysed, so the test costs nothing."""
+    x = _c(c)
+    text = F.when(F.typeof(x) == "string", x.cast("string"))
+    return py_strip(F.replace(F.coalesce(text, F.lit("")), F.lit("_"), F.lit(" ")))
 
 
 def underscores_to_spaces(c) -> Column:

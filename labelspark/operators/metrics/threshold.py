@@ -8,7 +8,7 @@ everything after works on at most ``n + 1`` bins per key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from .classification import metrics_from_counts
 from .curve import collapse_scores, counts_from_collapsed
 
 METRICS = ("f1", "accuracy", "precision", "recall")
+#: A metric of one's own: a Column of the counts tp, fp, fn, tn.
+Metric = Callable[[Column, Column, Column, Column], Column]
 
 
 def grid_value(i: Column, lo: Column, hi: Column, n: int) -> Column:
@@ -88,20 +90,25 @@ def threshold_table(pred: DataFrame, n: int = 100, keys: Sequence[str] = (),
         (F.col("tot_q") - F.col("fp")).cast("long").alias("tn"))
 
 
-def _best(t: DataFrame, metric: str, keys: list) -> DataFrame:
-    m = metrics_from_counts(t, keys + ["i", "threshold", "tp", "fp", "fn", "tn"], (metric,))
+def _best(t: DataFrame, metric: str | Metric, keys: list) -> DataFrame:
+    if callable(metric):
+        m = t.withColumn("_own", metric(*[F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn")]))
+        metric = "_own"
+    else:
+        m = metrics_from_counts(t, keys + ["i", "threshold", "tp", "fp", "fn", "tn"], (metric,))
     return m.groupBy(*keys).agg(
         F.max_by(F.struct("i", "threshold", "tp", "fp", "fn", "tn"),
                  F.struct(F.col(metric), -F.col("i"))).alias("w"),
         F.max(metric).alias("best_score"))
 
 
-def best_threshold(pred: DataFrame, metric: str = "f1", n: int = 100,
+def best_threshold(pred: DataFrame, metric: str | Metric = "f1", n: int = 100,
                    keys: Sequence[str] = (), score: str = "score",
                    truth: str = "truth") -> DataFrame:
     """E-22: the grid threshold with the highest metric, earliest on ties;
-    (0.5, 0.0) when no threshold scores above zero."""
-    if metric not in METRICS:
+    (0.5, 0.0) when no threshold scores above zero.  ``metric`` is a name or a
+    function of the counts (L-5)."""
+    if not callable(metric) and metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     keys = list(keys)
     best = _best(threshold_table(pred, n, keys, score, truth), metric, keys)

@@ -70,6 +70,14 @@ def load_validated(spark: SparkSession, reader: Callable[[], DataFrame],
         raise
 
 
+def expand(df: DataFrame, function: Callable, schema: T.StructType = SAMPLE_SCHEMA) -> DataFrame:
+    """L-2: a hook that maps source rows to any number of samples.  ``function``
+    gets a pandas frame of source rows and returns one of sample rows with the
+    columns of ``schema``; it runs in the tasks on Arrow batches."""
+    names = schema.fieldNames()
+    return df.mapInPandas(lambda batches: (function(b)[names] for b in batches), schema)
+
+
 class Registry:
     """A-4 / A-5: named corpora -> ``fn(spark, path) -> DataFrame`` of samples."""
 

@@ -310,3 +310,28 @@ def test_unmapped_hierarchy_label_fails_by_default(spark):
         hierarchy_rollup(d, "id", "t", "y", h).collect()
     kept = {r["sample_id"]: r["lint"] for r in hierarchy_rollup(d, "id", "t", "y", h, on_unmapped="keep").collect()}
     assert kept == {1: [1], 2: [0]}
+
+
+def test_expand_maps_a_row_to_many_samples(spark):
+    from labelspark.sources.readers import expand
+
+    def split(b):
+        rows = [(r.id * 10 + k, w, [w], [1]) for r in b.itertuples() for k, w in enumerate(r.t.split())]
+        return pd.DataFrame(rows, columns=["sample_id", "text", "ltext", "lint"])
+
+    d = spark.createDataFrame([(1, "a b c"), (2, ""), (3, "d")], "id long, t string")
+    got = sorted((r["sample_id"], r["text"], r["ltext"]) for r in expand(d, split).collect())
+    assert got == [(10, "a", ["a"]), (11, "b", ["b"]), (12, "c", ["c"]), (30, "d", ["d"])]
+
+
+def test_own_metric_and_non_strings(spark):
+    from labelspark.functions.text import ensure_string
+    from labelspark.operators import metrics as M
+    p = spark.createDataFrame([(i, 1, int(s >= .4), s) for i, s in enumerate([.1, .2, .4, .5, .9])],
+                              "sample_id long, label_id int, truth int, score double")
+    r = M.best_threshold(p, lambda tp, fp, fn, tn: tp / (tp + fn) - fp / (fp + tn)).first()
+    assert r["best_score"] == 1.0 and .2 <= r["best_threshold"] <= .4
+    d = spark.createDataFrame([(3, " a_b ", None)], "n int, s string, v string")
+    row = d.select(ensure_string("n").alias("n"), ensure_string("s").alias("s"), ensure_string("v").alias("v"),
+                   F.transform(F.array("n"), lambda x: ensure_string(x)).alias("a")).first()
+    assert (row["n"], row["s"], row["v"], row["a"]) == ("", "a b", "", [""])
