@@ -40,25 +40,28 @@ def batched(docs: DataFrame, doc_id: str, text: str, batch_bytes: int = BATCH_BY
     return docs.select(batch.alias("batch"), F.col(doc_id).alias("id"), body.alias("text"), *more), max(1, n // 2)
 
 
-def encode(keys: np.ndarray) -> bytes:
-    """Sorted distinct keys as one width byte, the first key and the steps."""
+def encode(keys: np.ndarray, drop: int = 0) -> bytes:
+    """Sorted distinct keys as a header (bytes per step, dropped bits), the
+    first key and the steps.  The ``drop`` low bits are left out; steps take as
+    many bytes as the largest one needs."""
     if not len(keys):
         return b""
+    keys = keys >> _U(drop)
     steps = np.diff(keys)
-    width = 8 if len(steps) and int(steps.max()) >> 48 else 6
-    return bytes([width]) + keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    return bytes([width, drop]) + keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def decode(data: bytes) -> np.ndarray:
     if not data:
         return np.empty(0, _U)
-    width = data[0]
-    raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    width, drop = data[0], data[1]
+    raw = np.frombuffer(data, np.uint8, offset=10).reshape(-1, width)
     out = np.zeros((len(raw) + 1, 8), np.uint8)
     out[1:, :width] = raw
     out = out.view(_U).reshape(-1)
-    out[0] = np.frombuffer(data, _U, 1, offset=1)[0]
-    return np.cumsum(out, dtype=_U)
+    out[0] = np.frombuffer(data, _U, 1, offset=2)[0]
+    return np.cumsum(out, dtype=_U) << _U(drop)
 
 
 def slices(keys: np.ndarray, cells: int) -> np.ndarray:
@@ -67,15 +70,17 @@ def slices(keys: np.ndarray, cells: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, inner), [len(keys)]))
 
 
-def send(batch: int, keys: np.ndarray, extra: np.ndarray, cells: int, first: int = 0, empty: bool = False) -> pa.Table:
+def send(batch: int, keys: np.ndarray, extra: np.ndarray, cells: int, first: int = 0, empty: bool = False,
+         drop: int = 0) -> pa.Table:
     """Rows of SENT for sorted distinct keys, with one item of ``extra`` each.
-    Cells are numbered from ``first``; ``empty`` sends to cells without a key too."""
+    Cells are numbered from ``first``; ``empty`` sends to cells without a key
+    too; ``drop`` as in ``encode``."""
     at = slices(keys, cells)
     full = [c for c in range(cells) if empty or at[c] < at[c + 1]]
     return pa.table({
         "cell": pa.array([first + c for c in full], pa.int32()),
         "batch": pa.array([batch] * len(full), pa.int32()),
-        "keys": pa.array([encode(keys[at[c] : at[c + 1]]) for c in full], pa.binary()),
+        "keys": pa.array([encode(keys[at[c] : at[c + 1]], drop) for c in full], pa.binary()),
         "extra": pa.array([extra[at[c] : at[c + 1]].tobytes() for c in full], pa.binary()),
     })
 

@@ -14,7 +14,7 @@ if its first ``min_bytes`` bytes (within its document) also start elsewhere.
    are dealt into cells by the fingerprint of their first ``min_bytes`` bytes
    and sorted one cell at a time; equal neighbours repeat.  Only equality of
    that prefix matters here, so the order within a cell is the order of the
-   fingerprints (80 bits) rather than that of the bytes.
+   fingerprints (72 bits between batches) rather than that of the bytes.
 
 Equal whole texts are found first: they repeat as a whole, and only one of them
 goes on as evidence for others.  The text is shuffled once, into batches; all
@@ -37,6 +37,11 @@ from labelspark.llm.superminhash import mix
 
 _U = np.uint64
 BLOCK = 1 << 20
+#: Bytes of text in a batch; a task that holds its suffixes needs fifty times that.
+BATCH_BYTES = 4 << 20
+#: Low bits of a hash that are not sent: of a cover sample, where a false tie
+#: only costs work, and of a suffix, which 16 bits of a second hash confirm.
+SAMPLE_DROP, SUFFIX_DROP = 12, 8
 #: Odd multipliers of the two rolling hashes (any odd numbers do).
 RADIX = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
@@ -266,9 +271,9 @@ def _phase(phase: int, min_bytes: int, cells: int):
         x, number = batch_of(left, right), left["batch"][0].as_py()
         if phase == 1:
             keys, several = x.samples()
-            return exchange.send(number, keys, np.zeros(len(keys), np.uint16), cells)
+            return exchange.send(number, keys, np.zeros(len(keys), np.uint16), cells, drop=SAMPLE_DROP)
         keys, check, several = x.suffixes()
-        return exchange.send(number, keys, check, cells)
+        return exchange.send(number, keys, check, cells, drop=SUFFIX_DROP)
 
     def first(left: pa.Table) -> pa.Table:
         keys, check, _ = _Batch(left["text"].to_pylist(), min_bytes, cells).texts()
@@ -303,7 +308,7 @@ def _report(left: pa.Table, bodies, runs) -> pa.Table:
 
 
 def _repeats(docs: DataFrame, min_bytes: int, doc_id: str, text: str, rest: Column | None = None) -> DataFrame:
-    rows, cells = exchange.batched(docs, doc_id, text, rest=rest)
+    rows, cells = exchange.batched(docs, doc_id, text, BATCH_BYTES, rest)
 
     def sort(sent: DataFrame, phase: int) -> DataFrame:
         return sent.groupBy("cell").applyInArrow(_sort_cell(phase), exchange.ANSWER)
