@@ -25,10 +25,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return neardup.deduplicate(docs, shingle=5, percent=80)
 
 
+#: A passage of over fifty words has more bytes than this.
+PASSAGE_BYTES = 250
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by 400-byte strings that start elsewhere too are cut out;
-    ``n_chars`` follows the text."""
-    out = suffixes.deduplicate(docs, 400)
+    """Bytes covered by strings of PASSAGE_BYTES that start elsewhere too are
+    cut out; ``n_chars`` follows the text."""
+    out = suffixes.deduplicate(docs, PASSAGE_BYTES)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
