@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.llm import lexicon
-from labelspark.llm.shared import keep
+from labelspark.llm.shared import keep, worker_cache
 
 #: White space as Unicode defines it (Python's split() would also
 #: cut at the four information separators).
@@ -49,7 +49,7 @@ NEW_CAPITALS = [
 ]
 #: Size of the lexicon and the longest word in it; others are merged.
 FREQUENT_WORDS, LONGEST = 131_072, 64
-_CACHE_WORDS, _CACHE_PIECES = 500_000, 250_000
+_CACHE_WORDS, _CACHE_PIECES = 500_000, 150_000
 _COUNTED_WORDS = 100_000
 _SHIFT = 32
 _TOKEN, _NEVER = (1 << _SHIFT) - 1, 1 << 63
@@ -206,14 +206,12 @@ class Tokenizer:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_tokenizers: dict[int, Tokenizer] = {}
-
-
 def _tokenizer(spec: str) -> Tokenizer:
-    key = hash(spec)
-    if key not in _tokenizers:
-        _tokenizers[key] = Tokenizer(spec)
-    return _tokenizers[key]
+    known, key = worker_cache("bpe"), hash(spec)
+    if key not in known:
+        known.clear()
+        known[key] = Tokenizer(spec)
+    return known[key]
 
 
 def _counter(spec):
@@ -226,10 +224,11 @@ def _counter(spec):
             counts.clear()
             return pa.RecordBatch.from_arrays([words, n], names=["word", "n"])
 
+        words = _tokenizer(spec.value).words
         for batch in batches:
             for lo in range(0, batch.num_rows, _ROWS):
                 for t in batch.column(0).slice(lo, _ROWS).to_pylist():
-                    counts.update(_tokenizer(spec.value).words(t or ""))
+                    counts.update(words(t or ""))
                     if len(counts) > _COUNTED_WORDS:
                         yield flush()
         yield flush()

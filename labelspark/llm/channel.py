@@ -10,6 +10,7 @@ model over the two characters before.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -69,6 +70,7 @@ class CharModel:
         p3 = (c3 + weight * p2) / (c3.sum(axis=2, keepdims=True) + weight)
         self.log = np.log10(p3).astype(np.float32)
         self.table = self.log.tolist()
+        self.key = hashlib.blake2b(self.log.tobytes(), digest_size=16).hexdigest()
 
 
 def suspicious(word: str) -> bool:

@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelspark.llm.shared import keep
+from labelspark.llm.shared import keep, values
 from labelspark.llm.superminhash import Shingler, signature
 
 BANDS, ROWS = 48, 6
-_RECENT = 4096
+_RECENT = 1024
 
 
 def _signer(shingle: int, bands: int, rows: int, with_set: bool):
@@ -38,7 +38,7 @@ def _signer(shingle: int, bands: int, rows: int, with_set: bool):
         shingles, seen = Shingler(shingle), OrderedDict()
         for batch in batches:
             ns, keys, out = [], [], []
-            for t in batch.column("text").to_pylist():
+            for t in values(batch.column("text")):
                 s = shingles(t)
                 raw = s.tobytes()
                 key = hashlib.blake2b(raw, digest_size=16).digest()

@@ -19,14 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelspark.llm.shared import fold, keep
+from labelspark.llm.shared import bounded_sample, fold, keep, values
 from labelspark.llm.superminhash import WORD, mix
 
 BINS, RANK, NEIGHBOURS, SHARPNESS = 1024, 64, 25, 8
 #: Bound of the labelled rows that vote.
 MAX_LABELLED = 8_192
 BLOCK = 512
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 100_000
 _RUN = re.compile(r"(.)\1{2,}")
 _KINDS = str.maketrans(
     "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
@@ -65,7 +65,7 @@ def terms(text: str | None, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
 def _extract(bins: int):
     def run(batches):
         for batch in batches:
-            found = [terms(t, bins) for t in batch.column("text").to_pylist()]
+            found = [terms(t, bins) for t in values(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([a for a, _ in found], pa.list_(pa.int32())),
                  pa.array([c for _, c in found], pa.list_(pa.int32()))], names=["id", "bin", "tf"])
@@ -137,8 +137,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id:
         df[r["b"]] = r["count"]
     idf = np.log((1 + found.count()) / (1 + df)) + 1
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("id"), F.col(label).alias("y"))
-    sample = (found.join(known, "id").where(fold(F.col("id"), 3) != 1)
-              .orderBy(F.xxhash64("id"), "id").limit(max_labelled).collect())
+    sample = bounded_sample(found.join(known, "id").where(fold(F.col("id"), 3) != 1), "id", max_labelled).collect()
     space = Space(_dense([r["bin"] for r in sample], [r["tf"] for r in sample], idf), np.array([r["y"] for r in sample]), idf, rank)
     shared = docs.sparkSession.sparkContext.broadcast(space)  # max_labelled * rank floats
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.llm.gbt import Forest, train
-from labelspark.llm.shared import fold, keep
+from labelspark.llm.shared import bounded_sample, fold, keep, values
 from labelspark.llm.superminhash import WORD
 
 SYMBOLS = b"#*$%&|<>"
@@ -81,7 +81,7 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
 
 def _measure(batches):
     for batch in batches:
-        found = [statistics(t) for t in batch.column("text").to_pylist()]
+        found = [statistics(t) for t in values(batch.column("text"))]
         counts = np.array([c for c, _ in found], np.int64).reshape(-1, len(COUNTS)).T
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), *[pa.array(c) for c in counts], pa.array([f for _, f in found], pa.list_(pa.float64()))],
@@ -101,8 +101,8 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     hash of the id) outside the held-out third (crc32 of the id modulo 3 is 1);
     rows without a label of 0 or 1 are not used."""
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("y"))
-    rows = (stats.select("id", "features").join(known, "id").where(fold(F.col("id"), 3) != 1)
-            .orderBy(F.xxhash64("id"), "id").limit(max_labelled).collect())
+    labelled = stats.select("id", "features").join(known, "id").where(fold(F.col("id"), 3) != 1)
+    rows = bounded_sample(labelled, "id", max_labelled).collect()
     x = np.array([r["features"] for r in rows]).reshape(-1, len(FEATURES))
     return train(x, np.array([r["y"] for r in rows]), np.array(list(FEATURES.values())))
 

@@ -53,3 +53,32 @@ def keep(df: DataFrame) -> DataFrame:
     ensure_shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
+
+
+def values(column, rows: int = 256):
+    """Values of an Arrow column, a few rows at a time: whole batches of texts
+    as Python strings take several times their room."""
+    for lo in range(0, len(column), rows):
+        yield from column.slice(lo, rows).to_pylist()
+
+
+def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows of ``df``: those with the least hash of ``key`` (ties
+    by key).  Rows that can't be among them are dropped before the sort, so
+    what the driver and the sort see is about ``n`` rows whatever the table."""
+    total = df.count()
+    share = min(1.0, (n + 8 * n**0.5 + 64) / max(1, total))
+    order = F.shiftrightunsigned(F.xxhash64(key), 2)
+    return df.where(order <= F.lit(int(share * (1 << 62)))).orderBy(order, key).limit(n)
+
+
+_kept: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator remembers in a Python worker from task to task.  Spark
+    uses a worker for many stages: the first task of another operator drops
+    what the one before remembered, so their memory does not add up."""
+    for other in [k for k in _kept if k != owner]:
+        del _kept[other]
+    return _kept.setdefault(owner, {})

@@ -20,7 +20,7 @@ import xxhash
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _U = np.uint64
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 
 
 def lower_az(text: str) -> str:

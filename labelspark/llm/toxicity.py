@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.llm import channel
-from labelspark.llm.shared import fold
+from labelspark.llm.shared import bounded_sample, fold, values, worker_cache
 from labelspark.llm.superminhash import WORD
 
 #: Bound of the labelled rows that terms are learned from.
@@ -30,7 +30,7 @@ SHORTEST, LONGEST_START = 3, 8
 CHANCE = 0.05
 #: Score from which a row is predicted toxic.
 TOXIC = 0.7
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 200_000
 _PIECE = 64
 _OUTER = " .,;:!?()[]{}<>\"'`*_#%&|/\\+=~^-–—‘’“”…«»"
 
@@ -39,7 +39,7 @@ class Restorer:
     """Words of a text after restoration; remembers words it has seen."""
 
     def __init__(self, model: channel.CharModel):
-        self.model, self.cache = model, {}
+        self.model, self.cache = model, worker_cache(f"toxicity {model.key}")
 
     def word(self, raw: str) -> list[str]:
         """What a word (lower case) stands for: usually itself without outer marks."""
@@ -83,7 +83,7 @@ def char_model(docs: DataFrame, text: str = "text") -> channel.CharModel:
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t in values(batch.column(0)):
                 if t:
                     at, n = np.unique(channel.trigram_counts(t), return_counts=True)
                     total[at] += n
@@ -145,8 +145,8 @@ def learn(docs: DataFrame, labels: DataFrame, model, label: str = "toxic", doc_i
     """Believed terms with the chance that a document holding one is toxic, and
     the chance of a document by the evidence in it."""
     known = (labels.where(F.col(label).isin(0, 1) & (fold(F.col(doc_id), 3) != 1))
-             .select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
-             .orderBy(F.xxhash64(doc_id), doc_id).limit(max_labelled))
+             .select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")))
+    known = bounded_sample(known, "id", max_labelled)
     sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id").select("y", "text")
 
     def in_toxic(batches):
@@ -154,7 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, model, label: str = "toxic", doc_i
         r = Restorer(model.value)
         for batch in batches:
             found = set()
-            for y, t in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
+            for y, t in zip(values(batch.column("y")), values(batch.column("text"))):
                 if y == 1:
                     before = ""
                     for ws in r.words(t):
@@ -172,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, model, label: str = "toxic", doc_i
     def in_all(batches):
         r, counts, texts, seen = Restorer(model.value), Counter(), Counter(), set()
         for batch in batches:
-            for y, t in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
+            for y, t in zip(values(batch.column("y")), values(batch.column("text"))):
                 found = {x for ws in r.words(t) for w in ws for x in terms(w)} & wanted.value
                 if (y, t) not in seen:  # copies in one task count once
                     seen.add((y, t))
@@ -206,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, model, label: str = "toxic", doc_i
     def in_bins(batches):
         r, known, counts = Restorer(model.value), {}, Counter()
         for batch in batches:
-            for y, t in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
+            for y, t in zip(values(batch.column("y")), values(batch.column("text"))):
                 counts[Calibration.bin(evidence(r, t, terms_known.value, known)[1]), y] += 1
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in counts], pa.int32()), pa.array([y for _, y in counts], pa.int32()),
                                           pa.array(list(counts.values()), pa.int64())], names=["bin", "y", "n"])
@@ -234,7 +234,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     def run(batches):
         judge = _judge(model, lexicon)
         for batch in batches:
-            found = [judge(t) for t in batch.column("text").to_pylist()]
+            found = [judge(t) for t in values(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([p for _, p in found], pa.float64()),
                  pa.array([h for h, _ in found], pa.list_(pa.string()))], names=["id", "score", "found"])
@@ -273,6 +273,6 @@ def filtered(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: s
     def run(batches):
         judge = _judge(model, lexicon)
         for batch in batches:
-            yield batch.filter(pa.array([judge(t)[1] < TOXIC for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([judge(t)[1] < TOXIC for t in values(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
