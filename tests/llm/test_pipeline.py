@@ -52,17 +52,18 @@ def test_decisions(steps, spark):
 
 def test_suffix_stage_by_brute_force(steps):
     before, after = map(rows, steps["suffix_dedup"])
+    n = corpus_pipeline.PASSAGE_BYTES
     assert before.keys() == after.keys()
     seen, bodies = {}, {i: r["text"].encode() for i, r in before.items()}
     for b in bodies.values():
-        for k in range(len(b) - 399):
-            h = hashlib.blake2b(b[k : k + 400], digest_size=12).digest()
+        for k in range(len(b) - n + 1):
+            h = hashlib.blake2b(b[k : k + n], digest_size=12).digest()
             seen[h] = seen.get(h, 0) + 1
     for i, b in bodies.items():
         gone = bytearray(len(b))
-        for k in range(len(b) - 399):
-            if seen[hashlib.blake2b(b[k : k + 400], digest_size=12).digest()] > 1:
-                gone[k : k + 400] = b"\1" * 400
+        for k in range(len(b) - n + 1):
+            if seen[hashlib.blake2b(b[k : k + n], digest_size=12).digest()] > 1:
+                gone[k : k + n] = b"\1" * n
         left = bytes(c for c, g in zip(b, gone) if not g).decode("utf-8", "ignore")
         assert after[i]["text"] == left and after[i]["n_chars"] == len(left)
 
