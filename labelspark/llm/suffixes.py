@@ -38,7 +38,7 @@ from labelspark.llm.superminhash import mix
 _U = np.uint64
 BLOCK = 1 << 20
 #: Bytes of text in a batch; a task that holds its suffixes needs fifty times that.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Low bits of a hash that are not sent: of a cover sample, where a false tie
 #: only costs work, and of a suffix, which 16 bits of a second hash confirm.
 SAMPLE_DROP, SUFFIX_DROP = 12, 8
