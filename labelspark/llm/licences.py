@@ -1,9 +1,11 @@
 """Licence scan: sparse TF-IDF cosine of segments to licence templates, then
 inheritance from the nearest ancestor directory by joins on paths.
 
-A segment is a line of a file, or an overlapping window of a very long line.
-Terms are words and word pairs; inverse document frequencies of the templates'
-terms are counted over all files (a table as large as the templates).  A file
+A segment is a run of a file's words, across line breaks, as long as a template
+or a little longer.  Terms are words and word pairs; the templates' terms are
+weighed by the share of files that hold them (a table as large as the
+templates), every other term by a fixed weight, so the verdict on a line does
+not depend on the size of the table.  A file
 with a segment close to a template has that licence of its own.  Licence files
 (by name, or because licence text makes up a good part of them) give their
 licence to their directory; a file without a licence of its own takes that of
@@ -52,7 +54,8 @@ TEMPLATES = {
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved."],
 }
 MIN_COSINE, MIN_SHARE = 0.7, 0.25
-LONG_LINE, STEP = 60, 30
+#: Share of files that stands for all rarer terms and for terms outside the templates.
+RAREST = 1e-3
 _TERM = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 _NAMED = r"(?i)(^|/)(licen[cs]e|copying|copyright|notice)([.\-_][^/]*)?$"
 
@@ -61,64 +64,98 @@ def segment_terms(words: list[str]) -> Counter:
     return Counter(words) + Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
 
 
-def segments(low: str):
-    """Word lists of the lines of a lower-cased text; a long line as
-    overlapping windows."""
-    for line in low.split("\n"):
-        words = _TERM.findall(line)
-        if len(words) <= LONG_LINE:
-            yield words
-        else:
-            for k in range(0, len(words) - STEP, STEP):
-                yield words[k : k + LONG_LINE]
+def longest(n: int) -> int:
+    """Words of the longest segment that is compared with a template of n words."""
+    return n + max(2, n // 4)
 
 
 class Matcher:
     """Unit TF-IDF vectors of the templates, as postings by term."""
 
     def __init__(self, templates: dict[str, list[str]], df: dict[str, int] | None = None, n: int = 0):
-        parts = [(name, segment_terms(_TERM.findall(t.lower()))) for name in sorted(templates) for t in templates[name]]
+        worded = [(name, _TERM.findall(t.lower())) for name in sorted(templates) for t in templates[name]]
+        parts = [(name, segment_terms(words)) for name, words in worded]
         self.vocabulary = {t for _, terms in parts for t in terms}
         self.df, self.n, self.names = df or {}, n, [name for name, _ in parts]
-        self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        self.lengths = [len(words) for _, words in worded]
+        self.outside = 1 - math.log(RAREST)
+        self.weight = {t: self.idf(t) for t in self.vocabulary}
         self.vectors: list[dict[str, float]] = []
-        for k, (_, terms) in enumerate(parts):
+        for _, terms in parts:
             weights = {t: f * self.idf(t) for t, f in terms.items()}
             norm = math.sqrt(sum(w * w for w in weights.values()))
             self.vectors.append({t: w / norm for t, w in weights.items()})
-            for t, w in self.vectors[-1].items():
-                self.postings[t].append((k, w))
+        self._by_cue: dict[float, dict[str, list[int]]] = {}
 
     def idf(self, term: str) -> float:
-        return math.log((1 + self.n) / (1 + self.df.get(term, 0))) + 1
+        if term not in self.vocabulary:
+            return self.outside
+        return 1 - math.log(max(self.df.get(term, 0) / self.n, RAREST)) if self.n else 1.0
+
+    def _cues_of(self, k: int, min_cosine: float) -> set[str]:
+        v, mine = self.vectors[k], set()
+        for word in sorted((t for t in v if " " not in t), key=lambda t: (-v[t], t)):
+            if sum(w * w for t, w in v.items() if mine.isdisjoint(t.split())) < min_cosine**2:
+                break
+            mine.add(word)
+        return mine
 
     def cues(self, min_cosine: float) -> list[str]:
         """Words of which a segment needs one to reach ``min_cosine``: per
         template the heaviest words, until the terms without any of them have
         less than ``min_cosine`` squared of its unit mass (by Cauchy-Schwarz
         no segment made of those alone comes closer)."""
-        out = set()
-        for v in self.vectors:
-            mine: set[str] = set()
-            for word in sorted((t for t in v if " " not in t), key=lambda t: (-v[t], t)):
-                if sum(w * w for t, w in v.items() if mine.isdisjoint(t.split())) < min_cosine**2:
-                    break
-                mine.add(word)
-            out |= mine
-        return sorted(out)
-
-    def best(self, words: list[str]) -> tuple[float, str] | None:
+        return sorted(set().union(*(self._cues_of(k, min_cosine) for k in range(len(self.vectors)))))
+
+    def by_cue(self, min_cosine: float) -> dict[str, list[int]]:
+        """The templates that each cue belongs to."""
+        if min_cosine not in self._by_cue:
+            found = defaultdict(list)
+            for k in range(len(self.vectors)):
+                for word in self._cues_of(k, min_cosine):
+                    found[word].append(k)
+            self._by_cue[min_cosine] = dict(found)
+        return self._by_cue[min_cosine]
+
+    def close(self, words: list[str], min_cosine: float):
+        """Segments of at least ``min_cosine``: (cosine, licence, start, end)."""
+        of, at = self.by_cue(min_cosine), defaultdict(list)
+        for i, w in enumerate(words):
+            for k in of.get(w, ()):
+                at[k].append(i)
+        for k, cues in at.items():
+            v, n = self.vectors[k], min(self.lengths[k], len(words))
+            most, squares, done = longest(self.lengths[k]), {t: w * w for t, w in v.items()}, 0
+            for i in cues:
+                lo, hi = max(0, i - most + 1), min(len(words), i + most)
+                near = set(words[lo:hi])
+                near.update(f"{a} {b}" for a, b in zip(words[lo:hi], words[lo + 1 : hi]))
+                # what no segment around the cue can exceed
+                if sum(squares[t] for t in near & squares.keys()) < min_cosine**2 * (1 - 1e-9):
+                    continue
+                for start in range(max(lo, done), min(i, len(words) - n) + 1):
+                    for cosine, end in self._from(words, start, n, most, v):
+                        if cosine >= min_cosine:
+                            yield cosine, self.names[k], start, end
+                done = max(done, min(i, len(words) - n) + 1)
+
+    def _from(self, words: list[str], start: int, n: int, most: int, v: dict[str, float]):
+        """Cosines to ``v`` of the segments of n to ``most`` words from ``start``, and their ends."""
+        counts: Counter = Counter()
+        dot = square = 0.0
+        for j in range(start, min(len(words), start + most)):
+            for t in (words[j], f"{words[j - 1]} {words[j]}") if j > start else (words[j],):
+                w = self.weight.get(t, self.outside)
+                dot += v.get(t, 0.0) * w
+                square += w * w * (2 * counts[t] + 1)
+                counts[t] += 1
+            if j - start + 1 >= n:
+                yield round(dot / math.sqrt(square), 12), j + 1
+
+    def best(self, words: list[str], min_cosine: float = MIN_COSINE) -> tuple[float, str] | None:
         """Highest cosine of a segment, and the licence; ties by name."""
-        if self.vocabulary.isdisjoint(words):
-            return None
-        terms = segment_terms(words)
-        dot: Counter = Counter()
-        for t in terms.keys() & self.postings.keys():
-            for k, w in self.postings[t]:
-                dot[k] += w * terms[t] * self.idf(t)
-        norm = math.sqrt(sum((f * self.idf(t)) ** 2 for t, f in terms.items()))
-        k = min(dot, key=lambda k: (-round(dot[k], 12), k))
-        return dot[k] / norm, self.names[k]
+        found = min(self.close(words, min_cosine), key=lambda x: (-x[0], x[1]), default=None)
+        return found and found[:2]
 
 
 def _frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
@@ -163,17 +200,15 @@ def scan(files: DataFrame, file_id: str, path: Column, text: str = "text", templ
     cues = matcher.cues(min_cosine)
 
     def judged(text: str | None) -> tuple[float, str | None, float]:
-        low, top, inside, total = (text or "").lower(), (0.0, None), 0, 0
+        low, top, inside = (text or "").lower(), (0.0, None), set()
         if not any(c in low for c in cues):
             return 0.0, None, 0.0
-        for words in segments(low):
-            total += len(words)
-            found = matcher.best(words) if any(c in words for c in cues) else None
-            if found and found[0] >= min_cosine:
-                inside += len(words)
-                if found[0] > top[0] or (found[0] == top[0] and found[1] < top[1]):
-                    top = found
-        return *top, inside / total if total else 0.0
+        words = _TERM.findall(low)
+        for cosine, name, start, end in matcher.close(words, min_cosine):
+            inside.update(range(start, end))
+            if cosine > top[0] or (cosine == top[0] and name < top[1]):
+                top = cosine, name
+        return *top, len(inside) / len(words) if words else 0.0
 
     def run(batches):
         for batch in batches:

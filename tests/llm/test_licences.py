@@ -54,3 +54,33 @@ def test_cues_lose_nothing():
         assert sum(w * w for w in left.values()) < 0.49
     words = licences._TERM.findall("this work is licensed under the gnu general public license, version 3.")
     assert m.best(words)[1] == "GPL-3.0" and m.best(words)[0] > 0.99
+
+
+def test_notice_anywhere_in_a_text_at_any_table_size():
+    lines = {
+        "Code released under the MIT License.": "MIT", "This project is released under the MIT License.": "MIT",
+        "# Licensed under the Apache License, Version 2.0; see the file": "Apache-2.0",
+        "// This work is licensed under the GNU General\n// Public License, version 3.\nint x;": "GPL-3.0",
+        " ".join(f"w{i}" for i in range(100)) + " Released under the MIT License. " + " ".join(f"v{i}" for i in range(70)): "MIT",
+        "Licensed under the Foo License": None, "Some rights reserved": None, "this license text is about versions of a work": None}
+    df = {"the": 90, "under": 60, "license": 5, "released": 4, "licensed": 3, "mit": 2, "under the": 50, "all": 40, "work": 30}
+    for scale in (1, 100, 10_000):
+        m = licences.Matcher(licences.TEMPLATES, {t: n * scale for t, n in df.items()}, 100 * scale)
+        got = {line: m.best(licences._TERM.findall(line.lower())) for line in lines}
+        assert {line: g and g[1] for line, g in got.items()} == lines
+
+
+def test_segments_against_every_window():
+    m = licences.Matcher({"A": ["one two three"], "B": ["two two four five"]}, {"one": 3, "two": 50}, 100)
+    words = "x one two three two two y four five one two z three".split()
+
+    def cosine(window, v):
+        terms = licences.segment_terms(window)
+        w = {t: f * m.idf(t) for t, f in terms.items()}
+        return sum(w[t] * v.get(t, 0.0) for t in w) / sum(x * x for x in w.values()) ** 0.5
+
+    want = {(round(c, 9), name, s, e) for v, name, n in zip(m.vectors, m.names, m.lengths)
+            for s in range(len(words)) for e in range(s + n, min(len(words), s + licences.longest(n)) + 1)
+            if (c := cosine(words[s:e], v)) >= 0.5}
+    got = [(round(c, 9), *x) for c, *x in m.close(words, 0.5)]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 3
