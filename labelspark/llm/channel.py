@@ -3,9 +3,10 @@
 A disguised stretch of text (leetspeak, letters set apart, letters repeated)
 is a lattice: every character may stand for itself, for the letters it is
 commonly written for, or, if it is neither letter nor digit, for a gap or for
-nothing.  Letters set apart are put together first.  Viterbi search finds the path with the
-best sum of channel costs and the log-probabilities of a character language
-model over the two characters before.
+nothing.  In a stretch of several words every mark may stand for nothing or a
+gap, spaces too, and a gap may be missing between letters.  Viterbi search
+finds the path with the best sum of channel costs and the log-probabilities of
+a character language model over the two characters before.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ LEET = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h",
 }
 #: log10 costs of the channel.
-KEEP, SWAP, DROP, REPEAT = 0.0, -0.7, -0.9, -0.25
+KEEP, SWAP, DROP, REPEAT, INSERT = 0.0, -0.7, -0.9, -0.25, -0.9
 ALPHABET = "abcdefghijklmnopqrstuvwxyz" + "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 #: Character classes of the language model: 0 ends a word, the last is any
 #: other character.
@@ -37,7 +38,10 @@ _LUT[list(b" \t\n\x0b\x0c\r")] = 0
 
 #: Single characters set apart by one kind of gap, three or more of them.
 APART = re.compile(r"(?<![^\s])[^\W_]([ .\-_*])[^\W_](?:\1[^\W_])+(?![^\s.,;:!?])")
+#: Characters that can only be a gap or nothing.
+GAP = re.compile("(?:[^\\w%s]|_)+" % re.escape("".join(LEET)))
 _THRICE = re.compile(r"([^\W\d_])\1\1")
+_THRICE_MORE = re.compile(r"([^\W\d_])\1\1\1+")
 _MIXED = re.compile(r"[^\W_].*[^\w\s'’\-.,;:]|[^\w\s'’\-.,;:].*[^\W_]|\d.*[^\W\d_]|[^\W\d_].*\d")
 
 
@@ -78,22 +82,34 @@ def suspicious(word: str) -> bool:
     return bool(_MIXED.search(word) or _THRICE.search(word))
 
 
-def _edges(text: str, k: int) -> list[tuple[int, str, float]]:
-    """Edges of the lattice at character k: (next k, output, cost)."""
+def squeezed(text: str) -> str:
+    """``text`` with runs of a letter cut to three: the lattice reads longer ones alike."""
+    return _THRICE_MORE.sub(r"\1\1\1", text)
+
+
+def _edges(text: str, k: int, stretch: bool = False) -> list[tuple[int, str, float]]:
+    """Edges of the lattice at character k: (next k, output, cost).  In a
+    stretch of words a mark that may be a letter may also be a gap or nothing,
+    and a gap may be missing before a letter."""
     c = text[k]
     if c.isalpha():
         end = k + 1
         while end < len(text) and text[end] == c:
             end += 1
         if end - k >= 3:  # a run may stand for one letter or two
-            return [(end, c, REPEAT), (end, c + c, REPEAT)]
-        return [(k + 1, c, KEEP)]
+            out = [(end, c, REPEAT), (end, c + c, REPEAT)]
+        else:
+            out = [(k + 1, c, KEEP)]
+        if stretch and k and text[k - 1].isalpha():
+            out += [(to, " " + x, cost + INSERT) for to, x, cost in out]
+        return out
+    nothing = [(k + 1, "", DROP), (k + 1, " ", KEEP)]
     if c in LEET:
-        return [(k + 1, c, KEEP), *((k + 1, x, SWAP) for x in LEET[c])]
-    return [(k + 1, "", DROP), (k + 1, " ", KEEP)]
+        return [(k + 1, c, KEEP), *((k + 1, x, SWAP) for x in LEET[c]), *(nothing if stretch and not c.isdigit() else ())]
+    return nothing
 
 
-def decode(text: str, model: CharModel) -> str:
+def decode(text: str, model: CharModel, stretch: bool = False) -> str:
     """The most likely original of a disguised stretch in lower case.  Equal
     scores go to the output that sorts first."""
     table = model.table
@@ -104,7 +120,7 @@ def decode(text: str, model: CharModel) -> str:
         layer, layers[k] = layers[k], {}
         if not layer:
             continue
-        for to, out, cost in _edges(text, k):
+        for to, out, cost in _edges(text, k, stretch):
             target = layers[to]
             for (a, b), (score, before) in layer.items():
                 x, y, s = a, b, score + cost
@@ -118,3 +134,54 @@ def decode(text: str, model: CharModel) -> str:
                     target[x, y] = new
     ends = [(s + table[a][b][0], out) for (a, b), (s, out) in layers[-1].items()]
     return min(ends, key=lambda e: (-e[0], e[1]))[1] if ends else ""
+
+
+class _Letters(dict):
+    """For str.translate: letters that one character may stand for are one
+    letter, all else is left out."""
+
+    def __init__(self, marks: bool):
+        super().__init__()
+        for c, letters in LEET.items():
+            if len(letters) < 3 and (marks or c not in "!|+(#"):
+                self[ord(c)] = "i" if "l" in letters else letters[0]
+        self[ord("l")] = "i"
+
+    def __missing__(self, c: int):
+        self[c] = chr(c) if chr(c).isalpha() else None
+        return self[c]
+
+
+_PLAIN, _MARKS = _Letters(False), _Letters(True)
+_REACH = 32
+
+
+class Spotter:
+    """Stretches of a text whose letters, gaps and marks left out, hold one of
+    some words: what the lattice could restore to one of them."""
+
+    def __init__(self, words):
+        self.words = sorted({w.translate(_PLAIN) for w in words if w.isalpha()})
+
+    def stretches(self, low: str) -> set[str]:
+        found, seen = set(), None
+        for letters in (_PLAIN, _MARKS):
+            bare = low.translate(letters)
+            if bare == seen:
+                break
+            seen, at = bare, None
+            for w in self.words:
+                p = bare.find(w)
+                while p >= 0:
+                    at = at or [i for i, c in enumerate(low) if letters[ord(c)] is not None]
+                    found.add(self._around(low, at[p], at[p + len(w) - 1] + 1))
+                    p = bare.find(w, p + 1)
+        return found
+
+    @staticmethod
+    def _around(low: str, start: int, end: int) -> str:
+        """``low[start:end]`` and the rest of the words that it cuts, gaps as single spaces."""
+        inside = GAP.sub(" ", low[start:end])
+        before = re.search(r"\S*\Z", low[max(0, start - _REACH) : start])[0]
+        after = re.match(r"\S*", low[end : end + _REACH])[0]
+        return squeezed(GAP.sub(" ", before + inside + after)).strip()

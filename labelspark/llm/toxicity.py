@@ -31,10 +31,16 @@ CHANCE = 0.05
 #: Score from which a row is predicted toxic.
 TOXIC = 0.7
 _CACHE_WORDS = 200_000
-_PIECE = 64
+#: Pieces of long words, and by how much they overlap (longer than the words looked for).
+_PIECE, _OVERLAP = 64, 32
 _OUTER = " .,;:!?()[]{}<>\"'`*_#%&|/\\+=~^-–—‘’“”…«»"
 
 
+def bare(raw: str) -> str:
+    """A word or stretch without outer marks."""
+    return raw.rstrip(_OUTER + "$@").lstrip(_OUTER)
+
+
 class Restorer:
     """Words of a text after restoration; remembers words it has seen."""
 
@@ -43,12 +49,27 @@ class Restorer:
 
     def word(self, raw: str) -> list[str]:
         """What a word (lower case) stands for: usually itself without outer marks."""
-        core = raw.rstrip(_OUTER + "$@").lstrip(_OUTER)
+        core = bare(raw)
         if not core or not channel.suspicious(core):
             return [core] if core else []
-        # pieces bound the search; disguised words are shorter
-        parts = [channel.decode(core[k : k + _PIECE], self.model) for k in range(0, len(core), _PIECE)]
-        return [core, *" ".join(parts).split()]
+        return [core, *self._pieces(channel.squeezed(core))]
+
+    def _pieces(self, core: str, stretch: bool = False) -> list[str]:
+        # pieces bound the search; a disguised word lies within one of them
+        starts = range(0, max(1, len(core) - _OVERLAP), _PIECE - _OVERLAP)
+        return " ".join(channel.decode(core[k : k + _PIECE], self.model, stretch) for k in starts).split()
+
+    def stretch(self, text: str) -> list[str]:
+        """The words that a stretch of text (lower case) stands for."""
+        key = " " + text  # no word starts with a space
+        if key not in self.cache:
+            if len(self.cache) > _CACHE_WORDS:
+                self.cache.clear()
+            self.cache[key] = self._pieces(text, True)
+            parts = text.split()
+            if len(parts) > 2 and max(map(len, parts)) == 1:  # letters set apart: no gap stands for itself
+                self.cache[key] += self._pieces(channel.squeezed("".join(parts)), True)
+        return self.cache[key]
 
     def words(self, text: str | None) -> list[list[str]]:
         """For every word of the text, in order, what it stands for; then what
@@ -97,13 +118,22 @@ def char_model(docs: DataFrame, text: str = "text") -> channel.CharModel:
     return channel.CharModel(counts)
 
 
-def evidence(restorer: Restorer, text: str | None, believed: dict[str, float], known: dict[str, float]) -> tuple[list[str], float]:
+def spotter(believed: dict[str, float]) -> channel.Spotter:
+    return channel.Spotter(x for x in believed if not x.endswith("^"))
+
+
+def evidence(restorer: Restorer, text: str | None, believed: dict[str, float], known: dict[str, float],
+             spot: channel.Spotter) -> tuple[list[str], float]:
     """Distinct words of a text with a believed term (sorted), and the sum of
-    their log-odds; ``known`` remembers words."""
+    their log-odds; ``known`` remembers words.  Words that are split up or
+    joined are restored where ``spot`` finds the letters of a believed one."""
     if len(known) > _CACHE_WORDS:
         known.clear()
     hits, total = set(), 0.0
-    for w in {w for ws in restorer.words(text) for w in ws}:
+    words = {w for ws in restorer.words(text) for w in ws}
+    for part in {bare(x) for x in spot.stretches((text or "").lower())} - words:
+        words.update(restorer.stretch(part))
+    for w in words:
         if w not in known:
             p = max((believed.get(x, 0.0) for x in terms(w)), default=0.0)
             known[w] = math.log(p / (1 - p)) if p else 0.0
@@ -204,10 +234,10 @@ def learn(docs: DataFrame, labels: DataFrame, model, label: str = "toxic", doc_i
     terms_known = docs.sparkSession.sparkContext.broadcast(believed)
 
     def in_bins(batches):
-        r, known, counts = Restorer(model.value), {}, Counter()
+        r, known, counts, spot = Restorer(model.value), {}, Counter(), spotter(terms_known.value)
         for batch in batches:
             for y, t in zip(values(batch.column("y")), values(batch.column("text"))):
-                counts[Calibration.bin(evidence(r, t, terms_known.value, known)[1]), y] += 1
+                counts[Calibration.bin(evidence(r, t, terms_known.value, known, spot)[1]), y] += 1
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in counts], pa.int32()), pa.array([y for _, y in counts], pa.int32()),
                                           pa.array(list(counts.values()), pa.int64())], names=["bin", "y", "n"])
 
@@ -255,9 +285,10 @@ def _trained(docs, labels, label, doc_id, text, max_labelled):
 def _judge(model, lexicon):
     """Function from a text to its telling words and its score, in a task."""
     restorer, (believed, chance), known = Restorer(model.value), lexicon.value, {}
+    spot = spotter(believed)
 
     def judge(text):
-        hits, total = evidence(restorer, text, believed, known)
+        hits, total = evidence(restorer, text, believed, known, spot)
         return hits, chance(total)
 
     return judge

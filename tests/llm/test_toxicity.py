@@ -76,3 +76,27 @@ def test_viterbi_against_all_paths():
 def test_letters_set_apart():
     assert [m[0] for m in channel.APART.finditer("the l o s e r is l.o.s.e.r, a b c-d-e")] == ["l o s e r", "l.o.s.e.r", "c-d-e"]
     assert "loser" in channel.together("a l o s e r")
+
+
+def test_split_and_joined_words_are_found(spark, tables):
+    docs, labels = tables
+    plain = "Of thnea onreat a {} that on thhahati the heing."
+    words = ["y o u i d i o t", "id io t", "i  d  i  o  t", "i, d, i, o, t", "i\nd\ni\no\nt", "1, d, 1, 0, t", "you,idiot", "sad-idiot",
+             "idi.ot", "you idiot", "idi ot", "l_o_s_e_r", "l o s e r s", "$ c u m", "idi" + "o" * 100 + "t", "reat heing", "d i t o"]
+    more = spark.createDataFrame([(10**6 + i, plain.format(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    got = {r["doc_id"] - 10**6: r for r in toxicity.score(docs.select("doc_id", "text").unionAll(more), labels)
+           .where(F.col("doc_id") >= 10**6).collect()}
+    told = [{x for x in ("idiot", "loser", "scum") if any(f.startswith(x) for f in got[i]["found"])} for i in range(len(words))]
+    assert told == [{"idiot"}] * 11 + [{"loser"}] * 2 + [{"scum"}, {"idiot"}, set(), set()]
+
+
+def test_pieces_overlap():
+    import numpy as np
+
+    counts = np.zeros(channel.SIZE**3)
+    for word in ("idiot", "of", "the"):
+        at, n = np.unique(channel.trigram_counts(f" {word} " * 1000), return_counts=True)
+        counts[at] += n
+    restorer = toxicity.Restorer(channel.CharModel(counts))
+    for k in range(40, 80):
+        assert "idiot" in restorer.word(("of.the." * 12)[:k].rstrip(".") + ".1d10t.of.the")
