@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Hash cells per shard in which slots are numbered on their own.  A fixed
 #: number: 4096 cells of 40 shards keep a cell at 300 000 rows for 5e10 rows.
 CELLS = 4096
+#: Slots of equal rows that one row expands to at a time.
+CHUNK = 100_000
 
 
 def key_text(key: Column) -> Column:
@@ -46,6 +48,15 @@ def assign(df: DataFrame, key: str, weights: Sequence[float], out: str = "shard"
     return df.withColumn(out, rendezvous(key_text(F.col(key)), weights).cast("int"))
 
 
+def expand(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every row once for each number from ``first`` to ``last``, as ``slot``.
+    Chunks of CHUNK numbers are dealt over the tasks before they are expanded,
+    so no row holds more than a chunk, however often it is repeated."""
+    chunk = F.explode(F.sequence("first", "last", F.lit(CHUNK).cast("long")))
+    rows = rows.withColumn("start", chunk).repartition(*keys, "start")
+    return rows.withColumn("slot", F.explode(F.sequence("start", F.least(F.col("start") + CHUNK - 1, "last")))).drop("start")
+
+
 def sharded(df: DataFrame, weights: Sequence[float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Manifest of a sharding by key.
 
@@ -55,7 +66,7 @@ def sharded(df: DataFrame, weights: Sequence[float], key: str = "doc_id", text:
     ``grown_shard`` (the shard with one more of the mean positive weight).
     Other columns of ``df`` are not read.  Equal rows are counted before the
     shuffle and get consecutive slots, so a row that makes up a third of the
-    table costs one shuffled row per task.  An empty table gives no rows.
+    table costs one shuffled row per task and one per CHUNK slots.  An empty table gives no rows.
     """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = df.select(F.col(key).alias("k"),
@@ -76,8 +87,8 @@ def sharded(df: DataFrame, weights: Sequence[float], key: str = "doc_id", text:
     cells = cells.select("shard", "cell", F.coalesce(F.sum("cell_n").over(before), F.lit(0)).alias("base"))
     rows = rows.join(cells, ["shard", "cell"])
     first = F.col("base") + F.col("upto") - F.col("n")
-    slot = F.explode(F.sequence(first, first + F.col("n") - 1))
+    rows = expand(rows.withColumns({"first": first, "last": first + F.col("n") - 1}), ["k", "size", "crc"])
     return rows.select(
         F.col("k").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"),
-        "shard", slot.alias("slot"), F.col("grown").alias("grown_shard"))
+        "shard", "slot", F.col("grown").alias("grown_shard"))
 

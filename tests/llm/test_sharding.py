@@ -49,3 +49,13 @@ def test_manifest(spark):
     assert sharding.sharded(df.limit(0), [1.0] * 5).count() == 0
     with pytest.raises(ValueError):
         sharding.rendezvous(F.lit("x"), [0.0])
+
+
+def test_equal_rows_expand_in_chunks(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 5, 3_000_000_000)], "k long, first long, last long")
+    got = sharding.expand(rows, ["k"]).limit(3).collect()  # one array of so many numbers is an error
+    assert len(got) == 3 and all(5 <= r["slot"] <= 3_000_000_000 for r in got)
+    monkeypatch.setattr(sharding, "CHUNK", 7)
+    rows = spark.createDataFrame([(1, 5, 5), (2, 0, 6), (3, 10, 17), (4, 20, 60)], "k long, first long, last long")
+    got = sorted((r["k"], r["slot"]) for r in sharding.expand(rows, ["k"]).collect())
+    assert got == [(1, 5), *((2, i) for i in range(7)), *((3, i) for i in range(10, 18)), *((4, i) for i in range(20, 61))]
