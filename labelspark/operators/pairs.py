@@ -124,3 +124,29 @@ def dataset_statistics(df: DataFrame, split: str = "split", labels: str = "label
     return per.join(nl, on=per[split].eqNullSafe(nl[split]), how="left").select(
         per[split], "n_samples", "n_positives", "n_with_negatives",
         F.coalesce(nl["n_unique_labels"], F.lit(0)).alias("n_unique_labels"))
+
+
+def dataset_labels(df: DataFrame, split: str = "split", labels: str = "labels",
+                   not_labels: str | None = "not_labels") -> DataFrame:
+    """A-10: the label list of every split, one row per (split, label)."""
+    cols = [labels] + ([not_labels] if not_labels and not_labels in df.columns else [])
+    lists = [df.select(split, F.explode(c).alias("label")) for c in cols]
+    out = lists[0].unionByName(lists[1]) if len(lists) > 1 else lists[0]
+    return out.distinct()
+
+
+def dataset_record(df: DataFrame, num_negatives: int = 3, split: str = "split", labels: str = "labels",
+                   not_labels: str | None = "not_labels") -> DataFrame:
+    """A-10: ``dataset_statistics`` with the pairs a split gives for training
+    (J-5: a positive of a sample with ``num_negatives`` negatives or more) and
+    the triplets it gives for evaluation (J-4, and J-6 without negatives), as
+    rows of the tables those operators build; null lists hold nothing."""
+    neg = not_labels if not_labels and not_labels in df.columns else None
+    n_pos, n_neg = (F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) if c else F.lit(0) for c in (labels, neg))
+    rows = df.select(split, n_pos.cast("long").alias("_p"), n_neg.alias("_n"))
+    counts = rows.rollup(split).agg(
+        F.sum(F.when(F.col("_n") >= num_negatives, F.col("_p")).otherwise(0)).alias("n_train_pairs"),
+        F.sum(F.when((F.col("_n") > 0) | F.lit(neg is None), F.col("_p")).otherwise(0)).alias("n_eval_triplets"))
+    stats = dataset_statistics(df, split, labels, not_labels)
+    return stats.join(counts, on=stats[split].eqNullSafe(counts[split]), how="left").select(
+        *[stats[c] for c in stats.columns], "n_train_pairs", "n_eval_triplets")

@@ -1,4 +1,4 @@
-"""Sinks (A-7, A-8).
+"""Sinks (A-7, A-8, A-10).
 
 Outputs go to a shared folder (``spark.checkpoint.dir`` by default): never a
 machine-local temporary folder.  Writes are whole-job commits through
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.pairs import dataset_labels, dataset_record
 from ..operators.prefix import global_row_number
 
 
@@ -54,3 +55,11 @@ def write_detail_json(pred: DataFrame, path: str, sample: str = "sample_id",
     g.select(sample, F.transform("_a", lambda x: x["s"]).alias("predictions"),
              F.transform("_a", lambda x: x["t"]).alias("true_labels")) \
      .write.mode(mode).json(path)
+
+
+def write_dataset_info(df: DataFrame, path: str, num_negatives: int = 3, split: str = "split", labels: str = "labels",
+                       not_labels: str | None = "not_labels", mode: str = "overwrite") -> None:
+    """A-10: the record of every split and of all (small JSON), and the label
+    lists as parquet, one folder per split."""
+    dataset_record(df, num_negatives, split, labels, not_labels).coalesce(1).write.mode(mode).json(f"{path}/record")
+    dataset_labels(df, split, labels, not_labels).write.mode(mode).partitionBy(split).parquet(f"{path}/labels")
