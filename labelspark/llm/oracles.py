@@ -91,4 +91,58 @@ good AS (SELECT d, b, count(DISTINCT key) AS m FROM met ANTI JOIN bad USING (d,
 tot AS (SELECT id AS b, count(DISTINCT key) AS n FROM win WHERE kind = 1 GROUP BY id)
 SELECT d AS doc_id, b AS item_id, n AS n_windows, m AS n_matched, m / n AS share FROM good JOIN tot USING (b) WHERE m / n >= {MIN_SHARE}::DOUBLE"""
 
-ORACLE = {"op1_template_decontamination": LEAKS, "op2_superminhash_neardup": NEARDUP, "op4_suffix_dedup": SUFFIX, "op9_backoff_lm": LM}
+def _crc_table() -> list[int]:
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (int(CRC) if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def crc32_bytes(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a text, one byte at a time."""
+    h = f"hex(encode({text}))"
+    each = f"list_transform(range(1, length({h}) // 2 + 1), lambda k: CAST('0x' || substr({h}, CAST(2 * k - 1 AS BIGINT), 2) AS BIGINT))"
+    steps = f"list_reduce(list_concat([4294967295::BIGINT], {each}), lambda c, b: xor(c // 256, {_crc_table()}[xor(c, b) % 256 + 1]))"
+    return f"xor({steps}, 4294967295::BIGINT)"
+
+
+VARIANTS = f"""WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS c FROM r WHERE length(run) >= 6 GROUP BY doc_id, run),
+h AS (SELECT run, c, {crc32_bytes("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM g),
+k AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM k WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT d.word, w.word FROM d JOIN w ON d.rest = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.rest = w.word),
+m AS (SELECT p.a AS word, p.b AS near, w.n AS near_n, count(*) OVER (PARTITION BY p.a) AS n_near,
+             row_number() OVER (PARTITION BY p.a ORDER BY w.n DESC, p.b) AS r FROM p JOIN w ON w.word = p.b),
+f AS (SELECT w.word, w.n, coalesce(m.n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form,
+             CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n FROM w LEFT JOIN m ON m.word = w.word AND m.r = 1),
+path AS (SELECT word, word AS root, form FROM f UNION ALL SELECT path.word, f.word, f.form FROM path JOIN f ON path.form = f.word)
+SELECT f.word, f.form, path.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM f JOIN path ON path.word = f.word AND path.form IS NULL"""
+
+TOPK = """WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+f AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(greatest(least(floor(least(64 * CAST(x AS DOUBLE), 33554432)), 33554432), -33554432) AS BIGINT)) AS v FROM e),
+v AS (SELECT vec_id, min(v) AS v FROM f GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])), 0) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+_TERMS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+RANKED = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+n AS (SELECT r, doc_id, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0),
+tot AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM n),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+u AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * max(big_n) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM u CROSS JOIN tot GROUP BY t),
+s AS (SELECT q.item_id, n.r, n.doc_id, CAST(sum(w.w * ((1000000000 * u.tf) // (1000 * u.tf + 20 * (100 - 50 + ((50 * n.n * big_n) // big_l))))) AS BIGINT) AS score
+      FROM q JOIN u ON q.t = u.t JOIN w ON w.t = u.t JOIN n ON n.r = u.r CROSS JOIN tot GROUP BY q.item_id, n.r, n.doc_id),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50"""
+
+ORACLE = {"op1_template_decontamination": LEAKS, "op2_superminhash_neardup": NEARDUP, "op4_suffix_dedup": SUFFIX, "op9_backoff_lm": LM,
+          "op11_partenum_variants": VARIANTS, "op12_maxscore_topk": TOPK, "op13_accumulator_ranking": RANKED}

@@ -122,3 +122,27 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     return licences.scan(table(spark, sf_dir, "documents"), "doc_id", path)
+
+
+@query
+def op11_partenum_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling forms of the words of all documents."""
+    from labelspark.llm import variants
+
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best vectors for each whose id is divisible by 20."""
+    from labelspark.llm import maxscore
+
+    return maxscore.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query
+def op13_accumulator_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for each benchmark item."""
+    from labelspark.llm import termtime
+
+    return termtime.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
