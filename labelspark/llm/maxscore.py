@@ -29,7 +29,9 @@ from labelspark.llm.shared import keep
 #: Postings of a shard and weights of a block of queries (mean sizes).
 SHARD_POSTINGS, BLOCK_WEIGHTS = 1 << 19, 1 << 16
 #: Rows of a shard that are searched at a time; the kth score rises in between.
-_STEP = 2048
+_STEP = 4096
+#: Wide lists that are probed before rows are given up.
+_PROBED = 4
 #: Weights beyond this are held at it: sums of up to 2^13 products stay exact.
 LARGEST = 1 << 25
 
@@ -44,9 +46,12 @@ def whole_parts(vector: Column, scale: int = 64) -> Column:
 
 
 class Shard:
-    """Posting lists of a shard's rows; rows are numbered by ascending id."""
+    """Posting lists of a shard's rows; rows are numbered by ascending id.  Lists
+    that hold at least a quarter of the rows are kept as whole columns, which
+    takes at most four times their postings: those of a step of rows are traversed
+    for all queries of a block by one matrix product."""
 
-    def __init__(self, ids: np.ndarray, counts: np.ndarray, terms: np.ndarray, weights: np.ndarray):
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, terms: np.ndarray, weights: np.ndarray, largest: int):
         order = np.argsort(ids, kind="stable")
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
@@ -57,60 +62,83 @@ class Shard:
         self.ids, self.rows, self.weights = ids[order], rows[by], weights[by]
         self.names, self.start = np.unique(terms[by], return_index=True)
         self.end = np.append(self.start[1:], len(by))
-        self.most = np.maximum.reduceat(self.weights, self.start) if len(by) else np.empty(0, np.int64)
-        self.least = np.minimum.reduceat(self.weights, self.start) if len(by) else np.empty(0, np.int64)
-        steps = np.arange(0, len(ids) + _STEP, _STEP)
-        # where each step of rows begins in each posting list
-        self.cuts = np.array([s + np.searchsorted(self.rows[s:e], steps) for s, e in zip(self.start, self.end)],
-                             np.int64).reshape(len(self.names), len(steps))
-
-    def search(self, query_id: int, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best ``k`` rows but the query's own; ties go to
-        the smaller id."""
+        empty = np.empty(0, np.int64)
+        self.most = np.maximum.reduceat(self.weights, self.start) if len(by) else empty
+        self.least = np.minimum.reduceat(self.weights, self.start) if len(by) else empty
+        wide = 4 * (self.end - self.start) >= len(ids)
+        self.column = np.where(wide, np.cumsum(wide) - 1, -1)
+        # doubles hold the sums exactly up to 2^53 (``largest``: of the queries' weights)
+        most = int(np.abs(self.weights).max(initial=0)) * largest * max(1, len(self.names))
+        self.columns = np.zeros((int(wide.sum()), len(ids)), np.float64 if most < 1 << 53 else np.int64)
+        for t in np.flatnonzero(wide):
+            s, e = self.start[t], self.end[t]
+            self.columns[self.column[t], self.rows[s:e]] = self.weights[s:e]
+
+    def lists(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A query's lists by falling bound, its weights, and the sum of the bounds
+        from each list on."""
         at = np.searchsorted(self.names, terms)
         there = (at < len(self.names)) & (weights != 0)
         there[there] = self.names[at[there]] == terms[there]
         at, q = at[there], weights[there]
         bounds = np.maximum(0, np.maximum(q * self.most[at], q * self.least[at]))
         strong = np.argsort(-bounds, kind="stable")
-        at, q, bounds = at[strong], q[strong], bounds[strong]
-        left = np.append(np.cumsum(bounds[::-1])[::-1], 0)  # bounds from a term on
-        best_ids, best_scores = np.empty(0, np.int64), np.empty(0, np.int64)
-        for step in range(self.cuts.shape[1] - 1 if len(self.names) else 0):
-            full = len(best_scores) >= k
-            kth = best_scores[-1] if full else None
-            # terms from `essential` on: together they can't lift a row to the kth score
-            essential = int(np.count_nonzero(left[:-1] >= kth)) if full else len(at)
-            found = self._step(step, at, q, left, essential, kth)
-            best_ids, best_scores = _best(best_ids, best_scores, *found, query_id, k)
-        if not len(self.names):
-            best_ids, best_scores = _best(best_ids, best_scores, self.ids, np.zeros(len(self.ids), np.int64), query_id, k)
-        return best_ids, best_scores
-
-    def _step(self, step: int, at, q, left, essential: int, kth) -> tuple[np.ndarray, np.ndarray]:
-        lo = step * _STEP
-        size = min(_STEP, len(self.ids) - lo)
-        sums, met = np.zeros(size, np.int64), np.zeros(size, bool)
+        return at[strong], q[strong], np.append(np.cumsum(bounds[strong][::-1])[::-1], 0)
+
+    def postings(self, t: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (from ``lo``) and weights of a list between two rows."""
+        rows = self.rows[self.start[t] : self.end[t]]
+        s, e = self.start[t] + np.searchsorted(rows, (lo, hi))
+        return self.rows[s:e] - lo, self.weights[s:e]
+
+    def search(self, queries: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (id, terms, weights) the ids and scores of the best ``k``
+        rows but its own; ties go to the smaller id."""
+        plans = [self.lists(terms, weights) for _, terms, weights in queries]
+        none = np.empty(0, np.int64)
+        tops = [(none, none)] * len(queries)
+        for lo in range(0, len(self.ids), _STEP):
+            hi = min(lo + _STEP, len(self.ids))
+            wide, essential = np.zeros((len(queries), len(self.columns)), self.columns.dtype), []
+            for j, (at, q, left) in enumerate(plans):
+                # lists from here on: together they can't lift a row to the kth score
+                n = int(np.count_nonzero(left[:-1] >= tops[j][1][-1])) if len(tops[j][1]) >= k else len(at)
+                columns = self.column[at[:n]]
+                wide[j, columns[columns >= 0]] = q[:n][columns >= 0]
+                essential.append(n)
+            sums = wide @ self.columns[:, lo:hi]
+            for j, (query_id, _, _) in enumerate(queries):
+                kth = tops[j][1][-1] if len(tops[j][1]) >= k else None
+                found = self._found(sums[j], lo, hi, *plans[j], essential[j], kth)
+                if len(found[0]):
+                    tops[j] = _best(*tops[j], *found, query_id, k)
+        return tops
+
+    def _found(self, sums: np.ndarray, lo: int, hi: int, at, q, left, essential: int, kth) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the rows of a step that reach the kth score; ``sums``
+        has what the wide ones among the essential lists gave."""
         for t, w in zip(at[:essential], q[:essential]):
-            s, e = self.cuts[t, step], self.cuts[t, step + 1]
-            rows = self.rows[s:e] - lo
-            sums[rows] += w * self.weights[s:e]
-            met[rows] = True
-        if kth is None or kth <= 0:  # a row in no list at all scores 0
-            met[:] = True
-        rows = np.flatnonzero(met & (sums + left[essential] >= kth)) if kth is not None else np.flatnonzero(met)
-        for j in range(essential, len(at)):
-            if not len(rows):
-                break
-            s, e = self.cuts[at[j], step], self.cuts[at[j], step + 1]
-            post = self.rows[s:e] - lo
-            spot = np.searchsorted(post, rows)
-            hit = spot < len(post)
-            hit[hit] = post[spot[hit]] == rows[hit]
-            sums[rows[hit]] += q[j] * self.weights[s:e][spot[hit]]
+            if self.column[t] < 0:
+                rows, weights = self.postings(t, lo, hi)
+                sums[rows] += w * weights
+        # a row in no essential list has a sum of 0 and is passed over unless the kth score is no higher
+        rows = np.flatnonzero(sums >= kth - left[essential]) if kth is not None else np.arange(hi - lo)
+        j = essential
+        while j < len(at) and len(rows):
+            columns = self.column[at[j : j + _PROBED]]
+            if columns.min() >= 0:  # a few wide lists at a time
+                sums[rows] += q[j : j + _PROBED] @ self.columns[np.ix_(columns, lo + rows)]
+                j += len(columns)
+            else:
+                post, weights = self.postings(at[j], lo, hi)
+                spot = np.searchsorted(post, rows)
+                hit = spot < len(post)
+                hit[hit] = post[spot[hit]] == rows[hit]
+                sums[rows[hit]] += q[j] * weights[spot[hit]]
+                j += 1
             if kth is not None:
-                rows = rows[sums[rows] + left[j + 1] >= kth]
-        return self.ids[lo + rows], sums[rows]
+                rows = rows[sums[rows] + left[j] >= kth]
+        return self.ids[lo + rows], sums[rows].astype(np.int64)
 
 
 def _best(ids_a, scores_a, ids_b, scores_b, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,10 +171,11 @@ def _answer(k: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         if not rows.num_rows or not queries.num_rows:
             return schema.empty_table()
-        shard = Shard(*_columns(rows))
         ids, counts, terms, weights = _columns(queries)
+        shard = Shard(*_columns(rows), largest=int(np.abs(weights).max(initial=0)))
         ends = np.cumsum(counts)
-        out = [(i, *shard.search(int(i), terms[e - n : e], weights[e - n : e], k)) for i, n, e in zip(ids, counts, ends)]
+        block = [(int(i), terms[e - n : e], weights[e - n : e]) for i, n, e in zip(ids, counts, ends)]
+        out = [(i, *top) for (i, _, _), top in zip(block, shard.search(block, k))]
         return pa.table({"query_id": np.concatenate([np.full(len(g), i, np.int64) for i, g, _ in out]),
                          "id": np.concatenate([g for _, g, _ in out]), "score": np.concatenate([s for _, _, s in out])}, schema=schema)
 
