@@ -79,7 +79,7 @@ class CharModel:
 
 def suspicious(word: str) -> bool:
     """Could a word (lower case, without white space) be disguised?"""
-    return bool(_MIXED.search(word) or _THRICE.search(word))
+    return bool(_THRICE.search(word) or not word.isalpha() and _MIXED.search(word))
 
 
 def squeezed(text: str) -> str:
@@ -151,6 +151,12 @@ class _Letters(dict):
         self[c] = chr(c) if chr(c).isalpha() else None
         return self[c]
 
+    def places(self, text: str) -> np.ndarray:
+        """Where the characters stand that are not left out."""
+        raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        each, at = np.unique(raw, return_inverse=True)
+        return np.flatnonzero(np.array([self[int(c)] is not None for c in each])[at])
+
 
 _PLAIN, _MARKS = _Letters(False), _Letters(True)
 _REACH = 32
@@ -173,7 +179,8 @@ class Spotter:
             for w in self.words:
                 p = bare.find(w)
                 while p >= 0:
-                    at = at or [i for i, c in enumerate(low) if letters[ord(c)] is not None]
+                    if at is None:
+                        at = letters.places(low)
                     found.add(self._around(low, at[p], at[p + len(w) - 1] + 1))
                     p = bare.find(w, p + 1)
         return found

@@ -19,13 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.llm import channel
-from labelspark.llm.shared import bounded_sample, fold, values, worker_cache
+from labelspark.llm.shared import bounded_sample, fold, keep, values, worker_cache
 from labelspark.llm.superminhash import WORD
 
 #: Bound of the labelled rows that terms are learned from.
 MAX_LABELLED = 16_384
-#: Bound of the terms that are looked at further: those of most support.
-MAX_TERMS = 100_000
 SHORTEST, LONGEST_START = 3, 8
 CHANCE = 0.05
 #: Score from which a row is predicted toxic.
@@ -71,19 +69,26 @@ class Restorer:
                 self.cache[key] += self._pieces(channel.squeezed("".join(parts)), True)
         return self.cache[key]
 
+    def learned(self, raw: set[str]) -> dict[str, list[str]]:
+        """The memory, with what each of some words (lower case) stands for."""
+        cache = self.cache
+        if len(cache) > _CACHE_WORDS:
+            cache.clear()
+        for w in raw.difference(cache):
+            cache[w] = self.word(w)
+        return cache
+
+    def apart(self, low: str) -> list[list[str]]:
+        """What letters that were set apart stand for."""
+        return [self.word(w) for m in channel.APART.finditer(low) for w in channel.together(m[0])]
+
     def words(self, text: str | None) -> list[list[str]]:
         """For every word of the text, in order, what it stands for; then what
         letters that were set apart stand for."""
         low = (text or "").lower()
-        cache, raw = self.cache, WORD.findall(low)
-        if len(cache) > _CACHE_WORDS:
-            cache.clear()
-        for w in set(raw).difference(cache):
-            cache[w] = self.word(w)
-        out = [cache[w] for w in raw]
-        for m in channel.APART.finditer(low):
-            out += [self.word(w) for w in channel.together(m[0])]
-        return out
+        raw = WORD.findall(low)
+        known = self.learned(set(raw))
+        return [known[w] for w in raw] + self.apart(low)
 
     def text(self, text: str | None) -> str:
         """The restored text, words parted by single spaces."""
@@ -118,29 +123,51 @@ def char_model(docs: DataFrame, text: str = "text") -> channel.CharModel:
     return channel.CharModel(counts)
 
 
-def spotter(believed: dict[str, float]) -> channel.Spotter:
-    return channel.Spotter(x for x in believed if not x.endswith("^"))
-
-
-def evidence(restorer: Restorer, text: str | None, believed: dict[str, float], known: dict[str, float],
-             spot: channel.Spotter) -> tuple[list[str], float]:
-    """Distinct words of a text with a believed term (sorted), and the sum of
-    their log-odds; ``known`` remembers words.  Words that are split up or
-    joined are restored where ``spot`` finds the letters of a believed one."""
-    if len(known) > _CACHE_WORDS:
-        known.clear()
-    hits, total = set(), 0.0
-    words = {w for ws in restorer.words(text) for w in ws}
-    for part in {bare(x) for x in spot.stretches((text or "").lower())} - words:
-        words.update(restorer.stretch(part))
-    for w in words:
-        if w not in known:
-            p = max((believed.get(x, 0.0) for x in terms(w)), default=0.0)
-            known[w] = math.log(p / (1 - p)) if p else 0.0
-        if known[w]:
-            hits.add(w)
-            total += known[w]
-    return sorted(hits), total
+class Judge:
+    """Evidence of believed terms in texts; remembers the words it has seen."""
+
+    def __init__(self, model: channel.CharModel, believed: dict[str, float]):
+        self.restorer, self.believed = Restorer(model), believed
+        self.spot = channel.Spotter(x for x in believed if not x.endswith("^"))
+        self.starts = {x[:SHORTEST] for x in believed}
+        self.odds: dict[str, float] = {}  # of restored words that tell
+        self.silent: set[str] = set()  # words as written without a telling one
+        self.telling: dict[str, list[str]] = {}  # the others
+
+    def _tells(self, word: str) -> bool:
+        if word[:SHORTEST] not in self.starts:
+            return False
+        if word not in self.odds:
+            p = max((self.believed.get(x, 0.0) for x in terms(word)), default=0.0)
+            if not p:
+                return False
+            self.odds[word] = math.log(p / (1 - p))
+        return True
+
+    def evidence(self, text: str | None) -> tuple[list[str], float]:
+        """Distinct restored words with a believed term (sorted), and the sum of
+        their log-odds.  Words that are split up or joined are restored where
+        the letters of a believed one stand."""
+        low = (text or "").lower()
+        raw = set(WORD.findall(low))
+        known = self.restorer.learned(raw)
+        if len(self.silent) + len(self.telling) > _CACHE_WORDS:
+            self.silent.clear()
+            self.telling.clear()
+        for w in (raw - self.silent).difference(self.telling):
+            found = [x for x in known[w] if self._tells(x)]
+            if found:
+                self.telling[w] = found
+            else:
+                self.silent.add(w)
+        hits = {x for w in raw.intersection(self.telling) for x in self.telling[w]}
+        apart = {x for ws in self.restorer.apart(low) for x in ws}
+        hits.update(filter(self._tells, apart))
+        parts = {bare(x) for x in self.spot.stretches(low)}
+        if parts:
+            parts -= apart.union(*map(known.__getitem__, raw))
+            hits.update(x for part in parts for x in self.restorer.stretch(part) if self._tells(x))
+        return sorted(hits), sum(self.odds[w] for w in sorted(hits))
 
 
 class Calibration:
@@ -177,7 +204,11 @@ def learn(docs: DataFrame, labels: DataFrame, model, label: str = "toxic", doc_i
     known = (labels.where(F.col(label).isin(0, 1) & (fold(F.col(doc_id), 3) != 1))
              .select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")))
     known = bounded_sample(known, "id", max_labelled)
-    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id").select("y", "text")
+    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")
+    sample = keep(sample.select("y", "text").distinct())  # copies count once, wherever they are
+    texts = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    total = sum(texts.values())
+    prior = texts.get(1, 0) / total if total else 0.5
 
     def in_toxic(batches):
         """(term, word before it): distinct ones of the toxic texts."""
@@ -195,37 +226,25 @@ def learn(docs: DataFrame, labels: DataFrame, model, label: str = "toxic", doc_i
 
     toxic = sample.where("y = 1").mapInArrow(in_toxic, "term string, before string").distinct()
     support = toxic.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    n_terms = max(1, support.count())
-    candidates = {r["term"] for r in support.where("n > 2").orderBy(F.desc("n"), "term").limit(MAX_TERMS).collect()}
-    wanted = docs.sparkSession.sparkContext.broadcast(candidates)
+    proof = math.log(max(1, support.count()) / CHANCE)
+    # a term of less support can't be believed, were it in no clean text at all
+    least = max(3, math.ceil(proof / -math.log(prior) - 1e-9)) if 0 < prior < 1 else 1 << 62
+    support = support.where(F.col("n") >= least)
+    wanted = docs.sparkSession.sparkContext.broadcast({r["term"]: r["n"] for r in support.collect()})
 
     def in_all(batches):
-        r, counts, texts, seen = Restorer(model.value), Counter(), Counter(), set()
+        r, counts = Restorer(model.value), Counter()
         for batch in batches:
             for y, t in zip(values(batch.column("y")), values(batch.column("text"))):
-                found = {x for ws in r.words(t) for w in ws for x in terms(w)} & wanted.value
-                if (y, t) not in seen:  # copies in one task count once
-                    seen.add((y, t))
-                    counts.update((x, y) for x in found)
-                texts[y] += 1
-        rows = [(x, y, n) for (x, y), n in counts.items()] + [(None, y, n) for y, n in texts.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int64()))],
-                                         names=["term", "y", "n"])
+                counts.update((x, y) for x in {x for ws in r.words(t) for w in ws for x in terms(w)} & wanted.value.keys())
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in counts], pa.string()), pa.array([y for _, y in counts], pa.int32()),
+                                          pa.array(list(counts.values()), pa.int64())], names=["term", "y", "n"])
 
     counted = sample.mapInArrow(in_all, "term string, y int, n bigint").groupBy("term", "y").agg(F.sum("n").alias("n"))
-    joined = counted.join(support.select("term", F.col("n").alias("s")), "term", "left").collect()
-    clean, docs_in, backing, texts = Counter(), Counter(), {}, Counter()
-    for r in joined:
-        if r["term"] is None:
-            texts[r["y"]] += r["n"]
-        else:
-            (docs_in if r["y"] else clean)[r["term"]] += r["n"]
-            backing[r["term"]] = r["s"]
-    total = texts[0] + texts[1]
-    prior, believed = (texts[1] / total if total else 0.5), {}
-    proof = math.log(n_terms / CHANCE)
-    for x, s in backing.items() if texts[0] else ():
-        s, c = min(s, docs_in[x]), clean[x]
+    docs_in = {(r["term"], r["y"]): r["n"] for r in counted.collect()}
+    believed = {}
+    for x, s in wanted.value.items():
+        s, c = min(s, docs_in.get((x, 1), 0)), docs_in.get((x, 0), 0)
         share = s / (s + c) if s else 0.0
         if share > 0.8:
             gain = s * math.log(share / prior) + (c * math.log((1 - share) / (1 - prior)) if c else 0.0)
@@ -234,10 +253,10 @@ def learn(docs: DataFrame, labels: DataFrame, model, label: str = "toxic", doc_i
     terms_known = docs.sparkSession.sparkContext.broadcast(believed)
 
     def in_bins(batches):
-        r, known, counts, spot = Restorer(model.value), {}, Counter(), spotter(terms_known.value)
+        judge, counts = Judge(model.value, terms_known.value), Counter()
         for batch in batches:
             for y, t in zip(values(batch.column("y")), values(batch.column("text"))):
-                counts[Calibration.bin(evidence(r, t, terms_known.value, known, spot)[1]), y] += 1
+                counts[Calibration.bin(judge.evidence(t)[1]), y] += 1
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in counts], pa.int32()), pa.array([y for _, y in counts], pa.int32()),
                                           pa.array(list(counts.values()), pa.int64())], names=["bin", "y", "n"])
 
@@ -284,11 +303,11 @@ def _trained(docs, labels, label, doc_id, text, max_labelled):
 
 def _judge(model, lexicon):
     """Function from a text to its telling words and its score, in a task."""
-    restorer, (believed, chance), known = Restorer(model.value), lexicon.value, {}
-    spot = spotter(believed)
+    believed, chance = lexicon.value
+    evidence = Judge(model.value, believed).evidence
 
     def judge(text):
-        hits, total = evidence(restorer, text, believed, known, spot)
+        hits, total = evidence(text)
         return hits, chance(total)
 
     return judge

@@ -25,7 +25,7 @@ def test_tree(spark):
     assert got == {
         1: ("Apache-2.0", "Apache-2.0", None), 2: (None, "Apache-2.0", ""), 3: ("GPL-3.0", "GPL-3.0", None),
         4: (None, "GPL-3.0", "a/b"), 5: ("proprietary", "proprietary", None), 6: (None, "GPL-3.0", "a/b"),
-        7: (None, "Apache-2.0", ""), 8: (None, "Apache-2.0", ""), 9: (None, "GPL-3.0", "a/b")}
+        7: ("MIT", "MIT", None), 8: (None, "Apache-2.0", ""), 9: (None, "GPL-3.0", "a/b")}
 
 
 def test_empty_and_unlicensed(spark):
