@@ -53,6 +53,9 @@ _CACHE_WORDS, _CACHE_PIECES = 500_000, 150_000
 _COUNTED_WORDS = 100_000
 _SHIFT = 32
 _TOKEN, _NEVER = (1 << _SHIFT) - 1, 1 << 63
+_LAST = (1 << 63) - 1
+#: Pieces of more bytes are merged one by one, with a heap.
+_LONG_PIECE = 48
 
 
 def byte_letters() -> list[str]:
@@ -96,6 +99,11 @@ class Tokenizer:
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.final = [vocab[c + self.suffix] for c in letters]
+        pairs = np.array([(a << _SHIFT | b, v) for (a, b), v in self.pairs.items()], np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        # the last entry is beyond every pair
+        self.pair_keys, self.pair_values = np.append(pairs[:, 0], _LAST), np.append(pairs[:, 1], _LAST)
+        self.byte_ids = np.array([self.inner, self.final], np.int64)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         rule = split["pattern"]["Regex"].replace(r"\s", SPACE)
         for major, new in (("L", NEW_LETTERS), ("N", NEW_NUMBERS)):
@@ -124,28 +132,84 @@ class Tokenizer:
             return [w for w in self.space.split(text) if w]
         return text.split()
 
-    def encode_word(self, word: str) -> list[int]:
-        if word in self.added:
-            return [self.added[word]]
+    def _cut(self, word: str) -> list[str]:
+        """The pieces of a word, normalised."""
         word = unicodedata.normalize("NFC", word)
         # letter by letter: no special final form of sigma
         word = word.replace("Σ", "σ").lower()
         if not word.isascii():
             word = word.translate(self.small)
-        out, pieces = [], self.pieces
-        for p in self.piece.findall(word):
-            ids = pieces.get(p)
-            if ids is None:
-                if len(pieces) > _CACHE_PIECES:
-                    pieces.clear()
-                ids = pieces[p] = self.merge(p.encode("utf-8", "surrogatepass"))
-            out += ids
+        return self.piece.findall(word)
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words, merged together; pieces are remembered."""
+        if len(self.pieces) > _CACHE_PIECES:
+            self.pieces.clear()
+        pieces = self.pieces
+        cut = [None if w in self.added else self._cut(w) for w in words]
+        new = list({p for c in cut if c for p in c}.difference(pieces))
+        coded = [p.encode("utf-8", "surrogatepass") for p in new]
+        short = [i for i, p in enumerate(coded) if len(p) <= _LONG_PIECE]
+        for i, ids in zip(short, self.merge_all([coded[i] for i in short])):
+            pieces[new[i]] = ids
+        for i, p in enumerate(coded):
+            if len(p) > _LONG_PIECE:
+                pieces[new[i]] = self.merge(p)
+        return [[self.added[w]] if c is None else [i for p in c for i in pieces[p]] for w, c in zip(words, cut)]
+
+    def encode_word(self, word: str) -> list[int]:
+        return self.encode_words([word])[0]
+
+    def merge_all(self, parts: list[bytes]) -> list[list[int]]:
+        """What ``merge`` gives for each of many pieces: every round merges one
+        pair in each piece that still has one."""
+        out: list[list[int]] = [[]] * len(parts)
+        if not parts:
+            return out
+        sizes = np.array([len(p) for p in parts])
+        raw = np.frombuffer(b"".join(parts), np.uint8)
+        last = np.zeros(len(raw), np.int64)
+        last[np.cumsum(sizes) - 1] = 1
+        ids = self.byte_ids[last, raw]
+        owner = np.repeat(np.arange(len(parts)), sizes)
+        rank = np.full(len(ids), _LAST)
+        rank[:-1] = self._ranks(ids[:-1], ids[1:], owner[:-1] == owner[1:])
+        while len(ids):
+            start = np.flatnonzero(np.diff(owner, prepend=-1))
+            size = np.diff(start, append=len(ids))
+            best = np.minimum.reduceat(rank, start)
+            done = best == _LAST
+            if done.any():
+                for k, s, n in zip(owner[start[done]].tolist(), start[done].tolist(), size[done].tolist()):
+                    out[k] = ids[s : s + n].tolist()
+                rest = np.repeat(~done, size)
+                ids, owner, rank = ids[rest], owner[rest], rank[rest]
+                best, size = best[~done], size[~done]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == np.repeat(best, size))
+            at = at[np.diff(owner[at], prepend=-1) != 0]  # the leftmost of equal ones
+            ids[at] = best & _TOKEN
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids, owner, rank = ids[stay], owner[stay], rank[stay]
+            at -= np.arange(len(at))
+            for left in (at, at[at > 0] - 1):
+                left = left[left + 1 < len(ids)]
+                rank[left] = self._ranks(ids[left], ids[left + 1], owner[left] == owner[left + 1])
+            rank[-1] = _LAST
         return out
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray, together: np.ndarray) -> np.ndarray:
+        """Rank and merged token of pairs; _LAST where there is none."""
+        keys = a << _SHIFT | b
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(together & (self.pair_keys[at] == keys), self.pair_values[at], _LAST)
+
     def merge(self, piece: bytes) -> list[int]:
         """Always the pair of the lowest rank, the leftmost of equal ones."""
         ids = [self.inner[b] for b in piece[:-1]] + [self.final[piece[-1]]]
-        if len(ids) > 48:
+        if len(ids) > _LONG_PIECE:
             return self._merge_long(ids)
         get = self.pairs.get
         next_ = [get(p, _NEVER) for p in zip(ids, ids[1:])]
@@ -189,17 +253,23 @@ class Tokenizer:
         return [i for i in ids if i >= 0]
 
     def encode(self, text: str, known: lexicon.Lexicon | None) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        cache, words = self.cache, self.words(text)
+        return self.encode_all([text], known)[0]
+
+    def encode_all(self, texts: list[str], known: lexicon.Lexicon | None) -> list[bytes]:
+        """Ids of texts as little-endian unsigned 32-bit integers."""
+        cache, words = self.cache, [self.words(t) for t in texts]
         if len(cache) > _CACHE_WORDS:
             cache.clear()
-        for w in set(words).difference(cache):
+        new, unseen = set().union(*words).difference(cache), []
+        for w in new:
             ids = known.get(w.encode("utf-8", "surrogatepass")) if known else None
             if ids is None:
-                ids = self.encode_word(w)
-                ids = struct.pack(f"<{len(ids)}I", *ids)
-            cache[w] = ids
-        return b"".join(map(cache.__getitem__, words))
+                unseen.append(w)
+            else:
+                cache[w] = ids
+        for w, ids in zip(unseen, self.encode_words(unseen)):
+            cache[w] = struct.pack(f"<{len(ids)}I", *ids)
+        return [b"".join(map(cache.__getitem__, ws)) for ws in words]
 
     def decode(self, ids: bytes) -> str:
         """Tokens with a space between each two, special ones included."""
@@ -257,13 +327,14 @@ _ROWS, _PART_BYTES = 64, 1 << 22
 
 def _in_parts(batch: pa.RecordBatch, fields: list[tuple[str, pa.DataType]], function):
     """The batch with its last column replaced by what ``function`` makes of
-    it, one value for each of ``fields``.  A few rows are read at a time and
-    parts of a few MB are passed on, so memory does not grow with the batch."""
+    some values, a tuple with one value for each of ``fields``.  A few rows are
+    read at a time and parts of a few MB are passed on, so memory does not grow
+    with the batch."""
     at, out, weight = 0, [], 0
     for lo in range(0, batch.num_rows, _ROWS):
-        for x in batch.column(batch.num_columns - 1).slice(lo, _ROWS).to_pylist():
-            out.append(function(x))
-            weight += sum(len(v) for v in out[-1] if isinstance(v, (bytes, str)))
+        made = function(batch.column(batch.num_columns - 1).slice(lo, _ROWS).to_pylist())
+        out += made
+        weight += sum(len(v) for one in made for v in one if isinstance(v, (bytes, str)))
         if weight >= _PART_BYTES or lo + _ROWS >= batch.num_rows:
             part = batch.slice(at, len(out)).select(range(batch.num_columns - 1))
             made = [pa.array([v[k] for v in out], kind) for k, (_, kind) in enumerate(fields)]
@@ -282,7 +353,11 @@ def compiled(docs: DataFrame, spec, words: int, text: str):
     """The lexicon of the corpus's frequent words, broadcast (bounded by
     ``words`` entries of up to LONGEST bytes)."""
     tokenizer = Tokenizer(spec.value)
-    entries = {w: tokenizer.encode_word(w.decode("utf-8", "surrogatepass")) for w in frequent_words(docs, spec, words, text)}
+    frequent = frequent_words(docs, spec, words, text)
+    entries: dict[bytes, list[int]] = {}
+    for lo in range(0, len(frequent), 4096):
+        part = frequent[lo : lo + 4096]
+        entries.update(zip(part, tokenizer.encode_words([w.decode("utf-8", "surrogatepass") for w in part])))
     return docs.sparkSession.sparkContext.broadcast(lexicon.compile_lexicon(entries))
 
 
@@ -313,7 +388,7 @@ def encode(docs: DataFrame, path: str, words: int = FREQUENT_WORDS, text: str =
 
     def function_of():
         t, known = _tokenizer(spec.value), lexicon.mapped(block.value)
-        return lambda x: (t.encode(x or "", known),)
+        return lambda xs: [(ids,) for ids in t.encode_all([x or "" for x in xs], known)]
 
     return _mapped(docs, text, [(out, pa.binary(), b"")], function_of)
 
@@ -324,7 +399,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "text") -> D
 
     def function_of():
         t = _tokenizer(spec.value)
-        return lambda x: (t.decode(x or b""),)
+        return lambda xs: [(t.decode(x or b""),) for x in xs]
 
     return _mapped(rows, ids, [(out, pa.string(), "")], function_of)
 
@@ -338,9 +413,8 @@ def round_trip(docs: DataFrame, path: str, words: int = FREQUENT_WORDS, text: st
     def function_of():
         t, known = _tokenizer(spec.value), lexicon.mapped(block.value)
 
-        def both(x):
-            ids = t.encode(x or "", known)
-            return len(ids) // 4, ids, t.decode(ids)
+        def both(xs):
+            return [(len(ids) // 4, ids, t.decode(ids)) for ids in t.encode_all([x or "" for x in xs], known)]
 
         return both
 

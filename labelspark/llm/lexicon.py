@@ -93,10 +93,11 @@ class Lexicon:
         at += 4 * self.ends[words]
         self.final = take("u1", n)
         self.labels_at, self.block, self.words = at, block, words
+        self.heads: dict[bytes, tuple[int, int] | None] = {}
 
-    def get(self, word: bytes) -> bytes | None:
-        """Ids of a word as little-endian unsigned 32-bit integers."""
-        state, rank, find, base = self.start, 0, self.block.find, self.labels_at
+    def _walk(self, word: bytes, state: int, rank: int) -> tuple[int, int] | None:
+        """State and rank after the bytes of a word; None if they lead nowhere."""
+        find, base = self.block.find, self.labels_at
         first, skip, target = self.first, self.skip, self.target
         for c in word:
             arc = find(_BYTES[c], base + first[state], base + first[state + 1]) - base
@@ -104,11 +105,24 @@ class Lexicon:
                 return None
             rank += skip[arc]
             state = target[arc]
-        if not self.final[state]:
+        return state, rank
+
+    def get(self, word: bytes) -> bytes | None:
+        """Ids of a word as little-endian unsigned 32-bit integers."""
+        head = word[:_HEAD]
+        if head not in self.heads:  # where the first bytes lead is remembered
+            if len(self.heads) > _HEADS:
+                self.heads.clear()
+            self.heads[head] = self._walk(head, self.start, 0)
+        at = self.heads[head]
+        if at is not None and len(word) > _HEAD:
+            at = self._walk(word[_HEAD:], *at)
+        if at is None or not self.final[at[0]]:
             return None
-        return self.block[self.ids_at + 4 * self.ends[rank] : self.ids_at + 4 * self.ends[rank + 1]]
+        return self.block[self.ids_at + 4 * self.ends[at[1]] : self.ids_at + 4 * self.ends[at[1] + 1]]
 
 
+_HEAD, _HEADS = 5, 50_000
 _BYTES = [bytes([c]) for c in range(256)]
 _open: dict[bytes, Lexicon] = {}
 
