@@ -27,6 +27,8 @@ from .prefix import global_row_number, top_k_per_group
 #: A label side of at most this many rows and bytes is broadcast as a matrix.
 MAX_MATRIX_ROWS = 4096
 MAX_MATRIX_BYTES = 64 << 20
+#: Pairs that a task holds at a time.
+MAX_PAIRS = 1 << 18
 
 
 def pair_product(texts: DataFrame, labels: DataFrame, text_blocks: int | None = None,
@@ -63,6 +65,7 @@ def _score_batches(texts: DataFrame, labels: DataFrame, table, text_vec: str, la
     """Rows of ``texts`` times the rows of the label table, with logits."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark.sql import types as T
 
     t_cols = [c for c in texts.columns if c != text_vec]
@@ -77,7 +80,7 @@ def _score_batches(texts: DataFrame, labels: DataFrame, table, text_vec: str, la
 
     def vectors(column) -> tuple[np.ndarray, np.ndarray]:
         """Text vectors, and which of them are missing or of another length."""
-        size = np.array([-1 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()])
+        size = np.array([-1 if x is None else x for x in pc.list_value_length(column).to_pylist()])
         bad = size != dim
         out = np.zeros((len(size), dim))
         if dim and not bad.all():
@@ -85,8 +88,15 @@ def _score_batches(texts: DataFrame, labels: DataFrame, table, text_vec: str, la
             out[~bad] = good.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
         return out, bad
 
-    def run(batches):
+    def slices(batches):
+        """Parts of the batches whose pairs fit in memory."""
+        step = max(1, MAX_PAIRS // max(1, n_labels))
         for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                yield batch.slice(lo, step)
+
+    def run(batches):
+        for batch in slices(batches):
             x, bad = vectors(batch.column(text_vec))
             if head == "cosine":
                 x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)

@@ -9,7 +9,7 @@ Everything is array expressions on one row: no shuffle, stream-safe.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PY_WHITESPACE_CLASS
@@ -108,6 +108,23 @@ def pad_to_max(df: DataFrame, cap: int, tokens: str = "input_tokens", mask: str
              .withColumn(attention, padded(attention, F.lit(0))).drop("_len"))
 
 
+def pad_batches(df: DataFrame, cap: int, batch: str = "batch", tokens: str = "input_tokens", mask: str = "lmask",
+                attention: str = "attention_mask") -> DataFrame:
+    """J-9 as a collator does it: rows of one ``batch`` (numbered by
+    :func:`labelspark.sources.sinks.batch_numbers`) are padded, or cut, to the
+    longest of that batch, at most ``cap``.  One exchange on the batch, whose
+    size the caller chose; no length of the whole corpus is involved."""
+    longest = F.max(F.size(tokens)).over(Window.partitionBy(batch))
+    j = df.withColumn("_len", F.least(longest, F.lit(cap)))
+
+    def padded(c, value):
+        n = F.greatest(F.col("_len") - F.size(c), F.lit(0))
+        return F.slice(F.concat(F.col(c), F.array_repeat(value, n)), 1, F.col("_len"))
+    return (j.withColumn(tokens, padded(tokens, F.lit(PAD)))
+             .withColumn(mask, padded(mask, F.lit(0)))
+             .withColumn(attention, padded(attention, F.lit(0))).drop("_len"))
+
+
 def pack_training(samples: DataFrame, max_length: int, max_labels: int,
                   shuffle: bool = False, remove_underscores: float = 0.9,
                   seed: int = 42) -> DataFrame:

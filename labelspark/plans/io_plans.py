@@ -269,14 +269,14 @@ def evaluate_dataset(spark, sf):
 WITH base AS (SELECT doc_id AS id, CASE WHEN {S.uniform('doc_id', '42', "'split'")} < 0.1
                      THEN 'validation' ELSE 'train' END AS split, 'documents' AS source FROM documents),
 extra AS (SELECT id, 'train' AS split, 'benchmark' AS source FROM (SELECT item_id AS id FROM benchmark
-               ORDER BY {S.num_key('item_id', '42')}, item_id LIMIT 100)
+               ORDER BY {S.num_key('item_id', '42')}, item_id LIMIT 50000)
           UNION ALL
           SELECT id, 'train', 'pages' FROM (SELECT page_id AS id FROM pages
-               ORDER BY {S.num_key('page_id', '42')}, page_id LIMIT 100))
+               ORDER BY {S.num_key('page_id', '42')}, page_id LIMIT 50000))
 SELECT split, source, count(*) AS n_rows FROM (SELECT * FROM base UNION ALL SELECT * FROM extra)
 GROUP BY ROLLUP (split, source)""")
 def assemble_training_corpus(spark, sf):
-    """J-14: base corpus split 90/10, extra corpora capped at 100 appended to
+    """J-14: base corpus split 90/10, extra corpora capped at 50 000 appended to
     train, sizes per (split, source) with totals."""
     docs = SM.split_train_validation(
         read(spark, sf, "documents").select(F.col("doc_id").alias("id")), "id", 0.1, 42)
@@ -284,7 +284,7 @@ def assemble_training_corpus(spark, sf):
     extras = SM.union_capped({
         "benchmark": read(spark, sf, "benchmark").select(F.col("item_id").alias("id")),
         "pages": read(spark, sf, "pages").select(F.col("page_id").alias("id"))},
-        "id", cap=100, seed=42).withColumn("split", F.lit("train"))
+        "id", cap=50_000, seed=42).withColumn("split", F.lit("train"))
     allr = docs.unionByName(extras)
     return allr.rollup("split", "source").agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -294,12 +294,12 @@ WITH allr AS (
   SELECT doc_id AS id, CASE WHEN {S.uniform('doc_id', '42', "'split'")} < 0.1 THEN 'validation' ELSE 'train' END AS split,
          'documents' AS source FROM documents
   UNION ALL
-  SELECT id, 'train', 'benchmark' FROM (SELECT item_id AS id FROM benchmark ORDER BY {S.num_key('item_id', '42')}, item_id LIMIT 100)
+  SELECT id, 'train', 'benchmark' FROM (SELECT item_id AS id FROM benchmark ORDER BY {S.num_key('item_id', '42')}, item_id LIMIT 50000)
   UNION ALL
-  SELECT id, 'train', 'pages' FROM (SELECT page_id AS id FROM pages ORDER BY {S.num_key('page_id', '42')}, page_id LIMIT 100))
+  SELECT id, 'train', 'pages' FROM (SELECT page_id AS id FROM pages ORDER BY {S.num_key('page_id', '42')}, page_id LIMIT 50000))
 SELECT row_number() OVER (ORDER BY {S.num_key('source', 'id', '42')}, source, id) - 1 AS sample_id, id, split, source FROM allr""")
 def training_corpus(spark, sf):
     """J-14 / A-2: the assembled corpus itself, re-keyed in one seeded order."""
     ids = {t: read(spark, sf, t).select(F.col(c).alias("id"))
            for t, c in (("documents", "doc_id"), ("benchmark", "item_id"), ("pages", "page_id"))}
-    return SM.assemble_corpus(ids.pop("documents"), ids, "id", "documents", 0.1, 100, 42).select("sample_id", "id", "split", "source")
+    return SM.assemble_corpus(ids.pop("documents"), ids, "id", "documents", 0.1, 50_000, 42).select("sample_id", "id", "split", "source")

@@ -51,10 +51,13 @@ ROUND_COLUMNS: dict[str, tuple[list[str], list[str]]] = {
     'sim_bilinear': (['score'], []),
     'sim_dot': (['score'], []),
     'suggest_labels': (['score'], []),
+    'suggest_pruned': (['score'], []),
     'supcon_loss': (['supcon_loss'], []),
     'threshold_grid': (['threshold'], []),
+    'topk_pruned': (['score'], []),
     'topk_suite': (['hr_at_k', 'mrr_at_k', 'precision_at_k', 'ndcg_at_k'], []),
     'total_loss': (['supcon_loss', 'repulsion_loss', 'bce_loss', 'total_loss'], []),
+    'user_metrics': (['brier', 'log_loss', 'ece'], []),
     'weighted_report': (['precision', 'recall', 'f1'], []),
     'zs_flagship_scores': (['score'], []),
     'zs_softmax': (['score'], []),

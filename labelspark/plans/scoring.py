@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import l2_normalize
 from ..operators import classify
+from ..operators.pruned import find_labels
 from ..operators.pooling import pool_tokens, separator_vectors
 from .registry import register, with_ctes
-from .tables import embedding_vectors, flagship_pred, scored_pairs
+from .tables import embedding_vectors, flagship_pred, label_centroids, scored_pairs
 
 DIM = 64  # width of the embedding vectors in the given tables
 # Test-head parameters built from a rule (all 64 dimensions are used).
@@ -104,6 +105,33 @@ def suggest_labels(spark, sf):
     return s.select("sample_id", "label", "score", F.col("rank").cast("int").alias("rank"))
 
 
+def _sides(spark, sf):
+    texts = embedding_vectors(spark, sf).select(F.col("vec_id").alias("sample_id"), F.col("v").alias("text_vec"))
+    labels = label_centroids(spark, sf).select(
+        (F.col("cand") + 1).cast("int").alias("label_id"),
+        F.concat(F.lit("c"), F.col("cand").cast("string")).alias("label"), "label_vec")
+    return texts, labels
+
+
+_PRUNED = """SELECT sample_id, label, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT sample_id, label, 1.0 / (1.0 + exp(-logit)) AS score,
+         row_number() OVER (PARTITION BY sample_id ORDER BY round(logit, 9) DESC, label_id ASC) AS rank
+  FROM pred WHERE {where}) WHERE rank <= {k}"""
+
+
+@register("topk_pruned", with_ctes(*PRED_CTES, select=_PRUNED.format(where="true", k=3)))
+def topk_pruned(spark, sf):
+    """H-3 by blocks of labels around pivots: the best 3, no pair is written."""
+    return find_labels(*_sides(spark, sf), k=3).select("sample_id", "label", "score", "rank")
+
+
+@register("suggest_pruned", with_ctes(*PRED_CTES, select=_PRUNED.format(
+    where="1.0 / (1.0 + exp(-logit)) > 0.6", k=10)))
+def suggest_pruned(spark, sf):
+    """H-4 / D-3 by blocks of labels around pivots: scores above 0.6, best 10."""
+    return find_labels(*_sides(spark, sf), k=10, threshold=0.6).select("sample_id", "label", "score", "rank")
+
+
 @register("classify_with_threshold", with_ctes(*PRED_CTES, select="""
 SELECT sample_id,
        coalesce(list(label ORDER BY score DESC, label_id ASC) FILTER (WHERE score > 0.5),

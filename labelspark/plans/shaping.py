@@ -64,18 +64,18 @@ def split_90_10(spark, sf):
 SELECT doc_id AS id, 'documents' AS source FROM documents
 UNION ALL
 SELECT id, 'benchmark' FROM (SELECT item_id AS id FROM benchmark
-                             ORDER BY {S.num_key('item_id', str(SEED))}, item_id LIMIT 100)
+                             ORDER BY {S.num_key('item_id', str(SEED))}, item_id LIMIT 50000)
 UNION ALL
 SELECT id, 'pages' FROM (SELECT page_id AS id FROM pages
-                         ORDER BY {S.num_key('page_id', str(SEED))}, page_id LIMIT 100)""")
+                         ORDER BY {S.num_key('page_id', str(SEED))}, page_id LIMIT 50000)""")
 def union_capped(spark, sf):
-    """I-1: base corpus plus extra corpora capped at 100 rows each."""
+    """I-1: base corpus plus extra corpora capped at 50 000 rows each."""
     parts = {
         "documents": read(spark, sf, "documents").select(F.col("doc_id").alias("id")),
         "benchmark": read(spark, sf, "benchmark").select(F.col("item_id").alias("id")),
         "pages": read(spark, sf, "pages").select(F.col("page_id").alias("id")),
     }
-    return SM.union_capped(parts, "id", cap=100, seed=SEED, base="documents")
+    return SM.union_capped(parts, "id", cap=50_000, seed=SEED, base="documents")
 
 
 @register("row_slice", """

@@ -255,3 +255,33 @@ def metric_bundle_binary(spark, sf):
     from .tables import multilabel_pred
     p = multilabel_pred(spark, sf).filter(F.col("label_id") == 1)
     return M.metric_bundle(p, 0.5, mode="auto")
+
+
+_CAL = """s AS (SELECT label, truth, score, least(floor(score * 10), 9) AS bin,
+                  least(greatest(score, 1e-15), 1 - 1e-15) AS p FROM pred),
+b AS (SELECT label, bin, abs(sum(score) - sum(truth)) AS gap FROM s GROUP BY label, bin)"""
+
+
+@register("user_metrics", with_ctes(*PRED_CTES, _CAL, select="""
+SELECT s.label, avg((score - truth) * (score - truth)) AS brier,
+       -avg(CASE WHEN truth = 1 THEN ln(p) ELSE ln(1 - p) END) AS log_loss,
+       any_value(g.gap) / count(*) AS ece
+FROM s JOIN (SELECT label, sum(gap) AS gap FROM b GROUP BY label) g ON g.label = s.label GROUP BY s.label"""))
+def user_metrics_q(spark, sf):
+    """L-5: Brier score, log loss and calibration error by name, per label."""
+    return M.user_metrics(flagship_pred(spark, sf), ["brier", "log_loss", "ece"], ["label"])
+
+
+@register("numbered_files", """
+SELECT CAST((row_number() OVER (ORDER BY doc_id) - 1) // 50 + 1 AS BIGINT) AS batch, doc_id, text, lang FROM documents""")
+def numbered_files(spark, sf):
+    """A-7 / A-8: documents written to files batch_0001.json ... of 50 records
+    each, and read back with the number of their file."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources.numbered import read_numbered, write_numbered
+    d = read(spark, sf, "documents").select("doc_id", "text", "lang")
+    path = scratch_path(spark, f"numbered-{uuid.uuid4().hex}")
+    write_numbered(d, path, "doc_id", 50)
+    return read_numbered(spark, path, d.schema).select("batch", "doc_id", "text", "lang")

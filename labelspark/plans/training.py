@@ -9,6 +9,7 @@ from ..functions.activation import nli_pair_score, softmax_over
 from ..functions.text import PY_WHITESPACE_CLASS
 from ..operators import losses as L
 from ..operators import pack as PK
+from ..sources.sinks import batch_numbers
 from . import sqlfn as S
 from .registry import register, with_ctes
 from .scoring import PRED_CTES, SQL_EMB
@@ -98,6 +99,25 @@ def pack_padded_max(spark, sf):
     return p.select("sample_id", "input_tokens", "lmask", "attention_mask")
 
 
+@register("pack_batches", with_ctes(_pack_sql(_SRC1, 64)[0], """nb AS (
+  SELECT *, CAST((row_number() OVER (ORDER BY sample_id) - 1) // 32 + 1 AS BIGINT) AS batch FROM pk),
+ml AS (SELECT *, least(max(len(input_tokens)) OVER (PARTITION BY batch), 48) AS m FROM nb)""", select="""
+SELECT sample_id, batch,
+       list_slice(list_concat(input_tokens, list_transform(range(greatest(m - len(input_tokens), 0)),
+                  lambda i: '[PAD]')), 1, m) AS input_tokens,
+       list_slice(list_concat(lmask, list_transform(range(greatest(m - len(lmask), 0)), lambda i: 0)),
+                  1, m) AS lmask,
+       list_slice(list_concat(list_transform(input_tokens, lambda t: 1),
+                  list_transform(range(greatest(m - len(input_tokens), 0)), lambda i: 0)), 1, m)
+         AS attention_mask
+FROM ml"""))
+def pack_batches(spark, sf):
+    """J-9: batches of 32 documents, each padded to its own longest row (cap 48)."""
+    src = batch_numbers(_pack_src(spark, sf, LONG_LABEL, [1, 0, 0]), "sample_id", 32)
+    p = PK.pad_batches(PK.pack(src, 64), 48)
+    return p.select("sample_id", "batch", "input_tokens", "lmask", "attention_mask")
+
+
 _SRC2 = f"""src0 AS (SELECT doc_id AS sample_id, text, [lang, source, '{UNDERSCORE_LABEL}'] AS l,
                  [1, 0, 1] AS t FROM documents),
 ex0 AS (SELECT sample_id, text, unnest(l) AS l, unnest(t) AS t, unnest(range(0, 3)) AS i FROM src0),
