@@ -285,3 +285,98 @@ def numbered_files(spark, sf):
     path = scratch_path(spark, f"numbered-{uuid.uuid4().hex}")
     write_numbered(d, path, "doc_id", 50)
     return read_numbered(spark, path, d.schema).select("batch", "doc_id", "text", "lang")
+
+
+#: Corpora over the given tables, as configuration.
+SPECS = [
+    {"name": "part_choices", "table": "part", "shape": "mcq_index", "role": "train", "columns": {
+        "sample_id": "p_partkey", "question": "p_name", "choices": "array(p_brand, p_type, p_name)", "answer": "p_size % 3"}},
+    {"name": "part_letters", "table": "part", "shape": "letter_answer", "role": "train", "columns": {
+        "sample_id": "p_partkey", "question": "p_name", "article": "p_type", "options": "array(p_brand, p_type)",
+        "answer": "if(p_size % 2 = 0, 'A', 'B')"}},
+    {"name": "doc_origin", "table": "documents", "shape": "triplets", "role": "train", "options": {"min_label_length": 2},
+     "columns": {"sample_id": "doc_id", "text": "text", "positives": "array(source)", "negatives": "array(lang, 'unknown')"}},
+    {"name": "item_parity", "table": "benchmark", "shape": "binary_answer", "role": "train", "columns": {
+        "sample_id": "item_id", "question": "text", "answer": "item_id % 2"}},
+    {"name": "doc_quality", "table": "labels", "shape": "binary_names", "role": "eval", "options": {"names": ["poor", "good"]},
+     "columns": {"sample_id": "doc_id", "text": "concat('document ', doc_id)", "label": "quality"}},
+    {"name": "turn_roles", "table": "conversations", "shape": "all_positive", "role": "eval", "columns": {
+        "sample_id": "conv_id * 1000 + turn", "text": "text", "labels": "array(role)"}},
+    {"name": "doc_languages", "table": "documents", "shape": "vocab_onehot", "role": "eval", "options": {"clean": False},
+     "columns": {"sample_id": "doc_id", "text": "source", "target": "lang"}},
+]
+
+
+def _stripped(labels: str) -> str:
+    return f"list_filter(list_transform({labels}, lambda x: {S.strip('x')}), lambda x: length(x) > 2)"
+
+
+_POS, _NEG = _stripped("[source]"), _stripped("[lang, 'unknown']")
+
+
+@register("spec_corpus", f"""
+SELECT 'part_choices' AS corpus, 'train' AS role, p_partkey AS sample_id, {S.ensure('p_name')} AS text,
+       list_transform([p_brand, p_type, p_name], lambda x: {S.ensure('x')}) AS ltext,
+       list_transform([0, 1, 2], lambda i: CASE WHEN i = p_size % 3 THEN 1 ELSE 0 END) AS lint FROM part
+UNION ALL
+SELECT 'part_letters', 'train', p_partkey, {S.ensure("p_name || chr(10) || p_type")},
+       list_transform([p_brand, p_type], lambda x: {S.ensure('x')}),
+       CASE WHEN p_size % 2 = 0 THEN [1, 0] ELSE [0, 1] END FROM part
+UNION ALL
+SELECT 'doc_origin', 'train', doc_id, text, list_concat({_POS}, {_NEG}),
+       list_concat(list_transform({_POS}, lambda x: 1), list_transform({_NEG}, lambda x: 0)) FROM documents
+UNION ALL
+SELECT 'item_parity', 'train', item_id, {S.ensure('text')}, ['false', 'true'],
+       [CASE WHEN item_id % 2 = 0 THEN 1 ELSE 0 END, CASE WHEN item_id % 2 = 1 THEN 1 ELSE 0 END] FROM benchmark
+UNION ALL
+SELECT 'doc_quality', 'eval', doc_id, 'document ' || CAST(doc_id AS VARCHAR), ['poor', 'good'],
+       [CASE WHEN quality = 0 THEN 1 ELSE 0 END, CASE WHEN quality = 1 THEN 1 ELSE 0 END] FROM labels
+UNION ALL
+SELECT 'turn_roles', 'eval', conv_id * 1000 + turn, {S.ensure('text')}, [{S.ensure('role')}], [1] FROM conversations
+UNION ALL
+SELECT 'doc_languages', 'eval', doc_id, source, v.vocab, list_transform(v.vocab, lambda x: CASE WHEN x = lang THEN 1 ELSE 0 END)
+FROM documents, (SELECT list(DISTINCT lang ORDER BY lang) AS vocab FROM documents) v""")
+def spec_corpus(spark, sf):
+    """A-4 / A-5: corpora from configuration, all samples of both roles."""
+    from ..sources.specs import corpus, load_specs
+    return corpus(load_specs(SPECS), lambda name: read(spark, sf, name))
+
+
+@register("quarantined_load", """
+SELECT reason, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM (
+  SELECT CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id END AS id,
+         CASE WHEN doc_id % 5 = 0 THEN 'corrupt_record' WHEN doc_id % 7 = 0 THEN 'empty_text'
+              WHEN doc_id % 3 = 0 THEN 'no_labels' WHEN doc_id % 11 = 0 THEN 'truth_length' ELSE 'valid' END AS reason
+  FROM documents) GROUP BY reason""")
+def quarantined_load(spark, sf):
+    """A-3 / B-7: documents written as JSON lines, a fifth of them cut off, read
+    back with a reason for every line that gives no sample."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources.quarantine import load_quarantined
+    from ..sources.readers import SAMPLE_SCHEMA
+    d = read(spark, sf, "documents")
+    at = lambda n: F.col("doc_id") % n == 0
+    line = F.to_json(F.struct(
+        F.col("doc_id").alias("sample_id"), F.when(at(7), F.lit(" ")).otherwise(F.concat(F.lit("x "), F.coalesce("text", F.lit("")))).alias("text"),
+        F.when(at(3), F.array().cast("array<string>")).otherwise(F.array("source", "lang")).alias("ltext"),
+        F.when(at(11), F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(0))).alias("lint")))
+    path = scratch_path(spark, f"lines-{uuid.uuid4().hex}")
+    d.select(F.when(at(5), F.substring(line, 1, 25)).otherwise(line).alias("value")).write.text(path)
+    got = load_quarantined(spark, path, SAMPLE_SCHEMA)
+    ids = F.get_json_object("record", "$.sample_id").cast("long")
+    return got.samples.select(F.lit("valid").alias("reason"), F.col("sample_id").alias("id")).unionAll(
+        got.rejected.select("reason", F.coalesce(F.when(F.col("reason") != "corrupt_record", ids), F.lit(0)))
+    ).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
+@register("expand_choices", """
+SELECT p_partkey, p_name, CAST(unnest(range(1, 4)) AS INTEGER) AS label_id, unnest([p_brand, p_type, p_name]) AS label,
+       unnest(list_transform([0, 1, 2], lambda i: CASE WHEN i = p_size % 3 THEN 1 ELSE 0 END)) AS truth FROM part""")
+def expand_choices(spark, sf):
+    """L-2: rows to samples by a table function that SQL calls with PARTITION BY."""
+    from ..sources.expander import register_expander
+    name = register_expander(spark)
+    p = read(spark, sf, "part").selectExpr("p_partkey", "p_name", "array(p_brand, p_type, p_name) AS choices", "p_size % 3 AS answer")
+    return spark.sql(f"SELECT * FROM {name}(TABLE({{p}}) PARTITION BY (p_partkey), 'choices', 'answer')", p=p)
