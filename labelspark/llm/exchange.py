@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelspark.llm.shared import keep
+
 SENT = "cell int, batch int, keys binary, extra binary"
 ANSWER = "batch int, phase int, cell int, data binary"
 _U = np.uint64
@@ -24,20 +26,37 @@ _U = np.uint64
 
 #: Bytes of text in a batch.  A task needs some thirty times as much memory.
 BATCH_BYTES = 8 << 20
+#: Heavy rows that are broadcast (two numbers each); more are joined.
+_FEW = 100_000
 
 
 def batched(docs: DataFrame, doc_id: str, text: str, batch_bytes: int = BATCH_BYTES, rest: Column | None = None) -> tuple[DataFrame, int]:
     """(``batch``, ``id``, ``text``) rows, with ``rest`` if given, and the number of cells.  Rows spread
     over batches of about ``batch_bytes`` by a hash of id and text; a cell gets
     the keys of about two batches' worth of text.  Both numbers follow the
-    bytes of text (counted here), not the number of partitions: each batch
-    sends each cell a row."""
+    bytes of text (counted here), not the number of partitions.
+
+    Equal rows whose copies together have more than ``batch_bytes`` (they are
+    counted by that hash; rarely there are any) spread by their place in the input
+    as well, over as many batches as their bytes need."""
     body = F.coalesce(F.col(text), F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(body)).alias("b")).first()["b"] or 0
+    each = F.xxhash64(F.col(doc_id).cast("string"), body)
+    sizes = docs.select(each.alias("h"), F.octet_length(body).cast("long").alias("b"))
+    sums = keep(sizes.groupBy("h").agg(F.sum("b").alias("b"), F.count(F.lit(1)).alias("n")))
+    total = sums.agg(F.sum("b").alias("b")).first()["b"] or 0
     n = max(1, -(-total // batch_bytes))
-    batch = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), body), F.lit(n)).cast("int")
     more = [] if rest is None else [rest.alias("rest")]
-    return docs.select(batch.alias("batch"), F.col(doc_id).alias("id"), body.alias("text"), *more), max(1, n // 2)
+    rows = docs.select(each.alias("h"), F.col(doc_id).alias("id"), body.alias("text"), *more)
+    heavy = sums.where((F.col("b") > batch_bytes) & (F.col("n") > 1)).select("h", F.ceil(F.col("b") / batch_bytes).cast("long").alias("of"))
+    found = heavy.limit(_FEW + 1).count()
+    spread = F.col("h")
+    if found:  # the join goes by broadcast if the heavy ones are few
+        place = F.monotonically_increasing_id()
+        heavy = F.broadcast(heavy) if found <= _FEW else heavy
+        rows = rows.withColumn("place", place).join(heavy, "h", "left")
+        spread = F.when(F.col("of").isNull(), F.col("h")).otherwise(F.xxhash64("h", F.pmod(F.xxhash64("place"), F.col("of"))))
+    batch = F.pmod(spread, F.lit(n)).cast("int")
+    return rows.select(batch.alias("batch"), "id", "text", *(["rest"] if more else [])), max(1, n // 2)
 
 
 def encode(keys: np.ndarray, drop: int = 0) -> bytes:
@@ -70,13 +89,12 @@ def slices(keys: np.ndarray, cells: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, inner), [len(keys)]))
 
 
-def send(batch: int, keys: np.ndarray, extra: np.ndarray, cells: int, first: int = 0, empty: bool = False,
-         drop: int = 0) -> pa.Table:
+def send(batch: int, keys: np.ndarray, extra: np.ndarray, cells: int, first: int = 0, drop: int = 0) -> pa.Table:
     """Rows of SENT for sorted distinct keys, with one item of ``extra`` each.
-    Cells are numbered from ``first``; ``empty`` sends to cells without a key
-    too; ``drop`` as in ``encode``."""
+    Cells are numbered from ``first``; a cell that no key falls into gets no row,
+    so a batch sends at most as many rows as it has keys; ``drop`` as in ``encode``."""
     at = slices(keys, cells)
-    full = [c for c in range(cells) if empty or at[c] < at[c + 1]]
+    full = np.flatnonzero(at[1:] > at[:-1]).tolist()
     return pa.table({
         "cell": pa.array([first + c for c in full], pa.int32()),
         "batch": pa.array([batch] * len(full), pa.int32()),

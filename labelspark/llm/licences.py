@@ -7,7 +7,7 @@ weighed by the share of files that hold them (a table as large as the
 templates), every other term by a fixed weight, so the verdict on a line does
 not depend on the size of the table.  A file
 with a segment close to a template has that licence of its own.  Licence files
-(by name, or because licence text makes up a good part of them) give their
+(by name, or because a passage of licence text makes up a good part of them) give their
 licence to their directory; a file without a licence of its own takes that of
 the nearest directory above it that has one.
 """
@@ -50,16 +50,51 @@ TEMPLATES = {
         "Released under the MIT License.", "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     ],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved."],
 }
+#: Names that licences go by in short notices.
+TITLES = {
+    "AGPL-3.0": ["AGPLv3", "AGPL 3.0"], "Apache-2.0": ["Apache License 2.0", "Apache 2.0 License"], "BSD-2-Clause": ["BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License"], "EPL-2.0": ["Eclipse Public License 2.0", "EPL 2.0"], "GPL-2.0": ["GPLv2", "GPL 2.0"],
+    "GPL-3.0": ["GPLv3", "GPL 3.0"], "ISC": ["ISC License"], "LGPL-3.0": ["LGPLv3", "LGPL 3.0"], "MIT": ["MIT License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "MPL 2.0"], "Unlicense": ["Unlicense"],
+}
+_NOTICES = ("Licensed under the {}.", "Released under the {}.", "Distributed under the terms of the {}.")
+
+
+def all_templates() -> dict[str, list[str]]:
+    """TEMPLATES, the short notices of each title, and the tags that name a licence
+    by its identifier (of the GNU licences also with what follows the version)."""
+    out = {name: list(texts) for name, texts in TEMPLATES.items()}
+    for name, titles in TITLES.items():
+        out.setdefault(name, []).extend(n.format(t) for t in titles for n in _NOTICES)
+    for name, texts in out.items():
+        if name != "proprietary":
+            tags = [name, f"{name}-only", f"{name}-or-later"] if "GPL" in name else [name]
+            texts += [f"SPDX-License-Identifier: {t}" for t in tags if f"SPDX-License-Identifier: {t}" not in texts]
+    return {name: list(dict.fromkeys(texts)) for name, texts in out.items()}
+
+
 MIN_COSINE, MIN_SHARE = 0.7, 0.25
+#: Words of licence text that make a file a licence file whatever its name.
+MIN_WORDS = 20
+#: Words that turn a notice round, in it or up to three words before it.
+NEGATIONS = frozenset(["not", "never", "nor", "no", "neither", "isn", "aren", "wasn", "cannot"])
 #: Share of files that stands for all rarer terms and for terms outside the templates.
 RAREST = 1e-3
 _TERM = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 _NAMED = r"(?i)(^|/)(licen[cs]e|copying|copyright|notice)([.\-_][^/]*)?$"
 
 
+def lowered(text: str | None) -> str:
+    """A text in lower case, with the spelling that the templates have."""
+    return (text or "").lower().replace("licence", "license").replace("licenced", "licensed")
+
+
 def segment_terms(words: list[str]) -> Counter:
     return Counter(words) + Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
 
@@ -73,7 +108,7 @@ class Matcher:
     """Unit TF-IDF vectors of the templates, as postings by term."""
 
     def __init__(self, templates: dict[str, list[str]], df: dict[str, int] | None = None, n: int = 0):
-        worded = [(name, _TERM.findall(t.lower())) for name in sorted(templates) for t in templates[name]]
+        worded = [(name, _TERM.findall(lowered(t))) for name in sorted(templates) for t in templates[name]]
         parts = [(name, segment_terms(words)) for name, words in worded]
         self.vocabulary = {t for _, terms in parts for t in terms}
         self.df, self.n, self.names = df or {}, n, [name for name, _ in parts]
@@ -135,10 +170,14 @@ class Matcher:
                     continue
                 for start in range(max(lo, done), min(i, len(words) - n) + 1):
                     for cosine, end in self._from(words, start, n, most, v):
-                        if cosine >= min_cosine:
+                        if cosine >= min_cosine and not self._negated(words, start, end, v):
                             yield cosine, self.names[k], start, end
                 done = max(done, min(i, len(words) - n) + 1)
 
+    @staticmethod
+    def _negated(words: list[str], start: int, end: int, v: dict[str, float]) -> bool:
+        return any(w in NEGATIONS and w not in v for w in words[max(0, start - 3) : end])
+
     def _from(self, words: list[str], start: int, n: int, most: int, v: dict[str, float]):
         """Cosines to ``v`` of the segments of n to ``most`` words from ``start``, and their ends."""
         counts: Counter = Counter()
@@ -166,7 +205,7 @@ def _frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int],
         counts: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                words = _TERM.findall((t or "").lower())
+                words = _TERM.findall(lowered(t))
                 counts.update(vocabulary.intersection(words))
                 counts.update(" ".join(p) for p in pairs.intersection(zip(words, words[1:])))
                 counts[""] += 1
@@ -181,26 +220,29 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def scan(files: DataFrame, file_id: str, path: Column, text: str = "text", templates: dict[str, list[str]] = TEMPLATES,
+def scan(files: DataFrame, file_id: str, path: Column, text: str = "text", templates: dict[str, list[str]] | None = None,
          min_cosine: float = MIN_COSINE, min_share: float = MIN_SHARE) -> DataFrame:
     """Licence of every row of ``files``.
 
     Columns: the id, ``path``, ``own`` (licence of the closest template, null
     below ``min_cosine``), ``cosine`` (of the closest segment, 0 below that),
     ``licence`` (own, or inherited, or null) and ``inherited_from`` (the
-    directory; null if the licence is its own or there is none).  A directory
-    with several licence files takes that of the least path (then id).  Null
+    directory; null if the licence is its own or there is none).  A notice that
+    a negation turns round does not count.  Licence files are those named so, and
+    those with at least MIN_WORDS words of licence text that are ``min_share`` of
+    the text; texts of any length are read whole.  A directory with several licence files takes that of the least path (then id).  Null
     paths count as the root's files, null and empty texts have no segment, rows
     that are repeated are scanned each, other columns are not read, an empty
     table gives none.
     """
+    templates = all_templates() if templates is None else templates
     rows = files.select(F.col(file_id).alias("id"), F.coalesce(path, F.lit("")).alias("path"), F.col(text).alias("text"))
     matcher = Matcher(templates)
     matcher = Matcher(templates, *_frequencies(rows.select("text"), matcher.vocabulary))
     cues = matcher.cues(min_cosine)
 
     def judged(text: str | None) -> tuple[float, str | None, float]:
-        low, top, inside = (text or "").lower(), (0.0, None), set()
+        low, top, inside = lowered(text), (0.0, None), set()
         if not any(c in low for c in cues):
             return 0.0, None, 0.0
         words = _TERM.findall(low)
@@ -208,7 +250,7 @@ def scan(files: DataFrame, file_id: str, path: Column, text: str = "text", templ
             inside.update(range(start, end))
             if cosine > top[0] or (cosine == top[0] and name < top[1]):
                 top = cosine, name
-        return *top, len(inside) / len(words) if words else 0.0
+        return *top, len(inside) / len(words) if len(inside) >= MIN_WORDS else 0.0
 
     def run(batches):
         for batch in batches:

@@ -19,6 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from labelspark.llm import exchange
 from labelspark.llm.shared import fold_of
@@ -110,22 +111,22 @@ def _send(order: int, mod: int, cells: int):
             if j == 1:  # the number of training texts travels as an n-gram of its own
                 at = np.searchsorted(keys, START)
                 keys, count = np.insert(keys, at, START), np.insert(count, at, np.uint32((~x.held).sum()))
-            out.append(exchange.send(batch, keys, count, cells, first=j * cells, empty=j == 0))
+            out.append(exchange.send(batch, keys, count, cells, first=j * cells))
         return pa.concat_tables(out)
 
     return run
 
 
 def _sum_cell(table: pa.Table) -> pa.Table:
-    """Corpus totals of a cell's n-grams, answered to every batch that asked."""
+    """Corpus totals of a cell's n-grams, answered to every batch that asked.  A
+    row for no batch (-1) has the cell's tokens and distinct n-grams as text."""
     batches, lengths, keys, count = exchange.gather(table, np.uint32)
     distinct, index = np.unique(keys, return_inverse=True)
     totals = np.bincount(index, count, len(distinct)).astype(np.uint64)
-    head = np.array([totals.sum(), np.count_nonzero(totals)], np.uint64).tobytes()
+    head = f"{int(totals.sum())} {np.count_nonzero(totals)}".encode()
     small = np.min_scalar_type(int(totals.max(initial=0)))
-    data = [head + bytes([small.itemsize]) + x.tobytes()
-            for x in np.split(totals[index].astype(small), np.cumsum(lengths)[:-1])]
-    return exchange.answer(0, table["cell"][0].as_py(), batches, data)
+    data = [bytes([small.itemsize]) + x.tobytes() for x in np.split(totals[index].astype(small), np.cumsum(lengths)[:-1])]
+    return exchange.answer(0, table["cell"][0].as_py(), [-1, *batches], [head, *data])
 
 
 def _score(order: int, mod: int, cells: int, mu: float):
@@ -134,12 +135,9 @@ def _score(order: int, mod: int, cells: int, mu: float):
         if not texts:
             return _table(left, *[[]] * 6)
         x = _Stream(texts, left["id"].to_pylist(), order, mod)
-        totals, n, v = [[] for _ in range(order)], 0, 0
+        totals, n, v = [[np.empty(0)] for _ in range(order)], right["n"][0].as_py(), right["v"][0].as_py()
         for cell, data in exchange.answers(right, 0):
-            head = np.frombuffer(data, np.uint64, 2)
-            if cell < cells:
-                n, v = n + int(head[0]), v + int(head[1])
-            totals[cell // cells].append(np.frombuffer(data, f"u{data[16]}", offset=17).astype(np.float64))
+            totals[cell // cells].append(np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.float64))
         totals = [np.concatenate(t) for t in totals]
         starts = 0
         if order > 1:
@@ -179,6 +177,11 @@ def score(docs: DataFrame, order: int = 2, mod: int = 10, mu: float = 50.0,
     id_type = dict(rows.dtypes)["id"]
     sent = rows.groupBy("batch").applyInArrow(_send(order, mod, cells), exchange.SENT)
     totals = sent.groupBy("cell").applyInArrow(_sum_cell, exchange.ANSWER)
+    # tokens and distinct ones of all unigram cells: one row, for every batch
+    head = F.split(F.decode("data", "utf-8"), " ")
+    corpus = totals.where((F.col("batch") < 0) & (F.col("cell") < cells)).agg(
+        F.sum(head[0].cast("long")).alias("n"), F.sum(head[1].cast("long")).alias("v"))
+    totals = totals.where("batch >= 0").crossJoin(F.broadcast(corpus))
     schema = (f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint,"
               " base_score double, score double")
     return (rows.groupBy("batch").cogroup(totals.groupBy("batch"))

@@ -84,3 +84,25 @@ def test_segments_against_every_window():
             if (c := cosine(words[s:e], v)) >= 0.5}
     got = [(round(c, 9), *x) for c, *x in m.close(words, 0.5)]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 3
+
+
+def test_tags_short_forms_and_negation(spark):
+    lines = {
+        "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "Released under the BSD 2-Clause License.": "BSD-2-Clause",
+        "Released under the BSD 3-Clause License.": "BSD-3-Clause", "Licensed under the GPLv3.": "GPL-3.0",
+        "Distributed under the terms of the MIT licence": "MIT", "Released under the ISC License": "ISC",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "Licensed under the Eclipse Public License 2.0": "EPL-2.0", "This software is not licensed under the MIT License.": None,
+        "It isn't released under the MIT License.": None, "Licensed under the Foo License": None, "the mit campus": None,
+        "Not all is well. " + "word " * 8 + "Released under the MIT License.": "MIT", "x " * 50_000 + "Licensed under the MIT License.": "MIT"}
+    df = spark.createDataFrame([(i, f"d{i}/f.txt", t) for i, t in enumerate(lines)], "fid long, p string, text string")
+    got = {r["fid"]: r["own"] for r in licences.scan(df, "fid", F.col("p")).collect()}
+    assert {t: got[i] for i, t in enumerate(lines)} == lines
+
+
+def test_plain_document_with_a_notice_gives_its_siblings_nothing(spark):
+    notice = "This work is licensed under the GNU General Public License, version 3."
+    files = [(1, "a/x.txt", "a few words. " + notice), (2, "a/y.txt", "plain"), (3, "b/any.txt", " ".join(licences.TEMPLATES["Apache-2.0"])), (4, "b/z.txt", "plain")]
+    got = {r["fid"]: r["licence"] for r in licences.scan(spark.createDataFrame(files, "fid long, p string, text string"), "fid", F.col("p")).collect()}
+    assert got == {1: "GPL-3.0", 2: None, 3: "Apache-2.0", 4: "Apache-2.0"}

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from labelspark.llm import suffixes
+from pyspark.sql import functions as F
 
 
 def brute(texts, n):
@@ -84,3 +85,13 @@ def test_deduplicate_keeps_columns_and_nulls(spark):
     df = spark.createDataFrame(rows, "id long, text string, rest string, batch int")
     got = {r["id"]: tuple(r) for r in suffixes.deduplicate(df, 20, doc_id="id").collect()}
     assert got == {1: (1, "", "x", 5), 2: (2, "ü", "y", None), 3: (3, None, None, 7), 4: (4, "tiny", "z", 8)}
+
+
+def test_copies_of_one_row_spread_over_batches(spark):
+    from labelspark.llm import exchange
+
+    df = spark.range(400).select(F.lit(1).cast("long").alias("doc_id"), F.lit("x" * 1000).alias("text"), F.lit("e").alias("batch"))
+    df = df.unionAll(spark.createDataFrame([(2, "y" * 5000, "e"), (3, None, "e")], "doc_id long, text string, batch string"))
+    rows, _ = exchange.batched(df, "doc_id", "text", 20_000)
+    sizes = {r["batch"]: r["count"] for r in rows.groupBy("batch").count().collect()}
+    assert sum(sizes.values()) == 402 and len(sizes) > 10 and max(sizes.values()) < 120
