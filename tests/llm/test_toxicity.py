@@ -100,3 +100,18 @@ def test_pieces_overlap():
     restorer = toxicity.Restorer(channel.CharModel(counts))
     for k in range(40, 80):
         assert "idiot" in restorer.word(("of.the." * 12)[:k].rstrip(".") + ".1d10t.of.the")
+
+
+def test_scores_do_not_depend_on_the_partitions(spark):
+    """A clean text with the term in 24 copies counts once, however it is dealt."""
+    words = [f"{a}{b}{c}" for a in "bdfgklmnpr" for b in "aeiou" for c in ("st", "nd", "rk")]
+    rows = [(i, " ".join(words[(i * 7 + k * k) % len(words)] for k in range(12)), 0) for i in range(300)]
+    rows += [(1000 + i, f"{words[i]} {words[i + 9]} horrid {words[i + 30]}", 1) for i in range(60)]
+    rows += [(2000 + i, "a horrid day in the mark", 0) for i in range(24)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = []
+    for n in (1, 64):
+        part = table.repartition(n)
+        scored = toxicity.score(part.select("doc_id", "text"), part.select("doc_id", "toxic"))
+        got.append(sorted((r["doc_id"], r["score"], r["predicted"]) for r in scored.collect()))
+    assert got[0] == got[1] and sum(p for _, _, p in got[0]) >= 60
