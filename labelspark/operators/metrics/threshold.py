@@ -110,8 +110,14 @@ def best_threshold(pred: DataFrame, metric: str | Metric = "f1", n: int = 100,
     function of the counts (L-5)."""
     if not callable(metric) and metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
+    return best_from_collapsed(collapse_scores(pred, keys, score, truth), metric, n, keys, score)
+
+
+def best_from_collapsed(coll: DataFrame, metric: str | Metric = "f1", n: int = 100,
+                        keys: Sequence[str] = (), score: str = "score") -> DataFrame:
+    """E-22 from a collapsed score table."""
     keys = list(keys)
-    best = _best(threshold_table(pred, n, keys, score, truth), metric, keys)
+    best = _best(threshold_table(coll, n, keys, score, collapsed=coll), metric, keys)
     found = F.col("best_score") > 0
     return best.select(
         *keys,

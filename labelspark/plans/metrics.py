@@ -466,3 +466,50 @@ FROM conf JOIN auc USING (model, dataset) JOIN ap USING (model, dataset) JOIN tk
 def eval_grid_full(spark, sf):
     """E-24: every metric of every (model, dataset) cell from one scoring pass."""
     return evaluate(grid_pred(spark, sf), ["model", "dataset"], ks=(1, 3))
+
+
+TOTALS_SQL = GRID_SQL[:GRID_SQL.index("ga AS")] + f"""
+plan AS (SELECT DISTINCT model, 'd' || CAST(label_id % 3 AS VARCHAR) AS dataset FROM gd),
+tasks AS (SELECT model, dataset, (model, dataset) IN (SELECT (model, dataset) FROM gd) AS ok FROM plan),
+cells AS (SELECT CAST(grouping(model, dataset) AS BIGINT) AS level, model, dataset, count(*) AS n_tasks,
+                 count(*) FILTER (WHERE ok) AS n_succeeded FROM tasks GROUP BY CUBE (model, dataset)),
+st AS (SELECT CAST(grouping(model, dataset) AS BIGINT) AS level, model, dataset, score,
+              sum(truth) AS p, count(*) - sum(truth) AS q FROM gd GROUP BY CUBE (model, dataset), score),
+cu AS (SELECT *, sum(p) OVER w AS cp, sum(p + q) OVER w AS cn, sum(q) OVER w - q AS above,
+              sum(p) OVER c AS tot_p, sum(q) OVER c AS tot_q, min(score) OVER c AS lo, max(score) OVER c AS hi
+       FROM st WINDOW w AS (PARTITION BY level, model, dataset ORDER BY score DESC),
+                      c AS (PARTITION BY level, model, dataset)),
+agg AS (SELECT level, model, dataset, max(tot_p) AS num_positive, max(tot_p + tot_q) AS support, max(lo) AS lo, max(hi) AS hi,
+               sum(score * (p + q)) / sum(p + q) AS avg_probability,
+               sum(CASE WHEN score > 0.5 THEN p ELSE 0 END) AS tp, sum(CASE WHEN score > 0.5 THEN q ELSE 0 END) AS fp,
+               sum(CASE WHEN score > 0.5 THEN 0 ELSE p END) AS fn, sum(CASE WHEN score > 0.5 THEN 0 ELSE q END) AS tn,
+               sum(p * (tot_q - above - q / 2.0::DOUBLE)) / (max(tot_p) * max(tot_q)) AS roc_auc,
+               sum(p * (cp / CAST(cn AS DOUBLE))) / max(tot_p) AS avg_precision
+        FROM cu GROUP BY level, model, dataset),
+grid AS (SELECT level, model, dataset, i, CASE WHEN i = 99 THEN hi ELSE i * ((hi - lo) / 99.0::DOUBLE) + lo END AS t
+         FROM agg, range(100) r(i)),
+tat AS (SELECT g.level, g.model, g.dataset, g.i, g.t, coalesce(sum(s.p), 0) AS tp, coalesce(sum(s.q), 0) AS fp,
+              any_value(a.num_positive) - coalesce(sum(s.p), 0) AS fn
+       FROM grid g JOIN agg a ON a.level = g.level AND a.model IS NOT DISTINCT FROM g.model AND a.dataset IS NOT DISTINCT FROM g.dataset
+       LEFT JOIN st s ON s.level = g.level AND s.model IS NOT DISTINCT FROM g.model
+                     AND s.dataset IS NOT DISTINCT FROM g.dataset AND s.score > g.t
+       GROUP BY g.level, g.model, g.dataset, g.i, g.t),
+best AS (SELECT level, model, dataset, arg_max(t, (f1, -i)) AS t, max(f1) AS f1
+         FROM (SELECT *, {F1} AS f1 FROM tat) GROUP BY level, model, dataset)
+SELECT c.level, c.model, c.dataset, n_tasks, n_succeeded, n_succeeded / CAST(n_tasks AS DOUBLE) AS success_rate,
+       CAST(support AS BIGINT) AS support, CAST(num_positive AS BIGINT) AS num_positive, avg_probability,
+       CASE WHEN support IS NOT NULL THEN {ACC} END AS accuracy, CASE WHEN support IS NOT NULL THEN {PREC} END AS precision,
+       CASE WHEN support IS NOT NULL THEN {REC} END AS recall, CASE WHEN support IS NOT NULL THEN {F1} END AS f1,
+       roc_auc, avg_precision, CASE WHEN best.f1 > 0 THEN best.t WHEN best.f1 = 0 THEN 0.5 END AS best_threshold, best.f1 AS best_f1
+FROM cells c
+LEFT JOIN agg a ON a.level = c.level AND a.model IS NOT DISTINCT FROM c.model AND a.dataset IS NOT DISTINCT FROM c.dataset
+LEFT JOIN best ON best.level = c.level AND best.model IS NOT DISTINCT FROM c.model AND best.dataset IS NOT DISTINCT FROM c.dataset"""
+
+
+@register("eval_totals", TOTALS_SQL)
+def eval_totals(spark, sf):
+    """E-24: cells, per-model, per-dataset and overall totals with curves, best
+    thresholds and success counts; the planned data set d2 has no scores."""
+    p = grid_pred(spark, sf)
+    plan = p.select("model", F.concat(F.lit("d"), (F.col("label_id") % 3).cast("string")).alias("dataset"))
+    return M.evaluation_totals(p, planned=plan)

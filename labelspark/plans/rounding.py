@@ -18,6 +18,7 @@ ROUND_COLUMNS: dict[str, tuple[list[str], list[str]]] = {
     'diag_stats': (['threshold', 'avg_probability'], []),
     'eval_grid': (['avg_probability', 'accuracy', 'precision', 'recall', 'f1'], []),
     'eval_grid_full': (['accuracy', 'precision', 'recall', 'f1', 'roc_auc', 'avg_precision', 'hr_at_1', 'mrr_at_1', 'precision_at_1', 'ndcg_at_1', 'hr_at_3', 'mrr_at_3', 'precision_at_3', 'ndcg_at_3'], []),
+    'eval_totals': (['success_rate', 'avg_probability', 'accuracy', 'precision', 'recall', 'f1', 'roc_auc', 'avg_precision', 'best_threshold', 'best_f1'], []),
     'evaluate_dataset': (['accuracy', 'precision', 'recall', 'f1', 'roc_auc', 'avg_precision', 'hr_at_1', 'hr_at_3', 'mrr_at_3', 'ndcg_at_3'], []),
     'external_scorer': (['score'], []),
     'hamming_loss': (['hamming_loss'], []),
