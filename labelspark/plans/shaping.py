@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.permute import PRIME, ROUNDS, turn_keys
 from ..operators import pairs as P
+from ..operators import permutation as PM
 from ..operators import sampling as SM
 from ..operators.normalize import checked_vocab
-from ..operators.prefix import global_row_number, running_sums
+from ..operators.prefix import global_row_number, materialize, running_sums
 from . import sqlfn as S
 from .registry import register, with_ctes
 from .tables import read
@@ -240,3 +242,36 @@ def running_sum_null_key(spark, sf):
     """G-3 within keys that may be NULL."""
     d = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left").select("doc_id", "n_chars", "quality")
     return running_sums(d, ["quality"], [("doc_id", True)], {"total": F.col("n_chars")}).select("doc_id", "total")
+
+
+def _pass_sql(seed: int) -> str:
+    """One pass of the permutation over rows (id, step, y, n, a, b) of w."""
+    l, r, cols = "l0", "r0", ["y // b AS l0", "y % b AS r0"]
+    for t, (k, m) in zip(range(ROUNDS), turn_keys(seed)):
+        x = r if t % 2 == 0 else l
+        cols += [f"({x} + {k}) % {PRIME} AS u{t}", f"(u{t} * u{t} + {m}) % {PRIME} AS v{t}"]
+        if t % 2 == 0:
+            cols.append(f"({l} + v{t} * v{t} % {PRIME}) % a AS l{t + 1}")
+            l = f"l{t + 1}"
+        else:
+            cols.append(f"({r} + v{t} * v{t} % {PRIME}) % b AS r{t + 1}")
+            r = f"r{t + 1}"
+    return f"SELECT id, step + 1 AS step, {l} * b + {r} AS y, n, a, b FROM (SELECT *, {', '.join(cols)} FROM w WHERE step = 0 OR y >= n)"
+
+
+@register("permuted_split", f"""
+WITH RECURSIVE c AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM documents),
+w AS (SELECT doc_id AS id, 0 AS step, row_number() OVER (ORDER BY doc_id) - 1 AS y, n, a, (n + a - 1) // a AS b
+      FROM documents, c
+      UNION ALL {_pass_sql(SEED)})
+SELECT id AS doc_id, CAST(y AS BIGINT) AS place, y < 300 AS sampled,
+       CASE WHEN y < n // 10 THEN 'validation' ELSE 'train' END AS split FROM w WHERE step > 0 AND y < n""")
+def permuted_split(spark, sf):
+    """H-5 / H-7 / H-9 without a sort: seeded place of every document, an exact
+    sample of 300 and an exact tenth, from its dense number."""
+    d = materialize(PM.dense_positions(read(spark, sf, "documents").select("doc_id"), [("doc_id", True)]))
+    n = PM.count_positions(d, "position")
+    taken = PM.sample(d, 300, "position", n, SEED).select("doc_id", F.lit(True).alias("sampled"))
+    out = PM.split(PM.shuffled(d, "position", n, SEED), {"validation": 0.1, "train": 0.9}, "position", n, SEED)
+    return out.join(taken, "doc_id", "left").select(
+        "doc_id", "place", F.coalesce("sampled", F.lit(False)).alias("sampled"), "split")
