@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import DEFAULT_PROMPT_TEMPLATE, prompt, py_strip
+from .placement import once_per_worker
 from .prefix import materialize
 from .sampling import sample_exact
 
@@ -63,17 +64,22 @@ def conformance_flags(labels="labels", not_labels="not_labels", lo: int = 5,
 
 def generate(df: DataFrame, generator: Generator | None = None, prompt_col: str = "prompt",
              out: str = "raw", retries: int = 3,
-             factory: Callable[[], Generator] | None = None) -> DataFrame:
+             factory: Callable[[], Generator] | None = None, model_name: str | None = None,
+             profile=None) -> DataFrame:
     """L-6: apply the user's generator to Arrow batches of prompts; each row is
     retried up to ``retries`` times when the call raises or returns None.
     Pass ``factory`` instead of ``generator`` to build the generator (load a
-    model, open a client) once per task."""
+    model, open a client) once per task, or with ``model_name`` once per worker
+    process (:mod:`.placement`); ``profile``, a ``ResourceProfile``, is what the
+    executors of this stage must have."""
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType())])
     if (generator is None) == (factory is None):
         raise ValueError("pass exactly one of generator / factory")
 
+    make = once_per_worker(model_name, factory)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gen = generator if generator is not None else factory()
+        gen = generator if generator is not None else make()
         for b in batches:
             res = pd.Series([None] * len(b), index=b.index, dtype=object)
             todo = b.index
@@ -89,7 +95,7 @@ def generate(df: DataFrame, generator: Generator | None = None, prompt_col: str
                 todo = res.index[res.isna()]
             yield b.assign(**{out: res})
 
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(run, schema, profile=profile)
 
 
 def annotate(df: DataFrame, generator: Generator | None = None, text: str = "text", id_col: str = "doc_id",

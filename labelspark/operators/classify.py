@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.activation import sigmoid, softmax_over
 from ..functions.vector import dot, l2_normalize, logit_scale
+from .placement import once_per_worker
 from .prefix import global_row_number, top_k_per_group
 
 #: A label side of at most this many rows and bytes is broadcast as a matrix.
@@ -309,21 +310,28 @@ def regroup_scores(pred: DataFrame, sample: str = "sample_id", label_id: str = "
 
 
 def score_with_model(pairs: DataFrame, model_factory, text: str = "text",
-                     label: str = "label", out: str = "score") -> DataFrame:
+                     label: str = "label", out: str = "score", model_name: str | None = None,
+                     profile=None) -> DataFrame:
     """L-6: score (text, label) pairs with a user model through Arrow batches.
 
     ``model_factory()`` is called once per task (load weights there); the
     returned callable maps two pandas Series (texts, labels) to a Series of
-    floats.  Everything else in ``pairs`` passes through unchanged."""
+    floats.  Everything else in ``pairs`` passes through unchanged.
+
+    With ``model_name`` the model is kept in the worker process under that name
+    and the factory is called once a worker (:mod:`.placement`); ``profile``, a
+    ``ResourceProfile``, is what the executors of this stage must have."""
     import pandas as pd
     from pyspark.sql import types as T
 
     schema = T.StructType(list(pairs.schema.fields) + [T.StructField(out, T.DoubleType())])
 
+    make = once_per_worker(model_name, model_factory)
+
     def run(batches):
-        model = model_factory()
+        model = make()
         for b in batches:
             got = model(b[text], b[label])
             yield b.assign(**{out: pd.Series(got, index=b.index, dtype="float64")})
 
-    return pairs.mapInPandas(run, schema)
+    return pairs.mapInPandas(run, schema, profile=profile)
