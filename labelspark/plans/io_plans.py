@@ -23,6 +23,7 @@ from ..operators.evaluate import evaluate
 from ..session import scratch_path
 from ..sources import readers as R
 from ..sources import sinks as K
+from ..sources.document import read_results_document, write_results_document
 from . import sqlfn as S
 from .metrics import ACC, CONF, F1, PREC, REC, _C0, _rank_ctes, _topk_cols
 from .registry import register, with_ctes
@@ -139,6 +140,18 @@ def results_roundtrip(spark, sf):
     return b.crossJoin(auc).crossJoin(n)
 
 
+@register("results_document", with_ctes(*PRED_CTES, select="""
+SELECT dense_rank() OVER (ORDER BY sample_id) - 1 AS sample_id,
+       CAST(row_number() OVER (PARTITION BY sample_id ORDER BY label_id) AS INTEGER) AS label_id, truth, score FROM pred"""))
+def results_document(spark, sf):
+    """A-8 / A-9: pred and its metrics as one JSON document in part files, read
+    back in ranges of samples."""
+    path = _fresh(spark, "document")
+    pred = flagship_pred(spark, sf)
+    write_results_document(M.basic_metrics(pred, 0.5), pred, path)
+    return read_results_document(spark, path)
+
+
 @register("load_triplets", f"""
 SELECT p_partkey AS sample_id, p_name AS text,
        list_concat(

@@ -44,6 +44,7 @@ ROUND_COLUMNS: dict[str, tuple[list[str], list[str]]] = {
     'pool_sep_token': (['x'], []),
     'precision_at_k': (['precision_at_3'], []),
     'repulsion_loss': (['repulsion_loss'], []),
+    'results_document': (['score'], []),
     'results_roundtrip': (['accuracy', 'precision', 'recall', 'f1', 'roc_auc'], []),
     'roc_auc': (['roc_auc'], []),
     'roc_auc_macro': (['roc_auc_macro'], []),

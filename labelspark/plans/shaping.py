@@ -3,14 +3,18 @@ B-10 .. B-12, E-30 .. E-32, J-4 .. J-7, G-3, D-9, D-11, A-10)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.permute import PRIME, ROUNDS, turn_keys
 from ..operators import pairs as P
 from ..operators import permutation as PM
 from ..operators import sampling as SM
+from ..operators import sketches as SK
 from ..operators.normalize import checked_vocab
 from ..operators.prefix import global_row_number, materialize, running_sums
+from ..session import scratch_path
 from . import sqlfn as S
 from .registry import register, with_ctes
 from .tables import read
@@ -192,6 +196,29 @@ def dataset_stats(spark, sf):
     return P.dataset_statistics(t)
 
 
+@register("dataset_sketches", with_ctes(TRIPLETS, SPLIT, """agg AS (
+  SELECT split, count(*) AS n_samples, CAST(sum(len(labels)) AS BIGINT) AS n_positives,
+         count(*) FILTER (WHERE len(not_labels) > 0) AS n_with_negatives
+  FROM ts GROUP BY ROLLUP (split)),
+lab AS (SELECT split, count(DISTINCT label) AS n_exact FROM (
+  SELECT split, unnest(list_concat(labels, not_labels)) AS label FROM ts) GROUP BY ROLLUP (split))""",
+                                        select="""
+SELECT a.split, a.n_samples, a.n_positives, a.n_with_negatives, coalesce(l.n_exact, 0) AS n_exact, true AS within
+FROM agg a LEFT JOIN lab l ON a.split IS NOT DISTINCT FROM l.split"""))
+def dataset_sketches(spark, sf):
+    """E-30 / E-31: statistics from the stored sketches of two loads, and
+    whether their label counts lie within four standard errors of the exact ones."""
+    t = SM.split_train_validation(triplets(spark, sf), "sample_id", 0.1, SEED)
+    path = scratch_path(spark, f"sketches-{uuid.uuid4().hex}")
+    for load in (0, 1):
+        SK.add_load(t.where(F.pmod("sample_id", F.lit(2)) == load), path, str(load))
+    got = SK.sketch_statistics(SK.stored(spark, path)).withColumnRenamed("split", "_split")
+    exact = P.dataset_statistics(t).select("split", F.col("n_unique_labels").alias("n_exact"))
+    near = F.abs(F.col("n_unique_labels") - F.col("n_exact")) <= 4 * F.col("std_error")
+    return exact.join(got, F.col("split").eqNullSafe(F.col("_split"))).select(
+        "split", "n_samples", "n_positives", "n_with_negatives", "n_exact", near.alias("within"))
+
+
 @register("dataset_info", with_ctes(TRIPLETS, """src AS (
   SELECT 'part_triplets' AS split, labels, not_labels FROM t
   UNION ALL

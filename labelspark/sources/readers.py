@@ -97,17 +97,14 @@ class Registry:
         return self._fns[name][1](spark, path)
 
 
-def read_hierarchy(spark: SparkSession, path: str, max_entries: int = 100_000) -> DataFrame:
-    """A-6: a JSON object {group: [fine, ...]} -> (group, fine) rows.  The file
-    is a small dimension table: it is read as one value and its size is
-    checked before callers broadcast it."""
+def read_hierarchy(spark: SparkSession, path: str) -> DataFrame:
+    """A-6: JSON objects {group: [fine, ...]} -> (group, fine) rows, of any
+    number.  A file is one value, so a large hierarchy is a folder of files,
+    read by many tasks; a group may lie in several of them.  Nothing here is
+    broadcast: joins on the rows go by their measured size."""
     raw = spark.read.text(path, wholetext=True)
     m = F.from_json(F.col("value"), T.MapType(T.StringType(), T.ArrayType(T.StringType())))
-    out = raw.select(F.explode(m).alias("group", "fines")).select(
-        "group", F.explode("fines").alias("fine"))
-    if out.limit(max_entries + 1).count() > max_entries:
-        raise ValueError("hierarchy is larger than a dimension table should be")
-    return out
+    return raw.select(F.explode(m).alias("group", "fines")).select("group", F.explode("fines").alias("fine"))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -118,7 +115,11 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
         T.StructField("sample_id", T.LongType()),
         T.StructField("predictions", T.ArrayType(T.DoubleType())),
         T.StructField("true_labels", T.ArrayType(T.IntegerType()))])
-    df = spark.read.schema(schema).json(path)
+    return flatten_results(spark.read.schema(schema).json(path))
+
+
+def flatten_results(df: DataFrame) -> DataFrame:
+    """A-9: one row per label from ``(sample_id, predictions, true_labels)``."""
     z = F.arrays_zip(F.col("predictions").alias("s"), F.col("true_labels").alias("t"))
     ex = df.filter((F.size("predictions") > 0) & (F.size("true_labels") > 0)).select(
         "sample_id", F.posexplode(z).alias("_p", "_z"))
