@@ -15,9 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..prefix import running_sums, top_k_per_group
+from ..prefix import materialize, running_sums, top_k_per_group
 
 DEFAULT_KS = (1, 3, 5, 10)
+ORDINARY = 1 << 16  # labels of a sample that one window may hold
 
 
 def rank_order(score: str = "score", label: str = "label_id") -> list[Column]:
@@ -169,21 +170,35 @@ def topk_suite(pred: DataFrame, ks: Sequence[int] = DEFAULT_KS, keys: Sequence[s
 
 
 def rank_curve(pred: DataFrame, keys: Sequence[str] = (), sample: str = "sample_id",
-               score: str = "score", truth: str = "truth") -> DataFrame:
+               score: str = "score", truth: str = "truth", ordinary: int = ORDINARY) -> DataFrame:
     """Per (sample, distinct score): labels and true labels at this score
     (``n``, ``pos``) and at or above it (``n_above``, ``p_above``).
 
-    Rows are collapsed per distinct score first (partial aggregation), then a
-    distributed prefix sum runs inside each sample along the score, bucketed
-    by score quantiles: a sample holding a huge candidate list is spread over
-    all buckets instead of one window task."""
-    keys = list(keys)
-    y = (F.col(truth) == 1).cast("long")
-    coll = pred.groupBy(*keys, sample, score).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos"))
-    return running_sums(coll, keys + [sample], [(score, False)],
-                        {"n_above": F.col("n"), "p_above": F.col("pos")},
-                        inclusive=True, materialized=True)
+    The pairs are written once and the labels of each sample counted.  Samples
+    of at most ``ordinary`` labels take one hash exchange on the sample, after
+    which collapsing and running sums need no other.  Larger ones, if there are
+    any, are collapsed per distinct score and summed by a distributed prefix
+    sum along the score, so that no task holds such a sample.  Both give the
+    same rows.  A null truth counts as not true."""
+    by = [*keys, sample]
+    y = F.coalesce(F.col(truth) == 1, F.lit(False)).cast("long")
+    rows = materialize(pred.select(*by, score, y.alias("_y")))
+    large = materialize(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > ordinary))
+
+    def collapsed(df: DataFrame) -> DataFrame:
+        return df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"))
+
+    def windowed(df: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        return collapsed(df.repartition(*by)).select("*", F.sum("n").over(w).alias("n_above"), F.sum("pos").over(w).alias("p_above"))
+
+    if large.isEmpty():
+        return windowed(rows)
+    same = [rows[c].eqNullSafe(large[c]) for c in by]
+    spread = running_sums(collapsed(rows.join(large, same, "left_semi")), by, [(score, False)],
+                          {"n_above": F.col("n"), "p_above": F.col("pos")}, inclusive=True, materialized=True)
+    few = windowed(rows.join(large, same, "left_anti"))
+    return few.unionByName(spread.select(*few.columns))
 
 
 def ranking_summary(pred: DataFrame, keys: Sequence[str] = (), sample: str = "sample_id",

@@ -219,6 +219,26 @@ def dataset_sketches(spark, sf):
         "split", "n_samples", "n_positives", "n_with_negatives", "n_exact", near.alias("within"))
 
 
+@register("word_sketches", with_ctes("""w AS (
+  SELECT lang AS split, list_distinct(string_split(text, ' ')) AS labels, [source] AS not_labels FROM documents)""", """agg AS (
+  SELECT split, count(*) AS n_samples, CAST(sum(len(labels)) AS BIGINT) AS n_positives,
+         count(*) FILTER (WHERE len(not_labels) > 0) AS n_with_negatives FROM w GROUP BY ROLLUP (split)),
+lab AS (SELECT split, count(DISTINCT label) AS n_exact FROM (
+  SELECT split, unnest(list_concat(labels, not_labels)) AS label FROM w) GROUP BY ROLLUP (split))""", select="""
+SELECT a.split, a.n_samples, a.n_positives, a.n_with_negatives, coalesce(l.n_exact, 0) AS n_exact, true AS within
+FROM agg a LEFT JOIN lab l ON a.split IS NOT DISTINCT FROM l.split"""))
+def word_sketches(spark, sf):
+    """E-30 / E-31 over large vocabularies: sketches of every language's words,
+    united for the total, within four standard errors of the exact counts."""
+    words = F.array_distinct(F.split("text", " "))
+    t = read(spark, sf, "documents").select(F.col("lang").alias("split"), words.alias("labels"), F.array("source").alias("not_labels"))
+    got = SK.sketch_statistics(materialize(SK.label_sketches(t))).withColumnRenamed("split", "_split")
+    exact = P.dataset_statistics(t).select("split", F.col("n_unique_labels").alias("n_exact"))
+    near = F.abs(F.col("n_unique_labels") - F.col("n_exact")) <= 4 * F.col("std_error")
+    return exact.join(got, F.col("split").eqNullSafe(F.col("_split"))).select(
+        "split", "n_samples", "n_positives", "n_with_negatives", "n_exact", near.alias("within"))
+
+
 @register("dataset_info", with_ctes(TRIPLETS, """src AS (
   SELECT 'part_triplets' AS split, labels, not_labels FROM t
   UNION ALL
