@@ -95,3 +95,29 @@ def test_copies_of_one_row_spread_over_batches(spark):
     rows, _ = exchange.batched(df, "doc_id", "text", 20_000)
     sizes = {r["batch"]: r["count"] for r in rows.groupBy("batch").count().collect()}
     assert sum(sizes.values()) == 402 and len(sizes) > 10 and max(sizes.values()) < 120
+
+
+def test_query_cuts_planted_passages_from_400_bytes_on(spark, tmp_path):
+    """The bound of the query is bytes, whatever words they hold; ``n_bytes`` is the size before removal."""
+    from labelspark.llm import queries
+
+    r = random.Random(4)
+    def text(n):
+        return "".join(r.choice("abcdefgh ") for _ in range(n))
+    short = " ".join(r.choice(["the", "erethe", "onhaly", "ed", "thtion"]) + str(k) for k in range(51))
+    passages = [short, text(399), text(400), text(900)]
+    assert len(short) < 400
+    rows, size = [], {}
+    for k, p in enumerate(passages):
+        for copy in (0, 1):  # other letters at both ends: the common string is the passage
+            rows.append((10 * k + copy, text(300 + 50 * copy) + "XY"[copy] + p + "VW"[copy] + text(200)))
+            size[rows[-1][0]] = len(rows[-1][1])
+    rows.append((99, text(3000)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in queries.op4_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert {i: x["n_bytes"] for i, x in got.items()} == size | {99: 3000}
+    assert {i: (x["n_removed"], x["n_spans"]) for i, x in got.items()} == {
+        0: (0, 0), 1: (0, 0), 10: (0, 0), 11: (0, 0), 20: (400, 1), 21: (400, 1), 30: (900, 1), 31: (900, 1), 99: (0, 0)}
+    for i, t in rows:
+        cut = passages[i // 10] if i in (20, 21, 30, 31) else ""
+        assert got[i]["kept_sha256"] == hashlib.sha256(t.replace(cut, "").encode()).hexdigest()
