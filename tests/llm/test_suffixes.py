@@ -121,3 +121,53 @@ def test_query_cuts_planted_passages_from_400_bytes_on(spark, tmp_path):
     for i, t in rows:
         cut = passages[i // 10] if i in (20, 21, 30, 31) else ""
         assert got[i]["kept_sha256"] == hashlib.sha256(t.replace(cut, "").encode()).hexdigest()
+
+
+def phases(batches, n, cells=2):
+    """The four phases on lists of texts, in this process: rows of the last one."""
+    import pyarrow as pa
+
+    def table(k, texts):
+        return pa.table({"batch": pa.array([k] * len(texts), pa.int32()), "id": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())})
+
+    answers = pa.table({"batch": pa.array([], pa.int32()), "phase": pa.array([], pa.int32()), "cell": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+    for phase in range(4):
+        run, out = suffixes._phase(phase, n, cells), []
+        for k, texts in enumerate(batches):
+            mine = answers.filter(pa.array([b == k for b in answers["batch"].to_pylist()], pa.bool_()))
+            out.append(run(table(k, texts), mine) if phase else run(table(k, texts)))
+        if phase == 3:
+            return [r for t in out for r in t.to_pylist()]
+        sent = pa.concat_tables(out)
+        at = sent["cell"].to_pylist()
+        cell = [sent.filter(pa.array([c == x for c in at])) for x in sorted(set(at))]
+        answers = pa.concat_tables([answers, *map(suffixes._sort_cell(phase), cell)])
+
+
+def test_only_samples_and_candidates_are_hashed(monkeypatch):
+    r = random.Random(8)
+    def text(n):
+        return "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = text(400)
+    first = [text(3000) for _ in range(20)] + [text(699) + "Z" + passage, passage + text(500), "", text(3000) + passage[1:]]
+    second = [text(3000) for _ in range(20)] + [first[3], text(450) + passage + text(5), text(399)]
+    hashed, mix = [], suffixes.mix
+    monkeypatch.setattr(suffixes, "BLOCK", 512)  # passages across blocks, texts across blocks
+    monkeypatch.setattr(suffixes, "mix", lambda x: hashed.append(len(x)) or mix(x))
+    got = phases([first, second], 400)
+    assert [(g["n_bytes"], g["n_removed"], len(g["spans"]), g["kept"]) for g in got] == brute(first + second, 400)
+    assert [g["spans"] for g in got[20:22]] == [[{"start": 700, "end": 1100}], [{"start": 0, "end": 400}]]
+    # three phases hash the samples, 18 in 307 positions; once all positions, eight times
+    assert sum(hashed) < 0.4 * sum(map(len, first + second))
+
+
+def test_equal_keys_of_other_checks_are_told_apart():
+    import numpy as np
+    import pyarrow as pa
+    from labelspark.llm import exchange
+
+    keys = np.array([1 << 20, 5 << 20], np.uint64)
+    sent = [exchange.send(k, keys, np.array([check, 9], np.uint16), 1, drop=suffixes.SUFFIX_DROP) for k, check in enumerate((7, 3, 7))]
+    back = suffixes._sort_cell(2)(pa.concat_tables([*sent, exchange.send(3, keys[:1] * np.uint64(3), np.zeros(1, np.uint16), 1)]))
+    bits = {b: np.unpackbits(np.frombuffer(d, np.uint8)).tolist() for b, d in zip(back["batch"].to_pylist(), back["data"].to_pylist())}
+    assert [bits[k][:2] for k in range(4)] == [[1, 1], [0, 1], [1, 1], [0, 0]]
